@@ -24,10 +24,10 @@ def owners(df: DataFrame, path: str, dirs: DataFrame) -> tuple[DataFrame, DataFr
     folder = F.regexp_extract(F.col(path), r"^(.*)/[^/]*$", 1)
     keyed = df.withColumn("__folder", folder)
     folders = keyed.select("__folder").distinct()
-    depth = F.size(F.split("__folder", "/"))
+    steps = F.split("__folder", "/")
     parents = folders.select("__folder", F.explode(F.transform(
-        F.sequence(F.lit(1), depth),
-        lambda n: F.substring_index(F.col("__folder"), "/", n.cast("int")))).alias("dir"))
+        F.sequence(F.lit(1), F.size(steps)),
+        lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("dir"))
     owned = (lookup_join(parents, dirs.select("dir").distinct(), ["dir"], "inner",
                          spread_by=["__folder"])
              .groupBy("__folder").agg(F.max_by("dir", F.length("dir")).alias("owner_dir")))
@@ -136,24 +136,25 @@ DATED_LINE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\s.*$"
 
 def log_entries(lines: DataFrame, keys: list[str], order: str, line: str,
                 is_header: Column | None = None, part_rows: int = 4096) -> DataFrame:
-    """Entries of a log: ``keys, entry_no, part, header, body``.
+    """Entries of a log: ``keys, entry_at, part, header, body``.
 
     A header line opens an entry, other lines belong to the header before
-    them, and lines before the first header are dropped.  The last entry is
-    kept.  A body above ``part_rows`` lines comes in parts.
+    them, and lines before the first header are dropped.  ``entry_at`` is the
+    line of the header.  The last entry is kept.  A body that reaches further
+    than ``part_rows`` lines comes in parts.
     """
     opens = F.col(line).rlike(DATED_LINE) if is_header is None else is_header
-    marked = lines.withColumn("__open", F.coalesce(opens, F.lit(False)))
-    numbered = ordered.running_sum(marked, keys, order, F.col("__open").cast("int"), "entry_no")
-    inside = numbered.where("entry_no > 0").withColumn(
-        "part", ordered.chunk_of(F.col(order), part_rows))
+    opener = F.when(opens, F.struct(F.col(order).alias("at"), F.col(line).alias("header")))
+    inside = ordered.carry_forward(lines, keys, order, {"__open": opener}).where("__open is not null")
+    placed = inside.select(*keys, F.col("__open.at").alias("entry_at"), F.col("__open.header").alias("header"),
+                           F.col(order).alias("__at"), F.col(line).alias("__line"))
+    bodies = F.when(F.col("__at") != F.col("entry_at"), F.struct("__at", "__line"))
     return (
-        inside.groupBy(*keys, "entry_no", "part")
-        .agg(F.max(F.when(F.col("__open"), F.col(line))).alias("header"),
-             F.sort_array(F.collect_list(F.when(~F.col("__open"), F.struct(
-                 F.col(order).alias("at"), F.col(line).alias("line"))))).alias("__body"))
-        .select(*keys, "entry_no", "part", "header",
-                F.array_join(F.transform("__body", lambda b: b["line"]), "\n").alias("body")))
+        placed.groupBy(*keys, "entry_at", "header",
+                       ordered.chunk_of(F.col("__at") - F.col("entry_at"), part_rows).alias("part"))
+        .agg(F.sort_array(F.collect_list(bodies)).alias("__body"))
+        .select(*keys, "entry_at", "part", "header",
+                F.array_join(F.transform("__body", lambda b: b["__line"]), "\n").alias("body")))
 
 
 def newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -71,17 +71,21 @@ def _quotes(text: Column) -> Column:
     return F.zip_with(S.spans(text, '"'), before, lambda s, b: s.withField("before", b))
 
 
-def with_string(df: DataFrame, text: str, found: str = "found") -> DataFrame:
+def with_string(df: DataFrame, text: str, found: str = "found", comments: bool = True) -> DataFrame:
     """Adds ``in_string``: quotes in comments and after a backslash do not
     count, a quote after an apostrophe only counts inside a string, and a quote
-    at offset 0 always counts."""
+    at offset 0 always counts.  ``comments=False`` is for text without them."""
     def toggle(inside: Column, q: Column) -> Column:
         skipped = (q["start"] > 0) & (
             q["in_comment"] | (q["before"] == "\\") | ((q["before"] == "'") & ~inside))
         return F.when(skipped, inside).otherwise(~inside)
 
     df = df.withColumn("__quotes", _quotes(F.col(text)))
-    df = with_comment(with_line(df, text, "__quotes"), text, "__quotes")
+    if comments:
+        df = with_comment(with_line(df, text, "__quotes"), text, "__quotes")
+    else:
+        df = df.withColumn("__quotes", F.transform(
+            "__quotes", lambda q: q.withField("in_comment", F.lit(False))))
     df = df.withColumn("__states", S.scan(F.col("__quotes"), F.lit(False), toggle))
     events = F.zip_with("__quotes", F.slice("__states", F.lit(2), F.size("__states")),
                         lambda q, s: F.struct(q["end"].alias("at"), s.alias("inside")))
@@ -96,25 +100,34 @@ class ScopeRule:
     template: str = "{1}"
     groups: int = 1
 
-    def name(self, m: Column) -> Column:
-        return T.fill(self.template, lambda i: m[f"g{i}"], self.groups)
+    def event(self, m: Column) -> Column:
+        """Where the definition is complete, and its name."""
+        name = T.fill(self.template, lambda i: m[f"g{i}"], self.groups)
+        return F.struct(m["end"].alias("at"), name.alias("name"))
 
 
-def without_annotations(text: Column, marker: str = "GTY") -> Column:
-    """Annotation markers ``MARKER((...))`` blanked out, so offsets stay."""
-    pattern = rf"{marker}\(\(.*?\)\)(?=\s)"
+def removed(text: Column, pattern: str) -> Column:
+    """Text without the markers that match."""
+    return F.regexp_replace(text, pattern, "")
+
+
+def blanked(text: Column, pattern: str) -> Column:
+    """Markers overwritten with blanks, so the offsets of the rest stay."""
     return S.rebuild(S.segments(text, pattern), S.tail(text, pattern),
                      lambda s: F.repeat(F.lit(" "), F.length(s["matched"])))
 
 
+# Fixed value: the annotation marker of the declarations.
+ANNOTATION = r"GTY\(\(.*?\)\)(?=\s)"
+
+
 def with_scope(df: DataFrame, text: str, rules: list[ScopeRule],
                line_rules: list[ScopeRule] = (), found: str = "found") -> DataFrame:
     """Adds ``scope``: the first rule with any definition that ends at or
     before the match names it, by its last definition; line rules look at the
     line of the match when no other rule applies."""
     for i, rule in enumerate(rules):
-        events = F.transform(S.spans(F.col(text), rule.pattern, rule.groups),
-                             lambda s, r=rule: F.struct(s["end"].alias("at"), r.name(s).alias("name")))
+        events = F.transform(S.spans(F.col(text), rule.pattern, rule.groups), rule.event)
         df = attach(df, found, events, lambda m, e, n=f"s{i}": m.withField(n, e["name"]))
 
     def choose(m: Column) -> Column:

@@ -9,7 +9,7 @@ from ..functions import spans as S
 from ..functions import texts as T
 from . import ordered
 from .quality import quarantine
-from .sizing import lookup_join
+from .sizing import checkpointed, lookup_join
 
 
 def declarations(df: DataFrame, line: str, prefix: str) -> DataFrame:
@@ -77,7 +77,7 @@ def classify(df: DataFrame, name: str, prefixes: DataFrame, prefix: str,
     lengths = (prefixes.select(F.length(prefix).alias("__len")).distinct()
                .agg(F.sort_array(F.collect_list("__len")).alias("__lens")))
     # One row; the array is bounded by the length of the longest prefix.
-    heads = (df.select(name).distinct().crossJoin(F.broadcast(lengths))
+    heads = (df.select(name).distinct().withColumn("__lens", lengths.scalar())
              .select(name, F.explode(F.transform(
                  F.filter("__lens", lambda n: n <= F.length(name)),
                  lambda n: F.substring(F.col(name), F.lit(1), n))).alias(prefix)))
@@ -126,10 +126,11 @@ SUBCLASS = (r"(?dms)struct\s+GTY\(\((.*?)\)\)\s+([_a-zA-Z][_a-zA-Z0-9]*?)\s+:\s+
             r"([_a-zA-Z][_a-zA-Z0-9]*?)\s")
 
 
-def class_edges(df: DataFrame, text: str, seeds: list[tuple[str, str | None]]) -> DataFrame:
-    """Edges ``child, parent`` of subclass declarations, with seeded roots."""
+def class_edges(df: DataFrame, text: str, seeds: DataFrame) -> DataFrame:
+    """Edges ``child, parent`` of subclass declarations, with the roots of
+    ``seeds(child, parent)``, whose parents are null."""
     found = catalogue(df, [], text, SUBCLASS, ["options", "child", "parent"]).select("child", "parent")
-    return found.union(df.sparkSession.createDataFrame(seeds, "child string, parent string")).distinct()
+    return found.union(seeds.select("child", "parent")).distinct()
 
 
 def chained_lookup(df: DataFrame, steps: list[tuple[DataFrame, str, str]]) -> DataFrame:
@@ -141,21 +142,37 @@ def chained_lookup(df: DataFrame, steps: list[tuple[DataFrame, str, str]]) -> Da
 
 def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
     """All ``(node, ancestor, depth)`` of ``child, parent`` edges, with the
-    node itself at depth 0.  A null parent marks a root."""
-    spark = edges.sparkSession
+    node itself at depth 0.  A null parent marks a root.
+
+    Most nodes are leaves, so the levels are walked for inner nodes only (nodes
+    that are a parent); the leaves are joined once at the end.  Each level is
+    checkpointed, which cuts the lineage and survives lost executors.
+    """
     known = edges.where("parent is not null").select("child", "parent").distinct()
     nodes = edges.select(F.explode(F.array("child", "parent")).alias("node")).where(
         "node is not null").distinct()
-    known.createOrReplaceTempView("__closure_edges")
-    nodes.createOrReplaceTempView("__closure_nodes")
-    return spark.sql(f"""
-        WITH RECURSIVE up(node, ancestor, depth) AS (
-          SELECT node, node, 0 FROM __closure_nodes
-          UNION ALL
-          SELECT u.node, e.parent, u.depth + 1
-          FROM up u JOIN __closure_edges e ON e.child = u.ancestor
-          WHERE u.depth < {max_depth})
-        SELECT node, ancestor, depth FROM up""")
+    parents = known.select("parent").distinct()
+    inner = checkpointed(lookup_join(
+        known, parents.select(F.col("parent").alias("child")), ["child"], "left_semi"))
+    up = inner.select(F.col("child").alias("ancestor"), F.col("parent").alias("__next"))
+
+    level = parents.select(F.col("parent").alias("node"), F.col("parent").alias("ancestor"),
+                           F.lit(0).alias("depth"))
+    inner_closed, depth = level, 0
+    while True:
+        depth += 1
+        level = checkpointed(lookup_join(level, up, ["ancestor"], "inner", ["node"]).select(
+            "node", F.col("__next").alias("ancestor"), F.lit(depth).alias("depth")).distinct())
+        if level.isEmpty():
+            break
+        if depth > max_depth:
+            raise ValueError(f"the hierarchy is deeper than {max_depth} or has a cycle")
+        inner_closed = inner_closed.union(level)
+    above = inner_closed.select(F.col("node").alias("parent"), "ancestor",
+                                (F.col("depth") + 1).alias("depth"))
+    higher = lookup_join(known, above, ["parent"], "inner", ["child"]).select(
+        F.col("child").alias("node"), "ancestor", "depth")
+    return nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).union(higher)
 
 
 def ancestors(closed: DataFrame) -> DataFrame:
@@ -235,6 +252,18 @@ def initializer_fields(text: Column, names: list[str]) -> Column:
     return S.let(F.transform(F.split(text, ",", -1), clean_field), shape)
 
 
+def initializers(df: DataFrame, text: str, names: list[str],
+                 fixed: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Fields of initializer texts as columns.  Set apart: another number of
+    fields, or a field of ``fixed`` that does not hold its value."""
+    parsed = df.withColumn("__f", initializer_fields(F.col(text), names))
+    columns = parsed.select(*df.columns, "__f", *[F.col(f"__f.{n}").alias(n) for n in names])
+    rules = [(F.col("__f").isNull(), "wrong number of fields")]
+    rules += [(F.col(n) != v, f"{n} is not {v}") for n, v in (fixed or {}).items()]
+    good, bad = quarantine(columns, *rules)
+    return good.drop("__f"), bad.drop("__f")
+
+
 def has_value(field: Column) -> Column:
     """False for ``NULL`` and ``0``."""
     return ~field.isin("NULL", "0")
@@ -250,14 +279,15 @@ def repeated(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def plan_lines(lines: DataFrame, keys: list[str], order: str, line: str, next_line: str) -> DataFrame:
+def plan_lines(lines: DataFrame, keys: list[str], order: str, line: str) -> DataFrame:
     """Entries of a move plan: ``keys, order, section, path, remark``.
 
-    A line with an underline of ``=`` as its next line opens a section; an
-    entry is an indented path, with a remark after ``#``.
+    A line underlined with ``=`` opens a section; an entry is an indented
+    path, with a remark after ``#``.
     """
-    title = F.when(F.col(next_line).rlike(r"^={3,}\s*$"), F.col(line))
-    carried = ordered.carry_forward(lines, keys, order, title, "section")
+    before = ordered.lag(lines, keys, order, F.col(line), "__before")
+    title = F.when(F.col(line).rlike(r"^={3,}\s*$"), F.col("__before.v"))
+    carried = ordered.carry_forward(before, keys, order, {"section": title})
     entry = r"^\s+(\S+)\s*(?:#\s*(.*))?$"
     return (carried.where(F.col(line).rlike(entry) & F.col("section").isNotNull())
             .select(*keys, order, "section", F.regexp_extract(F.col(line), entry, 1).alias("path"),

@@ -22,49 +22,58 @@ def chunk_of(order: Column, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(order / F.lit(rows)).cast("bigint")
 
 
-def _with_carry(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach the carry of a chunk to its rows; keys may be null."""
+def _with_carry(rows: DataFrame, summary: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    """Attach the carries of a chunk to its rows; keys may be null."""
     renamed = summary.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-                             F.col("__chunk").alias("__c"), "__carry")
+                             F.col("__chunk").alias("__c"), *carried)
     on = F.col("__chunk") == F.col("__c")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     return rows.join(renamed, on, "left").drop("__c", *[f"__k{i}" for i in range(len(keys))])
 
 
-def previous(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
+def _carry(df: DataFrame, keys: list[str], order: str, values: dict[str, Column],
+           chunk_rows: int, inclusive: bool) -> DataFrame:
+    names = list(values)
+    rows = df.select("*", *[values[n].alias(f"__v{i}") for i, n in enumerate(names)],
+                     chunk_of(F.col(order), chunk_rows).alias("__chunk"))
+    local = Window.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1)
+    over_chunks = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(
+        Window.unboundedPreceding, -1)
+    span = range(len(names))
+    lasts = rows.groupBy(*keys, "__chunk").agg(*[
+        F.max_by(f"__v{i}", F.when(F.col(f"__v{i}").isNotNull(), F.col(order))).alias(f"__l{i}")
+        for i in span])
+    summary = lasts.select(*keys, "__chunk", *[
+        F.last(f"__l{i}", ignorenulls=True).over(over_chunks).alias(f"__c{i}") for i in span])
+    inside = rows.select("*", *[
+        F.last(f"__v{i}", ignorenulls=True).over(local).alias(f"__w{i}") for i in span])
+    joined = _with_carry(inside, summary, keys, [f"__c{i}" for i in span])
+    return joined.select(
+        *[F.col(c) for c in df.columns if c not in names],
+        *[F.coalesce(f"__w{i}", f"__c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def previous(df: DataFrame, keys: list[str], order: str, values: dict[str, Column],
              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Last non-null ``value`` of the rows before this one in the key.
+    """For each named value its last non-null one before this row in the key.
 
     ``order`` must be unique within the key.
     """
-    rows = df.withColumn("__value", value).withColumn("__chunk", chunk_of(F.col(order), chunk_rows))
-    local = Window.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, -1)
-    over_chunks = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(
-        Window.unboundedPreceding, -1)
-    summary = (
-        rows.groupBy(*keys, "__chunk")
-        .agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(order))).alias("__last"))
-        .withColumn("__carry", F.last("__last", ignorenulls=True).over(over_chunks)))
-    local_rows = rows.withColumn("__local", F.last("__value", ignorenulls=True).over(local))
-    return (_with_carry(local_rows, summary, keys)
-            .withColumn(out, F.coalesce("__local", "__carry"))
-            .drop("__value", "__chunk", "__local", "__carry"))
+    return _carry(df, keys, order, values, chunk_rows, inclusive=False)
+
+
+def carry_forward(df: DataFrame, keys: list[str], order: str, values: dict[str, Column],
+                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """For each named value its last non-null one up to and including this row."""
+    return _carry(df, keys, order, values, chunk_rows, inclusive=True)
 
 
 def lag(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
         chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``out`` is ``struct<v>`` of the previous row, null on the first row."""
-    return previous(df, keys, order, F.struct(value.alias("v")), out, chunk_rows)
-
-
-def carry_forward(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
-                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Last non-null ``value`` up to and including this row."""
-    return (previous(df.withColumn("__own", value), keys, order, F.col("__own"), "__earlier",
-                     chunk_rows)
-            .withColumn(out, F.coalesce("__own", "__earlier")).drop("__own", "__earlier"))
+    return previous(df, keys, order, {out: F.struct(value.alias("v"))}, chunk_rows)
 
 
 def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
@@ -78,8 +87,8 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, out:
         Window.unboundedPreceding, -1)
     summary = (rows.groupBy(*keys, "__chunk").agg(F.sum("__value").alias("__total"))
                .withColumn("__carry", F.sum("__total").over(over_chunks)))
-    local_rows = rows.withColumn("__local", F.sum("__value").over(local))
-    return (_with_carry(local_rows, summary, keys)
+    inside = rows.withColumn("__local", F.sum("__value").over(local))
+    return (_with_carry(inside, summary, keys, ["__carry"])
             .withColumn(out, F.col("__local") + F.coalesce("__carry", F.lit(0)))
             .drop("__value", "__chunk", "__local", "__carry"))
 

@@ -43,7 +43,7 @@ def section_lines(lines: DataFrame, keys: list[str], order: str, line: str) -> D
               .when(folder.isNotNull() | (F.col(line) == "/"),
                     F.struct(F.lit("section").alias("kind"), F.coalesce(folder, F.lit("")).alias("section"))))
     marked = lines.withColumn("__opener", opener)
-    carried = ordered.carry_forward(marked, keys, order, F.col("__opener"), "__at")
+    carried = ordered.carry_forward(marked, keys, order, {"__at": F.col("__opener")})
     return (carried.where(F.col("__opener").isNull())
             .withColumn("kind", F.coalesce("__at.kind", F.lit("leading")))
             .withColumn("section", F.coalesce("__at.section", F.lit("")))
@@ -73,27 +73,31 @@ def line_kind(line: Column) -> Column:
 
 
 def diff_lines(lines: DataFrame, keys: list[str], order: str, line: str) -> DataFrame:
-    """Lines of diffs with ``kind``, ``block`` (the file's number in the diff),
-    ``path`` and ``status`` as they stand at the line.
+    """Lines of diffs with ``kind``, ``block`` (the line that opened the file,
+    null in the preamble), ``path`` and ``status`` as they stand at the line.
 
-    Block 0 is the preamble: its indented lines are ``message``, the rest is
-    ``preamble``.  In a new or deleted file hunk lines count as body.
+    Indented lines of the preamble are ``message``, the others ``preamble``.
+    In a new or deleted file hunk lines count as body.
     """
-    raw = lines.withColumn("__kind", line_kind(F.col(line)))
-    numbered = ordered.running_sum(raw, keys, order, (F.col("__kind") == "file").cast("int"), "block")
-    path = F.when(F.col("__kind").isin("old_path", "new_path"),
-                  F.expr(f"substring(`{line}`, 7)"))
-    status = F.when(F.col("__kind").isin("new", "deleted"), F.col("__kind"))
-    in_file = keys + ["block"]
-    known = ordered.carry_forward(numbered, in_file, order, path, "path")
-    known = ordered.carry_forward(known, in_file, order, status, "__status")
+    kind = line_kind(F.col(line))
+    raw = lines.withColumn("__kind", kind)
+    # A new file resets path and status: the struct is set, its field is null.
+    opens = F.col("__kind") == "file"
+    path = F.when(opens, F.lit(None)).otherwise(F.expr(f"substring(`{line}`, 7)"))
+    status = F.when(opens, F.lit("changed")).otherwise(F.col("__kind"))
+    known = ordered.carry_forward(raw, keys, order, {
+        "block": F.when(opens, F.col(order)),
+        "__path": F.when(F.col("__kind").isin("file", "old_path", "new_path"), F.struct(path.alias("v"))),
+        "__status": F.when(F.col("__kind").isin("file", "new", "deleted"), status)})
+    inside = F.col("block").isNotNull()
     return (known
-            .withColumn("status", F.when(F.col("block") > 0, F.coalesce("__status", F.lit("changed"))))
-            .withColumn("kind", F.when(F.col("block") == 0, F.when(F.col(line).startswith(" "), "message")
+            .withColumn("path", F.when(inside, F.col("__path.v")))
+            .withColumn("status", F.when(inside, F.col("__status")))
+            .withColumn("kind", F.when(~inside, F.when(F.col(line).startswith(" "), "message")
                                        .otherwise("preamble"))
                         .when((F.col("__kind") == "hunk") & (F.col("status") != "changed"), "body")
                         .otherwise(F.col("__kind")))
-            .drop("__kind", "__status"))
+            .drop("__kind", "__status", "__path"))
 
 
 HUNK = r"^@@ -([0-9]+),?([0-9]*) \+([0-9]+),?([0-9]*) @@ ?(.*)$"
@@ -163,7 +167,7 @@ def match_mails(patches: DataFrame, mails: DataFrame, patch: str, summary: str,
     # The lengths that occur: at most the longest subject, whatever the number of patches.
     lengths = (patches.select(F.length(summary).alias("__len")).distinct()
                .agg(F.sort_array(F.collect_list("__len")).alias("__lens")))
-    keyed = (candidates.crossJoin(F.broadcast(lengths))
+    keyed = (candidates.withColumn("__lens", lengths.scalar())
              .select("__ord", "mail", F.explode(F.transform(
                  F.filter("__lens", lambda n: n <= F.length("__rest")),
                  lambda n: F.substring(F.col("__rest"), F.lit(1), n))).alias("__head"))

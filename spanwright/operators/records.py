@@ -12,37 +12,42 @@ from .quality import quarantine
 
 def record_lines(lines: DataFrame, keys: list[str], order: str, line: str,
                  strict_eof: bool = False) -> DataFrame:
-    """Non-blank lines with ``record``, the number of their record in the key.
+    """Non-blank lines with ``record``, the place of the blank line before
+    their record (-1 for the first record).
 
     Lines are right-stripped and cut at the first ``;``; a line of comment only
     vanishes and does not end the record.  The last record is kept unless
     ``strict_eof`` asks for the blank line that ends it.
     """
     stripped = T.trimmed_right(F.col(line))
-    cut = F.substring_index(stripped, ";", 1)
-    cleaned = (lines.withColumn("__has_comment", stripped.contains(";")).withColumn(line, cut)
+    cleaned = (lines.withColumn("__has_comment", stripped.contains(";"))
+               .withColumn(line, F.substring_index(stripped, ";", 1))
                .where(~(F.col("__has_comment") & (F.col(line) == ""))).drop("__has_comment"))
-    numbered = ordered.running_sum(cleaned, keys, order, (F.col(line) == "").cast("int"), "record")
-    body = numbered.where(F.col(line) != "")
+    blank = F.when(F.col(line) == "", F.col(order))
+    body = (ordered.carry_forward(cleaned, keys, order, {"record": blank})
+            .where(F.col(line) != "")
+            .withColumn("record", F.coalesce("record", F.lit(-1)).cast("bigint")))
     if strict_eof:
-        closed = numbered.groupBy(*keys).agg(F.max("record").alias("__open"))
+        ends = cleaned.groupBy(*keys).agg(F.max(blank).alias("__end"))
         on = [F.col(k).eqNullSafe(F.col(f"__j{i}")) for i, k in enumerate(keys)]
-        renamed = closed.select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)], "__open")
-        body = (body.join(renamed, on, "inner").where("record < __open")
-                .drop("__open", *[f"__j{i}" for i in range(len(keys))]))
+        renamed = ends.select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)], "__end")
+        body = (body.join(renamed, on, "inner").where(F.col(order) < F.col("__end"))
+                .drop("__end", *[f"__j{i}" for i in range(len(keys))]))
     return body
 
 
 def records(lines: DataFrame, keys: list[str], order: str, line: str,
-            strict_eof: bool = False) -> DataFrame:
-    """Records as arrays of lines: ``keys, record, lines``.
+            strict_eof: bool = False, part_rows: int = ordered.CHUNK_ROWS) -> DataFrame:
+    """Records as arrays of lines: ``keys, record, part, lines``.
 
-    A record is the stretch between two blank lines of one file.
+    A record is the stretch between two blank lines of one file; one that
+    reaches further than ``part_rows`` lines comes in parts.
     """
+    part = ordered.chunk_of(F.col(order) - F.col("record") - 1, part_rows)
     return (record_lines(lines, keys, order, line, strict_eof)
-            .groupBy(*keys, "record")
+            .groupBy(*keys, "record", part.alias("part"))
             .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(line).alias("l")))).alias("__l"))
-            .select(*keys, "record", F.transform("__l", lambda x: x["l"]).alias("lines")))
+            .select(*keys, "record", "part", F.transform("__l", lambda x: x["l"]).alias("lines")))
 
 
 PROPERTY = r"[^\s(]*\([^)]*\)?\S*|\S+"

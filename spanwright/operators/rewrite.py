@@ -67,12 +67,15 @@ class Template:
     def fill(self, m: Column) -> Column:
         return T.fill(self.replacement, lambda i: m[f"g{i}"], self.groups)
 
+    def apply(self, text: Column) -> Column:
+        return S.rebuild(S.segments(text, self.pattern, self.groups),
+                         S.tail(text, self.pattern), self.fill)
+
 
 def expand_once(text: Column, rules: list[Template]) -> Column:
     """One pass of all rules, in order."""
     for rule in rules:
-        text = S.let(text, lambda t, r=rule: S.rebuild(
-            S.segments(t, r.pattern, r.groups), S.tail(t, r.pattern), r.fill))
+        text = S.let(text, rule.apply)
     return text
 
 

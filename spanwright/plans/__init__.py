@@ -1,0 +1,13 @@
+"""Whole runs built from the operators, and the registered queries."""
+
+from __future__ import annotations
+
+from . import flagship, logs, records, registry, texts  # noqa: F401  (importing registers)
+
+
+def all_queries():
+    return {name: registry.bound(name) for name in registry.QUERIES}
+
+
+def all_sql():
+    return dict(registry.SQL)

@@ -55,6 +55,12 @@ def lines(df: DataFrame, keep: list[str], text: str) -> DataFrame:
             .withColumnRenamed("start", "start_off").withColumnRenamed("end", "end_off"))
 
 
+def as_corpus(df: DataFrame, path: Column, text: Column, keep: list[str] = ()) -> DataFrame:
+    """Any table with a text as ``path, folder, ext, text``."""
+    return df.select(*keep, path.alias("path"), F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("folder"),
+                     F.regexp_extract(path, r"(\.[^./]*)$", 1).alias("ext"), text.alias("text"))
+
+
 ANCHOR = r'(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>'
 MAIL_ROW = (r'(?is)<tr\b[^>]*>.*?<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>'
             r'.*?<td\b[^>]*align\s*=\s*"right"[^>]*>(.*?)</td>')
@@ -101,6 +107,6 @@ def write_logs(parts: DataFrame, owner: str, folder: str) -> None:
 
 def load_lookup(df: DataFrame, members: str, values: list[str], key: str) -> DataFrame:
     """One row per key from rows that share values: ``members`` is an array of
-    keys; the first row of a key counts."""
+    keys; the least values of a key count."""
     return (df.select(F.explode(members).alias(key), F.struct(*values).alias("__v"))
             .groupBy(key).agg(F.min("__v").alias("__v")).select(key, "__v.*"))
