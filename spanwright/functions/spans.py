@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BLOCK = 128
@@ -29,6 +29,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unnest(df: DataFrame, keep: list, items: Column | str, item: str = "m",
+           nth: str = "nth") -> DataFrame:
+    """One row per element of an array: ``keep, nth, item``.
+
+    An inner explode would make the optimizer test the size of the array in a
+    filter below, and so compute an expensive array twice.
+    """
+    return df.select(*keep, F.posexplode_outer(items).alias(nth, item)).where(F.col(nth).isNotNull())
+
+
+def unnest_fields(df: DataFrame, keep: list, items: Column | str) -> DataFrame:
+    """One row per struct of an array, its fields as columns."""
+    rows = unnest(df, keep, items)
+    return rows.select(*[c for c in rows.columns if c not in ("nth", "m")], "m.*")
+
+
 def blocks(items: Column, size: int = _BLOCK) -> Column:
     """Cut an array into arrays of at most ``size`` elements."""
     return let(
@@ -65,22 +81,32 @@ def prefix_sums(lengths: Column) -> Column:
     return scan(lengths, F.lit(0).cast("bigint"), lambda total, x: total + x)
 
 
+def _pieces(text: Column, pattern: str, groups: int) -> Column:
+    """``array<struct<gap, matched, g1..gn>>``: each match with the text
+    between the previous one and it, then the rest of the text with a null
+    match."""
+    parts = [F.split(text, pattern, -1).alias("gap")]
+    names = ["matched"] + [f"g{i}" for i in range(1, groups + 1)]
+    for i, name in enumerate(names):
+        parts.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(name))
+    return F.arrays_zip(*parts)
+
+
 def segments(text: Column, pattern: str, groups: int = 0) -> Column:
-    """Non-overlapping leftmost matches as
-    ``array<struct<gap, matched, g1..gn>>``: ``gap`` is the text between the
-    previous match and this one.
+    """Non-overlapping leftmost matches with the gap before each.
 
     The pattern must not match the empty string.
     """
-    parts = [F.split(text, pattern, -1).alias("gap")]
-    names = ["gap", "matched"] + [f"g{i}" for i in range(1, groups + 1)]
-    for i in range(groups + 1):
-        parts.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(names[i + 1]))
-    zipped = F.arrays_zip(*parts)
-    fields = lambda z: F.struct(*[z[n].alias(n) for n in names])
-    # The last gap is the text after the last match: see tail().
-    return let(zipped, lambda z: F.transform(
-        F.slice(z, F.lit(1), F.size(z) - 1), fields))
+    return F.filter(_pieces(text, pattern, groups), lambda p: p["matched"].isNotNull())
+
+
+def replaced(text: Column, pattern: str, replacement: Callable[[Column], Column],
+             groups: int = 0) -> Column:
+    """Text with each match replaced; ``replacement`` gets the match."""
+    return F.array_join(F.transform(
+        _pieces(text, pattern, groups),
+        lambda p: F.when(p["matched"].isNull(), p["gap"]).otherwise(
+            F.concat(p["gap"], replacement(p)))), "")
 
 
 def tail(text: Column, pattern: str) -> Column:
@@ -120,47 +146,29 @@ def line_spans(text: Column) -> Column:
     return let(F.split(text, "\n", -1), place)
 
 
-def _null_of(items: Column) -> Column:
-    """A null of the element type of an array."""
-    return F.get(F.slice(items, 1, 0), F.lit(0))
-
-
-def asof(targets: Column, events: Column) -> Column:
-    """Last event at or before each target, inside one row.
+def counts_before(targets: Column, events: Column) -> Column:
+    """For each target the number of events at or before it.
 
-    ``targets`` and ``events`` are ``array<struct<at BIGINT, ...>>``.  Both
-    are merged by ``at`` (an event at the place of a target counts), the last
-    event is carried forward and the targets are kept, in order of ``at``:
-    ``array<struct<target, found>>``, with ``found`` null where no event
-    precedes the target.
+    Both are ``array<bigint>``; targets are sorted, and so is the result.  The
+    places are merged by one sort of numbers (events even, targets odd), and a
+    target's rank among all less its rank among targets is the count.
     """
-    def merge(ts: Column, es: Column) -> Column:
-        return F.sort_array(F.concat(
-            F.transform(es, lambda e: F.struct(
-                e["at"].alias("at"), F.lit(0).alias("side"), F.lit(0).alias("nth"),
-                e.alias("event"), _null_of(ts).alias("target"))),
-            F.transform(ts, lambda t, i: F.struct(
-                t["at"].alias("at"), F.lit(1).alias("side"), i.alias("nth"),
-                _null_of(es).alias("event"), t.alias("target")))))
-
-    def carry(merged: Column) -> Column:
-        last = scan(merged, _null_of(merged),
-                    lambda state, m: F.when(m["side"] == 0, m).otherwise(state))
-        joined = F.zip_with(
-            merged, let(last, lambda s: F.slice(s, F.lit(2), F.size(s))),
-            lambda m, s: F.struct(m["side"].alias("side"), m["target"].alias("target"),
-                                  s["event"].alias("found")))
-        return F.transform(F.filter(joined, lambda r: r["side"] == 1),
-                           lambda r: F.struct(r["target"].alias("target"),
-                                              r["found"].alias("found")))
-
-    return let(targets, lambda ts: let(events, lambda es: let(merge(ts, es), carry)))
-
-
-def rebuild(segs: Column, rest: Column, replacement: Callable[[Column], Column]) -> Column:
-    """Text with each segment's match replaced; ``rest`` is the tail."""
-    return F.concat(
-        F.array_join(F.transform(segs, lambda s: F.concat(s["gap"], replacement(s))), ""), rest)
+    merged = F.sort_array(F.concat(F.transform(events, lambda e: e * 2),
+                                   F.transform(targets, lambda t: t * 2 + 1)))
+    ranks = F.filter(F.transform(merged, lambda x, i: F.when(x % 2 != 0, i)), lambda i: i.isNotNull())
+    return F.transform(ranks, lambda i, k: i - k)
+
+
+def asof(targets: Column, target_at: Callable[[Column], Column], events: Column,
+         event_at: Callable[[Column], Column], add: Callable[[Column, Column], Column]) -> Column:
+    """``add(target, event)`` with the last event at or before each target,
+    or with null where no event precedes it.  Targets are sorted by place, events too."""
+    def pick(ts: Column, es: Column) -> Column:
+        counts = counts_before(F.transform(ts, lambda t: target_at(t).cast("bigint")),
+                               F.transform(es, lambda e: event_at(e).cast("bigint")))
+        return F.zip_with(ts, counts, lambda t, n: add(t, F.get(es, n - 1)))
+
+    return let(targets, lambda ts: let(events, lambda es: pick(ts, es)))
 
 
 def splice(text: Column, edits: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import spans as S
 from ..functions import texts as T
 from . import ordered
 from .quality import quarantine
@@ -25,9 +26,9 @@ def owners(df: DataFrame, path: str, dirs: DataFrame) -> tuple[DataFrame, DataFr
     keyed = df.withColumn("__folder", folder)
     folders = keyed.select("__folder").distinct()
     steps = F.split("__folder", "/")
-    parents = folders.select("__folder", F.explode(F.transform(
-        F.sequence(F.lit(1), F.size(steps)),
-        lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("dir"))
+    parents = S.unnest(folders, ["__folder"], S.let(steps, lambda parts: F.transform(
+        F.sequence(F.lit(1), F.size(parts)),
+        lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))), "dir").drop("nth")
     owned = (lookup_join(parents, dirs.select("dir").distinct(), ["dir"], "inner",
                          spread_by=["__folder"])
              .groupBy("__folder").agg(F.max_by("dir", F.length("dir")).alias("owner_dir")))

@@ -25,12 +25,9 @@ from .sizing import lookup_join
 def attach(df: DataFrame, found: str, events: Column,
            add: Callable[[Column, Column], Column]) -> DataFrame:
     """``add(match, event)`` for each match and the last event at or before
-    its start; events are ``array<struct<at, ...>>``."""
-    targets = F.transform(found, lambda m: F.struct(m["start"].alias("at"), m.alias("m")))
-    return (df.withColumn("__events", events)
-            .withColumn("__joined", S.asof(targets, F.col("__events")))
-            .withColumn(found, F.transform("__joined", lambda r: add(r["target"]["m"], r["found"])))
-            .drop("__events", "__joined"))
+    its start; events are ``array<struct<at, ...>>`` in order."""
+    return df.withColumn(found, S.asof(
+        F.col(found), lambda m: m["start"], events, lambda e: e["at"], add))
 
 
 def with_line(df: DataFrame, text: str, found: str = "found") -> DataFrame:
@@ -113,8 +110,7 @@ def removed(text: Column, pattern: str) -> Column:
 
 def blanked(text: Column, pattern: str) -> Column:
     """Markers overwritten with blanks, so the offsets of the rest stay."""
-    return S.rebuild(S.segments(text, pattern), S.tail(text, pattern),
-                     lambda s: F.repeat(F.lit(" "), F.length(s["matched"])))
+    return S.replaced(text, pattern, lambda s: F.repeat(F.lit(" "), F.length(s["matched"])))
 
 
 # Fixed value: the annotation marker of the declarations.

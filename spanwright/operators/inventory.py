@@ -77,10 +77,10 @@ def classify(df: DataFrame, name: str, prefixes: DataFrame, prefix: str,
     lengths = (prefixes.select(F.length(prefix).alias("__len")).distinct()
                .agg(F.sort_array(F.collect_list("__len")).alias("__lens")))
     # One row; the array is bounded by the length of the longest prefix.
-    heads = (df.select(name).distinct().withColumn("__lens", lengths.scalar())
-             .select(name, F.explode(F.transform(
-                 F.filter("__lens", lambda n: n <= F.length(name)),
-                 lambda n: F.substring(F.col(name), F.lit(1), n))).alias(prefix)))
+    cut = F.transform(F.filter("__lens", lambda n: n <= F.length(name)),
+                      lambda n: F.substring(F.col(name), F.lit(1), n))
+    heads = S.unnest(df.select(name).distinct().withColumn("__lens", lengths.scalar()),
+                     [name], cut, prefix).drop("nth")
     best = (lookup_join(heads, prefixes.select(prefix).distinct(), [prefix], "inner", [name])
             .groupBy(name).agg(F.max_by(prefix, F.length(prefix)).alias(prefix)))
     backup = F.lit(None).cast("string")
@@ -115,7 +115,7 @@ def catalogue(df: DataFrame, keep: list[str], text: str, pattern: str, fields: l
     """One row per entry of a definition file, its groups as columns, with
     ``ord``, the place in the file."""
     segs = S.segments(F.col(text), pattern, len(fields))
-    return (df.select(*keep, F.posexplode(segs).alias("ord", "e"))
+    return (S.unnest(df, keep, segs, "e", "ord")
             .select(*keep, "ord", *[F.col(f"e.g{i + 1}").alias(f) for i, f in enumerate(fields)]))
 
 
@@ -270,7 +270,7 @@ def has_value(field: Column) -> Column:
 
 
 def flag_counts(df: DataFrame, field: str) -> DataFrame:
-    return (df.select(F.explode(flags(F.col(field))).alias("flag"))
+    return (S.unnest(df, [], flags(F.col(field)), "flag")
             .groupBy("flag").agg(F.count("*").alias("n")))
 
 

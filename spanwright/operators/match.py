@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
-from .sizing import lookup_join
+from .sizing import fits_broadcast, lookup_join
 
 TOKEN = f"[{S.IDENTIFIER_CHARS}]+"
 
@@ -31,7 +31,9 @@ def identifier(names: str | Iterable[str], mode: str = "guarded") -> str:
     group = "(" + "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n))) + ")"
     chars = S.IDENTIFIER_CHARS
     if mode == "consuming":
-        return f"[^{chars}]{group}[^{chars}]"
+        # Any character that is no identifier character; a negated class of
+        # these ranges is far slower in Java.
+        return f"(?s:.)(?<![{chars}]){group}(?![{chars}])(?s:.)"
     return f"(?<![{chars}]){group}(?![{chars}])"
 
 
@@ -41,7 +43,7 @@ def matches(df: DataFrame, text: str, pattern: str, keep: list[str],
     and the named groups."""
     groups = groups or {}
     found = S.spans(F.col(text), pattern, max(groups.values(), default=0))
-    return (df.select(*keep, F.posexplode(found).alias("nth", "m"))
+    return (S.unnest(df, keep, found)
             .select(*keep, "nth", "m.start", "m.end", "m.matched",
                     *[F.col(f"m.g{i}").alias(name) for name, i in groups.items()]))
 
@@ -75,15 +77,19 @@ def last_match(text: Column, pattern: str) -> Column:
 def dictionary_counts(df: DataFrame, text: str, keep: list[str], dictionary: DataFrame,
                       name: str) -> DataFrame:
     """Occurrences of each dictionary name in each text: ``keep, name, n``.
+    ``keep`` must identify a text.
 
-    Texts are cut into tokens once and counted per text before the join, so
-    the join sees each token of a text once.  ``keep`` must identify a text.
+    With a dictionary that can be broadcast, only its own tokens are counted
+    and shuffled.  With a larger one, texts are counted first, so the join sees
+    each token of a text once.
     """
-    tokens = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
-    counted = (df.select(*keep, F.explode(tokens).alias(name))
-               .groupBy(*keep, name).agg(F.count("*").alias("n")))
+    tokens = S.unnest(df, keep, F.regexp_extract_all(
+        F.col(text), F.lit(TOKEN), F.lit(0)), name).drop("nth")
     names = dictionary.select(name).where(F.col(name).isNotNull()).distinct()
-    return lookup_join(counted, names, [name], "inner", spread_by=keep)
+    count = lambda rows: rows.groupBy(*keep, name).agg(F.count("*").alias("n"))
+    if fits_broadcast(names):
+        return count(tokens.join(F.broadcast(names), name))
+    return lookup_join(count(tokens), names, [name], "inner", spread_by=keep, max_bytes=-1)
 
 
 def dictionary_matches(df: DataFrame, text: str, keep: list[str], dictionary: DataFrame,

@@ -167,10 +167,9 @@ def match_mails(patches: DataFrame, mails: DataFrame, patch: str, summary: str,
     # The lengths that occur: at most the longest subject, whatever the number of patches.
     lengths = (patches.select(F.length(summary).alias("__len")).distinct()
                .agg(F.sort_array(F.collect_list("__len")).alias("__lens")))
-    keyed = (candidates.withColumn("__lens", lengths.scalar())
-             .select("__ord", "mail", F.explode(F.transform(
-                 F.filter("__lens", lambda n: n <= F.length("__rest")),
-                 lambda n: F.substring(F.col("__rest"), F.lit(1), n))).alias("__head"))
+    heads = F.transform(F.filter("__lens", lambda n: n <= F.length("__rest")),
+                        lambda n: F.substring(F.col("__rest"), F.lit(1), n))
+    keyed = (S.unnest(candidates.withColumn("__lens", lengths.scalar()), ["__ord", "mail"], heads, "__head")
              .groupBy("__head").agg(F.min_by("mail", "__ord").alias("mail")))
     joined = patches.join(keyed, F.col(summary) == F.col("__head"), "left").drop("__head")
     return quarantine(joined, (F.col("mail").isNull(), "no mail for this patch"))

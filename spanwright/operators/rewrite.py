@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 from ..functions import texts as T
 from .match import TOKEN, identifier
-from .sizing import lookup_join
+from .sizing import fits_broadcast, lookup_join
 
 # A rule list above this size goes through the join of rename_by_table().
 MAX_LITERAL_RULES = 200
@@ -33,23 +33,46 @@ def rename_identifiers(text: Column, names: dict[str, str], swallow_blank: bool
         return S.let(F.element_at(table, s["g1"]), lambda new: F.concat(
             new, F.when(F.lit(swallow_blank) & new.endswith(" *"), F.lit("")).otherwise(s["g2"])))
 
-    return S.rebuild(S.segments(text, pattern, 2), S.tail(text, pattern), renamed)
+    return S.replaced(text, pattern, renamed, 2)
 
 
-def rename_by_table(df: DataFrame, key: str, text: str, rules: DataFrame,
-                    out: str = "renamed") -> DataFrame:
-    """Whole identifiers renamed by a table ``rules(old, new)`` of any size.
+# A rule table below this size is carried by the expression; above, it is joined.
+INLINE_BYTES = 8 << 20
+_BUCKETS = 1024
 
-    The distinct identifiers of a text are joined with the rules; what applies
-    comes back as one small map per text.
+
+def _rule_maps(rules: DataFrame) -> Column:
+    """Bounded rules as one value, an array of maps by hash of ``old``."""
+    maps = rules.groupBy(_bucket(F.col("old")).alias("b")).agg(
+        F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("m"))
+    return (maps.agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("all"))
+            .select(F.transform(F.sequence(F.lit(0), F.lit(_BUCKETS - 1)),
+                                lambda i: F.try_element_at("all", i)))).scalar()
+
+
+def _bucket(name: Column) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(_BUCKETS)).cast("int")
+
+
+def rename_by_table(df: DataFrame, key: str, text: str, rules: DataFrame, out: str = "renamed",
+                    inline_bytes: int = INLINE_BYTES) -> DataFrame:
+    """Whole identifiers renamed by a table ``rules(old, new)`` of any size;
+    ``old`` is unique.
+
+    Small rules travel with the expression and the texts do not move.  Above
+    the bound the distinct identifiers of a text are joined with the rules, and
+    what applies comes back as one small map per text.
     """
-    names = df.select(key, F.explode(F.array_distinct(
-        F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)))).alias("old"))
+    if fits_broadcast(rules, inline_bytes):
+        return df.withColumn("__rules", _rule_maps(rules)).withColumn(out, S.replaced(
+            F.col(text), TOKEN, lambda s: F.coalesce(F.try_element_at(
+                F.get("__rules", _bucket(s["matched"])), s["matched"]), s["matched"]))).drop("__rules")
+    names = S.unnest(df, [key], F.array_distinct(
+        F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))), "old").drop("nth")
     hits = (lookup_join(names, rules.select("old", "new"), ["old"], "inner", spread_by=[key])
             .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("__map")))
-    renamed = S.rebuild(
-        S.segments(F.col(text), TOKEN), S.tail(F.col(text), TOKEN),
-        lambda s: F.coalesce(F.try_element_at(F.col("__map"), s["matched"]), s["matched"]))
+    renamed = S.replaced(F.col(text), TOKEN, lambda s: F.coalesce(
+        F.try_element_at(F.col("__map"), s["matched"]), s["matched"]))
     return (df.join(hits, key, "left")
             .withColumn(out, F.when(F.col("__map").isNull(), F.col(text)).otherwise(renamed))
             .drop("__map"))
@@ -68,8 +91,7 @@ class Template:
         return T.fill(self.replacement, lambda i: m[f"g{i}"], self.groups)
 
     def apply(self, text: Column) -> Column:
-        return S.rebuild(S.segments(text, self.pattern, self.groups),
-                         S.tail(text, self.pattern), self.fill)
+        return S.replaced(text, self.pattern, self.fill, self.groups)
 
 
 def expand_once(text: Column, rules: list[Template]) -> Column:
@@ -129,8 +151,7 @@ def wrap_identifiers(text: Column, names: list[str], macro: str) -> Column:
     """``x`` to ``MACRO (x)``, leaving names that are wrapped already."""
     opening = f"{macro} ("
     pattern = f"(?<!\\Q{opening}\\E)" + identifier(names)
-    return S.rebuild(S.segments(text, pattern, 1), S.tail(text, pattern),
-                     lambda s: F.concat(F.lit(opening), s["g1"], F.lit(")")))
+    return S.replaced(text, pattern, lambda s: F.concat(F.lit(opening), s["g1"], F.lit(")")), 1)
 
 
 def apply_edits(texts: DataFrame, key: str, text: str, edits: DataFrame,
@@ -167,22 +188,20 @@ def touched_lines(df: DataFrame, edited: str, edits: str) -> DataFrame:
     """
     deltas = F.transform(edits, lambda e: (
         F.length(e["repl"]) - (e["end"] - e["start"])).cast("bigint"))
-    placed = F.zip_with(edits, F.slice("__shift", F.lit(1), F.size(edits)),
+    placed = F.zip_with(edits, S.let(S.prefix_sums(deltas), lambda p: F.slice(p, F.lit(1), F.size(p) - 1)),
                         lambda e, shift: F.struct(
                             (e["start"] + shift).alias("at"),
                             (e["start"] + shift + F.length(e["repl"])).alias("end")))
-    return (
-        df.withColumn("__shift", S.prefix_sums(deltas))
-        .withColumn("__new", F.filter(placed, lambda e: e["end"] > e["at"]))
-        .withColumn("__targets", F.transform(S.line_spans(F.col(edited)), lambda l: F.struct(
-            (l["end"] - 1).alias("at"), l.alias("line"))))
-        .withColumn("lines", F.transform(
-            S.asof(F.col("__targets"), F.col("__new")), lambda r: F.struct(
-                r["target"]["line"]["line_no"].alias("line_no"),
-                r["target"]["line"]["line"].alias("line"),
-                (F.coalesce(r["found"]["end"] > r["target"]["line"]["start"], F.lit(False))
-                 & (r["target"]["line"]["end"] > r["target"]["line"]["start"])).alias("touched"))))
-        .drop("__shift", "__new", "__targets"))
+
+    def mark(line: Column, edit: Column) -> Column:
+        return F.struct(
+            line["line_no"].alias("line_no"), line["line"].alias("line"),
+            (F.coalesce(edit["end"] > line["start"], F.lit(False))
+             & (line["end"] > line["start"])).alias("touched"))
+
+    return df.withColumn("lines", S.asof(
+        S.line_spans(F.col(edited)), lambda l: l["end"] - 1,
+        F.filter(placed, lambda e: e["end"] > e["at"]), lambda e: e["at"], mark))
 
 
 def line_changes(df: DataFrame, key: list[str], before: str, after: str) -> DataFrame:
@@ -195,7 +214,7 @@ def line_changes(df: DataFrame, key: list[str], before: str, after: str) -> Data
     side = lambda c, sign: F.transform(
         F.split(F.coalesce(F.col(c), F.lit("")), "\n", -1),
         lambda l: F.struct(l.alias("line"), F.lit(sign).alias("sign")))
-    return (changed.select(*key, F.explode(F.concat(side(before, -1), side(after, 1))).alias("l"))
+    return (S.unnest(changed, key, F.concat(side(before, -1), side(after, 1)), "l")
             .groupBy(*key, F.col("l.line").alias("line")).agg(F.sum("l.sign").alias("net"))
             .where("net != 0")
             .select(*key, "line", F.when(F.col("net") > 0, "added").otherwise("removed").alias("change"),

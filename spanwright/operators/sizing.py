@@ -31,9 +31,10 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     A lookup table below the bound is broadcast and the big side does not
     move.  Above it both sides are shuffled on the key and a salt: one key may
     hold a large share of the big side, so its rows are spread over ``SALTS``
-    partitions and each lookup row is copied that often.
+    partitions and each lookup row is copied that often.  ``max_bytes=-1`` is
+    for a lookup table that is known to be too big.
     """
-    if fits_broadcast(small, max_bytes):
+    if max_bytes != -1 and fits_broadcast(small, max_bytes):
         return big.join(F.broadcast(small), on, how)
     spread = [F.col(c) for c in (spread_by or big.columns)]
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))

@@ -17,7 +17,7 @@ def scope_report(pages: DataFrame, pattern: str = "tion") -> DataFrame:
     shortened where it repeats the one before in the page."""
     found = pages.select("page_id", "html", S.spans(F.col("html"), pattern).alias("found"))
     placed = C.with_scope(C.with_line(found, "html"), "html", TAG_SCOPES)
-    hits = placed.select("page_id", F.inline("found"))
+    hits = S.unnest_fields(placed, ["page_id"], "found")
     counted = hits.groupBy("page_id", "scope").agg(
         F.count("*").alias("hits"), F.min("start").alias("first_start"),
         F.min(F.col("line_no").cast("bigint")).alias("first_line"))
@@ -35,4 +35,4 @@ WITH m AS (SELECT m.page_id, start, substr(html, 1, start) AS prefix
                   'Found ' || count(*) || ' hits.' AS text FROM s GROUP BY page_id, scope)
 SELECT *, CASE WHEN lag(text) OVER (PARTITION BY page_id ORDER BY first_start) = text THEN 'Likewise.' ELSE text END AS short FROM c""")
 def flagship(t: Tables) -> DataFrame:
-    return scope_report(t.pages)
+    return scope_report(t.spread("pages"))

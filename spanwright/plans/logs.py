@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import spans as S
 from ..functions import texts as T
 from ..operators import changelog as L
 from ..operators import match as M
@@ -296,8 +297,8 @@ WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<li><a href="([
 SELECT page_id, k, regexp_extract(url, '^(https?://[^/?#]*)', 1) || href AS from_root,
        regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || substr(href, 2) AS from_folder FROM a""")
 def absolute_urls(t: Tables):
-    links = t.pages.select("page_id", "url", F.posexplode(F.regexp_extract_all(
-        "html", F.lit('<li><a href="([^"]*)">'), F.lit(1))).alias("k", "href"))
+    links = S.unnest(t.pages, ["page_id", "url"], F.regexp_extract_all(
+        "html", F.lit('<li><a href="([^"]*)">'), F.lit(1)), "href", "k")
     below = F.substring(F.col("href"), F.lit(2), F.length("href"))
     return links.select("page_id", (F.col("k") + 1).cast("bigint").alias("k"),
                         T.absolute_url(F.col("url"), F.col("href")).alias("from_root"),

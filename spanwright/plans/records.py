@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import spans as S
 from ..operators import inventory as A
 from ..operators import records as O
 from ..operators import sizing
@@ -48,7 +49,7 @@ def properties(t: Tables):
     line = F.concat(F.lit("Common "), F.replace(
         F.regexp_replace(params, "([^&=]*)=([^&]*)", "Var($1,   $2)"), F.lit("&"), F.lit("  ")))
     df = t.pages.where(F.col("url").rlike(r"\?[^#]+")).select("page_id", line.alias("line"))
-    return df.select("page_id", F.posexplode(O.properties(F.col("line"))).alias("k", "prop")).select(
+    return S.unnest(df, ["page_id"], O.properties(F.col("line")), "prop", "k").select(
         "page_id", F.col("k").cast("bigint").alias("k"), "prop")
 
 
@@ -233,7 +234,8 @@ def chained_lookup(t: Tables):
 
 _EDGES_SQL = """
   SELECT 'C' || c_custkey AS child, 'N' || c_nationkey AS parent FROM customer
-  UNION SELECT 'N' || n_nationkey, r_name FROM nation UNION SELECT r_name, NULL FROM region"""
+  UNION SELECT 'N' || n_nationkey, replace(r_name, ' ', '_') FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION SELECT replace(r_name, ' ', '_'), NULL FROM region"""
 
 
 def _class_texts(t: Tables):
@@ -242,11 +244,12 @@ def _class_texts(t: Tables):
                                           F.concat(F.lit("N"), F.col("c_nationkey").cast("string"))).alias("text"))
     joined = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return customers.union(joined.select(
-        declare(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")), F.col("r_name"))))
+        declare(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")),
+                F.replace("r_name", F.lit(" "), F.lit("_")))))
 
 
 def _edges(t: Tables):
-    roots = t.region.select(F.col("r_name").alias("child"), F.lit(None).cast("string").alias("parent"))
+    roots = t.region.select(F.replace("r_name", F.lit(" "), F.lit("_")).alias("child"), F.lit(None).cast("string").alias("parent"))
     return A.class_edges(_class_texts(t), "text", roots)
 
 
@@ -277,7 +280,7 @@ def descendants(t: Tables):
 SELECT c_custkey, ancestor FROM customer JOIN ({_CLOSURE_SQL}) ON node = 'N' || c_nationkey""")
 def castable(t: Tables):
     codes = t.customer.select("c_custkey", F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("struct"))
-    inner = _edges(t).where(~F.col("child").startswith("C") | F.col("child").isin("EUROPE"))
+    inner = _edges(t).where(~F.col("child").startswith("C"))
     return A.castable(codes, A.closure(inner), "struct", "c_custkey").select("c_custkey", "ancestor")
 
 
@@ -299,11 +302,14 @@ def naming(t: Tables):
                          A.instance_name(struct).alias("instance_name"), A.accessor_prefix(code).alias("accessor_prefix"))
 
 
-@query("a18_initializers", r"""
+# A field with flags is written with one blank on each side of the bars.
+_FIELD_SQL = r"""CASE WHEN len(f) = 3 THEN array_to_string(list_transform(string_split(
+  regexp_replace(replace(f[{}], chr(10), ' '), '^\s+|\s+$', '', 'g'), '|'), lambda x: trim(x)), ' | ') END"""
+
+
+@query("a18_initializers", f"""
 WITH f AS (SELECT doc_id, string_split(split_part(text, '.', 1), ',') AS f FROM documents)
-SELECT doc_id, CASE WHEN len(f) = 3 THEN regexp_replace(replace(f[1], chr(10), ' '), '^\s+|\s+$', '', 'g') END AS kind,
-       CASE WHEN len(f) = 3 THEN regexp_replace(replace(f[2], chr(10), ' '), '^\s+|\s+$', '', 'g') END AS name,
-       CASE WHEN len(f) = 3 THEN regexp_replace(replace(f[3], chr(10), ' '), '^\s+|\s+$', '', 'g') END AS gate,
+SELECT doc_id, {_FIELD_SQL.format(1)} AS kind, {_FIELD_SQL.format(2)} AS name, {_FIELD_SQL.format(3)} AS gate,
        CASE WHEN len(f) <> 3 THEN 'wrong number of fields' END AS problem FROM f""")
 def initializers(t: Tables):
     names_ = ["kind", "name", "gate"]

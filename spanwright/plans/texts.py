@@ -128,21 +128,21 @@ SELECT rule_id, old, new, count(DISTINCT doc_id)::BIGINT AS n_docs, count(*)::BI
 FROM w JOIN r USING (old) GROUP BY ALL""")
 def rule_usage(t: Tables):
     table = rules.rename_table(t.spark, _WORDS)
-    counts = M.dictionary_counts(t.documents, "text", ["doc_id"], table, "old")
+    counts = M.dictionary_counts(t.spread("documents"), "text", ["doc_id"], table, "old")
     used = counts.groupBy("old").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_hits"))
     return sizing.lookup_join(used, table, ["old"], "inner").select("rule_id", "old", "new", "n_docs", "n_hits")
 
 
 @query("m1_matches", f"""SELECT doc_id, nth, start, "end", matched FROM ({matches_sql('documents', 'doc_id', 'text', 'tion')})""")
 def matches(t: Tables):
-    return M.matches(t.documents, "text", "tion", ["doc_id"]).withColumn("nth", F.col("nth").cast("bigint"))
+    return M.matches(t.spread("documents"), "text", "tion", ["doc_id"]).withColumn("nth", F.col("nth").cast("bigint"))
 
 
 @query("m1_multiline", r"""
 SELECT doc_id, nth, start, "end", matched FROM (""" + matches_sql(
     "documents", "doc_id", "text", r"(?ms)^[A-Z][a-z]+ .{5,40}?\.$") + ")")
 def matches_multiline(t: Tables):
-    return M.matches(t.documents, "text", M.multiline(r"^[A-Z][a-z]+ .{5,40}?\.$"), ["doc_id"]).withColumn(
+    return M.matches(t.spread("documents"), "text", M.multiline(r"^[A-Z][a-z]+ .{5,40}?\.$"), ["doc_id"]).withColumn(
         "nth", F.col("nth").cast("bigint"))
 
 
@@ -151,7 +151,7 @@ SELECT doc_id, (strpos(text, 'tion') - 1)::BIGINT AS first_start,
        (length(text) - strpos(reverse(text), 'noit') - 3)::BIGINT AS last_start
 FROM documents WHERE text LIKE '%tion%'""")
 def first_last(t: Tables):
-    df = t.documents.select("doc_id", M.first_match(F.col("text"), "tion").alias("f"),
+    df = t.spread("documents").select("doc_id", M.first_match(F.col("text"), "tion").alias("f"),
                             M.last_match(F.col("text"), "tion").alias("l"))
     return df.where("f is not null").select(
         "doc_id", F.col("f.start").alias("first_start"), F.col("l.start").alias("last_start"))
@@ -170,19 +170,19 @@ def named_groups(t: Tables):
 @query("m3_identifiers", f"""
 SELECT doc_id, start, "end" FROM ({matches_sql('documents', 'doc_id', 'text', chr(92) + 'bthe' + chr(92) + 'b')})""")
 def identifiers(t: Tables):
-    return M.matches(t.documents, "text", M.identifier("the"), ["doc_id"]).select("doc_id", "start", "end")
+    return M.matches(t.spread("documents"), "text", M.identifier("the"), ["doc_id"]).select("doc_id", "start", "end")
 
 
 @query("m3_consuming", f"""
 SELECT doc_id, start + 1 AS start, "end" - 1 AS "end"
 FROM ({matches_sql('documents', 'doc_id', 'text', '[^_a-zA-Z0-9]the[^_a-zA-Z0-9]')})""")
 def identifiers_consuming(t: Tables):
-    return M.consuming_matches(t.documents, "text", "the", ["doc_id"]).select("doc_id", "start", "end")
+    return M.consuming_matches(t.spread("documents"), "text", "the", ["doc_id"]).select("doc_id", "start", "end")
 
 
 def _benchmark_words(t: Tables):
     words = F.regexp_extract_all("text", F.lit(M.TOKEN), F.lit(0))
-    return t.benchmark.select(F.explode(words).alias("name"))
+    return S.unnest(t.benchmark, [], words, "name").select("name")
 
 
 @query("m4_dictionary_counts", """
@@ -190,7 +190,7 @@ WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[_a-zA-Z0-9]+')) AS
      w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[_a-zA-Z0-9]+')) AS name FROM documents)
 SELECT doc_id, name, count(*)::BIGINT AS n FROM w JOIN d USING (name) GROUP BY ALL""")
 def dictionary_counts(t: Tables):
-    return M.dictionary_counts(t.documents, "text", ["doc_id"], _benchmark_words(t), "name").select(
+    return M.dictionary_counts(t.spread("documents"), "text", ["doc_id"], _benchmark_words(t), "name").select(
         "doc_id", "name", "n")
 
 
@@ -199,7 +199,7 @@ WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[_a-zA-Z0-9]+')) AS
 SELECT doc_id, matched AS name, start, "end"
 FROM ({matches_sql('documents', 'doc_id', 'text', '[_a-zA-Z0-9]+')}) m JOIN d ON d.name = m.matched""")
 def dictionary_places(t: Tables):
-    return M.dictionary_matches(t.documents, "text", ["doc_id"], _benchmark_words(t), "name").select(
+    return M.dictionary_matches(t.spread("documents"), "text", ["doc_id"], _benchmark_words(t), "name").select(
         "doc_id", "name", "start", "end")
 
 
@@ -217,21 +217,21 @@ WHERE gap NOT LIKE '%s' AND line NOT LIKE 'The%' AND line NOT LIKE '%ingth%' AND
   AND line <> 'Of.' AND line NOT LIKE '#define tion%'
   AND trim(line) NOT IN (SELECT trim(unnest(string_split(text, chr(10)))) FROM benchmark)""")
 def guards(t: Tables):
-    placed = C.with_line(t.documents.select("doc_id", "text", S.spans(
+    placed = C.with_line(t.spread("documents").select("doc_id", "text", S.spans(
         F.col("text"), M.not_preceded_by("s", "tion")).alias("found")), "text")
-    sound = placed.select("doc_id", F.inline(M.filtered(
+    sound = S.unnest_fields(placed, ["doc_id"], M.filtered(
         F.col("found"), lambda m: M.line_starts(m, "The"), lambda m: M.line_has(m, "ingth"),
-        lambda m: M.line_ends(m, "ti."), lambda m: M.line_is(m, "Of."), M.line_defines)))
-    excluded = t.benchmark.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+        lambda m: M.line_ends(m, "ti."), lambda m: M.line_is(m, "Of."), M.line_defines))
+    excluded = S.unnest(t.benchmark, [], F.split("text", "\n", -1), "line").select("line")
     return M.drop_excluded_lines(sound, excluded).select(
         "doc_id", "start", F.col("line_no").cast("bigint").alias("line_no"))
 
 
 @query("c1_lines_of_matches", f"""SELECT doc_id, start, line_no, line FROM ({_IN_LINES_SQL})""")
 def lines_of_matches(t: Tables):
-    placed = C.with_line(t.documents.select(
+    placed = C.with_line(t.spread("documents").select(
         "doc_id", "text", S.spans(F.col("text"), "tion").alias("found")), "text")
-    return placed.select("doc_id", F.inline("found")).select(
+    return S.unnest_fields(placed, ["doc_id"], "found").select(
         "doc_id", "start", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
@@ -244,18 +244,18 @@ SELECT page_id, start, strpos(prefix, '<!--') > 0
        AND strpos('<!--' || string_split(prefix, '<!--')[-1], '-->') = 0 AS in_comment
 FROM ({_PAGE_AD_SQL})""")
 def comments(t: Tables):
-    df = t.pages.select("page_id", "html", S.spans(F.col("html"), "ad").alias("found"))
+    df = t.spread("pages").select("page_id", "html", S.spans(F.col("html"), "ad").alias("found"))
     flagged = C.with_comment(df, "html", opening="<!--", closing="-->", line_mark=None, line_prefix=None)
-    return flagged.select("page_id", F.inline("found")).select("page_id", "start", "in_comment")
+    return S.unnest_fields(flagged, ["page_id"], "found").select("page_id", "start", "in_comment")
 
 
 @query("c3_strings", f"""
 SELECT page_id, start, (length(prefix) - length(replace(prefix, '"', ''))) % 2 = 1 AS in_string
 FROM ({_PAGE_AD_SQL})""")
 def strings(t: Tables):
-    df = t.pages.select("page_id", "html", S.spans(F.col("html"), "ad").alias("found"))
+    df = t.spread("pages").select("page_id", "html", S.spans(F.col("html"), "ad").alias("found"))
     flagged = C.with_string(df, "html", comments=False)
-    return flagged.select("page_id", F.inline("found")).select("page_id", "start", "in_string")
+    return S.unnest_fields(flagged, ["page_id"], "found").select("page_id", "start", "in_string")
 
 
 # The documents hold no escaped quote, so the parity of the quotes decides.
@@ -265,9 +265,9 @@ SELECT doc_id, start, line LIKE '%//%' OR line LIKE ';%' OR (strpos(prefix, '/*'
        AND strpos('/*' || string_split(prefix, '/*')[-1], '*/') = 0) AS in_comment,
        (length(prefix) - length(replace(prefix, '"', ''))) % 2 = 1 AS in_string FROM m""")
 def strings_and_comments(t: Tables):
-    df = t.documents.select("doc_id", "text", S.spans(F.col("text"), "tion").alias("found"))
+    df = t.spread("documents").select("doc_id", "text", S.spans(F.col("text"), "tion").alias("found"))
     flagged = C.with_string(C.with_comment(C.with_line(df, "text"), "text"), "text")
-    return flagged.select("doc_id", F.inline("found")).select("doc_id", "start", "in_comment", "in_string")
+    return S.unnest_fields(flagged, ["doc_id"], "found").select("doc_id", "start", "in_comment", "in_string")
 
 
 TAG_SCOPES = [C.ScopeRule(r"<(article|footer)\b[^>]*>", "block {1}"),
@@ -281,8 +281,8 @@ SELECT page_id, start,
        coalesce('block ' || regexp_extract_all(prefix, '<(article|footer)\b[^>]*>', 1)[-1],
                 regexp_extract_all(prefix, '<(h1|p|nav|title)\b[^>]*>', 1)[-1]) AS scope FROM m""")
 def scopes(t: Tables):
-    df = t.pages.select("page_id", "html", S.spans(F.col("html"), "tion").alias("found"))
-    return C.with_scope(df, "html", TAG_SCOPES).select("page_id", F.inline("found")).select(
+    df = t.spread("pages").select("page_id", "html", S.spans(F.col("html"), "tion").alias("found"))
+    return S.unnest_fields(C.with_scope(df, "html", TAG_SCOPES), ["page_id"], "found").select(
         "page_id", "start", "scope")
 
 
@@ -291,7 +291,7 @@ SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS plain, length(html):
        replace(regexp_replace(html, '<[^>]*>', '', 'g'), ' ', '') AS squeezed FROM pages""")
 def annotations(t: Tables):
     tag = "<[^>]*>"
-    df = t.pages.select("page_id", C.removed(F.col("html"), tag).alias("plain"),
+    df = t.spread("pages").select("page_id", C.removed(F.col("html"), tag).alias("plain"),
                         C.blanked(F.col("html"), tag).alias("blanked"))
     return df.select("page_id", "plain", F.length("blanked").cast("bigint").alias("n_blanked"),
                      F.replace("blanked", F.lit(" "), F.lit("")).alias("squeezed"))
@@ -315,7 +315,7 @@ SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
   '\bthe\b', 'THE', 'g'), '\bof\b ?', 'of_x *', 'g'), '\band\b', 'and_y', 'g'), '\bque\b ?', 'que_z *', 'g'),
   '\bder\b', 'der_w', 'g') AS renamed FROM documents""")
 def rename(t: Tables):
-    return t.documents.select("doc_id", R.rename_identifiers(F.col("text"), _WORDS).alias("renamed"))
+    return t.spread("documents").select("doc_id", R.rename_identifiers(F.col("text"), _WORDS).alias("renamed"))
 
 
 @query("r1_rename_by_table", f"""
@@ -328,7 +328,7 @@ FROM p LEFT JOIN d ON d.old = p.tok GROUP BY doc_id""")
 def rename_by_table(t: Tables):
     table = _benchmark_words(t).distinct().select(
         F.col("name").alias("old"), F.concat(F.upper("name"), F.lit("_")).alias("new"))
-    return R.rename_by_table(t.documents.select("doc_id", "text"), "doc_id", "text", table).select(
+    return R.rename_by_table(t.spread("documents").select("doc_id", "text"), "doc_id", "text", table).select(
         "doc_id", "renamed")
 
 
@@ -337,7 +337,7 @@ SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([a-z])tion',
        '([a-z])tion', '\1sion', 'g'), 'é+', 'é', 'g') AS expanded, TRUE AS settled FROM documents""")
 def templates(t: Tables):
     rule_list = [R.Template("suffix", "([a-z]+)tion", "{1}sion", 1), R.Template("accent", "(é)é", "{1}", 1)]
-    return R.expand_templates(t.documents.select("doc_id", "text"), "text", rule_list).select(
+    return R.expand_templates(t.spread("documents").select("doc_id", "text"), "text", rule_list).select(
         "doc_id", "expanded", "settled")
 
 
@@ -351,13 +351,13 @@ def strip_prefix(t: Tables):
 SELECT doc_id, regexp_replace(text, '\b(the|de|of)\b', 'OPT (\1)', 'g') AS wrapped, TRUE AS idempotent FROM documents""")
 def wrap(t: Tables):
     names = ["the", "de", "of"]
-    once = t.documents.select("doc_id", R.wrap_identifiers(F.col("text"), names, "OPT").alias("wrapped"))
+    once = t.spread("documents").select("doc_id", R.wrap_identifiers(F.col("text"), names, "OPT").alias("wrapped"))
     return once.withColumn("idempotent", R.wrap_identifiers(F.col("wrapped"), names, "OPT") == F.col("wrapped"))
 
 
 @query("r5_apply_edits", """SELECT doc_id, replace(text, 'tion', '<TI>') AS edited FROM documents""")
 def apply_edits(t: Tables):
-    docs = t.documents.select("doc_id", "text")
+    docs = t.spread("documents").select("doc_id", "text")
     edits = M.matches(docs, "text", "tion", ["doc_id"]).select("doc_id", "start", "end", F.lit("<TI>").alias("repl"))
     good, _ = R.apply_edits(docs, "doc_id", "text", edits)
     return good.select("doc_id", "edited")
@@ -367,12 +367,12 @@ def apply_edits(t: Tables):
 SELECT doc_id, line_no, replace(replace(line, 'tion', 'sion!'), 'the', '') AS line,
        line LIKE '%tion%' AS touched FROM ({LINES_SQL})""")
 def touched_lines(t: Tables):
-    found = t.documents.select("doc_id", "text", S.spans(F.col("text"), "the|tion").alias("found"))
+    found = t.spread("documents").select("doc_id", "text", S.spans(F.col("text"), "the|tion").alias("found"))
     edits = found.withColumn("edits", F.transform("found", lambda m: F.struct(
         m["start"].alias("start"), m["end"].alias("end"),
         F.when(m["matched"] == "the", "").otherwise("sion!").alias("repl"))))
     edited = edits.withColumn("edited", S.splice(F.col("text"), F.col("edits")))
-    return R.touched_lines(edited, "edited", "edits").select("doc_id", F.inline("lines")).select(
+    return S.unnest_fields(R.touched_lines(edited, "edited", "edits"), ["doc_id"], "lines").select(
         "doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line", "touched")
 
 
@@ -384,7 +384,7 @@ FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY ALL
 UNION ALL
 SELECT doc_id, line, 'added', count(*)::BIGINT FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY ALL""")
 def line_changes(t: Tables):
-    both = t.documents.select("doc_id", "text", F.replace("text", F.lit("tion"), F.lit("sion!")).alias("after"))
+    both = t.spread("documents").select("doc_id", "text", F.replace("text", F.lit("tion"), F.lit("sion!")).alias("after"))
     return R.line_changes(both, ["doc_id"], "text", "after")
 
 
@@ -393,7 +393,7 @@ WITH m AS (SELECT doc_id, line_no, repeat(' ', ((doc_id + line_no * 5) % 27)::IN
 SELECT doc_id, line_no, repeat(chr(9), ((length(made) - length(ltrim(made))) // 8)::INT)
        || repeat(' ', ((length(made) - length(ltrim(made))) % 8)::INT) || ltrim(made) AS tabbed, TRUE AS restored FROM m""")
 def indents(t: Tables):
-    made = scan.lines(t.documents, ["doc_id"], "text").select(
+    made = scan.lines(t.spread("documents"), ["doc_id"], "text").select(
         "doc_id", F.col("line_no").cast("bigint").alias("line_no"),
         F.concat(F.repeat(F.lit(" "), ((F.col("doc_id") + F.col("line_no") * 5) % 27).cast("int")),
                  F.col("line")).alias("made"))
@@ -406,4 +406,4 @@ def indents(t: Tables):
 SELECT doc_id, count(*)::BIGINT AS n_long, max(length(line))::BIGINT AS longest
 FROM ({LINES_SQL}) WHERE length(line) > 80 GROUP BY doc_id""")
 def long_lines(t: Tables):
-    return R.long_lines(t.documents, ["doc_id"], "text").withColumn("longest", F.col("longest").cast("bigint"))
+    return R.long_lines(t.spread("documents"), ["doc_id"], "text").withColumn("longest", F.col("longest").cast("bigint"))

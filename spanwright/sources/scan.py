@@ -24,6 +24,20 @@ def wanted(path: Column, kind: str, skip_tests: bool = False) -> Column:
                       ["testsuite"] if skip_tests else ())
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give each core a share of a small table.
+
+    A file of few row groups is read by few tasks, which is slow for work on
+    texts.  A table that fills the cores with full splits is left as it is, so
+    nothing of size is ever shuffled here.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * split else df
+
+
 def has_suffix(path: Column, suffixes, skipped=(), pruned=()) -> Column:
     keep = F.lit(False)
     for s in suffixes:
@@ -51,7 +65,7 @@ def read_corpus(spark: SparkSession, folder: str, glob: str | None = None,
 
 def lines(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """One row per line: ``keep, line_no`` (from 1), ``start_off, end_off, line``."""
-    return (df.select(*keep, F.inline(S.line_spans(F.col(text))))
+    return (S.unnest_fields(df, keep, S.line_spans(F.col(text)))
             .withColumnRenamed("start", "start_off").withColumnRenamed("end", "end_off"))
 
 
@@ -71,7 +85,7 @@ def index_rows(df: DataFrame, keep: list[str], html: str, pattern: str = ANCHOR,
     """Rows of an index page in chronological order, the last of the page
     first: ``keep, ord`` and the groups of the pattern."""
     segs = S.segments(F.col(html), pattern, len(fields))
-    return (df.select(*keep, F.posexplode(F.reverse(segs)).alias("ord", "e"))
+    return (S.unnest(df, keep, F.reverse(segs), "e", "ord")
             .select(*keep, "ord", *[F.col(f"e.g{i + 1}").alias(f) for i, f in enumerate(fields)]))
 
 
