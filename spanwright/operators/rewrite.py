@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import texts as T
-from .match import TOKEN, identifier
-from .sizing import fits_broadcast, lookup_join
+from .match import TOKEN, filtered, identifier
+from .sizing import checkpointed, fits_broadcast, lookup_join
 
 # A rule list above this size goes through the join of rename_by_table().
 MAX_LITERAL_RULES = 200
@@ -54,42 +55,63 @@ def _bucket(name: Column) -> Column:
     return F.pmod(F.xxhash64(name), F.lit(_BUCKETS)).cast("int")
 
 
-def rename_by_table(df: DataFrame, key: str, text: str, rules: DataFrame, out: str = "renamed",
-                    inline_bytes: int = INLINE_BYTES) -> DataFrame:
-    """Whole identifiers renamed by a table ``rules(old, new)`` of any size;
-    ``old`` is unique.
+def with_rules(df: DataFrame, key: str, text: str, rules: DataFrame,
+               inline_bytes: int = INLINE_BYTES) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """The table with a helper column ``__rules``, and the lookup of an
+    identifier in ``rules(old, new)``; ``old`` is unique.
 
     Small rules travel with the expression and the texts do not move.  Above
     the bound the distinct identifiers of a text are joined with the rules, and
     what applies comes back as one small map per text.
     """
     if fits_broadcast(rules, inline_bytes):
-        return df.withColumn("__rules", _rule_maps(rules)).withColumn(out, S.replaced(
-            F.col(text), TOKEN, lambda s: F.coalesce(F.try_element_at(
-                F.get("__rules", _bucket(s["matched"])), s["matched"]), s["matched"]))).drop("__rules")
+        return (df.withColumn("__rules", _rule_maps(rules)),
+                lambda name: F.try_element_at(F.get("__rules", _bucket(name)), name))
     names = S.unnest(df, [key], F.array_distinct(
         F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))), "old").drop("nth")
     hits = (lookup_join(names, rules.select("old", "new"), ["old"], "inner", spread_by=[key])
-            .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("__map")))
-    renamed = S.replaced(F.col(text), TOKEN, lambda s: F.coalesce(
-        F.try_element_at(F.col("__map"), s["matched"]), s["matched"]))
-    return (df.join(hits, key, "left")
-            .withColumn(out, F.when(F.col("__map").isNull(), F.col(text)).otherwise(renamed))
-            .drop("__map"))
+            .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("__rules")))
+    return df.join(hits, key, "left"), lambda name: F.try_element_at("__rules", name)
+
+
+def rename_by_table(df: DataFrame, key: str, text: str, rules: DataFrame, out: str = "renamed",
+                    inline_bytes: int = INLINE_BYTES) -> DataFrame:
+    """Whole identifiers renamed by a table ``rules(old, new)`` of any size."""
+    ready, find = with_rules(df, key, text, rules, inline_bytes)
+    return ready.withColumn(out, S.replaced(F.col(text), TOKEN, lambda m: F.coalesce(
+        find(m["matched"]), m["matched"]))).drop("__rules")
+
+
+def with_name_edits(df: DataFrame, key: str, text: str, rules: DataFrame, unless_after: str = "",
+                    found: str = "found", inline_bytes: int = INLINE_BYTES) -> DataFrame:
+    """Adds the edits ``old`` to ``new`` of a rule table as an array of
+    matches, without identifiers right after the text ``unless_after``."""
+    guard = f"(?<!{re.escape(unless_after)})(?<![{S.IDENTIFIER_CHARS}])" if unless_after else ""
+    ready, find = with_rules(df, key, text, rules, inline_bytes)
+    edits = F.transform(S.spans(F.col(text), guard + TOKEN), lambda m: F.struct(
+        m["start"].alias("start"), m["end"].alias("end"), m["matched"].alias("matched"),
+        m["matched"].alias("rule"), find(m["matched"]).alias("repl")))
+    return ready.withColumn(found, F.filter(edits, lambda m: m["repl"].isNotNull())).drop("__rules")
 
 
 @dataclass(frozen=True)
 class Template:
-    """A rewrite rule: ``pattern`` with groups, and ``{1}``, ``{2}``... in
-    the replacement."""
+    """A rewrite rule: ``pattern`` with groups, and a replacement with
+    ``{1}``, ``{2}``... or a function of the match."""
     name: str
     pattern: str
-    replacement: str
+    replacement: str | Callable[[Column], Column]
     groups: int = 0
 
     def fill(self, m: Column) -> Column:
+        if callable(self.replacement):
+            return self.replacement(m)
         return T.fill(self.replacement, lambda i: m[f"g{i}"], self.groups)
 
+    def edit(self, m: Column) -> Column:
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["matched"].alias("matched"),
+                        F.lit(self.name).alias("rule"), self.fill(m).alias("repl"))
+
     def apply(self, text: Column) -> Column:
         return S.replaced(text, self.pattern, self.fill, self.groups)
 
@@ -123,23 +145,52 @@ def expand_templates(df: DataFrame, text: str, rules: list[Template], out: str =
         .withColumn("settled", F.col("__state.settled")).drop("__state"))
 
 
-def located_edits(df: DataFrame, text: str, pattern: str, replacement: str, groups: int = 0,
-                  locate: Callable[[DataFrame], DataFrame] = lambda d: d,
-                  reject: list[Guard] = ()) -> DataFrame:
-    """Adds ``found`` and ``edits``: matches placed by ``locate`` (line,
-    comment, string, scope), without those a guard rejects."""
-    df = locate(df.withColumn("found", S.spans(F.col(text), pattern, groups)))
+def without_overlaps(edits: Column) -> Column:
+    """Edits in order of place, without those that start inside an earlier one."""
+    def kept(ordered: Column) -> Column:
+        ends = S.scan(ordered, F.lit(0).cast("bigint"),
+                      lambda last, e: F.when(e["start"] >= last, e["end"]).otherwise(last))
+        return F.filter(F.zip_with(ordered, F.slice(ends, F.lit(1), F.size(ordered)), lambda e, last: F.when(
+            e["start"] >= last, e)), lambda e: e.isNotNull())
+    return S.let(F.sort_array(edits), kept)
+
 
-    def sound(m: Column) -> Column:
-        keep = F.lit(True)
-        for guard in reject:
-            keep = keep & ~F.coalesce(guard(m), F.lit(False))
-        return keep
+def with_rule_edits(df: DataFrame, text: str, rules: list[Template], found: str = "found") -> DataFrame:
+    """Adds the edits of all rules as one array of matches."""
+    edits = [F.transform(S.spans(F.col(text), r.pattern, r.groups), r.edit) for r in rules]
+    return df.withColumn(found, without_overlaps(F.concat(*edits)))
 
-    return (df.withColumn("found", F.filter("found", sound))
-            .withColumn("edits", F.transform("found", lambda m: F.struct(
-                m["start"].alias("start"), m["end"].alias("end"),
-                T.fill(replacement, lambda i: F.when(F.lit(i) > 0, m[f"g{i}"]), groups).alias("repl")))))
+
+def rewrite_guarded(df: DataFrame, key: str, text: str, rules: list[Template],
+                    locate: Callable[[DataFrame], DataFrame], reject: list[Guard] = (),
+                    max_passes: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Rules applied until no match is left that the guards allow.
+
+    ``locate`` adds to the matches what the guards look at (line, comment,
+    string, scope).  A pass is row-local.  Texts that settle leave the loop;
+    the others are checkpointed, so a pass works on what the last one changed.
+    The result has ``edited`` and ``hits``, the matches that were replaced.
+    Texts that do not settle are set apart.
+    """
+    blank = "array<struct<scope:string,rule:string>>"
+    pending = df.withColumn("edited", F.col(text)).withColumn("hits", F.array().cast(blank))
+    columns, settled = pending.columns, None
+    for _ in range(max_passes + 1):
+        # A filter on computed matches would be pushed below every step and
+        # repeat them all, so the pass is stored before it is split.
+        placed = checkpointed(
+            locate(with_rule_edits(pending, "edited", rules))
+            .withColumn("found", filtered(F.col("found"), *reject)).select(*columns, "found"))
+        done = placed.where(F.size("found") == 0).select(*columns)
+        settled = done if settled is None else settled.unionByName(done)
+        rest = placed.where(F.size("found") > 0)
+        pending = (rest.withColumn("edited", S.splice(F.col("edited"), F.col("found")))
+                   .withColumn("hits", F.concat("hits", F.transform("found", lambda m: F.struct(
+                       m["scope"].alias("scope"), m["rule"].alias("rule")))))
+                   .select(*columns))
+        if rest.isEmpty():
+            break
+    return settled, pending.withColumn("problem", F.lit("rules do not settle"))
 
 
 def strip_prefix(text: Column, before: str, prefix: str, after: str = r"(?=\S)") -> Column:
