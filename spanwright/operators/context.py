@@ -19,15 +19,22 @@ from ..functions import texts as T
 from .quality import quarantine
 from .sizing import lookup_join
 
-# A step per projection keeps each expression shallow for the analyzer.
 
+def attach(df: DataFrame, found: str, events: list[Column],
+           combine: Callable[..., Column]) -> DataFrame:
+    """``combine(match, event, ...)`` for each match and, from each list of
+    events, the last at or before its start; events are
+    ``array<struct<at, ...>>`` in order.
 
-def attach(df: DataFrame, found: str, events: Column,
-           add: Callable[[Column, Column], Column]) -> DataFrame:
-    """``add(match, event)`` for each match and the last event at or before
-    its start; events are ``array<struct<at, ...>>`` in order."""
-    return df.withColumn(found, S.asof(
-        F.col(found), lambda m: m["start"], events, lambda e: e["at"], add))
+    The lists do not depend on each other, so one projection looks up all.
+    """
+    names = [f"__e{i}" for i in range(len(events))]
+    looked_up = df.select("*", *[
+        S.asof(F.transform(found, lambda m: m["start"]), lambda at: at, e, lambda e_: e_["at"],
+               lambda _, event: event).alias(n) for n, e in zip(names, events)])
+    zipped = F.arrays_zip(F.col(found).alias("m"), *names)
+    return looked_up.withColumn(found, F.transform(
+        zipped, lambda z: combine(z["m"], *[z[n] for n in names]))).drop(*names)
 
 
 def with_line(df: DataFrame, text: str, found: str = "found") -> DataFrame:
@@ -35,7 +42,7 @@ def with_line(df: DataFrame, text: str, found: str = "found") -> DataFrame:
     belongs to the line it ends."""
     starts = F.transform(S.line_spans(F.col(text)), lambda l: F.struct(
         l["start"].alias("at"), l["line_no"].alias("line_no"), l["line"].alias("line")))
-    return attach(df, found, starts, lambda m, e: m.withField("line_no", e["line_no"])
+    return attach(df, found, [starts], lambda m, e: m.withField("line_no", e["line_no"])
                   .withField("line_start", e["at"]).withField("line", e["line"]))
 
 
@@ -47,17 +54,15 @@ def with_comment(df: DataFrame, text: str, found: str = "found", opening: str =
         return F.transform(S.spans(F.col(text), pattern), lambda s: F.struct(
             s["end"].alias("at"), s["start"].alias("start")))
 
-    def flag(m: Column) -> Column:
-        inside = F.coalesce(m["open_at"] > F.coalesce(m["close_at"], F.lit(-1)), F.lit(False))
+    def flag(m: Column, opened: Column, closed: Column) -> Column:
+        inside = F.coalesce(opened["start"] > F.coalesce(closed["start"], F.lit(-1)), F.lit(False))
         if line_mark:
             inside = inside | m["line"].contains(line_mark)
         if line_prefix:
             inside = inside | m["line"].startswith(line_prefix)
-        return m.withField("in_comment", inside).dropFields("open_at", "close_at")
+        return m.withField("in_comment", inside)
 
-    df = attach(df, found, ends(opening), lambda m, e: m.withField("open_at", e["start"]))
-    df = attach(df, found, ends(closing), lambda m, e: m.withField("close_at", e["start"]))
-    return df.withColumn(found, F.transform(found, flag))
+    return attach(df, found, [ends(opening), ends(closing)], flag)
 
 
 def _quotes(text: Column) -> Column:
@@ -86,21 +91,39 @@ def with_string(df: DataFrame, text: str, found: str = "found", comments: bool =
     df = df.withColumn("__states", S.scan(F.col("__quotes"), F.lit(False), toggle))
     events = F.zip_with("__quotes", F.slice("__states", F.lit(2), F.size("__states")),
                         lambda q, s: F.struct(q["end"].alias("at"), s.alias("inside")))
-    return attach(df, found, events, lambda m, e: m.withField(
+    return attach(df, found, [events], lambda m, e: m.withField(
         "in_string", F.coalesce(e["inside"], F.lit(False)))).drop("__quotes", "__states")
 
 
 @dataclass(frozen=True)
 class ScopeRule:
-    """A definition: ``pattern`` with groups, and how they name the scope."""
+    """A definition: ``pattern`` with groups, how they name the scope, and
+    plain texts without which the pattern cannot match."""
     pattern: str
     template: str = "{1}"
     groups: int = 1
-
-    def event(self, m: Column) -> Column:
-        """Where the definition is complete, and its name."""
-        name = T.fill(self.template, lambda i: m[f"g{i}"], self.groups)
-        return F.struct(m["end"].alias("at"), name.alias("name"))
+    needs: tuple[str, ...] = ()
+
+    def possible(self, text: Column) -> Column:
+        """Cheap test that spares most texts a slow pattern."""
+        test = F.lit(True)
+        for part in self.needs:
+            test = test & text.contains(part)
+        return test
+
+    def events(self, text: Column) -> Column:
+        """Where each definition is complete, and its name."""
+        # An empty text has no match; it stands for one that cannot have any.
+        wanted = F.when(self.possible(text), text).otherwise("")
+        return F.transform(S.spans(wanted, self.pattern, self.groups), lambda m: F.struct(
+            m["end"].alias("at"),
+            T.fill(self.template, lambda i: m[f"g{i}"], self.groups).alias("name")))
+
+    def last_in(self, line: Column) -> Column:
+        """Name of the last definition in one line."""
+        last = lambda i: F.try_element_at(
+            F.regexp_extract_all(line, F.lit(self.pattern), F.lit(i)), F.lit(-1))
+        return F.when(self.possible(line), T.fill(self.template, last, self.groups))
 
 
 def removed(text: Column, pattern: str) -> Column:
@@ -118,24 +141,19 @@ ANNOTATION = r"GTY\(\(.*?\)\)(?=\s)"
 
 
 def with_scope(df: DataFrame, text: str, rules: list[ScopeRule],
-               line_rules: list[ScopeRule] = (), found: str = "found") -> DataFrame:
+               line_rules: list[ScopeRule] = (), found: str = "found",
+               use_lines: Column | None = None) -> DataFrame:
     """Adds ``scope``: the first rule with any definition that ends at or
     before the match names it, by its last definition; line rules look at the
-    line of the match when no other rule applies."""
-    for i, rule in enumerate(rules):
-        events = F.transform(S.spans(F.col(text), rule.pattern, rule.groups), rule.event)
-        df = attach(df, found, events, lambda m, e, n=f"s{i}": m.withField(n, e["name"]))
-
-    def choose(m: Column) -> Column:
-        names = [m[f"s{i}"] for i in range(len(rules))]
-        for rule in line_rules:
-            last = lambda g, p=rule.pattern: F.try_element_at(
-                F.regexp_extract_all(m["line"], F.lit(p), F.lit(g)), F.lit(-1))
-            names.append(T.fill(rule.template, last, rule.groups))
-        return m.withField("scope", F.coalesce(*names)).dropFields(
-            *[f"s{i}" for i in range(len(rules))])
-
-    return df.withColumn(found, F.transform(found, choose))
+    line of the match when no other rule applies, in rows where ``use_lines``."""
+    def choose(m: Column, *definitions: Column) -> Column:
+        names = [d["name"] for d in definitions]
+        by_line = [rule.last_in(m["line"]) for rule in line_rules]
+        if by_line:
+            names.append(F.when(F.lit(True) if use_lines is None else use_lines, F.coalesce(*by_line)))
+        return m.withField("scope", F.coalesce(*names))
+
+    return attach(df, found, [rule.events(F.col(text)) for rule in rules], choose)
 
 
 def fixed_scopes(df: DataFrame, scope: str, path: str, fixes: DataFrame,

@@ -1,4 +1,4 @@
-"""Flagship: hits of a pattern, attributed to their scope, counted and logged."""
+"""Whole runs: hits by scope, guarded renames and rewrites with their log."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 from ..operators import changelog as L
 from ..operators import context as C
+from ..operators import rewrite as R
+from . import refactor as P
 from .registry import Tables, query
 from .texts import TAG_SCOPES, matches_sql
 
@@ -36,3 +38,56 @@ WITH m AS (SELECT m.page_id, start, substr(html, 1, start) AS prefix
 SELECT *, CASE WHEN lag(text) OVER (PARTITION BY page_id ORDER BY first_start) = text THEN 'Likewise.' ELSE text END AS short FROM c""")
 def flagship(t: Tables) -> DataFrame:
     return scope_report(t.spread("pages"))
+
+
+_NAMES = {"the": "THE", "of": "of_x *", "que": "que_y"}
+# Texts are cut at their quotes; the documents hold no escaped quote and no comment.
+_OUTSIDE_SQL = r"""array_to_string(list_transform(string_split(text, '"'), lambda x, i: CASE WHEN i % 2 = 1 THEN
+  regexp_replace(regexp_replace(regexp_replace(x, '\bthe\b', 'THE', 'g'), '\bof\b ?', 'of_x *', 'g'), '\bque\b', 'que_y', 'g')
+  ELSE x END), '"')"""
+
+
+@query("run_rename", f"SELECT doc_id, {_OUTSIDE_SQL} AS edited FROM documents")
+def run_rename(t: Tables) -> DataFrame:
+    docs = t.spread("documents").select("doc_id", "text", F.concat("source", F.lit("/a.c")).alias("path"))
+    return P.rename_once(docs, "path", "text", _NAMES).select("doc_id", "edited")
+
+
+_RUN = P.Refactoring([R.Template("suffix", "([a-z])tion", "{1}sion", 1), R.Template("blank", " the (?=the )", " ")],
+                     [P.Phrase(["suffix"], "Change {1}.", "Change {1}."), P.Phrase(["blank"], "Drop {1}.", "Drop {1}.")],
+                     skip_strings=False)
+
+
+def _run(t: Tables) -> DataFrame:
+    path = F.concat("source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".def"))
+    docs = t.spread("documents").select("doc_id", "text", path.alias("path"))
+    good, _ = P.refactor(docs, "path", "text", _RUN)
+    return good
+
+
+_SETTLED_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([a-z])tion', '\1sion', 'g'),
+  '([a-z])tion', '\1sion', 'g'), '( the)+ the ', ' the ', 'g'), '( the)+ the ', ' the ', 'g')"""
+
+
+@query("run_rewrite", f"SELECT doc_id, {_SETTLED_SQL} AS edited FROM documents")
+def run_rewrite(t: Tables) -> DataFrame:
+    return _run(t).select("doc_id", "edited")
+
+
+# Definition files have no scopes, so a file has one entry with a sentence per rule that hit it.
+@query("run_log", r"""
+WITH e AS (SELECT source AS owner_dir, 'd' || doc_id || '.def' AS file,
+                  concat_ws('  ', CASE WHEN regexp_matches(text, '[a-z]tion') THEN 'Change suffix.' END,
+                            CASE WHEN contains(text, ' the the ') THEN 'Drop blank.' END) AS text
+           FROM documents WHERE regexp_matches(text, '[a-z]tion') OR contains(text, ' the the ')),
+     l AS (SELECT *, '* ' || file || ': ' || CASE WHEN lag(text) OVER (PARTITION BY owner_dir ORDER BY file) = text
+                  THEN 'Likewise.' ELSE text END AS entry FROM e)
+SELECT owner_dir, '2026-01-01  A Writer  <writer@example.org>' || chr(10) || chr(10) || 'Made by a script.' || chr(10)
+       || string_agg(entry || chr(10), '' ORDER BY file) AS text FROM l GROUP BY owner_dir""")
+def run_log(t: Tables) -> DataFrame:
+    header = L.header_line(F.lit("2026-01-01"), F.lit("A Writer"), F.lit("writer@example.org"))
+    dirs = t.documents.select(F.col("source").alias("dir")).distinct()
+    logs, _ = P.change_logs(_run(t), "path", dirs, _RUN.phrases, header, F.lit("Made by a script."))
+    # The parts of a log, in order, are its text; these logs are short enough to show whole.
+    return logs.groupBy("owner_dir").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
+        F.struct("part", "text"))), lambda p: p["text"]), "").alias("text"))

@@ -29,7 +29,7 @@ def locate(df: DataFrame, path: str, text: str) -> DataFrame:
     df = C.with_string(C.with_comment(C.with_line(df, text), text), text)
     c_text = F.when(md | definitions, "").otherwise(C.blanked(F.col(text), C.ANNOTATION))
     df = df.withColumn("__c", c_text).withColumn("__md", F.when(md, F.col(text)).otherwise(""))
-    df = C.with_scope(df, "__c", rules.C_SCOPES, rules.C_LINE_SCOPES)
+    df = C.with_scope(df, "__c", rules.C_SCOPES, rules.C_LINE_SCOPES, use_lines=~md & ~definitions)
     df = df.withColumn("found", F.transform("found", lambda m: m.withField("c_scope", m["scope"])))
     df = C.with_scope(df, "__md", rules.MD_SCOPES)
     return df.withColumn("found", F.transform("found", lambda m: m.withField(

@@ -38,21 +38,23 @@ def rename_rule(names: dict[str, str], not_after: str = "", swallow_blank: bool
 # ---------------------------------------------------------------------------
 _NAME = "([_a-zA-Z][_a-zA-Z0-9]*?)"
 C_SCOPES = [
-    ScopeRule(rf"(?dms)^{_NAME} \((.*?)\)"),
-    ScopeRule(rf"(?dms)^([_A-Za-z0-9 ]+\s+\**?){_NAME} \(", "{2}", 2),
-    ScopeRule(rf"(?dms)([_a-zA-Z][^\n]*?)::{_NAME}\s+\((?:.*?)\)\n\{{", "{1}::{2}", 2),
-    ScopeRule(r"(?dms)^#define ([_a-zA-Z0-9]+)\(.*?\)\s+\\\n"),
-    ScopeRule(rf"(?dms)^struct\s+{_NAME}\s*\{{\s*$", "struct {1}"),
-    ScopeRule(rf"(?dms)^struct\s+{_NAME}$", "struct {1}"),
-    ScopeRule(rf"(?dms)\s+{_NAME}\s*\("),
-    ScopeRule(rf"(?dms)^struct\s+{_NAME}\s+:\s+public\s+$"),
+    ScopeRule(rf"(?dms)^{_NAME} \((.*?)\)", needs=(" (",)),
+    ScopeRule(rf"(?dms)^([_A-Za-z0-9 ]+\s+\**?){_NAME} \(", "{2}", 2, (" (",)),
+    ScopeRule(rf"(?dms)([_a-zA-Z][^\n]*?)::{_NAME}\s+\((?:.*?)\)\n\{{", "{1}::{2}", 2, ("::", ")\n{")),
+    ScopeRule(r"(?dms)^#define ([_a-zA-Z0-9]+)\(.*?\)\s+\\\n", needs=("#define", "\\\n")),
+    ScopeRule(rf"(?dms)^struct\s+{_NAME}\s*\{{\s*$", "struct {1}", needs=("struct", "{")),
+    ScopeRule(rf"(?dms)^struct\s+{_NAME}$", "struct {1}", needs=("struct",)),
+    ScopeRule(rf"(?dms)\s+{_NAME}\s*\(", needs=("(",)),
+    ScopeRule(rf"(?dms)^struct\s+{_NAME}\s+:\s+public\s+$", needs=("struct", "public")),
 ]
+# \G starts each match where the one before ended: as the patterns start with
+# any text, this finds the same matches without trying each place of a line.
 C_LINE_SCOPES = [
-    ScopeRule(rf"(.+?)\s+{_NAME}\s*\(", "{2}", 2),
-    ScopeRule(rf"(.+?)\s+{_NAME}\s*;", "{2}", 2),
-    ScopeRule(rf"([_a-zA-Z][^\n]*?)::{_NAME}\s+\((?:.*?)\)", "{1}::{2}", 2),
+    ScopeRule(rf"\G(.+?)\s+{_NAME}\s*\(", "{2}", 2, ("(",)),
+    ScopeRule(rf"\G(.+?)\s+{_NAME}\s*;", "{2}", 2, (";",)),
+    ScopeRule(rf"([_a-zA-Z][^\n]*?)::{_NAME}\s+\((?:.*?)\)", "{1}::{2}", 2, ("::", "(")),
 ]
-MD_SCOPES = [ScopeRule(r'(?dms)\n\([_a-zA-Z][_a-zA-Z0-9]*?\s+"([^"]*)"')]
+MD_SCOPES = [ScopeRule(r'(?dms)\n\([_a-zA-Z][_a-zA-Z0-9]*?\s+"([^"]*)"', needs=("\n(",))]
 
 # Macro uses and what they expand to.
 _NOT_AFTER_NAME = "(?<=[^_0-9a-zA-Z>])"
