@@ -53,7 +53,7 @@ def run_rename(t: Tables) -> DataFrame:
     return P.rename_once(docs, "path", "text", _NAMES).select("doc_id", "edited")
 
 
-_RUN = P.Refactoring([R.Template("suffix", "([a-z])tion", "{1}sion", 1), R.Template("blank", " the (?=the )", " ")],
+_RUN = P.Refactoring([R.Template("suffix", "([a-z])tion", "{1}sion", 1), R.Template("blank", "the (?=the )", "")],
                      [P.Phrase(["suffix"], "Change {1}.", "Change {1}."), P.Phrase(["blank"], "Drop {1}.", "Drop {1}.")],
                      skip_strings=False)
 
@@ -65,8 +65,8 @@ def _run(t: Tables) -> DataFrame:
     return good
 
 
-_SETTLED_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([a-z])tion', '\1sion', 'g'),
-  '([a-z])tion', '\1sion', 'g'), '( the)+ the ', ' the ', 'g'), '( the)+ the ', ' the ', 'g')"""
+_SETTLED_SQL = r"""regexp_replace(regexp_replace(regexp_replace(text, '([a-z])tion', '\1sion', 'g'),
+  '([a-z])tion', '\1sion', 'g'), '(the )+the ', 'the ', 'g')"""
 
 
 @query("run_rewrite", f"SELECT doc_id, {_SETTLED_SQL} AS edited FROM documents")
@@ -78,8 +78,8 @@ def run_rewrite(t: Tables) -> DataFrame:
 @query("run_log", r"""
 WITH e AS (SELECT source AS owner_dir, 'd' || doc_id || '.def' AS file,
                   concat_ws('  ', CASE WHEN regexp_matches(text, '[a-z]tion') THEN 'Change suffix.' END,
-                            CASE WHEN contains(text, ' the the ') THEN 'Drop blank.' END) AS text
-           FROM documents WHERE regexp_matches(text, '[a-z]tion') OR contains(text, ' the the ')),
+                            CASE WHEN contains(text, 'the the ') THEN 'Drop blank.' END) AS text
+           FROM documents WHERE regexp_matches(text, '[a-z]tion') OR contains(text, 'the the ')),
      l AS (SELECT *, '* ' || file || ': ' || CASE WHEN lag(text) OVER (PARTITION BY owner_dir ORDER BY file) = text
                   THEN 'Likewise.' ELSE text END AS entry FROM e)
 SELECT owner_dir, '2026-01-01  A Writer  <writer@example.org>' || chr(10) || chr(10) || 'Made by a script.' || chr(10)
