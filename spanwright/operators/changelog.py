@@ -87,22 +87,13 @@ def entry_lines(df: DataFrame, keys: list[str], file: str, scope: str, order: st
                 text: str, out: str = "entry") -> DataFrame:
     """``* file (scope): text`` for the first entry of a file, then
     ``(scope): text``; no scope in the first gives ``* file: text``."""
-    group = keys + [file]
-    firsts = df.groupBy(*group).agg(F.min(order).alias("__first"))
-    marked = _join_null_safe(df, firsts, group)
+    marked = ordered.lag(df, keys + [file], order, F.col(order), "__before")
     scoped = F.concat(F.lit("("), F.col(scope), F.lit("): "), F.col(text))
     return marked.withColumn(out, F.when(
-        F.col(order) == F.col("__first"),
+        F.col("__before").isNull(),
         F.when(F.coalesce(F.col(scope), F.lit("")) != "", F.concat(F.lit("* "), F.col(file), F.lit(" "), scoped))
         .otherwise(F.concat(F.lit("* "), F.col(file), F.lit(": "), F.col(text))))
-        .otherwise(scoped)).drop("__first")
-
-
-def _join_null_safe(df: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    renamed = right.select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)],
-                           *[c for c in right.columns if c not in keys])
-    on = [F.col(k).eqNullSafe(F.col(f"__j{i}")) for i, k in enumerate(keys)]
-    return df.join(renamed, on, "inner").drop(*[f"__j{i}" for i in range(len(keys))])
+        .otherwise(scoped)).drop("__before")
 
 
 def header_line(date: Column, name: Column, email: Column) -> Column:
@@ -119,11 +110,10 @@ def directory_logs(entries: DataFrame, owner: str, order: str, entry: str, heade
     its log; no folder is collected whole.
     """
     parts = ordered.ordered_parts(entries, [owner], order, F.col(entry), "\n", part_rows)
-    firsts = parts.groupBy(owner).agg(F.min("part").alias("__first"))
-    opened = _join_null_safe(parts, firsts, [owner]).withColumn("text", F.when(
-        F.col("part") == F.col("__first"),
+    opened = ordered.lag(parts, [owner], "part", F.col("part"), "__before").withColumn("text", F.when(
+        F.col("__before").isNull(),
         F.concat(header, F.lit("\n\n"), intro, F.lit("\n"), F.col("text"), F.lit("\n")))
-        .otherwise(F.concat(F.col("text"), F.lit("\n")))).drop("__first")
+        .otherwise(F.concat(F.col("text"), F.lit("\n")))).drop("__before")
     if old is None:
         return opened
     ends = parts.groupBy(owner).agg((F.max("part") + 1).alias("part"))

@@ -19,38 +19,45 @@ CHUNK_ROWS = 1 << 20
 
 
 def chunk_of(order: Column, rows: int = CHUNK_ROWS) -> Column:
-    return F.floor(order / F.lit(rows)).cast("bigint")
+    """Number of the chunk, rounded down; exact for all BIGINT values."""
+    whole = order.cast("bigint")
+    return F.call_function("div", whole - F.pmod(whole, F.lit(rows)), F.lit(rows))
 
 
-def _with_carry(rows: DataFrame, summary: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
-    """Attach the carries of a chunk to its rows; keys may be null."""
-    renamed = summary.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-                             F.col("__chunk").alias("__c"), *carried)
-    on = F.col("__chunk") == F.col("__c")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return rows.join(renamed, on, "left").drop("__c", *[f"__k{i}" for i in range(len(keys))])
+def _chunked(df: DataFrame, keys: list[str], order: str, chunk_rows: int) -> DataFrame:
+    """Adds ``__key`` and ``__chunk``.  The key is one struct: it is never
+    null, so rows with null keys join by plain equality and the join keeps the
+    partitioning of the windows."""
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    return df.select("*", key.alias("__key"), chunk_of(F.col(order), chunk_rows).alias("__chunk"))
+
+
+_IN_CHUNK = ("__key", "__chunk")
+
+
+def _windows(order: str, inclusive: bool):
+    local = Window.partitionBy(*_IN_CHUNK).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1)
+    over_chunks = Window.partitionBy("__key").orderBy("__chunk").rowsBetween(
+        Window.unboundedPreceding, -1)
+    return local, over_chunks
 
 
 def _carry(df: DataFrame, keys: list[str], order: str, values: dict[str, Column],
            chunk_rows: int, inclusive: bool) -> DataFrame:
     names = list(values)
-    rows = df.select("*", *[values[n].alias(f"__v{i}") for i, n in enumerate(names)],
-                     chunk_of(F.col(order), chunk_rows).alias("__chunk"))
-    local = Window.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1)
-    over_chunks = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(
-        Window.unboundedPreceding, -1)
     span = range(len(names))
-    lasts = rows.groupBy(*keys, "__chunk").agg(*[
+    rows = _chunked(df.select("*", *[values[n].alias(f"__v{i}") for i, n in enumerate(names)]),
+                    keys, order, chunk_rows)
+    local, over_chunks = _windows(order, inclusive)
+    lasts = rows.groupBy(*_IN_CHUNK).agg(*[
         F.max_by(f"__v{i}", F.when(F.col(f"__v{i}").isNotNull(), F.col(order))).alias(f"__l{i}")
         for i in span])
-    summary = lasts.select(*keys, "__chunk", *[
+    summary = lasts.select(*_IN_CHUNK, *[
         F.last(f"__l{i}", ignorenulls=True).over(over_chunks).alias(f"__c{i}") for i in span])
     inside = rows.select("*", *[
         F.last(f"__v{i}", ignorenulls=True).over(local).alias(f"__w{i}") for i in span])
-    joined = _with_carry(inside, summary, keys, [f"__c{i}" for i in span])
-    return joined.select(
+    return inside.join(summary, list(_IN_CHUNK), "left").select(
         *[F.col(c) for c in df.columns if c not in names],
         *[F.coalesce(f"__w{i}", f"__c{i}").alias(n) for i, n in enumerate(names)])
 
@@ -79,18 +86,13 @@ def lag(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
 def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Sum of ``value`` up to and including this row."""
-    rows = (df.withColumn("__value", value.cast("bigint"))
-            .withColumn("__chunk", chunk_of(F.col(order), chunk_rows)))
-    local = Window.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, 0)
-    over_chunks = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(
-        Window.unboundedPreceding, -1)
-    summary = (rows.groupBy(*keys, "__chunk").agg(F.sum("__value").alias("__total"))
-               .withColumn("__carry", F.sum("__total").over(over_chunks)))
-    inside = rows.withColumn("__local", F.sum("__value").over(local))
-    return (_with_carry(inside, summary, keys, ["__carry"])
-            .withColumn(out, F.col("__local") + F.coalesce("__carry", F.lit(0)))
-            .drop("__value", "__chunk", "__local", "__carry"))
+    rows = _chunked(df.withColumn("__v", value.cast("bigint")), keys, order, chunk_rows)
+    local, over_chunks = _windows(order, inclusive=True)
+    summary = rows.groupBy(*_IN_CHUNK).agg(F.sum("__v").alias("__total")).select(
+        *_IN_CHUNK, F.sum("__total").over(over_chunks).alias("__c"))
+    inside = rows.select("*", F.sum("__v").over(local).alias("__w"))
+    return inside.join(summary, list(_IN_CHUNK), "left").select(
+        *df.columns, (F.col("__w") + F.coalesce("__c", F.lit(0))).alias(out))
 
 
 def first_in_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:

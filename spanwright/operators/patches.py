@@ -206,8 +206,9 @@ def series_gaps(found: DataFrame, number: str, first: Column, last: Column) -> D
     aggregates or literals.
     """
     bounds = found.agg(first.cast("bigint").alias("lo"), last.cast("bigint").alias("hi"))
-    # A block of numbers per row spreads the generation over the tasks.
-    starts = bounds.select("hi", F.explode(F.sequence("lo", "hi", F.lit(1 << 16).cast("bigint"))).alias("at"))
+    # One task makes the starts of blocks; the blocks are filled by all tasks.
+    starts = bounds.select("hi", F.explode(F.sequence(
+        "lo", "hi", F.lit(1 << 16).cast("bigint"))).alias("at")).repartition("at")
     expected = starts.select(F.explode(F.sequence(
         "at", F.least(F.col("at") + (1 << 16) - 1, F.col("hi")))).alias("number"))
     counted = (found.select(F.col(number).cast("bigint").alias("number"))

@@ -37,7 +37,7 @@ def record_lines(lines: DataFrame, keys: list[str], order: str, line: str,
 
 
 def records(lines: DataFrame, keys: list[str], order: str, line: str,
-            strict_eof: bool = False, part_rows: int = ordered.CHUNK_ROWS) -> DataFrame:
+            strict_eof: bool = False, part_rows: int = 1 << 16) -> DataFrame:
     """Records as arrays of lines: ``keys, record, part, lines``.
 
     A record is the stretch between two blank lines of one file; one that

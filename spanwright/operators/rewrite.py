@@ -258,18 +258,30 @@ def touched_lines(df: DataFrame, edited: str, edits: str) -> DataFrame:
 def line_changes(df: DataFrame, key: list[str], before: str, after: str) -> DataFrame:
     """Lines removed and added per text, counted: ``key, line, change, n``.
 
-    Texts that stay equal are dropped first; the others are compared by one
-    aggregation over both sides.
+    Both versions are in the row, so their lines are sorted together and runs
+    of equal lines are summed there; only differences leave the row.
     """
+    def side(c: str, sign: int) -> Column:
+        return F.transform(F.split(F.coalesce(F.col(c), F.lit("")), "\n", -1),
+                           lambda l: F.struct(l.alias("line"), F.lit(sign).alias("net")))
+
+    def add(run: Column, x: Column) -> Column:
+        return F.when(run["line"] == x["line"], F.struct(
+            x["line"].alias("line"), (run["net"] + x["net"]).alias("net"))).otherwise(x)
+
+    def differences(both: Column) -> Column:
+        start = F.struct(F.lit(None).cast("string").alias("line"), F.lit(0).alias("net"))
+        runs = S.let(S.scan(both, start, add), lambda r: F.slice(r, F.lit(2), F.size(r)))
+        following = F.concat(F.transform(F.slice(both, F.lit(2), F.size(both)), lambda x: x["line"]),
+                             F.array(F.lit(None).cast("string")))
+        ends = F.zip_with(runs, following, lambda run, line: F.when(~run["line"].eqNullSafe(line), run))
+        return F.filter(ends, lambda run: run.isNotNull() & (run["net"] != 0))
+
     changed = df.where(~F.col(before).eqNullSafe(F.col(after)))
-    side = lambda c, sign: F.transform(
-        F.split(F.coalesce(F.col(c), F.lit("")), "\n", -1),
-        lambda l: F.struct(l.alias("line"), F.lit(sign).alias("sign")))
-    return (S.unnest(changed, key, F.concat(side(before, -1), side(after, 1)), "l")
-            .groupBy(*key, F.col("l.line").alias("line")).agg(F.sum("l.sign").alias("net"))
-            .where("net != 0")
+    both = F.sort_array(F.concat(side(before, -1), side(after, 1)))
+    return (S.unnest_fields(changed, key, S.let(both, differences))
             .select(*key, "line", F.when(F.col("net") > 0, "added").otherwise("removed").alias("change"),
-                    F.abs("net").alias("n")))
+                    F.abs("net").cast("bigint").alias("n")))
 
 
 def long_lines(df: DataFrame, key: list[str], text: str, limit: int = 80) -> DataFrame:

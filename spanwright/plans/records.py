@@ -16,7 +16,7 @@ _BLANKS_SQL = """
 
 
 @query("o1_records", f"""
-SELECT user_id, coalesce(blank, -1) AS record, (event_id - coalesce(blank, -1) - 1) // 1048576 AS part,
+SELECT user_id, coalesce(blank, -1) AS record, (event_id - coalesce(blank, -1) - 1) // 65536 AS part,
        string_agg(event_type, '|' ORDER BY event_id) AS joined
 FROM ({_BLANKS_SQL}) WHERE event_type <> 'error' GROUP BY ALL""")
 def records(t: Tables):
