@@ -74,7 +74,7 @@ def scopes_by_last(df: DataFrame, keys: list[str], scope: str, at: str,
 
 
 def likewise(df: DataFrame, keys: list[str], order: str, text: str, out: str = "short",
-             chunk_rows: int = ordered.CHUNK_ROWS) -> DataFrame:
+             chunk_rows: int | None = None) -> DataFrame:
     """A text equal to the one before it in the key becomes ``Likewise.``."""
     return (ordered.lag(df, keys, order, F.col(text), "__before", chunk_rows)
             .withColumn(out, F.when(F.col("__before").isNotNull()
@@ -156,6 +156,14 @@ def newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
             .select(*keys, *[F.col("__row")[c].alias(c) for c in others]).select(*df.columns))
 
 
+def messages(entries: DataFrame, file: str, order: str, body: str, log_name: str = "ChangeLog") -> DataFrame:
+    """Message of the newest entry (the first of its file): the folder of the
+    log, then the body.  ``file, message``."""
+    first = entries.groupBy(file).agg(F.min_by(body, order).alias("__body"))
+    folder = F.regexp_replace(F.col(file), f"{log_name}$", "")
+    return first.select(file, F.concat(folder, F.lit("\n"), F.col("__body")).alias("message"))
+
+
 def with_old_log(sections: DataFrame, key: str, logs: DataFrame, old: str, header: Column,
                  summary: Column, text: Column, default: str, out: str = "log") -> DataFrame:
     """New log: header, summary, section text, then the old log or ``default``."""

@@ -252,6 +252,18 @@ def initializer_fields(text: Column, names: list[str]) -> Column:
     return S.let(F.transform(F.split(text, ",", -1), clean_field), shape)
 
 
+def constructor_fields(text: Column, names: list[str]) -> Column:
+    """``struct`` of the arguments of a pass constructor: the lines from the
+    third on, without line ends; an empty body in the last place is ``NULL``."""
+    arguments = F.array_join(S.let(F.split(text, "\n", -1), lambda l: F.slice(
+        l, F.lit(3), F.size(l))), "")
+    def shape(fields: Column) -> Column:
+        return F.when(F.size(fields) == len(names), F.struct(
+            *[F.when(F.get(fields, F.lit(i)) == "{}", "NULL").otherwise(F.get(fields, F.lit(i))).alias(n)
+              for i, n in enumerate(names)]))
+    return S.let(F.transform(F.split(arguments, ",", -1), clean_field), shape)
+
+
 def initializers(df: DataFrame, text: str, names: list[str],
                  fixed: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Fields of initializer texts as columns.  Set apart: another number of

@@ -18,13 +18,13 @@ from .sizing import checkpointed
 CHUNK_ROWS = 1 << 20
 
 
-def chunk_of(order: Column, rows: int = CHUNK_ROWS) -> Column:
+def chunk_of(order: Column, rows: int | None = None) -> Column:
     """Number of the chunk, rounded down; exact for all BIGINT values."""
-    whole = order.cast("bigint")
-    return F.call_function("div", whole - F.pmod(whole, F.lit(rows)), F.lit(rows))
+    whole, size = order.cast("bigint"), F.lit(CHUNK_ROWS if rows is None else rows)
+    return F.call_function("div", whole - F.pmod(whole, size), size)
 
 
-def _chunked(df: DataFrame, keys: list[str], order: str, chunk_rows: int) -> DataFrame:
+def _chunked(df: DataFrame, keys: list[str], order: str, chunk_rows: int | None) -> DataFrame:
     """Adds ``__key`` and ``__chunk``.  The key is one struct: it is never
     null, so rows with null keys join by plain equality and the join keeps the
     partitioning of the windows."""
@@ -44,7 +44,7 @@ def _windows(order: str, inclusive: bool):
 
 
 def _carry(df: DataFrame, keys: list[str], order: str, values: dict[str, Column],
-           chunk_rows: int, inclusive: bool) -> DataFrame:
+           chunk_rows: int | None, inclusive: bool) -> DataFrame:
     names = list(values)
     span = range(len(names))
     rows = _chunked(df.select("*", *[values[n].alias(f"__v{i}") for i, n in enumerate(names)]),
@@ -63,7 +63,7 @@ def _carry(df: DataFrame, keys: list[str], order: str, values: dict[str, Column]
 
 
 def previous(df: DataFrame, keys: list[str], order: str, values: dict[str, Column],
-             chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+             chunk_rows: int | None = None) -> DataFrame:
     """For each named value its last non-null one before this row in the key.
 
     ``order`` must be unique within the key.
@@ -72,19 +72,19 @@ def previous(df: DataFrame, keys: list[str], order: str, values: dict[str, Colum
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: str, values: dict[str, Column],
-                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                  chunk_rows: int | None = None) -> DataFrame:
     """For each named value its last non-null one up to and including this row."""
     return _carry(df, keys, order, values, chunk_rows, inclusive=True)
 
 
 def lag(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
-        chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+        chunk_rows: int | None = None) -> DataFrame:
     """``out`` is ``struct<v>`` of the previous row, null on the first row."""
     return previous(df, keys, order, {out: F.struct(value.alias("v"))}, chunk_rows)
 
 
 def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
-                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                chunk_rows: int | None = None) -> DataFrame:
     """Sum of ``value`` up to and including this row."""
     rows = _chunked(df.withColumn("__v", value.cast("bigint")), keys, order, chunk_rows)
     local, over_chunks = _windows(order, inclusive=True)

@@ -125,7 +125,7 @@ def context_scope(context: Column) -> Column:
 
 
 def drop_repeats(df: DataFrame, keys: list[str], order: str, value: str,
-                 chunk_rows: int = ordered.CHUNK_ROWS) -> DataFrame:
+                 chunk_rows: int | None = None) -> DataFrame:
     """Rows whose value differs from the row before in the key; the first stays."""
     return (ordered.lag(df, keys, order, F.col(value), "__before", chunk_rows)
             .where(F.col("__before").isNull() | ~F.col("__before.v").eqNullSafe(F.col(value)))
@@ -140,7 +140,7 @@ def status_text(status: Column, path: Column, new: str = "new", deleted: str = "
 
 
 def owner_headers(files: DataFrame, keys: list[str], order: str, owner: str,
-                  chunk_rows: int = ordered.CHUNK_ROWS) -> DataFrame:
+                  chunk_rows: int | None = None) -> DataFrame:
     """Adds ``header``, ``owner/ChangeLog:`` where the owner changes."""
     return (ordered.lag(files, keys, order, F.col(owner), "__before", chunk_rows)
             .withColumn("header", F.when(

@@ -233,6 +233,8 @@ SUMMARY_FIELDS = ["generate_summary", "write_summary", "read_summary", "write_op
                   "function_transform", "variable_transform"]
 PASS_INITIALIZER = (r"(?dms)(static )?struct\s+(\S+_opt_pass)\s+(\S+)\s*=\s*\{\s*\{\s*([^}]*)\},?\s*\}\s*;")
 SUMMARY_INITIALIZER = (r"(?dms)(static )?struct\s+(ipa_opt_pass_d)\s+(\S+)\s*=\s*\{\s*\{\s*([^}]*)\},([^}]*)\}\s*;")
+SUMMARY_CLASS = (r"(?dms)namespace \{\s+const pass_data (\S+?) =\n\{[^}]+?\};\n\nclass (\S+?) : public ipa_opt_pass_d\n"
+                 r"\{\npublic:\n(.*?)  /\* opt_pass methods: \*/\n(.*?)\}; // class (?:.*?)\n\n\} // anon namespace")
 PASS_DECLARATION = (r"extern struct (gimple_opt_pass|simple_ipa_opt_pass|ipa_opt_pass_d|rtl_opt_pass) (pass_\S+);")
 
 # Roots of the class hierarchy.

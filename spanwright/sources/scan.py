@@ -112,6 +112,12 @@ def write_changed(df: DataFrame, before: str, after: str, folder: str,
     changed.write.mode("errorifexists").partitionBy(*partition_by).parquet(folder)
 
 
+def write_named(df: DataFrame, path: str, text: str, folder: str) -> None:
+    """Texts under their base names in another folder: parquet of ``name, text``."""
+    (df.select(F.regexp_extract(F.col(path), r"([^/]*)$", 1).alias("name"), F.col(text).alias("text"))
+     .write.mode("errorifexists").parquet(folder))
+
+
 def write_logs(parts: DataFrame, owner: str, folder: str) -> None:
     """Logs as text, one folder per owner.  Parts are range-sorted, so a long
     log spreads over files whose names keep its order."""

@@ -126,3 +126,14 @@ def test_corpus_round_trip(spark, tmp_path):
 def test_lookup_has_one_row_per_key(spark):
     df = spark.createDataFrame([(["a", "b"], "u1", "t"), (["b"], "u0", "s")], "members array<string>, url string, text string")
     assert {(r.subject, r.url) for r in scan.load_lookup(df, "members", ["url", "text"], "subject").collect()} == {("a", "u1"), ("b", "u0")}
+
+
+def test_messages_of_newest_entries(spark):
+    df = spark.createDataFrame([("gcc/ChangeLog", 1, "* one."), ("gcc/ChangeLog", 9, "* old.")], "file string, at int, body string")
+    assert [r.message for r in L.messages(df, "file", "at", "body").collect()] == ["gcc/\n* one."]
+
+
+def test_named_texts(spark, tmp_path):
+    df = spark.createDataFrame([("in/0001-a.patch", "x")], "path string, text string")
+    scan.write_named(df, "path", "text", str(tmp_path / "out"))
+    assert [(r.name, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("0001-a.patch", "x")]

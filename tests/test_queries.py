@@ -30,3 +30,26 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+ORDERED = ["l6_likewise", "l7_entry_lines", "l8_directory_logs", "l9_log_entries", "o1_records", "o1_strict_records",
+           "p3_sections", "p4_diff_lines", "p6_drop_repeats", "p8_owner_headers", "a21_move_plan", "scope_report"]
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_ordered_queries_do_not_depend_on_the_chunks(spark, con, monkeypatch, name):
+    from spanwright.operators import ordered
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 5)
+    assert compare(QUERIES[name](spark, FOLDER), con, SQL[name]) is None
+
+
+JOINED = ["m4_dictionary_counts", "m4_dictionary_places", "m5_guards", "c6_fixed_scopes", "l1_owners", "p10_approvals",
+          "a4_exempt", "a4_listed", "a6_classify", "a12_chained_lookup", "a14_ancestors", "a15_descendants",
+          "a16_castable", "a20_repeated", "a21_unclassified", "s8_rule_usage"]
+
+
+@pytest.mark.parametrize("name", JOINED)
+def test_lookups_too_big_to_broadcast_give_the_same(spark, con, monkeypatch, name):
+    from spanwright.operators import sizing
+    monkeypatch.setattr(sizing, "BROADCAST_BYTES", -1)
+    assert compare(QUERIES[name](spark, FOLDER), con, SQL[name]) is None

@@ -221,3 +221,57 @@ def test_longest_prefix_wins(spark):
     assert {r.symbol: r.prefix for r in good.collect()} == {
         "omp_task_x": "omp_task_", "omp_taskgroup_x": "omp_taskgroup_", "gimple_omp_y": "gimple_omp_"}
     assert [r.symbol for r in bad.collect()] == ["zzz"]
+
+
+def test_option_catalogue(spark):
+    from spanwright.plans.options import catalogue
+    text = OPTION_FILE.replace("int flag_x = 3", "flag_x") + "\n\nVariable\n"
+    found = catalogue(spark.createDataFrame([("a.opt", text)], "path string, text string"))
+    assert {r["name"] for r in found.names.collect()} == {"flag_fast", "param_no", "names"}
+    assert {r["name"] for r in found.options.collect()} == {"fast", "param", "last"}
+    assert sorted(r.problem for r in found.problems.collect()) == [
+        "a declaration needs a type and a name", "a variable record needs two lines", "more than one kind"]
+
+
+SUMMARY_PASS = """namespace {
+
+const pass_data pass_data_one =
+{
+  IPA_PASS, /* type */
+  "one", /* name */
+};
+
+class pass_one : public ipa_opt_pass_d
+{
+public:
+  pass_one (context *ctxt)
+    : ipa_opt_pass_d (pass_data_one, ctxt,
+		      generate_one, /* generate_summary */
+		      NULL, /* write_summary */
+		      NULL, /* read_summary */
+		      NULL, /* write_optimization_summary */
+		      NULL, /* read_optimization_summary */
+		      NULL, /* stmt_fixup */
+		      0, /* function_transform_todo_flags_start */
+		      transform_one, /* function_transform */
+		      NULL) /* variable_transform */
+  {}
+
+  /* opt_pass methods: */
+  bool gate () { return true; }
+
+}; // class pass_one
+
+} // anon namespace
+"""
+
+
+def test_constructor_fields(spark):
+    df = spark.createDataFrame([(SUMMARY_PASS,)], "text string")
+    found = A.catalogue(df, [], "text", rules.SUMMARY_CLASS, ["data", "passname", "ctor", "methods"])
+    r = found.select("data", "passname", A.constructor_fields(F.col("ctor"), rules.SUMMARY_FIELDS).alias("f")).first()
+    assert (r.data, r.passname) == ("pass_data_one", "pass_one")
+    assert (r.f.generate_summary, r.f.write_summary, r.f.function_transform, r.f.variable_transform) == (
+        "generate_one", "NULL", "transform_one", "NULL")
+    flags = found.select(A.has_value(A.constructor_fields(F.col("ctor"), rules.SUMMARY_FIELDS)["stmt_fixup"]).alias("h")).first()
+    assert flags.h is False
