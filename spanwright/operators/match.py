@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
-from .sizing import fits_broadcast, lookup_join
+from .sizing import SAMPLE_FRACTION, fits_broadcast, lookup_join
 
 TOKEN = f"[{S.IDENTIFIER_CHARS}]+"
 
@@ -83,13 +83,19 @@ def dictionary_counts(df: DataFrame, text: str, keep: list[str], dictionary: Dat
     and shuffled.  With a larger one, texts are counted first, so the join sees
     each token of a text once.
     """
-    tokens = S.unnest(df, keep, F.regexp_extract_all(
-        F.col(text), F.lit(TOKEN), F.lit(0)), name).drop("nth")
+    tokens = _tokens(df, text, keep, name)
     names = dictionary.select(name).where(F.col(name).isNotNull()).distinct()
     count = lambda rows: rows.groupBy(*keep, name).agg(F.count("*").alias("n"))
     if fits_broadcast(names):
         return count(tokens.join(F.broadcast(names), name))
-    return lookup_join(count(tokens), names, [name], "inner", spread_by=keep, max_bytes=-1)
+    sampled = _tokens(df.sample(SAMPLE_FRACTION, seed=1), text, keep, name)
+    return lookup_join(count(tokens), names, [name], "inner", spread_by=keep, max_bytes=-1,
+                       sampled=sampled.distinct())
+
+
+def _tokens(df: DataFrame, text: str, keep: list[str], name: str) -> DataFrame:
+    return S.unnest(df, keep, F.regexp_extract_all(
+        F.col(text), F.lit(TOKEN), F.lit(0)), name).drop("nth")
 
 
 def dictionary_matches(df: DataFrame, text: str, keep: list[str], dictionary: DataFrame,
@@ -98,7 +104,8 @@ def dictionary_matches(df: DataFrame, text: str, keep: list[str], dictionary: Da
     tokens = matches(df, text, TOKEN, keep).select(
         *keep, "start", "end", F.col("matched").alias(name))
     names = dictionary.select(name).where(F.col(name).isNotNull()).distinct()
-    return lookup_join(tokens, names, [name], "inner", spread_by=keep + ["start"])
+    return lookup_join(tokens, names, [name], "inner", spread_by=keep + ["start"],
+                       sampled=_tokens(df.sample(SAMPLE_FRACTION, seed=1), text, keep, name))
 
 
 # -- guards: predicates on one located match (line and matched are columns) --

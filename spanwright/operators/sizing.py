@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 # A table is broadcast only when its measured size is below this bound.
 BROADCAST_BYTES = 64 << 20
-# Copies of the lookup side when it is too big to broadcast.
-SALTS = 16
+# A key with at least one in HOT_SHARE of the sampled rows is hot.
+HOT_SHARE = 64
+SAMPLE_FRACTION = 0.01
+# Over how many join keys a hot key is spread.
+SALTS = 1024
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -24,21 +27,41 @@ def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
     return measured_bytes(df) <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
 
 
+def hot_keys(sampled: DataFrame, on: list[str]) -> list:
+    """Keys that hold a large share of a sample: at most ``HOT_SHARE`` rows."""
+    total = sampled.count()
+    return (sampled.groupBy(*on).agg(F.count("*").alias("n"))
+            .where(F.col("n") * HOT_SHARE >= F.lit(max(total, 1))).select(*on).collect())
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-                spread_by: list[str] | None = None, max_bytes: int | None = None) -> DataFrame:
+                spread_by: list[str] | None = None, max_bytes: int | None = None,
+                sampled: DataFrame | None = None) -> DataFrame:
     """Equi-join of a big table with a lookup table.
 
     A lookup table below the bound is broadcast and the big side does not
-    move.  Above it both sides are shuffled on the key and a salt: one key may
-    hold a large share of the big side, so its rows are spread over ``SALTS``
-    partitions and each lookup row is copied that often.  ``max_bytes=-1`` is
-    for a lookup table that is known to be too big.
+    move.  Above it both sides are shuffled.  Keys that are hot in a sample of
+    the big side are salted: their rows are spread over ``SALTS`` values and
+    only their lookup rows are copied; rows with null keys are spread too.  The
+    sample decides about speed only, never about the result; ``sampled`` gives
+    a cheaper one.  ``max_bytes=-1`` is for a lookup table known to be too big.
     """
     if max_bytes != -1 and fits_broadcast(small, max_bytes):
         return big.join(F.broadcast(small), on, how)
-    spread = [F.col(c) for c in (spread_by or big.columns)]
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keys = big.sample(SAMPLE_FRACTION, seed=1) if sampled is None else sampled
+    hot = F.lit(False)
+    for row in hot_keys(keys.select(*on), on):
+        same = F.lit(True)
+        for k in on:
+            same = same & F.col(k).eqNullSafe(F.lit(row[k]))
+        hot = hot | same
+    no_key = F.lit(False)
+    for k in on:
+        no_key = no_key | F.col(k).isNull()
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in (spread_by or big.columns)]), F.lit(SALTS)).cast("int")
+    salted = big.withColumn("__salt", F.when(hot | no_key, spread).otherwise(F.lit(0)))
+    copies = small.withColumn("__salt", F.explode(
+        F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return salted.join(copies, on + ["__salt"], how).drop("__salt")
 
 

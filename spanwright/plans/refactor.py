@@ -19,14 +19,18 @@ from ..operators import rewrite as R
 Guard = Callable[[Column], Column]
 
 
-def locate(df: DataFrame, path: str, text: str) -> DataFrame:
-    """Line, comment, string and scope of the matches of source files.
+def locate(df: DataFrame, path: str, text: str, comments: bool = True, strings: bool = True) -> DataFrame:
+    """Line, scope and, if wanted, comment and string of the matches of source files.
 
     The scope goes by the kind of file: machine descriptions name their
     patterns, definition files have no scopes, all others are read as C.
     """
     md, definitions = F.col(path).endswith(".md"), F.col(path).endswith(".def")
-    df = C.with_string(C.with_comment(C.with_line(df, text), text), text)
+    df = C.with_line(df, text)
+    if comments:
+        df = C.with_comment(df, text)
+    if strings:
+        df = C.with_string(df, text)
     c_text = F.when(md | definitions, "").otherwise(C.blanked(F.col(text), C.ANNOTATION))
     df = df.withColumn("__c", c_text).withColumn("__md", F.when(md, F.col(text)).otherwise(""))
     df = C.with_scope(df, "__c", rules.C_SCOPES, rules.C_LINE_SCOPES, use_lines=~md & ~definitions)
@@ -114,7 +118,7 @@ def refactor(corpus: DataFrame, path: str, text: str, what: Refactoring) -> tupl
     empty = F.array().cast("array<struct<scope:string,rule:string>>")
     untouched = (corpus.where(~candidates).withColumn("edited", F.col(text)).withColumn("hits", empty))
     good, bad = R.rewrite_guarded(corpus.where(candidates), path, text, what.rules,
-                                  lambda d: locate(d, path, "edited"), what.guards(path))
+                                  lambda d: locate(d, path, "edited", what.skip_comments, what.skip_strings), what.guards(path))
     return good.unionByName(untouched), bad
 
 
@@ -123,7 +127,7 @@ def rename_once(corpus: DataFrame, path: str, text: str, names: dict[str, str],
     """Types renamed in one pass; the new names are not matched again."""
     what = Refactoring([rules.rename_rule(names, not_after)], [], list(exempt), list(reject),
                        code_only, code_only)
-    placed = locate(R.with_rule_edits(corpus, text, what.rules), path, text)
+    placed = locate(R.with_rule_edits(corpus, text, what.rules), path, text, code_only, code_only)
     return _edited(placed.withColumn("found", M.filtered(F.col("found"), *what.guards(path))), text)
 
 

@@ -72,7 +72,12 @@ def test_dense_order_follows_the_sort(events):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_anti", "left_semi"])
-def test_salted_join_equals_broadcast_join(events, how):
+@pytest.mark.parametrize("share", [0, 64])
+def test_salted_join_equals_broadcast_join(events, monkeypatch, how, share):
+    """Whatever the sample calls hot; a share of 0 rows makes no key hot."""
+    monkeypatch.setattr(sizing, "SAMPLE_FRACTION", 1.0)
+    monkeypatch.setattr(sizing, "HOT_SHARE", share)
+    monkeypatch.setattr(sizing, "SALTS", 7)
     df, _ = events
     table = df.sparkSession.createDataFrame([("x", 1), ("z", 2)], "v string, w int")
     plain = sizing.lookup_join(df, table, ["v"], how)
@@ -80,12 +85,28 @@ def test_salted_join_equals_broadcast_join(events, how):
     assert sorted(map(str, plain.collect())) == sorted(map(str, salted.select(*plain.columns).collect()))
 
 
+def test_hot_keys(events, monkeypatch):
+    df, _ = events
+    monkeypatch.setattr(sizing, "HOT_SHARE", 2)
+    assert [r.k for r in sizing.hot_keys(df, ["k"])] == ["hot"]
+
+
 def test_measured_bytes_counts_values(spark):
     df = spark.createDataFrame([("abcd",), (None,)], "v string")
     assert sizing.measured_bytes(df) == 4 + 2 * 16
 
 
+class Session:
+    """Stands for a session with a master and perhaps a checkpoint folder."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext = type("Context", (), {"master": master})()
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default: folder or default)})()
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
-    assert spark.conf.get("spark.checkpoint.dir", None) in (None, sizing.shared_folder(spark)) or True
-    out = sizing.checkpointed(spark.range(5))
-    assert out.count() == 5
+    assert sizing.shared_folder(Session("spark://h:1", "hdfs:///c")) == "hdfs:///c"
+    assert sizing.shared_folder(Session("local[4]", "/given")) == "/given"
+    with pytest.raises(ValueError):
+        sizing.shared_folder(Session("spark://h:1"))
+    assert sizing.checkpointed(spark.range(5)).count() == 5

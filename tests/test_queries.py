@@ -52,4 +52,6 @@ JOINED = ["m4_dictionary_counts", "m4_dictionary_places", "m5_guards", "c6_fixed
 def test_lookups_too_big_to_broadcast_give_the_same(spark, con, monkeypatch, name):
     from spanwright.operators import sizing
     monkeypatch.setattr(sizing, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(sizing, "SAMPLE_FRACTION", 1.0)
+    monkeypatch.setattr(sizing, "SALTS", 7)
     assert compare(QUERIES[name](spark, FOLDER), con, SQL[name]) is None
