@@ -43,10 +43,10 @@ def scope_texts(df: DataFrame, keys: list[str], scope: str, order: str, text: st
     """Texts of a (key, scope) joined by two blanks, with ``first_ord``, the
     place of the scope among its siblings; long ones come in parts."""
     group = keys + [scope]
-    firsts = df.groupBy(*group).agg(F.min(order).alias("first_ord"))
     parts = ordered.ordered_parts(df, group, order, F.col(text), "  ", part_rows)
-    on = [parts[g].eqNullSafe(firsts[g]) for g in group]
-    return parts.join(firsts, on, "inner").select(*[parts[g] for g in group], "part", "first_ord", "text")
+    marked = ordered.lag(parts, group, "part", F.col("part"), "__before")
+    return ordered.carry_forward(marked, group, "part", {"first_ord": F.when(
+        F.col("__before").isNull(), F.col("first"))}).select(*group, "part", "first_ord", "text")
 
 
 def unfinished(text: Column) -> tuple[Column, str]:
@@ -109,7 +109,7 @@ def directory_logs(entries: DataFrame, owner: str, order: str, entry: str, heade
     Folders without entries do not appear.  Parts of a folder, in order, are
     its log; no folder is collected whole.
     """
-    parts = ordered.ordered_parts(entries, [owner], order, F.col(entry), "\n", part_rows)
+    parts = ordered.ordered_parts(entries, [owner], order, F.col(entry), "\n", part_rows).drop("first")
     opened = ordered.lag(parts, [owner], "part", F.col("part"), "__before").withColumn("text", F.when(
         F.col("__before").isNull(),
         F.concat(header, F.lit("\n\n"), intro, F.lit("\n"), F.col("text"), F.lit("\n")))

@@ -1,8 +1,9 @@
 """Where a match stands: line, comment, string literal and scope.
 
-Each function takes a table with a text column and a column ``found``, an
-array of matches (structs with ``start``), and returns the table with a field
-more in the matches.  Events (line starts, comment marks, quotes, definitions)
+Each function returns a step for ``df.transform``: it takes a table with a text
+column and a column ``found``, an array of matches (structs with ``start``),
+and returns the table with a field more in the matches.  A step holds its
+expressions ready and can be used on many tables.  Events (line starts, comment marks, quotes, definitions)
 are merged with the matches by offset inside the row, so none of this shuffles.
 """
 
@@ -20,8 +21,18 @@ from .quality import quarantine
 from .sizing import lookup_join
 
 
-def attach(df: DataFrame, found: str, events: list[Column],
-           combine: Callable[..., Column]) -> DataFrame:
+Step = Callable[[DataFrame], DataFrame]
+
+
+def chain(*steps: Step) -> Step:
+    def run(df: DataFrame) -> DataFrame:
+        for step in steps:
+            df = step(df)
+        return df
+    return run
+
+
+def attach(found: str, events: list[Column], combine: Callable[..., Column]) -> Step:
     """``combine(match, event, ...)`` for each match and, from each list of
     events, the last at or before its start; events are
     ``array<struct<at, ...>>`` in order.
@@ -29,26 +40,25 @@ def attach(df: DataFrame, found: str, events: list[Column],
     The lists do not depend on each other, so one projection looks up all.
     """
     names = [f"__e{i}" for i in range(len(events))]
-    looked_up = df.select("*", *[
+    lookups = [
         S.asof(F.transform(found, lambda m: m["start"]), lambda at: at, e, lambda e_: e_["at"],
-               lambda _, event: event).alias(n) for n, e in zip(names, events)])
+               lambda _, event: event).alias(n) for n, e in zip(names, events)]
     zipped = F.arrays_zip(F.col(found).alias("m"), *names)
-    return looked_up.withColumn(found, F.transform(
-        zipped, lambda z: combine(z["m"], *[z[n] for n in names]))).drop(*names)
+    combined = F.transform(zipped, lambda z: combine(z["m"], *[z[n] for n in names]))
+    return lambda df: df.select("*", *lookups).withColumn(found, combined).drop(*names)
 
 
-def with_line(df: DataFrame, text: str, found: str = "found") -> DataFrame:
+def with_line(text: str, found: str = "found") -> Step:
     """Adds ``line_no``, ``line_start`` and ``line``; an offset on a newline
     belongs to the line it ends."""
     starts = F.transform(S.line_spans(F.col(text)), lambda l: F.struct(
         l["start"].alias("at"), l["line_no"].alias("line_no"), l["line"].alias("line")))
-    return attach(df, found, [starts], lambda m, e: m.withField("line_no", e["line_no"])
+    return attach(found, [starts], lambda m, e: m.withField("line_no", e["line_no"])
                   .withField("line_start", e["at"]).withField("line", e["line"]))
 
 
-def with_comment(df: DataFrame, text: str, found: str = "found", opening: str = r"/\*",
-                 closing: str = r"\*/", line_mark: str | None = "//",
-                 line_prefix: str | None = ";") -> DataFrame:
+def with_comment(text: str, found: str = "found", opening: str = r"/\*", closing: str = r"\*/",
+                 line_mark: str | None = "//", line_prefix: str | None = ";") -> Step:
     """Adds ``in_comment``; matches must carry ``line`` when line marks are used."""
     def ends(pattern: str) -> Column:
         return F.transform(S.spans(F.col(text), pattern), lambda s: F.struct(
@@ -62,7 +72,7 @@ def with_comment(df: DataFrame, text: str, found: str = "found", opening: str =
             inside = inside | m["line"].startswith(line_prefix)
         return m.withField("in_comment", inside)
 
-    return attach(df, found, [ends(opening), ends(closing)], flag)
+    return attach(found, [ends(opening), ends(closing)], flag)
 
 
 def _quotes(text: Column) -> Column:
@@ -73,7 +83,7 @@ def _quotes(text: Column) -> Column:
     return F.zip_with(S.spans(text, '"'), before, lambda s, b: s.withField("before", b))
 
 
-def with_string(df: DataFrame, text: str, found: str = "found", comments: bool = True) -> DataFrame:
+def with_string(text: str, found: str = "found", comments: bool = True) -> Step:
     """Adds ``in_string``: quotes in comments and after a backslash do not
     count, a quote after an apostrophe only counts inside a string, and a quote
     at offset 0 always counts.  ``comments=False`` is for text without them."""
@@ -82,17 +92,18 @@ def with_string(df: DataFrame, text: str, found: str = "found", comments: bool =
             q["in_comment"] | (q["before"] == "\\") | ((q["before"] == "'") & ~inside))
         return F.when(skipped, inside).otherwise(~inside)
 
-    df = df.withColumn("__quotes", _quotes(F.col(text)))
-    if comments:
-        df = with_comment(with_line(df, text, "__quotes"), text, "__quotes")
-    else:
-        df = df.withColumn("__quotes", F.transform(
-            "__quotes", lambda q: q.withField("in_comment", F.lit(False))))
-    df = df.withColumn("__states", S.scan(F.col("__quotes"), F.lit(False), toggle))
+    quotes = _quotes(F.col(text))
+    states = S.scan(F.col("__quotes"), F.lit(False), toggle)
     events = F.zip_with("__quotes", F.slice("__states", F.lit(2), F.size("__states")),
                         lambda q, s: F.struct(q["end"].alias("at"), s.alias("inside")))
-    return attach(df, found, [events], lambda m, e: m.withField(
-        "in_string", F.coalesce(e["inside"], F.lit(False)))).drop("__quotes", "__states")
+    plain = F.transform("__quotes", lambda q: q.withField("in_comment", F.lit(False)))
+    return chain(
+        lambda df: df.withColumn("__quotes", quotes),
+        chain(with_line(text, "__quotes"), with_comment(text, "__quotes")) if comments
+        else lambda df: df.withColumn("__quotes", plain),
+        lambda df: df.withColumn("__states", states),
+        attach(found, [events], lambda m, e: m.withField("in_string", F.coalesce(e["inside"], F.lit(False)))),
+        lambda df: df.drop("__quotes", "__states"))
 
 
 @dataclass(frozen=True)
@@ -140,9 +151,8 @@ def blanked(text: Column, pattern: str) -> Column:
 ANNOTATION = r"GTY\(\(.*?\)\)(?=\s)"
 
 
-def with_scope(df: DataFrame, text: str, rules: list[ScopeRule],
-               line_rules: list[ScopeRule] = (), found: str = "found",
-               use_lines: Column | None = None) -> DataFrame:
+def with_scope(text: str, rules: list[ScopeRule], line_rules: list[ScopeRule] = (),
+               found: str = "found", use_lines: Column | None = None) -> Step:
     """Adds ``scope``: the first rule with any definition that ends at or
     before the match names it, by its last definition; line rules look at the
     line of the match when no other rule applies, in rows where ``use_lines``."""
@@ -153,7 +163,7 @@ def with_scope(df: DataFrame, text: str, rules: list[ScopeRule],
             names.append(F.when(F.lit(True) if use_lines is None else use_lines, F.coalesce(*by_line)))
         return m.withField("scope", F.coalesce(*names))
 
-    return attach(df, found, [rule.events(F.col(text)) for rule in rules], choose)
+    return attach(found, [rule.events(F.col(text)) for rule in rules], choose)
 
 
 def fixed_scopes(df: DataFrame, scope: str, path: str, fixes: DataFrame,

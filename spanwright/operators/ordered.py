@@ -115,7 +115,8 @@ def dense_order(df: DataFrame, by: list[str], out: str = "ord") -> DataFrame:
 
 def ordered_parts(df: DataFrame, keys: list[str], order: str, text: Column, separator: str,
                   part_rows: int = 4096) -> DataFrame:
-    """Texts of a key joined in order, as ``(keys, part, text)``.
+    """Texts of a key joined in order, as ``(keys, part, first, text)``;
+    ``first`` is the order of the first text of the part.
 
     A part joins the rows of one chunk of the order column, so no key is ever
     collected whole; the text of a key is its parts in order.
@@ -125,5 +126,5 @@ def ordered_parts(df: DataFrame, keys: list[str], order: str, text: Column, sepa
                   F.struct(F.col(order).alias("at"), text.alias("text")).alias("__item"))
         .groupBy(*keys, "part")
         .agg(F.sort_array(F.collect_list("__item")).alias("__items"))
-        .select(*keys, "part",
+        .select(*keys, "part", F.element_at("__items", 1)["at"].alias("first"),
                 F.array_join(F.transform("__items", lambda x: x["text"]), separator).alias("text")))

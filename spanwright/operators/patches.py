@@ -54,7 +54,7 @@ def sections(lines: DataFrame, keys: list[str], order: str, line: str,
              part_rows: int = 4096) -> DataFrame:
     """Sections as texts, ``keys, kind, section, part, text``."""
     return ordered.ordered_parts(section_lines(lines, keys, order, line),
-                                 keys + ["kind", "section"], order, F.col(line), "\n", part_rows)
+                                 keys + ["kind", "section"], order, F.col(line), "\n", part_rows).drop("first")
 
 
 # Kinds of diff lines and the prefix that tells them.
@@ -154,7 +154,7 @@ def match_mails(patches: DataFrame, mails: DataFrame, patch: str, summary: str,
     """First mail, by ``order``, whose subject is ``[PATCH n/total] `` and then
     text that starts with the summary of the patch.
 
-    Both sides lose their prefix.  Summaries are compared by their exact first
+    ``patch`` names the patch.  Both sides lose their prefix.  Summaries are compared by their exact first
     ``length(summary)`` characters: mails are cut to the lengths that occur
     among the patches, which turns the prefix match into an equi-join.  Patches
     without a mail are set apart.
@@ -171,7 +171,7 @@ def match_mails(patches: DataFrame, mails: DataFrame, patch: str, summary: str,
                         lambda n: F.substring(F.col("__rest"), F.lit(1), n))
     keyed = (S.unnest(candidates.withColumn("__lens", lengths.scalar()), ["__ord", "mail"], heads, "__head")
              .groupBy("__head").agg(F.min_by("mail", "__ord").alias("mail")))
-    joined = patches.join(keyed, F.col(summary) == F.col("__head"), "left").drop("__head")
+    joined = lookup_join(patches, keyed.withColumnRenamed("__head", summary), [summary], "left", [patch])
     return quarantine(joined, (F.col("mail").isNull(), "no mail for this patch"))
 
 

@@ -24,16 +24,13 @@ def record_lines(lines: DataFrame, keys: list[str], order: str, line: str,
                .withColumn(line, F.substring_index(stripped, ";", 1))
                .where(~(F.col("__has_comment") & (F.col(line) == ""))).drop("__has_comment"))
     blank = F.when(F.col(line) == "", F.col(order))
-    body = (ordered.carry_forward(cleaned, keys, order, {"record": blank})
-            .where(F.col(line) != "")
-            .withColumn("record", F.coalesce("record", F.lit(-1)).cast("bigint")))
+    numbered = ordered.carry_forward(cleaned, keys, order, {"record": blank})
     if strict_eof:
-        ends = cleaned.groupBy(*keys).agg(F.max(blank).alias("__end"))
-        on = [F.col(k).eqNullSafe(F.col(f"__j{i}")) for i, k in enumerate(keys)]
-        renamed = ends.select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)], "__end")
-        body = (body.join(renamed, on, "inner").where(F.col(order) < F.col("__end"))
-                .drop("__end", *[f"__j{i}" for i in range(len(keys))]))
-    return body
+        # Seen from the end, the blank line that ends a record comes before it.
+        numbered = ordered.previous(numbered.withColumn("__back", -F.col(order)), keys, "__back", {
+            "__end": blank}).where(F.col("__end").isNotNull() | (F.col(line) == "")).drop("__back", "__end")
+    return (numbered.where(F.col(line) != "")
+            .withColumn("record", F.coalesce("record", F.lit(-1)).cast("bigint")))
 
 
 def records(lines: DataFrame, keys: list[str], order: str, line: str,

@@ -18,6 +18,7 @@ from .sizing import checkpointed, fits_broadcast, lookup_join
 MAX_LITERAL_RULES = 200
 
 Guard = Callable[[Column], Column]
+Step = Callable[[DataFrame], DataFrame]
 
 
 def rename_identifiers(text: Column, names: dict[str, str], swallow_blank: bool = True) -> Column:
@@ -155,14 +156,15 @@ def without_overlaps(edits: Column) -> Column:
     return S.let(F.sort_array(edits), kept)
 
 
-def with_rule_edits(df: DataFrame, text: str, rules: list[Template], found: str = "found") -> DataFrame:
+def with_rule_edits(text: str, rules: list[Template], found: str = "found") -> Step:
     """Adds the edits of all rules as one array of matches."""
-    edits = [F.transform(S.spans(F.col(text), r.pattern, r.groups), r.edit) for r in rules]
-    return df.withColumn(found, without_overlaps(F.concat(*edits)))
+    edits = without_overlaps(F.concat(*[
+        F.transform(S.spans(F.col(text), r.pattern, r.groups), r.edit) for r in rules]))
+    return lambda df: df.withColumn(found, edits)
 
 
 def rewrite_guarded(df: DataFrame, key: str, text: str, rules: list[Template],
-                    locate: Callable[[DataFrame], DataFrame], reject: list[Guard] = (),
+                    locate: Step, reject: list[Guard] = (),
                     max_passes: int = 20) -> tuple[DataFrame, DataFrame]:
     """Rules applied until no match is left that the guards allow.
 
@@ -175,19 +177,20 @@ def rewrite_guarded(df: DataFrame, key: str, text: str, rules: list[Template],
     blank = "array<struct<scope:string,rule:string>>"
     pending = df.withColumn("edited", F.col(text)).withColumn("hits", F.array().cast(blank))
     columns, settled = pending.columns, None
+    match = with_rule_edits("edited", rules)
+    allowed = filtered(F.col("found"), *reject)
+    edited = S.splice(F.col("edited"), F.col("found"))
+    hits = F.concat("hits", F.transform("found", lambda m: F.struct(
+        m["scope"].alias("scope"), m["rule"].alias("rule"))))
     for _ in range(max_passes + 1):
         # A filter on computed matches would be pushed below every step and
         # repeat them all, so the pass is stored before it is split.
         placed = checkpointed(
-            locate(with_rule_edits(pending, "edited", rules))
-            .withColumn("found", filtered(F.col("found"), *reject)).select(*columns, "found"))
+            locate(match(pending)).withColumn("found", allowed).select(*columns, "found"))
         done = placed.where(F.size("found") == 0).select(*columns)
         settled = done if settled is None else settled.unionByName(done)
         rest = placed.where(F.size("found") > 0)
-        pending = (rest.withColumn("edited", S.splice(F.col("edited"), F.col("found")))
-                   .withColumn("hits", F.concat("hits", F.transform("found", lambda m: F.struct(
-                       m["scope"].alias("scope"), m["rule"].alias("rule")))))
-                   .select(*columns))
+        pending = rest.withColumn("edited", edited).withColumn("hits", hits).select(*columns)
         if rest.isEmpty():
             break
     return settled, pending.withColumn("problem", F.lit("rules do not settle"))

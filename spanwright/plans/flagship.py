@@ -18,7 +18,7 @@ def scope_report(pages: DataFrame, pattern: str = "tion") -> DataFrame:
     """Per page and scope the hits, the line of the first, and the log text,
     shortened where it repeats the one before in the page."""
     found = pages.select("page_id", "html", S.spans(F.col("html"), pattern).alias("found"))
-    placed = C.with_scope(C.with_line(found, "html"), "html", TAG_SCOPES)
+    placed = found.transform(C.with_line("html")).transform(C.with_scope("html", TAG_SCOPES))
     hits = S.unnest_fields(placed, ["page_id"], "found")
     counted = hits.groupBy("page_id", "scope").agg(
         F.count("*").alias("hits"), F.min("start").alias("first_start"),

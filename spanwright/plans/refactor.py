@@ -19,25 +19,30 @@ from ..operators import rewrite as R
 Guard = Callable[[Column], Column]
 
 
-def locate(df: DataFrame, path: str, text: str, comments: bool = True, strings: bool = True) -> DataFrame:
+def locate(path: str, text: str, comments: bool = True, strings: bool = True) -> C.Step:
     """Line, scope and, if wanted, comment and string of the matches of source files.
 
     The scope goes by the kind of file: machine descriptions name their
     patterns, definition files have no scopes, all others are read as C.
     """
     md, definitions = F.col(path).endswith(".md"), F.col(path).endswith(".def")
-    df = C.with_line(df, text)
+    c_text = F.when(md | definitions, "").otherwise(C.blanked(F.col(text), C.ANNOTATION))
+    md_text = F.when(md, F.col(text)).otherwise("")
+    keep_c = F.transform("found", lambda m: m.withField("c_scope", m["scope"]))
+    choose = F.transform("found", lambda m: m.withField(
+        "scope", F.when(md, m["scope"]).when(~definitions, m["c_scope"])).dropFields("c_scope"))
+    steps = [C.with_line(text)]
     if comments:
-        df = C.with_comment(df, text)
+        steps.append(C.with_comment(text))
     if strings:
-        df = C.with_string(df, text)
-    c_text = F.when(md | definitions, "").otherwise(C.blanked(F.col(text), C.ANNOTATION))
-    df = df.withColumn("__c", c_text).withColumn("__md", F.when(md, F.col(text)).otherwise(""))
-    df = C.with_scope(df, "__c", rules.C_SCOPES, rules.C_LINE_SCOPES, use_lines=~md & ~definitions)
-    df = df.withColumn("found", F.transform("found", lambda m: m.withField("c_scope", m["scope"])))
-    df = C.with_scope(df, "__md", rules.MD_SCOPES)
-    return df.withColumn("found", F.transform("found", lambda m: m.withField(
-        "scope", F.when(md, m["scope"]).when(~definitions, m["c_scope"])).dropFields("c_scope"))).drop("__c", "__md")
+        steps.append(C.with_string(text))
+    return C.chain(
+        *steps,
+        lambda df: df.withColumn("__c", c_text).withColumn("__md", md_text),
+        C.with_scope("__c", rules.C_SCOPES, rules.C_LINE_SCOPES, use_lines=~md & ~definitions),
+        lambda df: df.withColumn("found", keep_c),
+        C.with_scope("__md", rules.MD_SCOPES),
+        lambda df: df.withColumn("found", choose).drop("__c", "__md"))
 
 
 @dataclass(frozen=True)
@@ -118,7 +123,7 @@ def refactor(corpus: DataFrame, path: str, text: str, what: Refactoring) -> tupl
     empty = F.array().cast("array<struct<scope:string,rule:string>>")
     untouched = (corpus.where(~candidates).withColumn("edited", F.col(text)).withColumn("hits", empty))
     good, bad = R.rewrite_guarded(corpus.where(candidates), path, text, what.rules,
-                                  lambda d: locate(d, path, "edited", what.skip_comments, what.skip_strings), what.guards(path))
+                                  locate(path, "edited", what.skip_comments, what.skip_strings), what.guards(path))
     return good.unionByName(untouched), bad
 
 
@@ -127,7 +132,8 @@ def rename_once(corpus: DataFrame, path: str, text: str, names: dict[str, str],
     """Types renamed in one pass; the new names are not matched again."""
     what = Refactoring([rules.rename_rule(names, not_after)], [], list(exempt), list(reject),
                        code_only, code_only)
-    placed = locate(R.with_rule_edits(corpus, text, what.rules), path, text, code_only, code_only)
+    placed = corpus.transform(R.with_rule_edits(text, what.rules)).transform(
+        locate(path, text, code_only, code_only))
     return _edited(placed.withColumn("found", M.filtered(F.col("found"), *what.guards(path))), text)
 
 
@@ -152,7 +158,7 @@ def wrap_options(corpus: DataFrame, path: str, text: str, names: DataFrame,
     table = names.where("name IS NOT NULL").distinct().select(
         F.col("name").alias("old"), F.concat(F.lit(f"{macro} ("), F.col("name"), F.lit(")")).alias("new"))
     found = R.with_name_edits(corpus, path, text, table, f"{macro} (")
-    placed = locate(found, path, text)
+    placed = found.transform(locate(path, text))
     exempt = F.lit(False)
     for name in rules.OPTION_EXEMPT_FILES:
         exempt = exempt | F.col(path).endswith(name)

@@ -217,8 +217,8 @@ WHERE gap NOT LIKE '%s' AND line NOT LIKE 'The%' AND line NOT LIKE '%ingth%' AND
   AND line <> 'Of.' AND line NOT LIKE '#define tion%'
   AND trim(line) NOT IN (SELECT trim(unnest(string_split(text, chr(10)))) FROM benchmark)""")
 def guards(t: Tables):
-    placed = C.with_line(t.spread("documents").select("doc_id", "text", S.spans(
-        F.col("text"), M.not_preceded_by("s", "tion")).alias("found")), "text")
+    placed = t.spread("documents").select("doc_id", "text", S.spans(
+        F.col("text"), M.not_preceded_by("s", "tion")).alias("found")).transform(C.with_line("text"))
     sound = S.unnest_fields(placed, ["doc_id"], M.filtered(
         F.col("found"), lambda m: M.line_starts(m, "The"), lambda m: M.line_has(m, "ingth"),
         lambda m: M.line_ends(m, "ti."), lambda m: M.line_is(m, "Of."), M.line_defines))
@@ -229,8 +229,8 @@ def guards(t: Tables):
 
 @query("c1_lines_of_matches", f"""SELECT doc_id, start, line_no, line FROM ({_IN_LINES_SQL})""")
 def lines_of_matches(t: Tables):
-    placed = C.with_line(t.spread("documents").select(
-        "doc_id", "text", S.spans(F.col("text"), "tion").alias("found")), "text")
+    placed = t.spread("documents").select(
+        "doc_id", "text", S.spans(F.col("text"), "tion").alias("found")).transform(C.with_line("text"))
     return S.unnest_fields(placed, ["doc_id"], "found").select(
         "doc_id", "start", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
@@ -245,7 +245,7 @@ SELECT page_id, start, strpos(prefix, '<!--') > 0
 FROM ({_PAGE_AD_SQL})""")
 def comments(t: Tables):
     df = t.spread("pages").select("page_id", "html", S.spans(F.col("html"), "ad").alias("found"))
-    flagged = C.with_comment(df, "html", opening="<!--", closing="-->", line_mark=None, line_prefix=None)
+    flagged = df.transform(C.with_comment("html", opening="<!--", closing="-->", line_mark=None, line_prefix=None))
     return S.unnest_fields(flagged, ["page_id"], "found").select("page_id", "start", "in_comment")
 
 
@@ -254,7 +254,7 @@ SELECT page_id, start, (length(prefix) - length(replace(prefix, '"', ''))) % 2 =
 FROM ({_PAGE_AD_SQL})""")
 def strings(t: Tables):
     df = t.spread("pages").select("page_id", "html", S.spans(F.col("html"), "ad").alias("found"))
-    flagged = C.with_string(df, "html", comments=False)
+    flagged = df.transform(C.with_string("html", comments=False))
     return S.unnest_fields(flagged, ["page_id"], "found").select("page_id", "start", "in_string")
 
 
@@ -266,7 +266,7 @@ SELECT doc_id, start, line LIKE '%//%' OR line LIKE ';%' OR (strpos(prefix, '/*'
        (length(prefix) - length(replace(prefix, '"', ''))) % 2 = 1 AS in_string FROM m""")
 def strings_and_comments(t: Tables):
     df = t.spread("documents").select("doc_id", "text", S.spans(F.col("text"), "tion").alias("found"))
-    flagged = C.with_string(C.with_comment(C.with_line(df, "text"), "text"), "text")
+    flagged = df.transform(C.chain(C.with_line("text"), C.with_comment("text"), C.with_string("text")))
     return S.unnest_fields(flagged, ["doc_id"], "found").select("doc_id", "start", "in_comment", "in_string")
 
 
@@ -282,7 +282,7 @@ SELECT page_id, start,
                 regexp_extract_all(prefix, '<(h1|p|nav|title)\b[^>]*>', 1)[-1]) AS scope FROM m""")
 def scopes(t: Tables):
     df = t.spread("pages").select("page_id", "html", S.spans(F.col("html"), "tion").alias("found"))
-    return S.unnest_fields(C.with_scope(df, "html", TAG_SCOPES), ["page_id"], "found").select(
+    return S.unnest_fields(df.transform(C.with_scope("html", TAG_SCOPES)), ["page_id"], "found").select(
         "page_id", "start", "scope")
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
-from ..operators import ordered
 
 # Which files each kind of run looks at.
 SUFFIXES = {
@@ -107,8 +106,14 @@ def mail_parts(df: DataFrame, text: str) -> DataFrame:
 
 def write_changed(df: DataFrame, before: str, after: str, folder: str,
                   partition_by: list[str] = ()) -> None:
-    """Changed texts to a new place, as parquet; an existing folder is an error."""
+    """Changed texts to a new place, as parquet; an existing folder is an error.
+
+    With ``partition_by`` the rows are rebalanced first: folders get few files,
+    and the rows of a large folder are split over many tasks.
+    """
     changed = df.where(~F.col(before).eqNullSafe(F.col(after)))
+    if partition_by:
+        changed = changed.hint("rebalance", *[F.col(c) for c in partition_by])
     changed.write.mode("errorifexists").partitionBy(*partition_by).parquet(folder)
 
 

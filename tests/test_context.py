@@ -35,7 +35,7 @@ def in_string(text, at):
 
 def placed(spark, texts, pattern="x"):
     df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("found", S.spans(F.col("text"), pattern))
-    return C.with_string(C.with_comment(C.with_line(df, "text"), "text"), "text").collect()
+    return df.transform(C.chain(C.with_line("text"), C.with_comment("text"), C.with_string("text"))).collect()
 
 
 def test_line_comment_and_string_on_random_text(spark):
@@ -61,7 +61,7 @@ def test_comment_and_string_cases(spark):
 def scopes(spark, cases):
     """Scope of the place marked @ in each (path, text)."""
     df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(cases)], "id int, path string, text string")
-    df = locate(df.withColumn("found", S.spans(F.col("text"), "@")), "path", "text")
+    df = df.withColumn("found", S.spans(F.col("text"), "@")).transform(locate("path", "text"))
     return [r.found[0].scope for r in df.orderBy("id").collect()]
 
 

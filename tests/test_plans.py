@@ -1,6 +1,5 @@
 """Whole runs on small corpora of our own."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from spanwright import rules
