@@ -9,7 +9,7 @@ from ..functions import spans as S
 from ..functions import texts as T
 from . import ordered
 from .quality import problem, quarantine
-from .sizing import lookup_join
+from .sizing import fits_broadcast, lookup_join
 
 SUBJECT = r"(?s)^\[PATCH ([0-9]+)/([0-9]+)\] (.+)"
 
@@ -149,29 +149,47 @@ def owner_headers(files: DataFrame, keys: list[str], order: str, owner: str,
             .drop("__before"))
 
 
+# Summaries are told apart by this many characters first.
+_HEAD = 16
+
+
 def match_mails(patches: DataFrame, mails: DataFrame, patch: str, summary: str, subject: str,
                 order: str, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """First mail, by ``order``, whose subject is ``[PATCH n/total] `` and then
     text that starts with the summary of the patch.
 
-    ``patch`` names the patch.  Both sides lose their prefix.  Summaries are compared by their exact first
-    ``length(summary)`` characters: mails are cut to the lengths that occur
-    among the patches, which turns the prefix match into an equi-join.  Patches
-    without a mail are set apart.
+    ``patch`` names the patch.  Both sides lose their prefix.  The prefix match
+    is an equi-join: a subject is looked up under its heads, cut to the lengths
+    of the summaries that share its first ``_HEAD`` characters (and to the
+    lengths of shorter summaries).  Heads that are no summary are dropped
+    before the shuffle where the summaries can be broadcast, and only the first
+    mail of a head leaves its task.  Patches without a mail are set apart.
     """
     series = r"[0-9]+" if total is None else str(total)
     stripped = F.regexp_extract(F.col(subject), rf"(?s)^\[PATCH [0-9]+/{series}\] (.*)", 1)
     candidates = mails.select(
         F.col(order).alias("__ord"), F.struct(*mails.columns).alias("mail"),
         stripped.alias("__rest")).where(F.col("__rest") != "")
-    # The lengths that occur: at most the longest subject, whatever the number of patches.
-    lengths = (patches.select(F.length(summary).alias("__len")).distinct()
-               .agg(F.sort_array(F.collect_list("__len")).alias("__lens")))
-    heads = F.transform(F.filter("__lens", lambda n: n <= F.length("__rest")),
-                        lambda n: F.substring(F.col("__rest"), F.lit(1), n))
-    keyed = (S.unnest(candidates.withColumn("__lens", lengths.scalar()), ["__ord", "mail"], heads, "__head")
-             .groupBy("__head").agg(F.min_by("mail", "__ord").alias("mail")))
-    joined = lookup_join(patches, keyed.withColumnRenamed("__head", summary), [summary], "left", [patch])
+    wanted = patches.select(F.col(summary).alias("__head")).where(F.col("__head").isNotNull()).distinct()
+    size, rest = F.length("__head"), F.col("__rest")
+
+    def heads_of(rows: DataFrame) -> DataFrame:
+        fitting = F.filter("__lens", lambda n: n <= F.length(rest))
+        return S.unnest(rows, ["__ord", "mail"], F.transform(
+            fitting, lambda n: F.substring(rest, F.lit(1), n)), "__head")
+
+    # Lengths are distinct, so an array is at most as long as the longest subject.
+    short = wanted.where(size < _HEAD).agg(F.sort_array(F.collect_set(size)).alias("__lens"))
+    long = (wanted.where(size >= _HEAD).groupBy(F.substring("__head", 1, _HEAD).alias("__start"))
+            .agg(F.sort_array(F.collect_set(size)).alias("__lens")))
+    started = candidates.withColumn("__start", F.substring("__rest", 1, _HEAD))
+    heads = heads_of(candidates.withColumn("__lens", short.scalar())).unionByName(
+        heads_of(lookup_join(started, long, ["__start"], "inner", ["__ord"])))
+    if fits_broadcast(wanted):
+        heads = heads.join(F.broadcast(wanted), "__head", "left_semi")
+    keyed = heads.groupBy("__head").agg(F.min_by("mail", "__ord").alias("mail"))
+    joined = lookup_join(patches, keyed.withColumnRenamed("__head", summary), [summary], "left",
+                         [patch], max_bytes=-1)
     return quarantine(joined, (F.col("mail").isNull(), "no mail for this patch"))
 
 

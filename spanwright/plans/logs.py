@@ -260,19 +260,19 @@ def owner_headers(t: Tables):
 
 
 @query("p9_mail_matches", """
-WITH f AS (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents),
-     s AS (SELECT doc_id, substr(line, 1, 20 + (doc_id % 11)::INT) AS summary FROM f),
-     m AS (SELECT summary, min(f.doc_id) AS first_doc FROM (SELECT DISTINCT summary FROM s) s
-           JOIN f ON starts_with(f.line, s.summary) AND f.doc_id % 5 <> 0 GROUP BY summary)
+WITH f AS (SELECT doc_id, lang, split_part(text, chr(10), 1) AS line FROM documents),
+     m AS (SELECT s.line, min(f.doc_id) AS first_doc FROM (SELECT DISTINCT line FROM f) s
+           JOIN f ON starts_with(f.line, s.line) AND f.lang <> 'es' GROUP BY s.line)
 SELECT doc_id, first_doc, CASE WHEN first_doc IS NULL THEN 'no mail for this patch' END AS problem
-FROM s LEFT JOIN m USING (summary)""")
+FROM f LEFT JOIN m USING (line)""")
 def mail_matches(t: Tables):
     first, _ = P.split_at(F.col("text"), "\n")
-    heads = t.documents.select("doc_id", first.alias("line"))
-    patches = heads.select("doc_id", F.substring("line", F.lit(1), (F.col("doc_id") % 11 + 20).cast("int")).alias("summary"))
-    mails = heads.where("doc_id % 5 != 0").select(F.col("doc_id").alias("ord"), F.concat(
-        F.lit("[PATCH "), F.col("doc_id").cast("string"), F.lit("/89] "), F.col("line")).alias("subject"))
-    good, bad = P.match_mails(patches, mails, "doc_id", "summary", "subject", "ord", 89)
+    heads = t.spread("documents").select("doc_id", "lang", first.alias("summary"))
+    # Spanish texts stand for answers, which are not mails of the series.
+    mails = heads.select(F.col("doc_id").alias("ord"), F.concat(
+        F.when(F.col("lang") == "es", "Re: ").otherwise(""), F.lit("[PATCH "), F.col("doc_id").cast("string"),
+        F.lit("/89] "), F.col("summary")).alias("subject"))
+    good, bad = P.match_mails(heads, mails, "doc_id", "summary", "subject", "ord", 89)
     return good.unionByName(bad, allowMissingColumns=True).select(
         "doc_id", F.col("mail.ord").alias("first_doc"), "problem")
 
