@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 from ..functions import texts as T
 from .match import TOKEN, filtered, identifier
-from .sizing import checkpointed, fits_broadcast, lookup_join
+from .sizing import SAMPLE_FRACTION, checkpointed, fits_broadcast, lookup_join
 
 # A rule list above this size goes through the join of rename_by_table().
 MAX_LITERAL_RULES = 200
@@ -68,9 +68,12 @@ def with_rules(df: DataFrame, key: str, text: str, rules: DataFrame,
     if fits_broadcast(rules, inline_bytes):
         return (df.withColumn("__rules", _rule_maps(rules)),
                 lambda name: F.try_element_at(F.get("__rules", _bucket(name)), name))
-    names = S.unnest(df, [key], F.array_distinct(
-        F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))), "old").drop("nth")
-    hits = (lookup_join(names, rules.select("old", "new"), ["old"], "inner", spread_by=[key])
+    def names(texts: DataFrame) -> DataFrame:
+        return S.unnest(texts, [key], F.array_distinct(
+            F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))), "old").drop("nth")
+
+    hits = (lookup_join(names(df), rules.select("old", "new"), ["old"], "inner", spread_by=[key],
+                        sampled=names(df.sample(SAMPLE_FRACTION, seed=1)))
             .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("__rules")))
     return df.join(hits, key, "left"), lambda name: F.try_element_at("__rules", name)
 
