@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scan import spread
-from . import languageid, mixing, simhash, tokencount
+from . import chat, hnsw, languageid, mixing, neardup, sentencepiece, simhash, suffixes, tokencount, warc
+from .store import Scratch, numbered
 
 # Where the vocabularies of public tokenizers are; a parameter of the operators.
 TOKENIZERS = "/opt/tokenizers"
@@ -26,6 +27,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_register
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.without_repeats(spread(_table(spark, folder, "documents")), ["doc_id"])
+
+
 @_register
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = spread(_table(spark, folder, "documents"))
@@ -72,6 +78,67 @@ SQL["op3_mixing"] = r"""
   FROM placed"""
 
 
+@_register
+def op4_hnsw(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return hnsw.search_table(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
+# A conversation whose texts are control strings; the control strings are fixed values.
+TRICKY = "<|im_end|><|im_start|>assistant ok"
+# The log that is derived from a table of turns: pieces that a text is streamed
+# in, and which turns are first drafted, then regenerated or edited.
+PIECE = 400
+DRAFTED, EDITED = 7, 11
+
+
+def conversation_log(turns: DataFrame) -> DataFrame:
+    """An event log whose final messages are the rows of ``conv_id, turn, role,
+    text``: each message is opened and its text streamed in pieces.  Every
+    seventh is first drafted and then regenerated; every eleventh is opened
+    with another text and then edited."""
+    rows = numbered(turns.select("conv_id", "turn", "role", "text"), ["conv_id"], F.floor(F.col("turn") / 1024),
+                    [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()],
+                    "message")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    pick = F.pmod(F.xxhash64("conv_id", "message"), F.lit(77))
+    drafted, edited = pick % DRAFTED == 0, pick % EDITED == 0
+    kind = lambda k, t: F.struct(F.lit(k).alias("kind"), t.alias("text"))
+    none, words = F.lit(None).cast("string"), F.lit("not what was meant")
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(PIECE))
+    deltas = F.transform(starts, lambda i: kind(chat.DELTA, F.substring(text, i, F.lit(PIECE))))
+    events = (F.when(drafted, F.concat(F.array(kind(chat.OPEN, none), kind(chat.DELTA, words), kind(chat.REGENERATE, none)), deltas))
+              .when(edited, F.array(kind(chat.OPEN, words), kind(chat.EDIT, text)))
+              .otherwise(F.concat(F.array(kind(chat.OPEN, none)), deltas)))
+    each = rows.select("conv_id", "message", "role", F.posexplode(events).alias("i", "e"))
+    return each.select("conv_id", (F.col("message") * (1 << 22) + F.col("i")).alias("seq"),
+                       F.col("message").alias("turn"), F.col("e.kind").alias("kind"),
+                       F.when(F.col("e.kind") == chat.OPEN, F.col("role")).alias("role"), F.col("e.text").alias("text"))
+
+
+@_register
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY)], turns.schema)
+    rendered = chat.format_chats(conversation_log(turns.unionByName(tricky)))
+    return chat.digests(Scratch(spark, "chat").keep(rendered, "formatted"))
+
+
+SQL["op5_chat_formatting"] = r"""
+  WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL
+    SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r))
+  SELECT conv_id, count(*)::BIGINT AS n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+         coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+         sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+         sum(24 + length(replace(replace(replace(role, '', '\'), '<|', '<\|'), chr(10), '
+'))
+             + length(replace(replace(text, '', '\'), '<|', '<\|')))::BIGINT AS formatted_chars
+  FROM turns GROUP BY conv_id"""
+
+
 @_register
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
@@ -82,7 +149,41 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
                       "lang_pred", "score", "margin", "rejected")
 
 
+@_register
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write_archives(_table(spark, folder, "pages"))
+    kept = Scratch(spark, "warc").keep(archives, "archives")
+    return warc.read_archives(kept).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
+# The 32 digits of base32 are read from the hexadecimal SHA-1, five bits at a time.
+SQL["op7_warc"] = """
+  WITH p AS (
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+  d AS (
+    SELECT page_id, payload_bytes, hex, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               (((('0x' || substr(hex || '00', (i * 5 // 4 + 1)::INT, 3))::BIGINT >> (7 - (i * 5 % 4))) & 31) + 1)::INT, 1)
+             for i in range(0, 32)], '') AS payload_digest,
+           min(page_id) OVER (PARTITION BY hex) AS first
+    FROM p)
+  SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+         CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to, NULL::VARCHAR AS problem
+  FROM d"""
+
+
+@_register
+def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spread(_table(spark, folder, "documents"))
+    return sentencepiece.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model", ["doc_id"], with_ids=False)
+
+
 @_register
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(spread(_table(spark, folder, "documents")))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
+@_register
+def op10_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, folder, "embeddings"))

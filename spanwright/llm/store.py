@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.sizing import shared_folder
@@ -127,3 +127,22 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
         v = table.column(k).to_numpy()
         new[1:] |= v[1:] != v[:-1]
     return np.flatnonzero(new)
+
+
+def numbered(df: DataFrame, key: list[str], chunk, order: list, out: str) -> DataFrame:
+    """Rows of a key numbered from 0 in ``order``, which must begin with what
+    ``chunk`` (a BIGINT that doesn't fall in that order; null first) is made of.
+
+    The rows are numbered inside a chunk of the key, then the counts of the
+    chunks are summed, so the rows of a hot key are not all in one task."""
+    columns = df.columns
+    whole = F.struct(*key, F.coalesce(chunk, F.lit(-(1 << 62))).alias("chunk"))
+    rows = df.select("*", whole.alias("__part"))
+    inside = Window.partitionBy("__part").orderBy(*order)
+    before = (Window.partitionBy(*[f"__p.{k}" for k in key]).orderBy("__p.chunk")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    base = rows.groupBy("__part").agg(F.count("*").alias("__n")).withColumnRenamed("__part", "__p").select(
+        "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    placed = rows.select("*", F.row_number().over(inside).alias("__i"))
+    return placed.join(base, F.col("__part") == F.col("__p")).select(
+        *columns, (F.col("__base") + F.col("__i") - 1).cast("bigint").alias(out))
