@@ -7,6 +7,7 @@ that makes it smallest.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,12 +17,13 @@ from .store import map_texts
 
 # Bounds of the model: at most SAMPLE_TEXTS texts a language, PIECE_BYTES of each.
 SAMPLE_TEXTS = 64
-PIECE_BYTES = 1536
+PIECE_BYTES = 4096
 # Texts are compressed in blocks, so that the dictionary counts all along a long text.
 BLOCK_BYTES = 4096
 LEVEL = 3
-# A text is rejected when the second language is within this share of the first.
-LEAST_MARGIN = 0.002
+# A text is rejected when the second language is within this share of the first:
+# nearly a tie, so that short clean texts stay.
+LEAST_MARGIN = 0.0005
 UNKNOWN = "und"
 
 
@@ -38,21 +40,32 @@ def train(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "
     The texts are those with the smallest hash of their id, found in two steps
     (per language and salt, then per language), so a language with most of
     the rows is spread over tasks.  The driver holds the sample only:
-    languages x ``sample_texts`` x ``piece_bytes``.
+    languages x ``sample_texts`` x ``piece_bytes``, cut from the texts' starts.
     """
-    rows = docs.where(usable & F.col(lang).isNotNull() & (F.length(F.trim(F.col(text))) > 0)).select(
-        F.col(lang).alias("lang"), F.substring(F.col(text), 1, piece_bytes).alias("piece"),
-        F.xxhash64(F.lit(7), F.col(doc_id)).alias("h"))
-    salted = rows.withColumn("salt", F.pmod(F.col("h"), F.lit(97)))
-    first = Window.partitionBy("lang", "salt").orderBy("h", "piece")
-    then = Window.partitionBy("lang").orderBy("h", "piece")
-    few = salted.select("*", F.row_number().over(first).alias("r")).where(F.col("r") <= sample_texts)
-    few = few.select("lang", "piece", "h", F.row_number().over(then).alias("n")).where(F.col("n") <= sample_texts)
+    named = docs.where(usable & F.col(lang).isNotNull() & (F.length(F.trim(F.col(text))) > 0)).select(
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(7), F.col(doc_id)).alias("h"))
+    # Only languages and hashes are sorted; the few texts are fetched after.
+    first = Window.partitionBy("lang", "salt").orderBy("h")
+    then = Window.partitionBy("lang").orderBy("h")
+    few = (named.select("lang", "h").distinct().withColumn("salt", F.pmod(F.col("h"), F.lit(97)))
+           .select("*", F.row_number().over(first).alias("r")).where(F.col("r") <= sample_texts)
+           .select("lang", "h", F.row_number().over(then).alias("n")).where(F.col("n") <= sample_texts))
+    # At most sample_texts rows a language: small whatever the table.
+    chosen = few.select(F.col("lang").alias("l"), F.col("h").alias("g"))
+    rows = named.select("lang", "h", F.substring("text", 1, 4 * piece_bytes).alias("piece")).join(
+        F.broadcast(chosen), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("g")))
+    # Of rows that share an id the smallest text stands for all.
     pieces: dict[str, list[bytes]] = {}
-    for row in few.orderBy("lang", "n").collect():
-        pieces.setdefault(row["lang"], []).append(row["piece"].encode()[:piece_bytes])
-    # Matches near the end of a dictionary are cheapest: the best order is any fixed one.
-    return Model({k: b"\n".join(v) for k, v in sorted(pieces.items())})
+    for row in rows.groupBy("lang", "h").agg(F.min("piece").alias("piece")).orderBy("lang", "h").collect():
+        pieces.setdefault(row["lang"], []).append(normal(row["piece"])[:piece_bytes])
+    return Model({k: b" ".join(v) for k, v in sorted(pieces.items())})
+
+
+def normal(text: str) -> bytes:
+    """The letters of a text: lower case, one blank between words, no word twice
+    in a row.  So capitals, digits, marks and stuttering say nothing."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    return " ".join([w for w, last in zip(words, [None, *words]) if w != last]).encode()
 
 
 def classifier(model: Model, block_bytes: int = BLOCK_BYTES, level: int = LEVEL):
@@ -71,7 +84,7 @@ def classifier(model: Model, block_bytes: int = BLOCK_BYTES, level: int = LEVEL)
         def one(text):
             if not text or not names or not any(map(str.isalpha, text)):
                 return UNKNOWN, 0.0, 0.0
-            data = text.encode()
+            data = normal(text)
             blocks = [data[i:i + block_bytes] for i in range(0, len(data), block_bytes)]
             sizes = [sum(len(p.compress(x)) for x in blocks) for p in packers]
             order = sorted(range(len(names)), key=lambda i: (sizes[i], names[i]))
@@ -93,7 +106,7 @@ def classifier(model: Model, block_bytes: int = BLOCK_BYTES, level: int = LEVEL)
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """``keep``, ``lang_pred``, ``score`` (0 to 1), ``margin`` and ``rejected``.
 
-    The whole text is compressed with every dictionary.  ``margin`` is the share
+    The letters of the whole text are compressed with every dictionary.  ``margin`` is the share
     by which the second language is longer; below ``LEAST_MARGIN`` the row is
     ``rejected`` (it keeps its nearest language).  A text that is null, empty
     or without a letter, or a model without languages, gives ``und``, score 0,
