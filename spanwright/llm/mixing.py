@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import Scratch
+
 # Fixed values of the contract: weights in turn, share of all sizes, most passes.
 TURNS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -51,21 +53,27 @@ def targets(sources: DataFrame, share: float = SHARE, most: float = MOST_PASSES)
         F.least(F.col("__cap"), F.coalesce(F.col("__fit") * F.col("weight"), F.col("__cap"))).alias("target"))
 
 
-def _running(rows: DataFrame) -> DataFrame:
+def _ordered(rows: DataFrame) -> DataFrame:
+    """With the place in a pass: ``order``, a hash of the id, and ``part``, its
+    first digits in the source.  A struct is never null, so a null source joins."""
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return rows.select("*", order.alias("order"),
+                       F.struct("source", F.substring(order, 1, 3).alias("digits")).alias("part"))
+
+
+def _running(rows: DataFrame, sizes: DataFrame, carry: list[str]) -> DataFrame:
     """``offset``: words before the row in its source, in the order of a hash
     of the id.  One window per source and leading hex digits of the hash, one
-    over the sums of these: a hot source is spread over thousands of tasks."""
-    part = ["source", "digits"]
-    # A null source is a source too: joins and windows use a struct, which is never null.
-    rows = rows.select("*", F.struct("source", F.substring("order", 1, 3).alias("digits")).alias("part"))
+    over the sums of these: a hot source is spread over thousands of tasks.
+    ``sizes`` has the same rows, narrow and cheap to read again."""
     over = Window.partitionBy("part.source").orderBy("part.digits").rowsBetween(Window.unboundedPreceding, -1)
-    sums = (rows.groupBy("part").agg(F.sum("size").alias("part_size"))
+    sums = (_ordered(sizes).groupBy("part").agg(F.sum("size").alias("part_size"))
             .select(F.col("part").alias("p"), F.coalesce(F.sum("part_size").over(over), F.lit(0)).alias("base")))
     inside = (Window.partitionBy("part").orderBy("order", "doc_id", "size")
               .rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.select("*", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("within"))
+    placed = _ordered(rows).select("*", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("within"))
     return placed.join(sums, F.col("part") == F.col("p")).select(
-        "doc_id", "source", "size", (F.col("base") + F.col("within")).alias("offset"))
+        "doc_id", "source", "size", *carry, (F.col("base") + F.col("within")).alias("offset"))
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -84,16 +92,18 @@ def source_table(rows: DataFrame, turns: tuple = TURNS) -> DataFrame:
             .select("*", F.element_at(weights, F.col("turn") + 1).alias("weight")))
 
 
-def taken(rows: DataFrame, sources: DataFrame) -> DataFrame:
+def taken(rows: DataFrame, sizes: DataFrame, sources: DataFrame, carry: list[str] = ()) -> DataFrame:
     """``doc_id, source, size, turn, source_size, target, offset, copies, cut``.
 
     A source is read pass after pass, its documents in the order of a hash of
     their id, until its target is reached.  A document has ``copies`` whole
     copies and, if the target ends inside it, ``cut`` words of one more; so
-    the words of a source are its target, rounded to a whole number.
+    the words of a source are its target, rounded to a whole number.  A
+    document without words has the whole passes of its source as copies.
+    ``carry`` columns of ``rows`` come along; ``sizes`` is :func:`sized` of the
+    same rows, written.
     """
-    kept = rows.select("*", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order"))
-    placed = _running(kept)
+    placed = _running(rows, sizes, list(carry))
     s = sources.select(F.struct("source").alias("s"), "turn", "source_size", "target")
     joined = placed.select("*", F.struct("source").alias("k")).join(s, F.col("k") == F.col("s"))
     goal = F.round(F.col("target")).cast("bigint")
@@ -102,7 +112,7 @@ def taken(rows: DataFrame, sources: DataFrame) -> DataFrame:
     extra = F.greatest(F.lit(0), F.least(F.col("size"), rest)).cast("bigint")
     whole = (F.col("size") > 0) & (extra == F.col("size"))
     return joined.select(
-        "doc_id", "source", "size", "turn", "source_size", "target", "offset",
+        "doc_id", "source", "size", *carry, "turn", "source_size", "target", "offset",
         (passes + whole.cast("bigint")).alias("copies"),
         F.when(whole, F.lit(0)).otherwise(extra).cast("bigint").alias("cut"))
 
@@ -131,22 +141,34 @@ def position(share: Column, turn: Column, shapes: tuple = SHAPES) -> Column:
     return found
 
 
-def curriculum(rows: DataFrame, sources: DataFrame, shapes: tuple = SHAPES) -> DataFrame:
-    """``doc_id, copy, position``: whole copies in training order, one row each.
+def curriculum(rows: DataFrame, sizes: DataFrame, sources: DataFrame, carry: list[str] = (), shapes: tuple = SHAPES) -> DataFrame:
+    """``doc_id, copy, position`` and ``carry``: whole copies in training order, one row each.
 
     Copy ``c`` of a document starts ``c`` passes plus its offset into its
     source's demand; the inverse of the integrated weight schedule gives the
     time.  The sort is a range partitioning by time, so each part of the run is
     a run of partitions.
     """
-    mix = taken(rows, sources).where(F.col("copies") > 0)
-    each = mix.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"))
+    mixed = taken(rows, sizes, sources, carry).where(F.col("copies") > 0)
+    each = mixed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"))
     share = F.least(F.lit(1.0), (F.col("copy") * F.col("source_size") + F.col("offset")) / F.greatest(
         F.col("target"), F.lit(1.0)))
-    return (each.select("doc_id", "copy", position(share, F.col("turn"), shapes).alias("position"))
+    return (each.select("doc_id", "copy", position(share, F.col("turn"), shapes).alias("position"), *carry)
             .orderBy("position", "doc_id", "copy"))
 
 
+def trained_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+                  turns: tuple = TURNS, share: float = SHARE, most: float = MOST_PASSES) -> DataFrame:
+    """The columns of ``docs``: each document as often as the mix takes it
+    whole, in training order.  Names of other columns don't matter."""
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"),
+                       words(F.col(f"`{text}`")).alias("size"), whole.alias("row"))
+    sizes = Scratch(docs.sparkSession, "mixing").keep(sized(docs, doc_id, text, source), "sizes")
+    ordered = curriculum(rows, sizes, targets(source_table(sizes, turns), share, most), ["row"])
+    return ordered.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
         turns: tuple = TURNS, share: float = SHARE, most: float = MOST_PASSES) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` per row of ``docs``.
@@ -155,8 +177,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     source is a source, last in order.  Repeated rows count as often as they
     occur.  The order of a pass is a hash of the id, so reruns agree.
     """
-    rows = sized(docs, doc_id, text, source)
-    sources = targets(source_table(rows, turns), share, most)
-    return taken(rows, sources).select(
+    sizes = Scratch(docs.sparkSession, "mixing").keep(sized(docs, doc_id, text, source), "sizes")
+    return taken(sizes, sizes, targets(source_table(sizes, turns), share, most)).select(
         "doc_id", "size", "source_size", "target",
         (F.col("copies") * F.col("size") + F.col("cut")).alias("taken"))
