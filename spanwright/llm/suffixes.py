@@ -416,8 +416,8 @@ def _cut(found: list[int] | None, size: int, length: int) -> list[tuple[int, int
 def without_repeats(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text",
                     with_text: bool = False, length: int = LENGTH, **options) -> DataFrame:
     """``keep`` and, per row: ``n_bytes``, ``n_removed``, ``n_spans`` (maximal
-    removed runs), ``kept_sha256`` (lower-case hex) and, if asked for, ``kept``
-    (binary).
+    removed runs), ``kept_sha256`` (lower-case hex) and, if asked for, ``kept``:
+    the text that is left, without the rest of characters that were cut in two.
 
     Removed is each byte covered by a string of ``length`` bytes that also
     starts anywhere else, in the same text or another; strings overlap and are
@@ -446,7 +446,8 @@ def without_repeats(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", te
                     kept.append(data[at:a])
                     at = b
                 kept = b"".join([*kept, data[at:]])
-                out.append((len(data), len(data) - len(kept), len(ranges), hashlib.sha256(kept).hexdigest(), kept))
+                out.append((len(data), len(data) - len(kept), len(ranges), hashlib.sha256(kept).hexdigest(),
+                            kept.decode("utf-8", "ignore") if with_text else None))
                 size += len(kept)
                 if with_text and size > SEGMENT:
                     yield answer(batch.slice(start, i + 1 - start), out)
@@ -455,12 +456,12 @@ def without_repeats(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", te
                 yield answer(batch.slice(start), out)
 
     def answer(batch, out):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][:5 if with_text else 4]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][:5 if with_text else 4]
         return pa.RecordBatch.from_arrays(
             [*[batch.column(c) for c in names], *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]],
             names=[*names, *answers])
 
     answers = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
     schema = ", ".join([f"{c} {kinds[c]}" for c in names] + ["n_bytes long, n_removed long, n_spans long, kept_sha256 string"]
-                       + (["kept binary"] if with_text else []))
+                       + (["kept string"] if with_text else []))
     return rows.select("data", "found", *names).mapInArrow(run, schema).toDF(*keep, *answers)
