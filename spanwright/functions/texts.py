@@ -73,7 +73,7 @@ def sentence(names: Column, one: str, many: str) -> Column:
 def quoted(text: Column, mark: str = "> ") -> Column:
     """Each line trimmed and marked as quoted."""
     return F.array_join(F.transform(
-        F.split(text, "\n", -1), lambda l: F.concat(F.lit(mark), F.trim(l))), "\n")
+        F.split(text, "\n", -1), lambda l: F.concat(F.lit(mark), stripped(l))), "\n")
 
 
 def absolute_url(base: Column, link: Column) -> Column:

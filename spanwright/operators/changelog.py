@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 from ..functions import texts as T
 from . import ordered
-from .quality import quarantine
+from .quality import checked
 from .sizing import lookup_join
 
 LIKEWISE = "Likewise."
 
 
-def owners(df: DataFrame, path: str, dirs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def owners(df: DataFrame, path: str, dirs: DataFrame) -> DataFrame:
     """Longest folder of ``dirs(dir)`` above each path: adds ``owner_dir`` and
-    ``rel_path``; paths without an owner are set apart.
+    ``rel_path``; paths without an owner have a ``problem``.
 
     A path has few parent folders, so they are spelled out and joined by
     equality instead of comparing each path with each folder.  Distinct folders
@@ -35,7 +35,7 @@ def owners(df: DataFrame, path: str, dirs: DataFrame) -> tuple[DataFrame, DataFr
     placed = (lookup_join(keyed, owned, ["__folder"], "left", spread_by=[path])
               .drop("__folder")
               .withColumn("rel_path", F.expr(f"substring(`{path}`, length(owner_dir) + 2)")))
-    return quarantine(placed, (F.col("owner_dir").isNull(), "no owner folder"))
+    return checked(placed, (F.col("owner_dir").isNull(), "no owner folder"))
 
 
 def scope_texts(df: DataFrame, keys: list[str], scope: str, order: str, text: str,
@@ -131,18 +131,20 @@ def log_entries(lines: DataFrame, keys: list[str], order: str, line: str,
 
     A header line opens an entry, other lines belong to the header before
     them, and lines before the first header are dropped.  ``entry_at`` is the
-    line of the header.  The last entry is kept.  A body that reaches further
-    than ``part_rows`` lines comes in parts.
+    line of the header.  The last entry is kept.  A body of more lines comes in
+    parts of ``part_rows`` lines; the parts in order are the body.
     """
     opens = F.col(line).rlike(DATED_LINE) if is_header is None else is_header
-    opener = F.when(opens, F.struct(F.col(order).alias("at"), F.col(line).alias("header")))
-    inside = ordered.carry_forward(lines, keys, order, {"__open": opener}).where("__open is not null")
+    numbered = ordered.running_sum(lines, keys, order, F.lit(1), "__n")
+    opener = F.when(opens, F.struct(F.col(order).alias("at"), F.col(line).alias("header"), F.col("__n").alias("n")))
+    inside = ordered.carry_forward(numbered, keys, order, {"__open": opener}).where("__open is not null")
     placed = inside.select(*keys, F.col("__open.at").alias("entry_at"), F.col("__open.header").alias("header"),
-                           F.col(order).alias("__at"), F.col(line).alias("__line"))
+                           F.col(order).alias("__at"), F.col(line).alias("__line"),
+                           F.greatest(F.col("__n") - F.col("__open.n") - 1, F.lit(0)).alias("__n"))
     bodies = F.when(F.col("__at") != F.col("entry_at"), F.struct("__at", "__line"))
     return (
         placed.groupBy(*keys, "entry_at", "header",
-                       ordered.chunk_of(F.col("__at") - F.col("entry_at"), part_rows).alias("part"))
+                       ordered.chunk_of(F.col("__n"), part_rows).alias("part"))
         .agg(F.sort_array(F.collect_list(bodies)).alias("__body"))
         .select(*keys, "entry_at", "part", "header",
                 F.array_join(F.transform("__body", lambda b: b["__line"]), "\n").alias("body")))
@@ -158,15 +160,23 @@ def newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def messages(entries: DataFrame, file: str, order: str, body: str, log_name: str = "ChangeLog") -> DataFrame:
     """Message of the newest entry (the first of its file): the folder of the
-    log, then the body.  ``file, message``."""
-    first = entries.groupBy(file).agg(F.min_by(body, order).alias("__body"))
+    log, then the body, all its parts.  ``file, message``."""
+    if "part" in entries.columns:
+        newest_at = entries.groupBy(F.col(file).alias("__file")).agg(F.min(order).alias("__first"))
+        entries = entries.join(newest_at, (F.col(file) == F.col("__file")) & (F.col(order) == F.col("__first")))
+        first = ordered.whole_texts(entries, [file], body, "\n").withColumnRenamed(body, "__body")
+    else:
+        first = entries.groupBy(file).agg(F.min_by(body, order).alias("__body"))
     folder = F.regexp_replace(F.col(file), f"{log_name}$", "")
     return first.select(file, F.concat(folder, F.lit("\n"), F.col("__body")).alias("message"))
 
 
 def with_old_log(sections: DataFrame, key: str, logs: DataFrame, old: str, header: Column,
                  summary: Column, text: Column, default: str, out: str = "log") -> DataFrame:
-    """New log: header, summary, section text, then the old log or ``default``."""
-    return sections.join(logs, key, "left").withColumn(out, F.concat(
+    """New log: header, summary, section text (all its parts), then the old log
+    or ``default``."""
+    if "part" in sections.columns:
+        sections = ordered.whole_texts(sections, [c for c in sections.columns if c not in ("part", "text")], "text", "\n")
+    return lookup_join(sections, logs, [key], "left").withColumn(out, F.concat(
         header, F.lit("\n\n\t"), summary, F.lit("\n\n"), T.trimmed_right(text), F.lit("\n\n"),
         F.coalesce(F.col(old), F.lit(default))))

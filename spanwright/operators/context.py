@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import texts as T
-from .quality import quarantine
+from .quality import checked
 from .sizing import lookup_join
 
 
@@ -167,7 +167,7 @@ def with_scope(text: str, rules: list[ScopeRule], line_rules: list[ScopeRule] =
 
 
 def fixed_scopes(df: DataFrame, scope: str, path: str, fixes: DataFrame,
-                 denied: list[str]) -> tuple[DataFrame, DataFrame]:
+                 denied: list[str]) -> DataFrame:
     """Replace known wrong scopes by ``fixes(scope, path, fixed)``; a scope in
     ``denied`` that no fix covers is set apart.  A fix may set the scope to null."""
     keyed = fixes.select(F.col("scope").alias(scope), F.col("path").alias(path),
@@ -176,5 +176,5 @@ def fixed_scopes(df: DataFrame, scope: str, path: str, fixes: DataFrame,
              .withColumn(scope, F.when(F.col("__fix").isNotNull(), F.col("__fix.fixed"))
                          .otherwise(F.col(scope)))
              .drop("__fix").select(*df.columns))
-    return quarantine(fixed, (F.coalesce(F.col(scope).isin(denied), F.lit(False)),
+    return checked(fixed, (F.coalesce(F.col(scope).isin(denied), F.lit(False)),
                               "scope is not a definition"))

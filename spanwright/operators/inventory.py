@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 from ..functions import texts as T
 from . import ordered
-from .quality import quarantine
+from .quality import checked
 from .sizing import checkpointed, lookup_join
 
 
@@ -67,9 +67,9 @@ def report(df: DataFrame, **predicates: Column) -> DataFrame:
 
 
 def classify(df: DataFrame, name: str, prefixes: DataFrame, prefix: str,
-             fallbacks: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+             fallbacks: list[str] = ()) -> DataFrame:
     """Longest prefix of each name: adds ``prefix``; a name without one takes
-    the first fallback it starts with, or is set apart.
+    the first fallback it starts with, or has a ``problem``.
 
     Names are cut to the lengths that occur among the prefixes, and the heads
     are joined by equality; distinct names are looked up, not rows.
@@ -88,7 +88,7 @@ def classify(df: DataFrame, name: str, prefixes: DataFrame, prefix: str,
         backup = F.when(F.col(name).startswith(f), F.lit(f)).otherwise(backup)
     placed = (lookup_join(df, best, [name], "left", [c for c in df.columns])
               .withColumn(prefix, F.coalesce(F.col(prefix), backup)))
-    return quarantine(placed, (F.col(prefix).isNull(), "no prefix"))
+    return checked(placed, (F.col(prefix).isNull(), "no prefix"))
 
 
 def without_const(kind: Column) -> Column:
@@ -140,38 +140,45 @@ def chained_lookup(df: DataFrame, steps: list[tuple[DataFrame, str, str]]) -> Da
     return df
 
 
-def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """All ``(node, ancestor, depth)`` of ``child, parent`` edges, with the
-    node itself at depth 0.  A null parent marks a root.
-
-    Most nodes are leaves, so the levels are walked for inner nodes only (nodes
-    that are a parent); the leaves are joined once at the end.  Each level is
-    checkpointed, which cuts the lineage and survives lost executors.
+    node itself at depth 0; ``depth`` is that of the shortest way.  A null
+    parent marks a root.
+
+    Most nodes are leaves, so pairs are made for inner nodes only (nodes that
+    are a parent); the leaves are joined once at the end.  Each round joins the
+    pairs with themselves, which doubles the depth they reach, and the rounds
+    end when nothing new appears: a hierarchy of any depth, or a cycle, ends.
+    Each round is checkpointed, which cuts the lineage and survives lost
+    executors.
     """
     known = edges.where("parent is not null").select("child", "parent").distinct()
     nodes = edges.select(F.explode(F.array("child", "parent")).alias("node")).where(
         "node is not null").distinct()
     parents = known.select("parent").distinct()
-    inner = checkpointed(lookup_join(
-        known, parents.select(F.col("parent").alias("child")), ["child"], "left_semi"))
-    up = inner.select(F.col("child").alias("ancestor"), F.col("parent").alias("__next"))
-
-    level = parents.select(F.col("parent").alias("node"), F.col("parent").alias("ancestor"),
-                           F.lit(0).alias("depth"))
-    inner_closed, depth = level, 0
-    while True:
-        depth += 1
-        level = checkpointed(lookup_join(level, up, ["ancestor"], "inner", ["node"]).select(
-            "node", F.col("__next").alias("ancestor"), F.lit(depth).alias("depth")).distinct())
-        if level.isEmpty():
+    inner = known.join(parents.select(F.col("parent").alias("child")), "child", "left_semi").where("child <> parent")
+
+    def size(pairs: DataFrame):
+        return pairs.agg(F.count("*").alias("n"), F.sum("depth").alias("depths")).first()
+
+    pairs = checkpointed(inner.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"),
+                                      F.lit(1).cast("bigint").alias("depth")))
+    seen = size(pairs)
+    while seen["n"]:
+        above = pairs.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("__next"),
+                             F.col("depth").alias("__more"))
+        longer = pairs.join(above, "ancestor").select(
+            "node", F.col("__next").alias("ancestor"), (F.col("depth") + F.col("__more")).alias("depth"))
+        pairs = checkpointed(pairs.union(longer).where("node <> ancestor").groupBy("node", "ancestor").agg(
+            F.min("depth").alias("depth")))
+        before, seen = seen, size(pairs)
+        if seen == before:
             break
-        if depth > max_depth:
-            raise ValueError(f"the hierarchy is deeper than {max_depth} or has a cycle")
-        inner_closed = inner_closed.union(level)
-    above = inner_closed.select(F.col("node").alias("parent"), "ancestor",
-                                (F.col("depth") + 1).alias("depth"))
-    higher = lookup_join(known, above, ["parent"], "inner", ["child"]).select(
-        F.col("child").alias("node"), "ancestor", "depth")
+    inner_closed = pairs.union(parents.select("parent", "parent", F.lit(0).cast("bigint")))
+    higher = (known.where("child <> parent").join(inner_closed.select(
+        F.col("node").alias("parent"), "ancestor", F.col("depth").alias("__d")), "parent")
+        .where(F.col("child") != F.col("ancestor")).groupBy(F.col("child").alias("node"), "ancestor")
+        .agg((F.min("__d") + 1).cast("int").alias("depth")))
     return nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).union(higher)
 
 
@@ -241,15 +248,17 @@ def flags(field: Column) -> Column:
     return F.transform(F.split(field, r"\|", -1), T.stripped)
 
 
-def initializer_fields(text: Column, names: list[str]) -> Column:
+def initializer_fields(text: Column, names: list[str], drop_empty: bool = False) -> Column:
     """``struct`` of the comma-separated fields, null unless there are exactly
-    as many as names; a trailing comma is allowed."""
+    as many as names.  A trailing comma is allowed; extra fields of a pass are
+    read with ``drop_empty``, which leaves out all empty ones."""
     def shape(fields: Column) -> Column:
         tail = (F.size(fields) == len(names) + 1) & (F.element_at(fields, -1) == "")
         return S.let(F.when(tail, F.slice(fields, F.lit(1), F.lit(len(names)))).otherwise(fields),
                      lambda kept: F.when(F.size(kept) == len(names), F.struct(
                          *[F.get(kept, F.lit(i)).alias(n) for i, n in enumerate(names)])))
-    return S.let(F.transform(F.split(text, ",", -1), clean_field), shape)
+    fields = F.transform(F.split(text, ",", -1), clean_field)
+    return S.let(F.filter(fields, lambda f: f != "") if drop_empty else fields, shape)
 
 
 def constructor_fields(text: Column, names: list[str]) -> Column:
@@ -259,21 +268,20 @@ def constructor_fields(text: Column, names: list[str]) -> Column:
         l, F.lit(3), F.size(l))), "")
     def shape(fields: Column) -> Column:
         return F.when(F.size(fields) == len(names), F.struct(
-            *[F.when(F.get(fields, F.lit(i)) == "{}", "NULL").otherwise(F.get(fields, F.lit(i))).alias(n)
-              for i, n in enumerate(names)]))
+            *[(F.when(F.get(fields, F.lit(i)) == "{}", "NULL").otherwise(F.get(fields, F.lit(i)))
+               if i == len(names) - 1 else F.get(fields, F.lit(i))).alias(n) for i, n in enumerate(names)]))
     return S.let(F.transform(F.split(arguments, ",", -1), clean_field), shape)
 
 
 def initializers(df: DataFrame, text: str, names: list[str],
-                 fixed: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Fields of initializer texts as columns.  Set apart: another number of
-    fields, or a field of ``fixed`` that does not hold its value."""
-    parsed = df.withColumn("__f", initializer_fields(F.col(text), names))
+                 fixed: dict[str, str] | None = None, drop_empty: bool = False) -> DataFrame:
+    """Fields of initializer texts as columns, and ``problem``: another number
+    of fields, or a field of ``fixed`` that does not hold its value."""
+    parsed = df.withColumn("__f", initializer_fields(F.col(text), names, drop_empty))
     columns = parsed.select(*df.columns, "__f", *[F.col(f"__f.{n}").alias(n) for n in names])
     rules = [(F.col("__f").isNull(), "wrong number of fields")]
     rules += [(F.col(n) != v, f"{n} is not {v}") for n, v in (fixed or {}).items()]
-    good, bad = quarantine(columns, *rules)
-    return good.drop("__f"), bad.drop("__f")
+    return checked(columns, *rules).drop("__f")
 
 
 def has_value(field: Column) -> Column:

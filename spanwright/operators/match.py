@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
+from ..functions import texts as T
 from .sizing import SAMPLE_FRACTION, fits_broadcast, lookup_join
 
 TOKEN = f"[{S.IDENTIFIER_CHARS}]+"
@@ -137,8 +138,8 @@ def line_defines(m: Column) -> Column:
 
 def drop_excluded_lines(found: DataFrame, excluded: DataFrame) -> DataFrame:
     """Drop matches whose stripped ``line`` is in the table ``excluded(line)``."""
-    listed = excluded.select(F.trim("line").alias("__line")).distinct()
-    keyed = found.withColumn("__line", F.trim("line"))
+    listed = excluded.select(T.stripped(F.col("line")).alias("__line")).distinct()
+    keyed = found.withColumn("__line", T.stripped(F.col("line")))
     return lookup_join(keyed, listed, ["__line"], "left_anti").drop("__line")
 
 

@@ -118,13 +118,22 @@ def ordered_parts(df: DataFrame, keys: list[str], order: str, text: Column, sepa
     """Texts of a key joined in order, as ``(keys, part, first, text)``;
     ``first`` is the order of the first text of the part.
 
-    A part joins the rows of one chunk of the order column, so no key is ever
-    collected whole; the text of a key is its parts in order.
+    ``part`` is a storage format: a part joins ``part_rows`` rows of the key,
+    counted in order, so no key is ever collected whole; the text of a key is
+    its parts in order, whatever their size (:func:`whole_texts`).
     """
+    numbered = running_sum(df.select(*keys, order, text.alias("__text")), keys, order, F.lit(1), "__n")
     return (
-        df.select(*keys, chunk_of(F.col(order), part_rows).alias("part"),
-                  F.struct(F.col(order).alias("at"), text.alias("text")).alias("__item"))
+        numbered.select(*keys, chunk_of(F.col("__n") - 1, part_rows).alias("part"),
+                  F.struct(F.col(order).alias("at"), F.col("__text").alias("text")).alias("__item"))
         .groupBy(*keys, "part")
         .agg(F.sort_array(F.collect_list("__item")).alias("__items"))
         .select(*keys, "part", F.element_at("__items", 1)["at"].alias("first"),
                 F.array_join(F.transform("__items", lambda x: x["text"]), separator).alias("text")))
+
+
+def whole_texts(parts: DataFrame, keys: list[str], text: str, separator: str) -> DataFrame:
+    """``keys, text``: the parts of each key joined in order, for texts that
+    are to stand in one row."""
+    return (parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", F.col(text).alias("text")))).alias("__p"))
+            .select(*keys, F.array_join(F.transform("__p", lambda p: p["text"]), separator).alias(text)))

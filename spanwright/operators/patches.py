@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 from ..functions import texts as T
 from . import ordered
-from .quality import problem, quarantine
+from .quality import checked, problem
 from .sizing import fits_broadcast, lookup_join
 
 SUBJECT = r"(?s)^\[PATCH ([0-9]+)/([0-9]+)\] (.+)"
@@ -154,7 +154,7 @@ _HEAD = 16
 
 
 def match_mails(patches: DataFrame, mails: DataFrame, patch: str, summary: str, subject: str,
-                order: str, total: int | None = None) -> tuple[DataFrame, DataFrame]:
+                order: str, total: int | None = None) -> DataFrame:
     """First mail, by ``order``, whose subject is ``[PATCH n/total] `` and then
     text that starts with the summary of the patch.
 
@@ -163,19 +163,18 @@ def match_mails(patches: DataFrame, mails: DataFrame, patch: str, summary: str,
     of the summaries that share its first ``_HEAD`` characters (and to the
     lengths of shorter summaries).  Heads that are no summary are dropped
     before the shuffle where the summaries can be broadcast, and only the first
-    mail of a head leaves its task.  Patches without a mail are set apart.
+    mail of a head leaves its task.  Patches without a mail have a ``problem``.
     """
     series = r"[0-9]+" if total is None else str(total)
     stripped = F.regexp_extract(F.col(subject), rf"(?s)^\[PATCH [0-9]+/{series}\] (.*)", 1)
     candidates = mails.select(
-        F.col(order).alias("__ord"), F.struct(*mails.columns).alias("mail"),
-        stripped.alias("__rest")).where(F.col("__rest") != "")
+        F.col(order).alias("__ord"), stripped.alias("__rest")).where(F.col("__rest") != "")
     wanted = patches.select(F.col(summary).alias("__head")).where(F.col("__head").isNotNull()).distinct()
     size, rest = F.length("__head"), F.col("__rest")
 
     def heads_of(rows: DataFrame) -> DataFrame:
         fitting = F.filter("__lens", lambda n: n <= F.length(rest))
-        return S.unnest(rows, ["__ord", "mail"], F.transform(
+        return S.unnest(rows, ["__ord"], F.transform(
             fitting, lambda n: F.substring(rest, F.lit(1), n)), "__head")
 
     # Lengths are distinct, so an array is at most as long as the longest subject.
@@ -187,10 +186,13 @@ def match_mails(patches: DataFrame, mails: DataFrame, patch: str, summary: str,
         heads_of(lookup_join(started, long, ["__start"], "inner", ["__ord"])))
     if fits_broadcast(wanted):
         heads = heads.join(F.broadcast(wanted), "__head", "left_semi")
-    keyed = heads.groupBy("__head").agg(F.min_by("mail", "__ord").alias("mail"))
+    # Only the place of a mail goes through the lookup; the mails come back by it.
+    first = heads.groupBy("__head").agg(F.min("__ord").alias("__ord"))
+    whole = mails.select(F.col(order).alias("__at"), F.struct(*mails.columns).alias("mail"))
+    keyed = first.join(whole, F.col("__ord") == F.col("__at")).select("__head", "mail")
     joined = lookup_join(patches, keyed.withColumnRenamed("__head", summary), [summary], "left",
                          [patch], max_bytes=-1)
-    return quarantine(joined, (F.col("mail").isNull(), "no mail for this patch"))
+    return checked(joined, (F.col("mail").isNull(), "no mail for this patch"))
 
 
 def first_with(df: DataFrame, value: Column, order: str, name: str) -> DataFrame:

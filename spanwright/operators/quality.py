@@ -1,4 +1,4 @@
-"""Rows that break a rule are set apart with the reason, never dropped."""
+"""Rows that break a rule say so in a ``problem`` column; none is dropped."""
 
 from __future__ import annotations
 
@@ -11,8 +11,11 @@ def problem(*rules: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(broken, F.lit(reason)) for broken, reason in rules])
 
 
-def quarantine(df: DataFrame, *rules: tuple[Column, str]) -> tuple[DataFrame, DataFrame]:
-    """Split a table into sound rows and rows with a ``problem`` column."""
-    checked = df.withColumn("problem", problem(*rules))
-    return (checked.where(F.col("problem").isNull()).drop("problem"),
-            checked.where(F.col("problem").isNotNull()))
+def checked(df: DataFrame, *rules: tuple[Column, str]) -> DataFrame:
+    """The table with ``problem``, null for sound rows: one table, read once."""
+    return df.withColumn("problem", problem(*rules))
+
+
+def sound(df: DataFrame) -> DataFrame:
+    """Rows without a problem."""
+    return df.where(F.col("problem").isNull()).drop("problem")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts as T
 from . import ordered
-from .quality import quarantine
+from .quality import checked
 
 
 def record_lines(lines: DataFrame, keys: list[str], order: str, line: str,
@@ -37,16 +37,22 @@ def records(lines: DataFrame, keys: list[str], order: str, line: str,
             strict_eof: bool = False, part_rows: int = 1 << 16) -> DataFrame:
     """Records as arrays of lines: ``keys, record, part, lines``.
 
-    A record is the stretch between two blank lines of one file; one that
-    reaches further than ``part_rows`` lines comes in parts.
+    A record is the stretch between two blank lines of one file; a longer one
+    comes in parts of at most ``part_rows`` lines (lines of the file are
+    counted), which :func:`whole_records` joins.
     """
-    part = ordered.chunk_of(F.col(order) - F.col("record") - 1, part_rows)
-    return (record_lines(lines, keys, order, line, strict_eof)
-            .groupBy(*keys, "record", part.alias("part"))
+    numbered = ordered.running_sum(record_lines(lines, keys, order, line, strict_eof), keys, order, F.lit(1), "__n")
+    return (numbered.groupBy(*keys, "record", ordered.chunk_of(F.col("__n"), part_rows).alias("part"))
             .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(line).alias("l")))).alias("__l"))
             .select(*keys, "record", "part", F.transform("__l", lambda x: x["l"]).alias("lines")))
 
 
+def whole_records(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, record, lines``: the parts of each record joined in order."""
+    return (parts.groupBy(*keys, "record").agg(F.sort_array(F.collect_list(F.struct("part", "lines"))).alias("__p"))
+            .select(*keys, "record", F.flatten(F.transform("__p", lambda p: p["lines"])).alias("lines")))
+
+
 PROPERTY = r"[^\s(]*\([^)]*\)?\S*|\S+"
 
 
@@ -63,8 +69,8 @@ def argument(props: Column, name: str) -> Column:
     return F.when(wanted.rlike(r"^\S+\(.*\)"), F.regexp_extract(wanted, r"^\S+?\((.*)\)", 1))
 
 
-def options(table: DataFrame, lines: str = "lines") -> tuple[DataFrame, DataFrame]:
-    """Option records as typed columns; a record with two kinds is set apart."""
+def options(table: DataFrame, lines: str = "lines") -> DataFrame:
+    """Option records as typed columns; one with two kinds has a ``problem``."""
     df = table.withColumn("__props", F.coalesce(
         properties(F.try_element_at(lines, F.lit(2))), F.array().cast("array<string>")))
     first_of = lambda *names: F.try_element_at(
@@ -80,8 +86,7 @@ def options(table: DataFrame, lines: str = "lines") -> tuple[DataFrame, DataFram
              .withColumn("init", argument(F.col("__props"), "Init"))
              .withColumn("helptext", F.array_join(F.slice(lines, F.lit(3), F.size(lines)), "\n")))
     kinds = F.size(F.filter("__props", lambda p: p.isin("Warning", "Optimization")))
-    good, bad = quarantine(typed, (kinds > 1, "more than one kind"))
-    return good.drop("__props"), bad.drop("__props")
+    return checked(typed, (kinds > 1, "more than one kind")).drop("__props")
 
 
 def with_declaration(df: DataFrame, line: str) -> DataFrame:

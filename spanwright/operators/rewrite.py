@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -12,28 +13,33 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 from ..functions import texts as T
 from .match import TOKEN, filtered, identifier
+from .quality import checked
 from .sizing import SAMPLE_FRACTION, checkpointed, fits_broadcast, lookup_join
 
-# A rule list above this size goes through the join of rename_by_table().
+# A longer rule list is not spelled out in the pattern; each identifier is looked up.
 MAX_LITERAL_RULES = 200
+# Passes of templates are nested in blocks of this many, so that settled texts skip the rest.
+PASSES = 16
 
 Guard = Callable[[Column], Column]
 Step = Callable[[DataFrame], DataFrame]
 
 
 def rename_identifiers(text: Column, names: dict[str, str], swallow_blank: bool = True) -> Column:
-    """Whole identifiers old -> new, all rules at once, for a short rule list.
+    """Whole identifiers old -> new, all rules at once, for a rule list that
+    fits into the expression; :func:`rename_by_table` takes a table.
 
     After a new name that ends in `` *`` one following blank is swallowed.
     """
-    if not names or len(names) > MAX_LITERAL_RULES:
-        raise ValueError("rename_by_table() is for rule lists of this size")
+    if not names:
+        return text
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    pattern = identifier(names) + "( ?)"
+    pattern = (identifier(names) if len(names) <= MAX_LITERAL_RULES else f"({TOKEN})") + "( ?)"
 
     def renamed(s: Column) -> Column:
-        return S.let(F.element_at(table, s["g1"]), lambda new: F.concat(
-            new, F.when(F.lit(swallow_blank) & new.endswith(" *"), F.lit("")).otherwise(s["g2"])))
+        found = F.try_element_at(table, s["g1"])
+        return S.let(found, lambda new: F.when(new.isNull(), s["matched"]).otherwise(F.concat(
+            new, F.when(F.lit(swallow_blank) & new.endswith(" *"), F.lit("")).otherwise(s["g2"]))))
 
     return S.replaced(text, pattern, renamed, 2)
 
@@ -59,12 +65,14 @@ def _bucket(name: Column) -> Column:
 def with_rules(df: DataFrame, key: str, text: str, rules: DataFrame,
                inline_bytes: int = INLINE_BYTES) -> tuple[DataFrame, Callable[[Column], Column]]:
     """The table with a helper column ``__rules``, and the lookup of an
-    identifier in ``rules(old, new)``; ``old`` is unique.
+    identifier in ``rules(old, new)``.  Rules without an old or a new name don't
+    apply; of rules with the same old name the smallest new one does.
 
     Small rules travel with the expression and the texts do not move.  Above
     the bound the distinct identifiers of a text are joined with the rules, and
     what applies comes back as one small map per text.
     """
+    rules = rules.where(F.col("old").isNotNull() & F.col("new").isNotNull()).groupBy("old").agg(F.min("new").alias("new"))
     if fits_broadcast(rules, inline_bytes):
         return (df.withColumn("__rules", _rule_maps(rules)),
                 lambda name: F.try_element_at(F.get("__rules", _bucket(name)), name))
@@ -128,12 +136,14 @@ def expand_once(text: Column, rules: list[Template]) -> Column:
 
 
 def expand_templates(df: DataFrame, text: str, rules: list[Template], out: str = "expanded",
-                     max_passes: int = 20) -> DataFrame:
+                     max_passes: int | None = None) -> DataFrame:
     """Passes until nothing changes, since an argument can hide another use.
 
     The loop is a fold inside the row that stops working once a pass changes
-    nothing.  ``passes`` counts the passes that changed the text; ``settled``
-    is false where ``max_passes`` were not enough.
+    nothing.  A pass undoes a level of nesting, of which a text has fewer than
+    characters: that ends texts whose rules never settle, unless ``max_passes``
+    does earlier.  ``passes`` counts the passes that changed the text;
+    ``settled`` is false where they were not enough.
     """
     def step(state: Column, _: Column) -> Column:
         again = S.let(expand_once(state["text"], rules), lambda t: F.struct(
@@ -142,9 +152,15 @@ def expand_templates(df: DataFrame, text: str, rules: list[Template], out: str =
             (t == state["text"]).alias("settled")))
         return F.when(state["settled"], state).otherwise(again)
 
+    def block(state: Column, passes: Column) -> Column:
+        return F.when(state["settled"], state).otherwise(F.aggregate(F.sequence(F.lit(1), passes), state, step))
+
     start = F.struct(F.col(text).alias("text"), F.lit(0).alias("passes"), F.lit(False).alias("settled"))
-    return (df.withColumn("__state", F.aggregate(
-        F.sequence(F.lit(1), F.lit(max_passes + 1)), start, step))
+    if max_passes is None:
+        blocks = F.array_repeat(F.lit(PASSES), (F.floor(F.length(text) / PASSES) + 1).cast("int"))
+    else:
+        blocks = F.array(F.lit(max_passes + 1))
+    return (df.withColumn("__state", F.aggregate(F.coalesce(blocks, F.array(F.lit(1))), start, block))
         .withColumn(out, F.col("__state.text")).withColumn("passes", F.col("__state.passes"))
         .withColumn("settled", F.col("__state.settled")).drop("__state"))
 
@@ -167,15 +183,17 @@ def with_rule_edits(text: str, rules: list[Template], found: str = "found") -> S
 
 
 def rewrite_guarded(df: DataFrame, key: str, text: str, rules: list[Template],
-                    locate: Step, reject: list[Guard] = (),
-                    max_passes: int = 20) -> tuple[DataFrame, DataFrame]:
+                    locate: Step, reject: list[Guard] = (), once: bool = False,
+                    max_passes: int | None = None) -> DataFrame:
     """Rules applied until no match is left that the guards allow.
 
     ``locate`` adds to the matches what the guards look at (line, comment,
     string, scope).  A pass is row-local.  Texts that settle leave the loop;
     the others are checkpointed, so a pass works on what the last one changed.
     The result has ``edited`` and ``hits``, the matches that were replaced.
-    Texts that do not settle are set apart.
+    With ``once`` the first pass is the only one and what it writes is not
+    matched again.  Rules that keep making matches of their own need
+    ``max_passes``; texts that it leaves unsettled have a ``problem``.
     """
     blank = "array<struct<scope:string,rule:string>>"
     pending = df.withColumn("edited", F.col(text)).withColumn("hits", F.array().cast(blank))
@@ -185,7 +203,7 @@ def rewrite_guarded(df: DataFrame, key: str, text: str, rules: list[Template],
     edited = S.splice(F.col("edited"), F.col("found"))
     hits = F.concat("hits", F.transform("found", lambda m: F.struct(
         m["scope"].alias("scope"), m["rule"].alias("rule"))))
-    for _ in range(max_passes + 1):
+    for done_passes in itertools.count():
         # A filter on computed matches would be pushed below every step and
         # repeat them all, so the pass is stored before it is split.
         placed = checkpointed(
@@ -194,9 +212,10 @@ def rewrite_guarded(df: DataFrame, key: str, text: str, rules: list[Template],
         settled = done if settled is None else settled.unionByName(done)
         rest = placed.where(F.size("found") > 0)
         pending = rest.withColumn("edited", edited).withColumn("hits", hits).select(*columns)
-        if rest.isEmpty():
+        if once or done_passes == max_passes or rest.isEmpty():
             break
-    return settled, pending.withColumn("problem", F.lit("rules do not settle"))
+    late = F.lit(None if once else "rules do not settle").cast("string")
+    return settled.withColumn("problem", F.lit(None).cast("string")).unionByName(pending.withColumn("problem", late))
 
 
 def strip_prefix(text: Column, before: str, prefix: str, after: str = r"(?=\S)") -> Column:
@@ -212,10 +231,11 @@ def wrap_identifiers(text: Column, names: list[str], macro: str) -> Column:
 
 
 def apply_edits(texts: DataFrame, key: str, text: str, edits: DataFrame,
-                out: str = "edited") -> tuple[DataFrame, DataFrame]:
+                out: str = "edited") -> DataFrame:
     """Apply ``edits(key, start, end, repl)`` to texts.
 
-    Texts whose edits overlap or leave the text are set apart unchanged.  The
+    Texts whose edits overlap or leave the text stay unchanged and have a
+    ``problem``.  The
     edits of a text come together in its row; a text is bounded, and so are
     edits that do not overlap, so duplicates are removed before the shuffle.
     """
@@ -229,12 +249,9 @@ def apply_edits(texts: DataFrame, key: str, text: str, edits: DataFrame,
     broken = F.exists(
         F.zip_with("__edits", shifted, lambda e, before: (e["start"] < before) | (e["end"] < e["start"])
                    | (e["end"] > F.length(text))), lambda bad: bad)
-    checked = joined.withColumn("__broken", broken)
-    good = (checked.where(~F.col("__broken"))
-            .withColumn(out, S.splice(F.col(text), F.col("__edits"))).drop("__edits", "__broken"))
-    bad = (checked.where("__broken").withColumn("problem", F.lit("edits overlap or leave the text"))
-           .drop("__edits", "__broken"))
-    return good, bad
+    marked = checked(joined, (broken, "edits overlap or leave the text"))
+    return marked.withColumn(out, F.when(F.col("problem").isNull(), S.splice(F.col(text), F.col("__edits")))
+                             .otherwise(F.col(text))).drop("__edits")
 
 
 def touched_lines(df: DataFrame, edited: str, edits: str) -> DataFrame:

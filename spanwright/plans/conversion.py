@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..operators import inventory as A
+from ..operators import quality
 
 
 def accessors(headers: DataFrame, prefix: str = "gimple_") -> DataFrame:
@@ -40,5 +41,5 @@ def progress(found: DataFrame, codes: DataFrame, base: str = "gimple",
     """
     prefixes = codes.select(A.accessor_prefix(F.col("printable_name")).alias("prefix")).distinct()
     counted = found.where(F.col("is_accessor") & ~F.col("exempt"))
-    placed, bad = A.classify(counted, "symbol", prefixes, "prefix", [fallback])
-    return A.progress(placed, ["prefix"], F.col("plain_type") != base), bad
+    placed = A.classify(counted, "symbol", prefixes, "prefix", [fallback])
+    return A.progress(quality.sound(placed), ["prefix"], F.col("plain_type") != base), placed.where("problem IS NOT NULL")

@@ -61,17 +61,16 @@ _RUN = P.Refactoring([R.Template("suffix", "([a-z])tion", "{1}sion", 1), R.Templ
 def _run(t: Tables) -> DataFrame:
     path = F.concat("source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".def"))
     docs = t.spread("documents").select("doc_id", "text", path.alias("path"))
-    good, _ = P.refactor(docs, "path", "text", _RUN)
-    return good
+    return P.refactor(docs, "path", "text", _RUN)
 
 
 _SETTLED_SQL = r"""regexp_replace(regexp_replace(regexp_replace(text, '([a-z])tion', '\1sion', 'g'),
   '([a-z])tion', '\1sion', 'g'), '(the )+the ', 'the ', 'g')"""
 
 
-@query("run_rewrite", f"SELECT doc_id, {_SETTLED_SQL} AS edited FROM documents")
+@query("run_rewrite", f"SELECT doc_id, {_SETTLED_SQL} AS edited, NULL::VARCHAR AS problem FROM documents")
 def run_rewrite(t: Tables) -> DataFrame:
-    return _run(t).select("doc_id", "edited")
+    return _run(t).select("doc_id", "edited", "problem")
 
 
 # Definition files have no scopes, so a file has one entry with a sentence per rule that hit it.
@@ -81,13 +80,14 @@ WITH e AS (SELECT source AS owner_dir, 'd' || doc_id || '.def' AS file,
                             CASE WHEN contains(text, 'the the ') THEN 'Drop blank.' END) AS text
            FROM documents WHERE regexp_matches(text, '[a-z]tion') OR contains(text, 'the the ')),
      l AS (SELECT *, '* ' || file || ': ' || CASE WHEN lag(text) OVER (PARTITION BY owner_dir ORDER BY file) = text
-                  THEN 'Likewise.' ELSE text END AS entry FROM e)
-SELECT owner_dir, '2026-01-01  A Writer  <writer@example.org>' || chr(10) || chr(10) || 'Made by a script.' || chr(10)
-       || string_agg(entry || chr(10), '' ORDER BY file) AS text FROM l GROUP BY owner_dir""")
+                  THEN 'Likewise.' ELSE text END AS entry FROM e),
+     n AS (SELECT *, (row_number() OVER (PARTITION BY owner_dir ORDER BY file) - 1) // 4096 AS part FROM l)
+SELECT owner_dir, part, CASE WHEN part = 0 THEN '2026-01-01  A Writer  <writer@example.org>' || chr(10) || chr(10)
+       || 'Made by a script.' || chr(10) ELSE '' END || string_agg(entry || chr(10), '' ORDER BY file) AS text
+FROM n GROUP BY owner_dir, part""")
 def run_log(t: Tables) -> DataFrame:
     header = L.header_line(F.lit("2026-01-01"), F.lit("A Writer"), F.lit("writer@example.org"))
     dirs = t.documents.select(F.col("source").alias("dir")).distinct()
+    # Each source is a folder, so no file is without owner.  The parts of a log, in order, are its text.
     logs, _ = P.change_logs(_run(t), "path", dirs, _RUN.phrases, header, F.lit("Made by a script."))
-    # The parts of a log, in order, are its text; these logs are short enough to show whole.
-    return logs.groupBy("owner_dir").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
-        F.struct("part", "text"))), lambda p: p["text"]), "").alias("text"))
+    return logs

@@ -38,28 +38,25 @@ _OWNED_SQL = f"""
 @query("l1_owners", f"""
 SELECT page_id, owner_dir, CASE WHEN owner_dir IS NULL THEN 'no owner folder' END AS problem FROM ({_OWNED_SQL})""")
 def owner_dirs(t: Tables):
-    good, bad = L.owners(_paths(t), "path", _dirs(t))
-    return good.unionByName(bad, allowMissingColumns=True).select("page_id", "owner_dir", "problem")
+    return L.owners(_paths(t), "path", _dirs(t)).select("page_id", "owner_dir", "problem")
 
 
 @query("l2_relative_paths", f"""
-SELECT page_id, owner_dir, substr(path, length(owner_dir) + 2) AS rel_path FROM ({_OWNED_SQL}) WHERE owner_dir IS NOT NULL""")
+SELECT page_id, owner_dir, substr(path, length(owner_dir) + 2) AS rel_path,
+       CASE WHEN owner_dir IS NULL THEN 'no owner folder' END AS problem FROM ({_OWNED_SQL})""")
 def relative_paths(t: Tables):
-    good, _ = L.owners(_paths(t), "path", _dirs(t))
-    return good.select("page_id", "owner_dir", "rel_path")
+    return L.owners(_paths(t), "path", _dirs(t)).select("page_id", "owner_dir", "rel_path", "problem")
 
 
 @query("l3_scope_texts", """
-SELECT conv_id, role, part, min(first_turn) OVER (PARTITION BY conv_id, role) AS first_ord, text, finished
-FROM (SELECT conv_id, role, turn // 4096 AS part, min(turn) AS first_turn,
-             string_agg(text, '  ' ORDER BY turn) AS text, bool_and(text LIKE '%.') AS finished
-      FROM conversations GROUP BY conv_id, role, turn // 4096)""")
+SELECT conv_id, role, min(turn) AS first_ord, string_agg(text, '  ' ORDER BY turn) AS text, bool_and(text LIKE '%.') AS finished
+FROM conversations GROUP BY conv_id, role""")
 def scope_texts(t: Tables):
     broken, _ = L.unfinished(F.col("text"))
-    texts = L.scope_texts(t.conversations, ["conv_id"], "role", "turn", "text")
-    checks = t.conversations.groupBy("conv_id", "role", ordered.chunk_of(F.col("turn"), 4096).alias("part")).agg(
-        (F.count_if(broken) == 0).alias("finished"))
-    return texts.join(checks, ["conv_id", "role", "part"])
+    parts = L.scope_texts(t.conversations, ["conv_id"], "role", "turn", "text")
+    texts = ordered.whole_texts(parts, ["conv_id", "role", "first_ord"], "text", "  ")
+    checks = t.conversations.groupBy("conv_id", "role").agg((F.count_if(broken) == 0).alias("finished"))
+    return texts.join(checks, ["conv_id", "role"])
 
 
 @query("l4_name_sentences", """
@@ -91,32 +88,29 @@ def entry_lines(t: Tables):
 
 
 @query("l8_directory_logs", """
-WITH p AS (SELECT source, doc_id // 4096 AS part,
-                  string_agg('(' || doc_id || '): ' || lang || '.', chr(10) ORDER BY doc_id) || chr(10) AS text
-           FROM documents GROUP BY ALL),
-     o AS (SELECT DISTINCT source, 'Old log of ' || source || '.' AS old_text FROM documents WHERE source LIKE 'src1%')
-SELECT source, part, CASE WHEN part = min(part) OVER (PARTITION BY source)
-       THEN '2026-01-01  A Writer  <writer@example.org>' || chr(10) || chr(10) || 'Made by a script.' || chr(10) || text
-       ELSE text END AS text FROM p
-UNION ALL
-SELECT source, max(part) + 1, chr(10) || any_value(old_text) FROM p JOIN o USING (source) GROUP BY source""")
+SELECT source, '2026-01-01  A Writer  <writer@example.org>' || chr(10) || chr(10) || 'Made by a script.' || chr(10)
+       || string_agg('(' || doc_id || '): ' || lang || '.', chr(10) ORDER BY doc_id) || chr(10)
+       || CASE WHEN source LIKE 'src1%' THEN chr(10) || 'Old log of ' || source || '.' ELSE '' END AS text
+FROM documents GROUP BY source""")
 def directory_logs(t: Tables):
     entries = t.documents.select("source", "doc_id", F.concat(
         F.lit("("), F.col("doc_id").cast("string"), F.lit("): "), F.col("lang"), F.lit(".")).alias("entry"))
     old = (t.documents.where(F.col("source").startswith("src1")).select("source").distinct()
            .withColumn("old_text", F.concat(F.lit("Old log of "), F.col("source"), F.lit("."))))
     header = L.header_line(F.lit("2026-01-01"), F.lit("A Writer"), F.lit("writer@example.org"))
-    return L.directory_logs(entries, "source", "doc_id", "entry", header, F.lit("Made by a script."), old)
+    parts = L.directory_logs(entries, "source", "doc_id", "entry", header, F.lit("Made by a script."), old)
+    return ordered.whole_texts(parts, ["source"], "text", "")
 
 
 @query("l9_log_entries", """
 WITH e AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS entry_at
            FROM conversations)
-SELECT conv_id, entry_at, (turn - entry_at) // 4096 AS part, max(CASE WHEN turn = entry_at THEN text END) AS header,
+SELECT conv_id, entry_at, max(CASE WHEN turn = entry_at THEN text END) AS header,
        coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (turn <> entry_at), '') AS body
 FROM e WHERE entry_at IS NOT NULL GROUP BY ALL""")
 def log_entries(t: Tables):
-    return L.log_entries(t.conversations, ["conv_id"], "turn", "text", F.col("role") == "user")
+    parts = L.log_entries(t.conversations, ["conv_id"], "turn", "text", F.col("role") == "user")
+    return ordered.whole_texts(parts, ["conv_id", "entry_at", "header"], "body", "\n")
 
 
 @query("l10_newest", """
@@ -170,14 +164,14 @@ WITH c AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION
            FROM conversations)
 SELECT conv_id, CASE WHEN opener IS NULL THEN 'leading' WHEN opener % 4 = 2 THEN 'conflicts' ELSE 'section' END AS kind,
        CASE WHEN opener IS NULL OR opener % 4 = 2 THEN '' ELSE 'turn' || (opener % 3) END AS section,
-       turn // 4096 AS part, string_agg(replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS text
+       string_agg(replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS text
 FROM c WHERE role <> 'user' GROUP BY ALL""")
 def sections(t: Tables):
     opener = F.when(F.col("turn") % 4 == 2, "Conflicts:").otherwise(
         F.concat(F.lit("turn"), (F.col("turn") % 3).cast("string"), F.lit("/")))
     lines = t.conversations.select("conv_id", "turn", F.when(F.col("role") == "user", opener).otherwise(
         F.replace("text", F.lit("\n"), F.lit(" "))).alias("line"))
-    return P.sections(lines, ["conv_id"], "turn", "line")
+    return ordered.whole_texts(P.sections(lines, ["conv_id"], "turn", "line"), ["conv_id", "kind", "section"], "text", "\n")
 
 
 _DIFF_SQL = """
@@ -272,8 +266,7 @@ def mail_matches(t: Tables):
     mails = heads.select(F.col("doc_id").alias("ord"), F.concat(
         F.when(F.col("lang") == "es", "Re: ").otherwise(""), F.lit("[PATCH "), F.col("doc_id").cast("string"),
         F.lit("/89] "), F.col("summary")).alias("subject"))
-    good, bad = P.match_mails(heads, mails, "doc_id", "summary", "subject", "ord", 89)
-    return good.unionByName(bad, allowMissingColumns=True).select(
+    return P.match_mails(heads, mails, "doc_id", "summary", "subject", "ord", 89).select(
         "doc_id", F.col("mail.ord").alias("first_doc"), "problem")
 
 
@@ -305,10 +298,10 @@ def absolute_urls(t: Tables):
                         T.absolute_url(F.col("url"), below).alias("from_folder"))
 
 
-@query("p12_annotations", """
+@query("p12_annotations", r"""
 SELECT conv_id, turn, concat_ws(chr(10), 'This corresponds to:', '  ' || role, '  https://example.org/' || conv_id,
   'from the original series', '', 'That earlier patch was approved by a reviewer:',
-  array_to_string(list_transform(string_split(text, chr(10)), lambda x: '> ' || trim(x)), chr(10)),
+  array_to_string(list_transform(string_split(text, chr(10)), lambda x: '> ' || regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10)),
   'in https://example.org/' || turn, '', '') || text AS body FROM conversations""")
 def annotations(t: Tables):
     site = F.lit("https://example.org/")

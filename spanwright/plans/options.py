@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import quality
 from ..operators import records as O
 from ..sources import scan
 
@@ -19,18 +20,20 @@ class OptionCatalogue:
     problems: DataFrame
 
 
-def catalogue(files: DataFrame, strict_eof: bool = False) -> OptionCatalogue:
+def catalogue(files: DataFrame, strict_eof: bool = False, part_rows: int = 1 << 16) -> OptionCatalogue:
     """Option files ``path, text`` as tables."""
     lines = scan.lines(files, ["path"], "text")
-    tagged = O.with_tag(O.records(lines, ["path"], "line_no", "line", strict_eof))
-    sound = tagged.where("problem IS NULL").drop("problem")
-    options, two_kinds = O.options(sound.where("tag = 'option'").drop("tag"))
+    parts = O.records(lines, ["path"], "line_no", "line", strict_eof, part_rows)
+    tagged = O.with_tag(O.whole_records(parts, ["path"]))
+    sound = quality.sound(tagged)
+    checked = O.options(sound.where("tag = 'option'").drop("tag"))
+    options = quality.sound(checked)
     declared = O.with_declaration(sound.where("tag = 'variable'").withColumn(
         "line", F.element_at("lines", 2)), "line")
     variables = declared.where("name IS NOT NULL").select("path", "record", "type_", "name")
     columns = ["path", "record", "problem"]
     problems = (tagged.where("problem IS NOT NULL").select(*columns)
-                .union(two_kinds.select(*columns))
+                .union(checked.where("problem IS NOT NULL").select(*columns))
                 .union(declared.where("name IS NULL").withColumn(
                     "problem", F.lit("a declaration needs a type and a name")).select(*columns)))
     names = O.names(options.select(F.col("var").alias("name")), variables, "name")

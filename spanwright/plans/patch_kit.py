@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts as T
 from ..operators import patches as P
+from ..operators import quality
 from ..operators.changelog import owners
 from ..sources import scan
 
@@ -21,8 +22,8 @@ def annotate(patches: DataFrame, mails: DataFrame, approvals: DataFrame, index_u
     parsed = P.with_subject(scan.mail_parts(patches, "content"), "subject")
     for part in skip:
         parsed = parsed.where(~F.coalesce(F.col("subject").contains(part), F.lit(False)))
-    matched, unmatched = P.match_mails(parsed, mails, "path", "summary", "subject", "ord", total)
-    keyed = matched.withColumn("mail_subject", F.col("mail.subject"))
+    mailed = P.match_mails(parsed, mails, "path", "summary", "subject", "ord", total)
+    keyed = quality.sound(mailed).withColumn("mail_subject", F.col("mail.subject"))
     table = approvals.select(F.col("subject").alias("mail_subject"), F.col("url").alias("approval_url"),
                              F.col("text").alias("approval"))
     known = P.with_lookup(keyed, table, ["mail_subject"], ["approval_url", "approval"], ["path"])
@@ -32,7 +33,7 @@ def annotate(patches: DataFrame, mails: DataFrame, approvals: DataFrame, index_u
         "path", "subject", "patch_no", "summary",
         F.concat(F.col("headers"), F.lit("\n\n"), message, F.coalesce("body", F.lit(""))).alias("content"))
     columns = ["path", "subject", "problem"]
-    return done, known.where("problem IS NOT NULL").select(*columns).union(unmatched.select(*columns))
+    return done, known.where("problem IS NOT NULL").select(*columns).union(mailed.where("problem IS NOT NULL").select(*columns))
 
 
 def log_sections(patches: DataFrame) -> DataFrame:
@@ -55,7 +56,6 @@ def draft(diffs: DataFrame, dirs: DataFrame, keep_repeats: bool = False) -> Data
              .groupBy("diff_id", "block", "path").agg(F.min("line_no").alias("line_no"), F.max("status").alias("status")))
     rows = files.withColumn("scope", F.lit(None).cast("string")).unionByName(
         hunks.select("diff_id", "block", "path", "line_no", "status", "scope"))
-    owned, homeless = owners(rows, "path", dirs)
-    placed = owned.unionByName(homeless.drop("problem"))
+    placed = owners(rows, "path", dirs).drop("problem")
     return placed.withColumn("status_text", F.when(F.col("scope").isNull(), P.status_text(
         F.col("status"), F.col("path")))).orderBy("diff_id", "line_no")

@@ -16,15 +16,15 @@ _BLANKS_SQL = """
 
 
 @query("o1_records", f"""
-SELECT user_id, coalesce(blank, -1) AS record, (event_id - coalesce(blank, -1) - 1) // 65536 AS part,
+SELECT user_id, coalesce(blank, -1) AS record,
        string_agg(event_type, '|' ORDER BY event_id) AS joined
 FROM ({_BLANKS_SQL}) WHERE event_type <> 'error' GROUP BY ALL""")
 def records(t: Tables):
     line = (F.when(F.col("event_type") == "error", "  ").when(F.col("event_type") == "signup", "; comment only")
             .otherwise(F.concat(F.col("event_type"), F.when(F.col("event_id") % 2 == 0, ";note  ").otherwise(" "))))
     lines = t.events.select("user_id", "event_id", line.alias("line"))
-    return O.records(lines, ["user_id"], "event_id", "line").select(
-        "user_id", "record", "part", F.array_join("lines", "|").alias("joined"))
+    return O.whole_records(O.records(lines, ["user_id"], "event_id", "line"), ["user_id"]).select(
+        "user_id", "record", F.array_join("lines", "|").alias("joined"))
 
 
 @query("o1_strict_records", f"""
@@ -71,8 +71,7 @@ def options(t: Tables):
         word(k % 7 != 0, F.lit("Var(flag_"), s, F.lit(", 0)")), word(k % 4 == 0, F.lit("Init("), s, F.lit(" + (1))")))
     lines = F.array(F.concat(F.lit("-f"), F.col("event_type"), F.lit("=")), props,
                     F.concat(F.lit("Help "), F.col("event_type")), F.lit("more"))
-    good, bad = O.options(t.events.select("event_id", lines.alias("lines")))
-    return good.unionByName(bad, allowMissingColumns=True).drop("lines")
+    return O.options(t.events.select("event_id", lines.alias("lines"))).drop("lines")
 
 
 @query("o4_declarations", """
@@ -174,9 +173,8 @@ def classify(t: Tables):
         F.concat(F.substring_index("p_name", " ", 1), F.lit("_")).alias("prefix"))
     longer = t.part.where("p_name LIKE 'small%'").select(
         F.substring(name, F.lit(1), F.instr("p_name", " ") + 1).alias("prefix"))
-    good, bad = A.classify(t.part.select("p_partkey", name.alias("symbol")), "symbol",
-                           first.union(longer), "prefix", ["hot_"])
-    return good.unionByName(bad, allowMissingColumns=True).drop("symbol")
+    return A.classify(t.part.select("p_partkey", name.alias("symbol")), "symbol",
+                      first.union(longer), "prefix", ["hot_"]).drop("symbol")
 
 
 @query("a7_without_const", """
@@ -280,8 +278,7 @@ def descendants(t: Tables):
 SELECT c_custkey, ancestor FROM customer JOIN ({_CLOSURE_SQL}) ON node = 'N' || c_nationkey""")
 def castable(t: Tables):
     codes = t.customer.select("c_custkey", F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("struct"))
-    inner = _edges(t).where(~F.col("child").startswith("C"))
-    return A.castable(codes, A.closure(inner), "struct", "c_custkey").select("c_custkey", "ancestor")
+    return A.castable(codes, A.closure(_edges(t)), "struct", "c_custkey").select("c_custkey", "ancestor")
 
 
 @query("a17_names", """
@@ -308,14 +305,17 @@ _FIELD_SQL = r"""CASE WHEN len(f) = 3 THEN array_to_string(list_transform(string
 
 
 @query("a18_initializers", f"""
-WITH f AS (SELECT doc_id, string_split(split_part(text, '.', 1), ',') AS f FROM documents)
-SELECT doc_id, {_FIELD_SQL.format(1)} AS kind, {_FIELD_SQL.format(2)} AS name, {_FIELD_SQL.format(3)} AS gate,
+WITH s AS (SELECT doc_id, unnest(string_split(text, '.')) AS sentence,
+                  generate_subscripts(string_split(text, '.'), 1)::BIGINT - 1 AS nth FROM documents),
+     g AS (SELECT doc_id, nth, string_split(sentence, ',') AS f FROM s),
+     f AS (SELECT doc_id, nth, CASE WHEN len(f) = 4 AND regexp_matches(f[4], '^\\s*$') THEN f[:3] ELSE f END AS f FROM g)
+SELECT doc_id, nth, {_FIELD_SQL.format(1)} AS kind, {_FIELD_SQL.format(2)} AS name, {_FIELD_SQL.format(3)} AS gate,
        CASE WHEN len(f) <> 3 THEN 'wrong number of fields' END AS problem FROM f""")
 def initializers(t: Tables):
     names_ = ["kind", "name", "gate"]
-    sentence = F.substring_index("text", ".", 1)
-    good, bad = A.initializers(t.documents.select("doc_id", sentence.alias("fields")), "fields", names_)
-    return good.unionByName(bad, allowMissingColumns=True).select("doc_id", *names_, "problem")
+    sentences = S.unnest(t.spread("documents"), ["doc_id"], F.split("text", "[.]", -1), "fields", "nth")
+    return A.initializers(sentences, "fields", names_).select(
+        "doc_id", F.col("nth").cast("bigint").alias("nth"), *names_, "problem")
 
 
 @query("a19_flag_counts", r"""
@@ -327,10 +327,12 @@ def flag_counts(t: Tables):
     return A.flag_counts(t.pages.where(F.col("url").contains("?")).select(field.alias("field")), "field")
 
 
-@query("a19_null_test", "SELECT page_id, url LIKE '%?%' AS has_query FROM pages")
+@query("a19_null_test", """
+SELECT doc_id, coalesce(quality, 0) <> 0 AS has_quality, coalesce(toxic, 0) <> 0 AS has_toxic FROM labels""")
 def null_test(t: Tables):
-    field = F.when(F.col("url").contains("?"), "url_query").when(F.col("page_id") % 2 == 0, "NULL").otherwise("0")
-    return t.pages.select("page_id", A.has_value(field).alias("has_query"))
+    field = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("NULL"))
+    return t.labels.select("doc_id", A.has_value(field("quality")).alias("has_quality"),
+                           A.has_value(field("toxic")).alias("has_toxic"))
 
 
 @query("a20_repeated", """

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import spans as S
+from ..functions import texts as T
 from ..operators import changelog as L
 from ..operators import context as C
 from ..operators import match as M
-from ..operators import ordered
+from ..operators import ordered, quality
 from ..operators import rewrite as R
 
 Guard = Callable[[Column], Column]
@@ -62,6 +63,7 @@ class Refactoring:
     reject: list[Guard] = field(default_factory=list)
     skip_comments: bool = True
     skip_strings: bool = True
+    once: bool = False
 
     def guards(self, path: str) -> list[Guard]:
         found: list[Guard] = list(self.reject)
@@ -78,7 +80,7 @@ class Refactoring:
 
 
 def _line_in(lines: list[str]) -> Guard:
-    return lambda m: F.trim(m["line"]).isin(lines)
+    return lambda m: T.stripped(m["line"]).isin(lines)
 
 
 def _names(templates: list[R.Template]) -> list[str]:
@@ -108,23 +110,24 @@ SYMTAB = Refactoring(
     said("Update for conversion of symtab types to a true class hierarchy.", ["member", "cast"]),
     reject=[lambda m: (m["rule"] == "cast") & (_line_in(rules.SYMTAB_NEEDED_CASTS)(m)
                                                | M.line_has(m, "(intptr_t)"))],
-    skip_comments=False, skip_strings=False)
+    skip_comments=False, skip_strings=False, once=True)
 RENAMED_SYMTAB = said("Rename symtab_node_base to symtab_node.", ["rename"])
 RENAMED_STATEMENTS = said('Replace "gimple" typedef with "gimple *".', ["rename"])
 RENAMED_CLASSES = said("Rename gimple subclass types.", ["rename"])
 WRAPPED_OPTIONS = said("Wrap option usage in GCC_OPTION macro.", [])
 
 
-def refactor(corpus: DataFrame, path: str, text: str, what: Refactoring) -> tuple[DataFrame, DataFrame]:
-    """Texts with ``edited`` and ``hits``; texts that do not settle set apart."""
+def refactor(corpus: DataFrame, path: str, text: str, what: Refactoring) -> DataFrame:
+    """Texts with ``edited`` and ``hits``, and ``problem``."""
     candidates = F.lit(False)
     for rule in what.rules:
         candidates = candidates | F.col(text).rlike(rule.pattern)
     empty = F.array().cast("array<struct<scope:string,rule:string>>")
-    untouched = (corpus.where(~candidates).withColumn("edited", F.col(text)).withColumn("hits", empty))
-    good, bad = R.rewrite_guarded(corpus.where(candidates), path, text, what.rules,
-                                  locate(path, "edited", what.skip_comments, what.skip_strings), what.guards(path))
-    return good.unionByName(untouched), bad
+    untouched = (corpus.where(~F.coalesce(candidates, F.lit(False))).withColumn("edited", F.col(text))
+                 .withColumn("hits", empty).withColumn("problem", F.lit(None).cast("string")))
+    done = R.rewrite_guarded(corpus.where(candidates), path, text, what.rules,
+                             locate(path, "edited", what.skip_comments, what.skip_strings), what.guards(path), what.once)
+    return done.unionByName(untouched)
 
 
 def rename_once(corpus: DataFrame, path: str, text: str, names: dict[str, str], not_after: str = "",
@@ -179,7 +182,8 @@ SCOPE_ORDERS = {
 
 def change_logs(edited: DataFrame, path: str, dirs: DataFrame, phrases: list[Phrase],
                 header: Column, intro: Column, scope_order: str = "last") -> tuple[DataFrame, DataFrame]:
-    """Logs per owner folder from texts with ``hits``, and files without owner.
+    """Logs per owner folder, in parts, from texts with ``hits``, and the
+    entries of files without owner.
 
     Scopes of a file appear by their first or last hit, with a sentence for
     each kind of rule that hit them; a text repeated in the folder is
@@ -199,8 +203,9 @@ def change_logs(edited: DataFrame, path: str, dirs: DataFrame, phrases: list[Phr
         SCOPE_ORDERS[scope_order]().alias("place"))
     entries = texts.join(places, (F.col(path) == F.col("__path")) & F.col("scope").eqNullSafe(F.col("__scope"))
                          ).drop("__path", "__scope")
-    owned, homeless = L.owners(entries, path, dirs)
-    numbered = ordered.dense_order(owned, ["owner_dir", path, "place", "scope"], "ord")
+    placed = L.owners(entries, path, dirs)
+    homeless = placed.where("problem IS NOT NULL")
+    numbered = ordered.dense_order(quality.sound(placed), ["owner_dir", path, "place", "scope"], "ord")
     short = L.likewise(numbered, ["owner_dir"], "ord", "text")
     lines = L.entry_lines(short, ["owner_dir"], "rel_path", "scope", "ord", "short")
     return L.directory_logs(lines, "owner_dir", "ord", "entry", header, intro), homeless

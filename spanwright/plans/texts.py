@@ -306,8 +306,7 @@ def fixed_scopes(t: Tables):
     fixes = t.spark.createDataFrame([("en", "src1", "english"), ("fr", "src2", None), ("es", "src3", "spanish")],
                                     "scope string, path string, fixed string")
     df = t.documents.select("doc_id", "source", F.col("lang").alias("scope"))
-    good, bad = C.fixed_scopes(df, "scope", "source", fixes, ["es"])
-    return good.unionByName(bad, allowMissingColumns=True).select("doc_id", "source", "scope", "problem")
+    return C.fixed_scopes(df, "scope", "source", fixes, ["es"]).select("doc_id", "source", "scope", "problem")
 
 
 @query("r1_rename", r"""
@@ -355,12 +354,16 @@ def wrap(t: Tables):
     return once.withColumn("idempotent", R.wrap_identifiers(F.col("wrapped"), names, "OPT") == F.col("wrapped"))
 
 
-@query("r5_apply_edits", """SELECT doc_id, replace(text, 'tion', '<TI>') AS edited FROM documents""")
+# Every hundredth text has an edit too many, which overlaps the others or leaves the text.
+@query("r5_apply_edits", """
+SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN text ELSE replace(text, 'tion', '<TI>') END AS edited,
+       CASE WHEN doc_id % 100 = 7 THEN 'edits overlap or leave the text' END AS problem FROM documents""")
 def apply_edits(t: Tables):
     docs = t.spread("documents").select("doc_id", "text")
     edits = M.matches(docs, "text", "tion", ["doc_id"]).select("doc_id", "start", "end", F.lit("<TI>").alias("repl"))
-    good, _ = R.apply_edits(docs, "doc_id", "text", edits)
-    return good.select("doc_id", "edited")
+    beyond = docs.where("doc_id % 100 = 7").select("doc_id", F.length("text").cast("bigint").alias("start"), (
+        F.length("text") + 1).cast("bigint").alias("end"), F.lit("").alias("repl"))
+    return R.apply_edits(docs, "doc_id", "text", edits.unionByName(beyond)).select("doc_id", "edited", "problem")
 
 
 @query("r6_touched_lines", f"""

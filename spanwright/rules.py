@@ -97,7 +97,7 @@ SYMTAB_RENAMES = {
     "const_symtab_node": "const symtab_node *",
 }
 SYMTAB_MEMBER = Template("member", r"->(?:symbol\.)(?=\S)", "->")
-SYMTAB_CAST = Template("cast", r"\(symtab_node\)(?!;| ?\(void \*\))(?=.) ?", "")
+SYMTAB_CAST = Template("cast", r"\(symtab_node\)(?!;| ?\(void \*\))(?=[^;]) ?", "")
 # Lines whose cast is needed.
 SYMTAB_NEEDED_CASTS = [
     "ipa_record_reference ((symtab_node)data,",
@@ -194,34 +194,34 @@ OPTION_PLACES = {"TARGET_ACCUMULATE_OUTGOING_ARGS": "config/sh/"}
 OPTION_EXEMPT_FILES = ["gcc-interface/misc.c"]
 
 # Accessors that stay as they are.
-EXEMPT_ACCESSORS = """
-gimple_assign_cast_p gimple_assign_copy_p gimple_assign_load_p gimple_assign_single_p
-gimple_assign_ssa_name_copy_p gimple_assign_unary_nop_p gimple_bb gimple_block
-gimple_clobber_p gimple_code gimple_copy gimple_could_trap_p_1 gimple_could_trap_p
-gimple_debug_bind_p gimple_debug_source_bind_p gimple_do_not_emit_location_p gimple_expr_code
-gimple_expr_type gimple_filename gimple_get_lhs gimple_has_lhs gimple_has_location
-gimple_has_mem_ops gimple_has_ops gimple_has_side_effects gimple_has_substatements
-gimple_has_volatile_ops gimple_in_transaction gimple_init_singleton gimple_lineno
-gimple_location gimple_location_ptr gimple_location_safe gimple_modified_p gimple_no_warning_p
-gimple_nop_p gimple_num_ops gimple_op gimple_op_ptr gimple_ops gimple_plf
-gimple_references_memory_p gimple_set_bb gimple_set_block gimple_set_do_not_emit_location
-gimple_set_has_volatile_ops gimple_set_lhs gimple_set_location gimple_set_modified
-gimple_set_no_warning gimple_set_num_ops gimple_set_op gimple_set_plf gimple_set_uid
-gimple_set_use_ops gimple_set_vdef gimple_set_visited gimple_set_vuse
-gimple_statement_structure gimple_stmt_max_uid gimple_store_p gimple_uid gimple_use_ops
-gimple_vdef gimple_vdef_ptr gimple_visited_p gimple_vuse gimple_vuse_ptr
-""".split()
+EXEMPT_ACCESSORS = [
+    "gimple_assign_cast_p", "gimple_assign_copy_p", "gimple_assign_load_p", "gimple_assign_single_p",
+    "gimple_assign_ssa_name_copy_p", "gimple_assign_unary_nop_p", "gimple_bb", "gimple_block",
+    "gimple_clobber_p", "gimple_code", "gimple_copy", "gimple_could_trap_p_1", "gimple_could_trap_p",
+    "gimple_debug_bind_p", "gimple_debug_source_bind_p", "gimple_do_not_emit_location_p", "gimple_expr_code",
+    "gimple_expr_type", "gimple_filename", "gimple_get_lhs", "gimple_has_lhs", "gimple_has_location",
+    "gimple_has_mem_ops", "gimple_has_ops", "gimple_has_side_effects", "gimple_has_substatements",
+    "gimple_has_volatile_ops", "gimple_in_transaction", "gimple_init_singleton", "gimple_lineno",
+    "gimple_location", "gimple_location_ptr", "gimple_location_safe", "gimple_modified_p",
+    "gimple_no_warning_p", "gimple_nop_p", "gimple_num_ops", "gimple_op", "gimple_op_ptr", "gimple_ops",
+    "gimple_plf", "gimple_references_memory_p", "gimple_set_bb", "gimple_set_block",
+    "gimple_set_do_not_emit_location", "gimple_set_has_volatile_ops", "gimple_set_lhs", "gimple_set_location",
+    "gimple_set_modified", "gimple_set_no_warning", "gimple_set_num_ops", "gimple_set_op", "gimple_set_plf",
+    "gimple_set_uid", "gimple_set_use_ops", "gimple_set_vdef", "gimple_set_visited", "gimple_set_vuse",
+    "gimple_statement_structure", "gimple_stmt_max_uid", "gimple_store_p", "gimple_uid", "gimple_use_ops",
+    "gimple_vdef", "gimple_vdef_ptr", "gimple_visited_p", "gimple_vuse", "gimple_vuse_ptr",
+]
 
 # Passes with more than one instance.
-MULTI_INSTANCE_PASSES = """
-pass_asan pass_ccp pass_cd_dce pass_cleanup_eh pass_copy_prop pass_dce pass_dce_loop
-pass_dominator pass_dse pass_fixup_cfg pass_fold_builtins pass_forwprop pass_fre
-pass_inline_parameters pass_late_warn_uninitialized pass_lim pass_local_pure_const
-pass_lower_complex pass_lower_vector_ssa pass_merge_phi pass_object_sizes pass_phi_only_cprop
-pass_phiopt pass_reassoc pass_rebuild_cgraph_edges pass_remove_cgraph_callee_edges
-pass_rename_ssa_copies pass_rtl_cprop pass_strip_predict_hints pass_tail_recursion pass_tsan
-pass_uncprop pass_vrp
-""".split()
+MULTI_INSTANCE_PASSES = [
+    "pass_asan", "pass_ccp", "pass_cd_dce", "pass_cleanup_eh", "pass_copy_prop", "pass_dce", "pass_dce_loop",
+    "pass_dominator", "pass_dse", "pass_fixup_cfg", "pass_fold_builtins", "pass_forwprop", "pass_fre",
+    "pass_inline_parameters", "pass_late_warn_uninitialized", "pass_lim", "pass_local_pure_const",
+    "pass_lower_complex", "pass_lower_vector_ssa", "pass_merge_phi", "pass_object_sizes",
+    "pass_phi_only_cprop", "pass_phiopt", "pass_reassoc", "pass_rebuild_cgraph_edges",
+    "pass_remove_cgraph_callee_edges", "pass_rename_ssa_copies", "pass_rtl_cprop", "pass_strip_predict_hints",
+    "pass_tail_recursion", "pass_tsan", "pass_uncprop", "pass_vrp",
+]
 
 # Fields of a pass initializer, and those with one legal value.
 PASS_FIELDS = ["type", "name", "optinfo_flags", "gate", "execute", "sub", "next", "static_pass_number",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def has_suffix(path: Column, suffixes, skipped=(), pruned=()) -> Column:
     for s in skipped:
         keep = keep & ~path.endswith(s)
     for folder in pruned:
-        keep = keep & ~path.contains(f"/{folder}/")
+        keep = keep & ~path.rlike(f"(^|/){re.escape(folder)}/")
     return keep
 
 
@@ -125,9 +127,10 @@ def write_named(df: DataFrame, path: str, text: str, folder: str) -> None:
 
 def write_logs(parts: DataFrame, owner: str, folder: str) -> None:
     """Logs as text, one folder per owner.  Parts are range-sorted, so a long
-    log spreads over files whose names keep its order."""
+    log spreads over files whose names keep its order.  The writer ends each
+    part with a newline, so the one that a part has goes."""
     (parts.repartitionByRange(owner, "part").sortWithinPartitions(owner, "part")
-     .select(owner, "text").write.mode("errorifexists").partitionBy(owner).text(folder))
+     .select(owner, F.regexp_replace("text", r"\n\z", "").alias("text")).write.mode("errorifexists").partitionBy(owner).text(folder))
 
 
 def load_lookup(df: DataFrame, members: str, values: list[str], key: str) -> DataFrame:

@@ -91,7 +91,8 @@ def test_scopes_of_c(spark):
 def test_scope_fixes(spark):
     df = spark.createDataFrame([("equal", "gimplify.c"), ("equal", "other.c"), ("Copyright", "coretypes.h"), ("fine", "a.c")],
                                "scope string, path string")
-    good, bad = C.fixed_scopes(df, "scope", "path", rules.scope_fixes(spark), rules.SCOPES_DENIED)
+    fixed = C.fixed_scopes(df, "scope", "path", rules.scope_fixes(spark), rules.SCOPES_DENIED)
+    good, bad = fixed.where("problem IS NULL"), fixed.where("problem IS NOT NULL")
     assert {(r.path, r.scope) for r in good.collect()} == {
         ("gimplify.c", "struct gimplify_ctx"), ("coretypes.h", None), ("a.c", "fine")}
     assert [r.path for r in bad.collect()] == ["other.c"]

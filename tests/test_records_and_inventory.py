@@ -50,7 +50,8 @@ def test_records_are_cut_at_blank_lines(spark):
 def test_options_and_variables(spark):
     tagged = O.with_tag(option_records(spark))
     assert tagged.where("problem IS NOT NULL").count() == 0
-    good, bad = O.options(tagged.where("tag = 'option'").drop("tag", "problem"))
+    found = O.options(tagged.where("tag = 'option'").drop("tag", "problem"))
+    good, bad = found.where("problem IS NULL"), found.where("problem IS NOT NULL")
     rows = {r.name: r for r in good.collect()}
     fast = rows["fast"]
     assert (fast.availability, fast.kind, fast.driver, fast.report, fast["var"], fast.init, fast.helptext) == (
@@ -119,10 +120,17 @@ def test_hierarchy(spark):
     assert [r.code for r in cast] == ["C2", "C3"]
 
 
-def test_a_cycle_is_an_error(spark):
-    edges = spark.createDataFrame([("a", "b"), ("b", "a")], "child string, parent string")
-    with pytest.raises(ValueError):
-        A.closure(edges, max_depth=5)
+def test_a_cycle_ends(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("c", "c")], "child string, parent string")
+    assert {(r.node, r.ancestor, r.depth) for r in A.closure(edges).collect()} == {
+        ("a", "a", 0), ("b", "b", 0), ("c", "c", 0), ("a", "b", 1), ("b", "a", 1), ("c", "a", 1), ("c", "b", 2)}
+
+
+def test_a_deep_chain_is_closed(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(100)], "child string, parent string")
+    closed = A.closure(edges)
+    assert closed.count() == 101 * 102 // 2
+    assert closed.where("node = 'n0' AND ancestor = 'n100'").first().depth == 100
 
 
 INITIALIZER = """static struct gimple_opt_pass pass_one =
@@ -153,7 +161,8 @@ def test_initializers(spark):
     odd = INITIALIZER.replace("  NULL,\n  NULL,", "  sub,\n  NULL,").replace("pass_one", "pass_three")
     df = spark.createDataFrame([(INITIALIZER + short + odd,)], "text string")
     found = A.catalogue(df, [], "text", rules.PASS_INITIALIZER, ["static", "passkind", "passname", "fields"])
-    good, bad = A.initializers(found, "fields", rules.PASS_FIELDS, rules.PASS_FIXED)
+    parsed = A.initializers(found, "fields", rules.PASS_FIELDS, rules.PASS_FIXED)
+    good, bad = parsed.where("problem IS NULL"), parsed.where("problem IS NOT NULL")
     rows = good.collect()
     assert [r.passname for r in rows] == ["pass_one"]
     assert (rows[0]["name"], rows[0].optinfo_flags, rows[0].todo_flags_finish) == (
@@ -166,6 +175,12 @@ def test_initializers(spark):
     assert counts == {"TODO_a": 1, "TODO_b": 1}
 
 
+def test_extra_fields_leave_out_empty_ones(spark):
+    df = spark.createDataFrame([("a,,b",), ("a, ,b,",), ("a,b,c",)], "fields string")
+    rows = A.initializers(df, "fields", ["x", "y"], drop_empty=True).collect()
+    assert [(r.x, r.y, r.problem) for r in rows] == [("a", "b", None), ("a", "b", None), (None, None, "wrong number of fields")]
+
+
 def test_declarations(spark):
     lines = ["tree gimple_a (const_gimple gs, unsigned int *n, bool);", "gimple_b (FILE *, const char *,", "static gimple_c (x);", "static inline tree gimple_d (x);"]
     df = spark.createDataFrame([(l,) for l in lines], "line string")
@@ -217,7 +232,8 @@ def test_names(spark):
 def test_longest_prefix_wins(spark):
     df = spark.createDataFrame([("omp_task_x",), ("omp_taskgroup_x",), ("gimple_omp_y",), ("zzz",)], "symbol string")
     prefixes = spark.createDataFrame([("omp_",), ("omp_task_",), ("omp_taskgroup_",)], "prefix string")
-    good, bad = A.classify(df, "symbol", prefixes, "prefix", ["gimple_omp_"])
+    found = A.classify(df, "symbol", prefixes, "prefix", ["gimple_omp_"])
+    good, bad = found.where("problem IS NULL"), found.where("problem IS NOT NULL")
     assert {r.symbol: r.prefix for r in good.collect()} == {
         "omp_task_x": "omp_task_", "omp_taskgroup_x": "omp_taskgroup_", "gimple_omp_y": "gimple_omp_"}
     assert [r.symbol for r in bad.collect()] == ["zzz"]
@@ -275,3 +291,16 @@ def test_constructor_fields(spark):
         "generate_one", "NULL", "transform_one", "NULL")
     flags = found.select(A.has_value(A.constructor_fields(F.col("ctor"), rules.SUMMARY_FIELDS)["stmt_fixup"]).alias("h")).first()
     assert flags.h is False
+    odd = df.select(F.lit("x\ny\n{},{},{}").alias("c")).select(A.constructor_fields(F.col("c"), ["a", "b", "c"]).alias("f")).first().f
+    assert (odd.a, odd.b, odd.c) == ("{}", "{}", "NULL")
+
+
+def test_catalogue_does_not_depend_on_the_parts(spark):
+    from spanwright.plans.options import catalogue
+    text = "Wfoo\nCommon Var(flag_foo)\nhelp a\nhelp b\nhelp c\n\nVariable\nint x\n"
+    out = []
+    for rows in (2, 4096):
+        found = catalogue(spark.createDataFrame([("a.opt", text)], "path string, text string"), part_rows=rows)
+        out.append(([(r["name"], r["helptext"]) for r in found.options.collect()],
+                    sorted(r["name"] for r in found.names.collect()), found.problems.count()))
+    assert out[0] == out[1] == ([("Wfoo", "help a\nhelp b\nhelp c")], ["flag_foo", "x"], 0)

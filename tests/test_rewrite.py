@@ -44,6 +44,26 @@ def test_templates_reach_nested_uses(spark):
         ("get_one (get_one (get_one (a)))", 3, True), ("none", 0, True)]
 
 
+def test_templates_reach_any_depth(spark):
+    rule = [R.Template("f", r"g \((.+)\)", "f ({1})", 1)]
+    deep = "g (" * 100 + "x" + ")" * 100
+    r = R.expand_templates(frame(spark, [deep]), "text", rule).first()
+    assert (r.expanded, r.passes, r.settled) == (deep.replace("g", "f"), 100, True)
+
+
+def test_long_rule_lists(spark):
+    names = {f"n{i}": f"m{i} *" for i in range(500)}
+    out = frame(spark, ["n1 x n499; n500 n1"]).select(R.rename_identifiers(F.col("text"), names).alias("o")).first().o
+    assert out == "m1 *x m499 *; n500 m1 *"
+
+
+def test_odd_rule_tables_give_the_same_on_both_sides(spark):
+    table = spark.createDataFrame([("a", "z"), ("a", "y"), (None, "q"), ("b", None)], "old string, new string")
+    df = frame(spark, ["a b c"])
+    for size in (R.INLINE_BYTES, 0):
+        assert R.rename_by_table(df, "id", "text", table, inline_bytes=size).first().renamed == "y b c"
+
+
 def test_templates_that_do_not_settle_are_marked(spark):
     rule = [R.Template("grow", "a", "aa")]
     r = R.expand_templates(frame(spark, ["a"]), "text", rule, max_passes=3).first()
@@ -68,9 +88,9 @@ def test_overlapping_edits_are_set_apart(spark):
     texts = frame(spark, ["abcdef", "abcdef", "abcdef", "abc"])
     edits = spark.createDataFrame([(0, 1, 2, "X"), (0, 3, 5, ""), (0, 3, 5, ""), (1, 0, 3, "Y"), (1, 2, 4, "Z"), (3, 2, 9, "")],
                                   "id int, start bigint, end bigint, repl string")
-    good, bad = R.apply_edits(texts, "id", "text", edits)
-    assert {r.id: r.edited for r in good.collect()} == {0: "aXcf", 2: "abcdef"}
-    assert sorted(r.id for r in bad.collect()) == [1, 3]
+    rows = R.apply_edits(texts, "id", "text", edits).collect()
+    assert {r.id: r.edited for r in rows} == {0: "aXcf", 1: "abcdef", 2: "abcdef", 3: "abc"}
+    assert sorted(r.id for r in rows if r.problem) == [1, 3]
 
 
 def touched(text, edits):
@@ -117,7 +137,7 @@ def test_long_lines_count_tabs(spark):
 
 
 def test_excluded_lines(spark):
-    found = spark.createDataFrame([(1, "  keep me;"), (2, "  drop me;  ")], "id int, line string")
+    found = spark.createDataFrame([(1, "  keep me;"), (2, "  drop me;  "), (3, "\tdrop me;")], "id int, line string")
     listed = spark.createDataFrame([("drop me;",)], "line string")
     assert [r.id for r in M.drop_excluded_lines(found, listed).collect()] == [1]
 
