@@ -93,14 +93,14 @@ def parse(data: bytes) -> Model:
             norm = dict(_fields(value))
             model.charsmap = norm.get(2, b"")
             model.dummy_prefix, model.squeeze, model.escape = (bool(norm.get(k, 1)) for k in (3, 4, 5))
-    if model.kind not in (UNIGRAM, BPE) or model.suffix:
-        raise ValueError("only unigram and BPE models with a leading mark are supported")
+    if model.kind not in (UNIGRAM, BPE) or model.suffix or any(k == USER for _, _, k in model.pieces):
+        raise ValueError("only unigram and BPE models with a leading mark and without pieces of the user are supported")
     return model
 
 
 def merges(model: Model) -> list[tuple[str, str]]:
     """Pairs of pieces that make a piece, best score first."""
-    rank = {text: i for i, (text, _, kind) in enumerate(model.pieces) if kind in (NORMAL, USER)}
+    rank = {text: i for i, (text, _, kind) in enumerate(model.pieces) if kind == NORMAL}
     found = []
     for text, score, kind in model.pieces:
         if kind == NORMAL:
@@ -114,12 +114,13 @@ def merges(model: Model) -> list[tuple[str, str]]:
 
 def rebuild(model: Model):
     """A tokenizers pipeline with the ids of the model."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
     texts = [text for text, _, _ in model.pieces]
     if model.kind == UNIGRAM:
-        # Special and byte pieces can't be read from a text: their scores are out of reach.
-        low = min((s for _, s, k in model.pieces if k == NORMAL), default=0.0) - 1000.0
-        core = models.Unigram([(t, s if k in (NORMAL, USER) else low) for t, s, k in model.pieces],
+        # Special pieces can't be read from a text: as blanks become marks, none has these names.
+        # The least score counts for unknown characters, so the others have it too.
+        low = min((s for _, s, k in model.pieces if k == NORMAL), default=0.0)
+        core = models.Unigram([(t if k in (NORMAL, BYTE) else f" {t}", s if k == NORMAL else low) for t, s, k in model.pieces],
                               model.unknown, model.byte_fallback)
     else:
         core = models.BPE(vocab={t: i for i, t in enumerate(texts)}, merges=merges(model),
@@ -137,9 +138,6 @@ def rebuild(model: Model):
         # No piece has a mark after another character, so none spans a cut before
         # a run of marks: cutting there changes no result and lets words be cached.
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+$"), "isolated")
-    user = [t for t, _, k in model.pieces if k == USER]
-    if user:
-        tokenizer.add_tokens([AddedToken(t, normalized=False) for t in user])
     tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
     return tokenizer
 
@@ -166,7 +164,8 @@ def coder(model_bytes: bytes, check_every: int = CHECK_EVERY, threads: int = THR
             plain = [t or "" for t in texts]
             ids = [e.ids for e in tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
             parity = [None] * len(plain)
-            some = [i for i, t in enumerate(plain) if checked(t)]
+            # The unigram pipeline would read the name of a byte piece as that byte.
+            some = [i for i, t in enumerate(plain) if checked(t) or (model.kind == UNIGRAM and "<0x" in t)]
             for i, theirs in zip(some, other.encode([plain[i] for i in some], num_threads=threads)):
                 parity[i] = theirs == ids[i]
                 ids[i] = theirs
@@ -194,7 +193,8 @@ def encode(docs: DataFrame, model_path: str, keep: list[str], text: str = "text"
 
     One text in ``check_every``, chosen by a hash of the text, is encoded by the
     sentencepiece library too: ``parity`` says whether both agree (null for
-    texts not compared) and the library's ids are kept.  Null and empty texts have no tokens.
+    texts not compared) and the library's ids are kept.  With a unigram model,
+    texts that hold the name of a byte piece are encoded by it too.  Null and empty texts have no tokens.
     Control strings of the model in a text are plain text.  Rows are
     independent; a batch is encoded by ``threads`` threads.
     """

@@ -11,6 +11,7 @@ from spanwright.llm import hnsw, languageid, neardup, queries, sentencepiece, si
 from spanwright.llm.store import Scratch
 
 FOLDER = "/root/testdata/sf0.001"
+MAX = simhash.MAX_BITS
 
 
 @pytest.fixture(scope="module")
