@@ -199,7 +199,7 @@ def rewrite_guarded(df: DataFrame, key: str, text: str, rules: list[Template],
     pending = df.withColumn("edited", F.col(text)).withColumn("hits", F.array().cast(blank))
     columns, settled = pending.columns, None
     match = with_rule_edits("edited", rules)
-    allowed = filtered(F.col("found"), *reject)
+    allowed = filtered(F.col("found"), *reject) if reject else F.col("found")
     edited = S.splice(F.col("edited"), F.col("found"))
     hits = F.concat("hits", F.transform("found", lambda m: F.struct(
         m["scope"].alias("scope"), m["rule"].alias("rule"))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,7 +69,7 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.  Only a
-    local session may make its own."""
+    local session may make its own, which goes when the process ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
@@ -76,6 +78,7 @@ def shared_folder(spark: SparkSession) -> str:
     global _local_folder
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="spanwright-")
+        atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
     return _local_folder
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flagship, logs, records, registry, texts  # noqa: F401  (importing registers)
+from . import flagship, logs, records, registry, runs, texts  # noqa: F401  (importing registers)
 
 
 def all_queries():

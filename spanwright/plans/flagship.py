@@ -50,7 +50,7 @@ _OUTSIDE_SQL = r"""array_to_string(list_transform(string_split(text, '"'), lambd
 @query("run_rename", f"SELECT doc_id, {_OUTSIDE_SQL} AS edited FROM documents")
 def run_rename(t: Tables) -> DataFrame:
     docs = t.spread("documents").select("doc_id", "text", F.concat("source", F.lit("/a.c")).alias("path"))
-    return P.rename_once(docs, "path", "text", _NAMES).select("doc_id", "edited")
+    return P.rename_once(docs, "path", "text", _NAMES, log=False).select("doc_id", "edited")
 
 
 _RUN = P.Refactoring([R.Template("suffix", "([a-z])tion", "{1}sion", 1), R.Template("blank", "the (?=the )", "")],
@@ -58,10 +58,10 @@ _RUN = P.Refactoring([R.Template("suffix", "([a-z])tion", "{1}sion", 1), R.Templ
                      skip_strings=False)
 
 
-def _run(t: Tables) -> DataFrame:
+def _run(t: Tables, log: bool) -> DataFrame:
     path = F.concat("source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".def"))
     docs = t.spread("documents").select("doc_id", "text", path.alias("path"))
-    return P.refactor(docs, "path", "text", _RUN)
+    return P.refactor(docs, "path", "text", _RUN, log)
 
 
 _SETTLED_SQL = r"""regexp_replace(regexp_replace(regexp_replace(text, '([a-z])tion', '\1sion', 'g'),
@@ -70,7 +70,7 @@ _SETTLED_SQL = r"""regexp_replace(regexp_replace(regexp_replace(text, '([a-z])ti
 
 @query("run_rewrite", f"SELECT doc_id, {_SETTLED_SQL} AS edited, NULL::VARCHAR AS problem FROM documents")
 def run_rewrite(t: Tables) -> DataFrame:
-    return _run(t).select("doc_id", "edited", "problem")
+    return _run(t, False).select("doc_id", "edited", "problem")
 
 
 # Definition files have no scopes, so a file has one entry with a sentence per rule that hit it.
@@ -89,5 +89,5 @@ def run_log(t: Tables) -> DataFrame:
     header = L.header_line(F.lit("2026-01-01"), F.lit("A Writer"), F.lit("writer@example.org"))
     dirs = t.documents.select(F.col("source").alias("dir")).distinct()
     # Each source is a folder, so no file is without owner.  The parts of a log, in order, are its text.
-    logs, _ = P.change_logs(_run(t), "path", dirs, _RUN.phrases, header, F.lit("Made by a script."))
+    logs, _ = P.change_logs(_run(t, True), "path", dirs, _RUN.phrases, header, F.lit("Made by a script."))
     return logs

@@ -20,11 +20,14 @@ from ..operators import rewrite as R
 Guard = Callable[[Column], Column]
 
 
-def locate(path: str, text: str, comments: bool = True, strings: bool = True) -> C.Step:
-    """Line, scope and, if wanted, comment and string of the matches of source files.
-
-    The scope goes by the kind of file: machine descriptions name their
-    patterns, definition files have no scopes, all others are read as C.
+def locate(path: str, text: str, comments: bool = True, strings: bool = True, guards: list[Guard] = (),
+           scopes: bool = True) -> C.Step:
+    """Line and, if wanted, comment, string and scope of the matches of source files.
+
+    The guards drop matches before scopes are looked for; ``scopes`` are needed
+    for a log only.  The scope goes by the kind of file: machine descriptions
+    name their patterns, definition files have no scopes, all others are read
+    as C.
     """
     md, definitions = F.col(path).endswith(".md"), F.col(path).endswith(".def")
     c_text = F.when(md | definitions, "").otherwise(C.blanked(F.col(text), C.ANNOTATION))
@@ -37,6 +40,11 @@ def locate(path: str, text: str, comments: bool = True, strings: bool = True) ->
         steps.append(C.with_comment(text))
     if strings:
         steps.append(C.with_string(text))
+    if guards:
+        steps.append(lambda df: df.withColumn("found", M.filtered(F.col("found"), *guards)))
+    if not scopes:
+        return C.chain(*steps, lambda df: df.withColumn("found", F.transform(
+            "found", lambda m: m.withField("scope", F.lit(None).cast("string")))))
     return C.chain(
         *steps,
         lambda df: df.withColumn("__c", c_text).withColumn("__md", md_text),
@@ -117,8 +125,9 @@ RENAMED_CLASSES = said("Rename gimple subclass types.", ["rename"])
 WRAPPED_OPTIONS = said("Wrap option usage in GCC_OPTION macro.", [])
 
 
-def refactor(corpus: DataFrame, path: str, text: str, what: Refactoring) -> DataFrame:
-    """Texts with ``edited`` and ``hits``, and ``problem``."""
+def refactor(corpus: DataFrame, path: str, text: str, what: Refactoring, log: bool = True) -> DataFrame:
+    """Texts with ``edited`` and ``hits``, and ``problem``.  Without a ``log``
+    the hits have no scopes."""
     candidates = F.lit(False)
     for rule in what.rules:
         candidates = candidates | F.col(text).rlike(rule.pattern)
@@ -126,18 +135,20 @@ def refactor(corpus: DataFrame, path: str, text: str, what: Refactoring) -> Data
     untouched = (corpus.where(~F.coalesce(candidates, F.lit(False))).withColumn("edited", F.col(text))
                  .withColumn("hits", empty).withColumn("problem", F.lit(None).cast("string")))
     done = R.rewrite_guarded(corpus.where(candidates), path, text, what.rules,
-                             locate(path, "edited", what.skip_comments, what.skip_strings), what.guards(path), what.once)
+                             locate(path, "edited", what.skip_comments, what.skip_strings, what.guards(path), log),
+                             once=what.once)
     return done.unionByName(untouched)
 
 
 def rename_once(corpus: DataFrame, path: str, text: str, names: dict[str, str], not_after: str = "",
-                reject: list[Guard] = (), exempt: list[str] = (), code_only: bool = True) -> DataFrame:
-    """Types renamed in one pass; the new names are not matched again."""
+                reject: list[Guard] = (), exempt: list[str] = (), code_only: bool = True, log: bool = True) -> DataFrame:
+    """Types renamed in one pass; the new names are not matched again.
+    Without a ``log`` the hits have no scopes."""
     what = Refactoring([rules.rename_rule(names, not_after)], [], list(exempt), list(reject),
                        code_only, code_only)
     placed = corpus.transform(R.with_rule_edits(text, what.rules)).transform(
-        locate(path, text, code_only, code_only))
-    return _edited(placed.withColumn("found", M.filtered(F.col("found"), *what.guards(path))), text)
+        locate(path, text, code_only, code_only, what.guards(path), log))
+    return _edited(placed, text)
 
 
 def _edited(placed: DataFrame, text: str) -> DataFrame:

@@ -51,16 +51,20 @@ def has_suffix(path: Column, suffixes, skipped=(), pruned=()) -> Column:
 
 
 def read_corpus(spark: SparkSession, folder: str, glob: str | None = None,
-                keep: Column | None = None) -> DataFrame:
+                keep: Column | None = None, root: str | None = None) -> DataFrame:
     """Files below a folder as ``path, text``, one row per file.
 
     ``glob`` and a filter on ``path`` prune files before their text is read.
+    With ``root``, a folder above the files, paths are relative to it, as rule
+    lists with bare file names need.
     """
     options = {"wholetext": True, "recursiveFileLookup": True}
     if glob:
         options["pathGlobFilter"] = glob
-    df = spark.read.text(folder, **options).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    path = F.col("_metadata.file_path")
+    if root:
+        path = F.regexp_extract(path, f"\\Q{root.rstrip('/')}/\\E(.*)$", 1)
+    df = spark.read.text(folder, **options).select(path.alias("path"), F.col("value").alias("text"))
     return df if keep is None else df.where(keep)
 
 

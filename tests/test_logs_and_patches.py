@@ -115,6 +115,8 @@ def test_corpus_round_trip(spark, tmp_path):
     (tmp_path / "in" / "c.txt").write_text("no")
     df = scan.read_corpus(spark, str(tmp_path / "in"), keep=scan.wanted(F.col("path"), "c"))
     assert {(r.path.rsplit("/", 1)[1], r.text) for r in df.collect()} == {("a.c", "one\ntwo\n"), ("b.h", "three")}
+    below = scan.read_corpus(spark, str(tmp_path / "in"), keep=scan.wanted(F.col("path"), "c"), root=str(tmp_path / "in"))
+    assert {r.path for r in below.collect()} == {"a.c", "sub/b.h"}
     out = str(tmp_path / "out")
     scan.write_changed(df.withColumn("after", F.replace("text", F.lit("two"), F.lit("2"))), "text", "after", out)
     assert [r.after for r in spark.read.parquet(out).collect()] == ["one\n2\n"]
