@@ -5,12 +5,11 @@ from __future__ import annotations
 import hashlib
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import group_runs, group_starts
+from .store import group_runs
 
 # Kinds of events.  ``open`` begins a message with a role and perhaps text,
 # ``delta`` adds text, ``edit`` replaces the text, ``regenerate`` empties it for

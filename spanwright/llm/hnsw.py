@@ -11,10 +11,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, usable
 
 # Distinct vectors a shard, and queries a block: what one task holds.
 SHARD_ROWS = 8192
@@ -28,13 +28,6 @@ SEARCH_WIDTH = 100
 STEP = 256
 
 
-def usable(v: Column) -> Column:
-    """Not null, not empty, not zero, all components finite numbers."""
-    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    return F.coalesce(v.isNotNull() & (F.size(v) > 0) & F.forall(v, number)
-                      & F.exists(v, lambda x: x != 0), F.lit(False))
-
-
 def _diverse(near: np.ndarray, ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
     """Links for each row of candidates: the nearest first, leaving out those
     nearer to a link than to the node; free places go to the nearest left out.

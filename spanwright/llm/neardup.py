@@ -6,11 +6,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import Scratch, group_runs, group_starts
+from .store import Scratch, group_runs, group_starts, usable
 
 COSINE = 0.98
 # A label with more classes than this is cut into cells, unless that made more
@@ -24,13 +24,6 @@ ROUNDS = 6
 TILE = 1024
 
 
-def usable(v: Column) -> Column:
-    """Not null, not empty, not zero, all components finite numbers."""
-    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    return F.coalesce(v.isNotNull() & (F.size(v) > 0) & F.forall(v, number)
-                      & F.exists(v, lambda x: x != 0), F.lit(False))
-
-
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Unit rows, in double precision, of a column of equally long lists."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.sizing import shared_folder
@@ -129,7 +129,7 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def numbered(df: DataFrame, key: list[str], chunk, order: list, out: str) -> DataFrame:
+def numbered(df: DataFrame, key: list[str], chunk: Column, order: list[Column], out: str) -> DataFrame:
     """Rows of a key numbered from 0 in ``order``, which must begin with what
     ``chunk`` (a BIGINT that doesn't fall in that order; null first) is made of.
 
@@ -146,3 +146,10 @@ def numbered(df: DataFrame, key: list[str], chunk, order: list, out: str) -> Dat
     placed = rows.select("*", F.row_number().over(inside).alias("__i"))
     return placed.join(base, F.col("__part") == F.col("__p")).select(
         *columns, (F.col("__base") + F.col("__i") - 1).cast("bigint").alias(out))
+
+
+def usable(v: Column) -> Column:
+    """Of a vector: not null, not empty, not zero, all components finite numbers."""
+    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    return F.coalesce(v.isNotNull() & (F.size(v) > 0) & F.forall(v, number)
+                      & F.exists(v, lambda x: x != 0), F.lit(False))
