@@ -299,6 +299,11 @@ def repeated(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def with_listed(df: DataFrame, name: str, listed: list[str], out: str = "listed") -> DataFrame:
+    """Adds whether a name is in a short fixed list."""
+    return df.withColumn(out, F.coalesce(F.col(name).isin(listed), F.lit(False)))
+
+
 def plan_lines(lines: DataFrame, keys: list[str], order: str, line: str) -> DataFrame:
     """Entries of a move plan: ``keys, order, section, path, remark``.
 

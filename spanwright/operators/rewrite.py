@@ -254,6 +254,12 @@ def apply_edits(texts: DataFrame, key: str, text: str, edits: DataFrame,
                              .otherwise(F.col(text))).drop("__edits")
 
 
+def indented(df: DataFrame, line: str, out: str) -> DataFrame:
+    """Adds the line with its leading blanks as tabs, and ``problem`` for a line
+    that holds a tab already (its ``out`` is null)."""
+    return checked(df.withColumn(out, T.spaces_to_tabs(F.col(line))), (F.col(line).contains("\t"), "line holds a tab"))
+
+
 def touched_lines(df: DataFrame, edited: str, edits: str) -> DataFrame:
     """Adds ``lines``: the lines of the new text with ``touched``.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions import spans as S
 from ..functions import texts as T
 from ..operators import changelog as L
@@ -127,13 +128,13 @@ def newest(t: Tables):
 @query("l11_with_old_log", r"""
 SELECT doc_id, '2026-01-01  A Writer  <writer@example.org>' || chr(10) || chr(10) || chr(9) || source || chr(10) || chr(10)
        || regexp_replace(text, '\s+$', '') || chr(10) || chr(10)
-       || CASE WHEN quality IS NULL THEN 'No log so far.' ELSE 'quality ' || quality END AS log
+       || CASE WHEN quality IS NULL THEN '""" + rules.DEFAULT_LOG + """' ELSE 'quality ' || quality END AS log
 FROM documents LEFT JOIN labels USING (doc_id)""")
 def with_old_log(t: Tables):
     logs = t.labels.select("doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("old"))
     header = L.header_line(F.lit("2026-01-01"), F.lit("A Writer"), F.lit("writer@example.org"))
     return L.with_old_log(t.documents.select("doc_id", "source", "text"), "doc_id", logs, "old", header,
-                          F.col("source"), F.col("text"), "No log so far.").select("doc_id", "log")
+                          F.col("source"), F.col("text"), rules.DEFAULT_LOG).select("doc_id", "log")
 
 
 @query("p1_subjects", r"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions import spans as S
 from ..operators import inventory as A
 from ..operators import records as O
@@ -318,6 +319,59 @@ def initializers(t: Tables):
         "doc_id", F.col("nth").cast("bigint").alias("nth"), *names_, "problem")
 
 
+@query("a18_passes", """
+SELECT p_partkey, 'pass_' || p_partkey AS passname, '"p' || p_partkey || '"' AS name, 'OPTGROUP_A | OPTGROUP_' || p_size AS optinfo_flags,
+       CASE WHEN p_size % 4 = 0 THEN 'NULL' ELSE 'gate_' || p_size END AS gate, p_size % 4 <> 0 AS has_gate,
+       CASE WHEN p_size % 5 = 0 THEN 'sub is not NULL' END AS problem FROM part""")
+def passes(t: Tables):
+    n, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    gate = F.when(size % 4 == 0, "NULL").otherwise(F.concat(F.lit("gate_"), size.cast("string")))
+    text = F.concat(F.lit("static struct gimple_opt_pass pass_"), n, F.lit(' =\n{\n {\n  GIMPLE_PASS,\n  "p'), n,
+                    F.lit('",\t/* name */\n  OPTGROUP_A\n    | OPTGROUP_'), size.cast("string"), F.lit(",\n  "), gate, F.lit(",\n  run,\n  "),
+                    F.when(size % 5 == 0, "below").otherwise("NULL"),
+                    F.lit(",\n  NULL,\n  0,\n  TV_NONE,\n  0,\n  0,\n  0,\n  0,\n  TODO_a,\n }\n};\n"))
+    found = A.catalogue(t.part.select("p_partkey", text.alias("text")), ["p_partkey"], "text", rules.PASS_INITIALIZER,
+                        ["static", "passkind", "passname", "fields"])
+    parsed = A.initializers(found, "fields", rules.PASS_FIELDS, rules.PASS_FIXED)
+    return parsed.select("p_partkey", "passname", F.col("name"), "optinfo_flags", "gate", A.has_value(F.col("gate")).alias("has_gate"), "problem")
+
+
+@query("a18_summaries", """
+SELECT p_partkey, 'gen_' || p_size AS generate_summary, '{}' AS write_summary, 'NULL' AS variable_transform,
+       'w_' || p_size AS extra_write, CASE WHEN p_size % 3 = 0 THEN 'wrong number of fields' END AS problem FROM part""")
+def summaries(t: Tables):
+    size = F.col("p_size").cast("string")
+    arguments = F.concat(F.lit("  p (c)\n    : d (data, c,\n      gen_"), size, F.lit(
+        ", /* generate_summary */\n      {},\n      a, b, c, d, 0, e,\n      {}"))
+    # Empty extra fields are left out; a third of the rows has one field too few.
+    extra = F.concat(F.lit(" ,gen, w_"), size, F.lit(",, r, wo, ro,\n fix, 0, t"), F.when(F.col("p_size") % 3 == 0, "").otherwise(", v"))
+    made = A.constructor_fields(F.col("arguments"), rules.SUMMARY_FIELDS)
+    df = A.initializers(t.part.select("p_partkey", arguments.alias("arguments"), extra.alias("extra"), size.alias("size")),
+                        "extra", rules.SUMMARY_FIELDS, drop_empty=True).select("p_partkey", "size", "problem", made.alias("f"))
+    return df.select("p_partkey", "f.generate_summary", "f.write_summary", "f.variable_transform",
+                     F.concat(F.lit("w_"), "size").alias("extra_write"), "problem")
+
+
+@query("a18_declarations", """
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'gimple_opt_pass' ELSE 'rtl_opt_pass' END AS kind,
+       'pass_' || p_size AS passname FROM part WHERE p_size % 7 <> 0""")
+def pass_declarations(t: Tables):
+    size = F.col("p_size")
+    kind = F.when(size % 7 == 0, "other_pass").when(size % 2 == 0, "gimple_opt_pass").otherwise("rtl_opt_pass")
+    text = F.concat(F.lit("/* One.  */\nextern struct "), kind, F.lit(" pass_"), size.cast("string"), F.lit(";\n"))
+    return A.catalogue(t.part.select("p_partkey", text.alias("text")), ["p_partkey"], "text", rules.PASS_DECLARATION,
+                       ["kind", "passname"]).drop("ord")
+
+
+@query("a20_listed", """
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'pass_ccp' WHEN 1 THEN 'pass_vrp' ELSE 'pass_' || source END AS passname, doc_id % 3 < 2 AS several
+FROM documents""")
+def listed(t: Tables):
+    n = F.col("doc_id")
+    name = F.when(n % 3 == 0, "pass_ccp").when(n % 3 == 1, "pass_vrp").otherwise(F.concat(F.lit("pass_"), F.col("source")))
+    return A.with_listed(t.documents.select("doc_id", name.alias("passname")), "passname", rules.MULTI_INSTANCE_PASSES, "several")
+
+
 @query("a19_flag_counts", r"""
 WITH q AS (SELECT unnest(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')) AS item FROM pages WHERE url LIKE '%?%')
 SELECT split_part(item, '=', 1) AS flag, count(*)::BIGINT AS n FROM q GROUP BY ALL""")

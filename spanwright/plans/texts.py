@@ -392,17 +392,20 @@ def line_changes(t: Tables):
 
 
 @query("r8_indents", f"""
-WITH m AS (SELECT doc_id, line_no, repeat(' ', ((doc_id + line_no * 5) % 27)::INT) || line AS made FROM ({LINES_SQL}))
-SELECT doc_id, line_no, repeat(chr(9), ((length(made) - length(ltrim(made))) // 8)::INT)
-       || repeat(' ', ((length(made) - length(ltrim(made))) % 8)::INT) || ltrim(made) AS tabbed, TRUE AS restored FROM m""")
+WITH m AS (SELECT doc_id, line_no, repeat(' ', ((doc_id + line_no * 5) % 27)::INT) || line
+                  || CASE WHEN line_no % 50 = 0 THEN chr(9) ELSE '' END AS made FROM ({LINES_SQL}))
+SELECT doc_id, line_no, CASE WHEN NOT contains(made, chr(9)) THEN repeat(chr(9), ((length(made) - length(ltrim(made))) // 8)::INT)
+       || repeat(' ', ((length(made) - length(ltrim(made))) % 8)::INT) || ltrim(made) END AS tabbed,
+       CASE WHEN NOT contains(made, chr(9)) THEN TRUE END AS restored,
+       CASE WHEN contains(made, chr(9)) THEN 'line holds a tab' END AS problem FROM m""")
 def indents(t: Tables):
     made = scan.lines(t.spread("documents"), ["doc_id"], "text").select(
         "doc_id", F.col("line_no").cast("bigint").alias("line_no"),
         F.concat(F.repeat(F.lit(" "), ((F.col("doc_id") + F.col("line_no") * 5) % 27).cast("int")),
-                 F.col("line")).alias("made"))
-    tabbed = made.withColumn("tabbed", T.spaces_to_tabs(F.col("made")))
+                 F.col("line"), F.when(F.col("line_no") % 50 == 0, "\t").otherwise("")).alias("made"))
+    tabbed = R.indented(made, "made", "tabbed")
     return tabbed.select("doc_id", "line_no", "tabbed",
-                         (T.tabs_to_spaces(F.col("tabbed")) == F.col("made")).alias("restored"))
+                         (T.tabs_to_spaces(F.col("tabbed")) == F.col("made")).alias("restored"), "problem")
 
 
 @query("r9_long_lines", f"""
