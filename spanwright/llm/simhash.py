@@ -133,7 +133,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     # Internal names can't clash: only the id and the text are read.
-    rows = scratch.keep(fingerprints(docs, [doc_id], text, words).toDF("id", "fp"), "fingerprints")
+    rows = scratch.keep(fingerprints(docs, [doc_id], text, words).toDF("id", "fp"), "fingerprints", texts=True)
     classes = scratch.keep(rows.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
     joined = components(links(classes.select("fp"), scratch, max_bits, blocks), scratch)
     linked = classes.join(joined, F.col("fp") == F.col("node"))

@@ -15,6 +15,9 @@ from ..operators.sizing import shared_folder
 
 # Texts are worked on in slices of about this many bytes.
 SLICE_BYTES = 1 << 20
+# Rows that a Python worker gets at once, where rows are texts.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 1000
 
 
 class Scratch:
@@ -24,11 +27,18 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, texts: bool = False) -> DataFrame:
         """The table written and read again: every use sees the same rows, and
-        a lost executor costs only the tasks of later steps."""
-        path = f"{self.folder}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        a lost executor costs only the tasks of later steps.  With ``texts``
+        a Python worker gets few rows at once, since texts can be long."""
+        path, conf = f"{self.folder}/{name}", self.spark.conf
+        usual = conf.get(BATCH)
+        if texts:
+            conf.set(BATCH, str(TEXT_ROWS))
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(BATCH, usual)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self, df: DataFrame, name: str) -> None:

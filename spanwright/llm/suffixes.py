@@ -29,7 +29,7 @@ PREFIXES = (64, 160, LENGTH)
 # Batches of one call; each is an addition to the index.
 BATCHES = 2
 # Bytes that are hashed at a time, and bits of a place in them.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 PLACE = np.uint64((1 << 24) - 1)
 # Where in a text a window starts, how many windows share a suffix, and a check
 # on the text are one number: 22, 31 and 10 bits.
@@ -375,7 +375,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id",
     first = named.where(F.octet_length("data") >= length).select("doc", check.alias("at"), "data")
     suffixes = scratch.keep(
         _suffixes(first, prefixes[0], length).withColumn("batch", F.pmod(F.xxhash64(F.lit(5), "doc"), F.lit(batches))),
-        "suffixes")
+        "suffixes", texts=True)
     index, hits = SuffixIndex(scratch), None
     for i in range(batches):
         found = index.add(suffixes.where(F.col("batch") == i))
@@ -387,11 +387,15 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id",
     # Texts are needed only around what is left open.
     source = _joined(_packed(named), _lists(partial), "inner").select(
         "doc", check.alias("at"), F.lit(True).alias("packed"), "data", "found")
+    around = None
     for n, prefix in enumerate(prefixes[1:], 1):
-        around = scratch.keep(_surroundings(source, length), f"around-{n}")
+        before, around = around, scratch.keep(_surroundings(source, length), f"around-{n}", texts=True)
+        if before is not None:
+            scratch.free(before, f"around-{n - 1}")
         rows = _suffixes(around, prefix, length).select("*", F.lit(True).alias("new"), F.lit(False).alias("member"))
         scanned = scratch.keep(_scan(rows, ("base",)), f"scan-{n}")
         found = scratch.keep(_hits(scanned, ("base",)), f"refined-{n}")
+        scratch.free(scanned, f"scan-{n}")
         whole = whole.unionByName(found.where("whole").select("doc", "at"))
         open_ = (found.where("part").groupBy("doc", "base").agg(F.collect_set("at").alias("found"))
                  .withColumnRenamed("doc", "d"))
