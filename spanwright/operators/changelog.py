@@ -9,7 +9,7 @@ from ..functions import spans as S
 from ..functions import texts as T
 from . import ordered
 from .quality import checked
-from .sizing import lookup_join
+from .sizing import checkpointed, lookup_join
 
 LIKEWISE = "Likewise."
 
@@ -43,7 +43,8 @@ def scope_texts(df: DataFrame, keys: list[str], scope: str, order: str, text: st
     """Texts of a (key, scope) joined by two blanks, with ``first_ord``, the
     place of the scope among its siblings; long ones come in parts."""
     group = keys + [scope]
-    parts = ordered.ordered_parts(df, group, order, F.col(text), "  ", part_rows)
+    # Several steps follow; each would read the input again.
+    parts = checkpointed(ordered.ordered_parts(df, group, order, F.col(text), "  ", part_rows))
     marked = ordered.lag(parts, group, "part", F.col("part"), "__before")
     return ordered.carry_forward(marked, group, "part", {"first_ord": F.when(
         F.col("__before").isNull(), F.col("first"))}).select(*group, "part", "first_ord", "text")
@@ -109,7 +110,7 @@ def directory_logs(entries: DataFrame, owner: str, order: str, entry: str, heade
     Folders without entries do not appear.  Parts of a folder, in order, are
     its log; no folder is collected whole.
     """
-    parts = ordered.ordered_parts(entries, [owner], order, F.col(entry), "\n", part_rows).drop("first")
+    parts = checkpointed(ordered.ordered_parts(entries, [owner], order, F.col(entry), "\n", part_rows).drop("first"))
     opened = ordered.lag(parts, [owner], "part", F.col("part"), "__before").withColumn("text", F.when(
         F.col("__before").isNull(),
         F.concat(header, F.lit("\n\n"), intro, F.lit("\n"), F.col("text"), F.lit("\n")))
@@ -135,7 +136,7 @@ def log_entries(lines: DataFrame, keys: list[str], order: str, line: str,
     parts of ``part_rows`` lines; the parts in order are the body.
     """
     opens = F.col(line).rlike(DATED_LINE) if is_header is None else is_header
-    numbered = ordered.running_sum(lines, keys, order, F.lit(1), "__n")
+    numbered = checkpointed(ordered.running_sum(lines, keys, order, F.lit(1), "__n"))
     opener = F.when(opens, F.struct(F.col(order).alias("at"), F.col(line).alias("header"), F.col("__n").alias("n")))
     inside = ordered.carry_forward(numbered, keys, order, {"__open": opener}).where("__open is not null")
     placed = inside.select(*keys, F.col("__open.at").alias("entry_at"), F.col("__open.header").alias("header"),

@@ -310,7 +310,7 @@ def plan_lines(lines: DataFrame, keys: list[str], order: str, line: str) -> Data
     A line underlined with ``=`` opens a section; an entry is an indented
     path, with a remark after ``#``.
     """
-    before = ordered.lag(lines, keys, order, F.col(line), "__before")
+    before = checkpointed(ordered.lag(lines, keys, order, F.col(line), "__before"))
     title = F.when(F.col(line).rlike(r"^={3,}\s*$"), F.col("__before.v"))
     carried = ordered.carry_forward(before, keys, order, {"section": title})
     entry = r"^\s+(\S+)\s*(?:#\s*(.*))?$"

@@ -9,7 +9,7 @@ from ..functions import spans as S
 from ..functions import texts as T
 from . import ordered
 from .quality import checked, problem
-from .sizing import fits_broadcast, lookup_join
+from .sizing import checkpointed, fits_broadcast, lookup_join
 
 SUBJECT = r"(?s)^\[PATCH ([0-9]+)/([0-9]+)\] (.+)"
 
@@ -167,9 +167,10 @@ def match_mails(patches: DataFrame, mails: DataFrame, patch: str, summary: str,
     """
     series = r"[0-9]+" if total is None else str(total)
     stripped = F.regexp_extract(F.col(subject), rf"(?s)^\[PATCH [0-9]+/{series}\] (.*)", 1)
-    candidates = mails.select(
-        F.col(order).alias("__ord"), stripped.alias("__rest")).where(F.col("__rest") != "")
-    wanted = patches.select(F.col(summary).alias("__head")).where(F.col("__head").isNotNull()).distinct()
+    # Both are used several times.
+    candidates = checkpointed(mails.select(
+        F.col(order).alias("__ord"), stripped.alias("__rest")).where(F.col("__rest") != ""))
+    wanted = checkpointed(patches.select(F.col(summary).alias("__head")).where(F.col("__head").isNotNull()).distinct())
     size, rest = F.length("__head"), F.col("__rest")
 
     def heads_of(rows: DataFrame) -> DataFrame:

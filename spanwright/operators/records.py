@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import texts as T
 from . import ordered
 from .quality import checked
+from .sizing import checkpointed
 
 
 def record_lines(lines: DataFrame, keys: list[str], order: str, line: str,
@@ -26,6 +27,7 @@ def record_lines(lines: DataFrame, keys: list[str], order: str, line: str,
     blank = F.when(F.col(line) == "", F.col(order))
     numbered = ordered.carry_forward(cleaned, keys, order, {"record": blank})
     if strict_eof:
+        numbered = checkpointed(numbered)
         # Seen from the end, the blank line that ends a record comes before it.
         numbered = ordered.previous(numbered.withColumn("__back", -F.col(order)), keys, "__back", {
             "__end": blank}).where(F.col("__end").isNotNull() | (F.col(line) == "")).drop("__back", "__end")
@@ -41,7 +43,8 @@ def records(lines: DataFrame, keys: list[str], order: str, line: str,
     comes in parts of at most ``part_rows`` lines (lines of the file are
     counted), which :func:`whole_records` joins.
     """
-    numbered = ordered.running_sum(record_lines(lines, keys, order, line, strict_eof), keys, order, F.lit(1), "__n")
+    found = checkpointed(record_lines(lines, keys, order, line, strict_eof))
+    numbered = ordered.running_sum(found, keys, order, F.lit(1), "__n")
     return (numbered.groupBy(*keys, "record", ordered.chunk_of(F.col("__n"), part_rows).alias("part"))
             .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(line).alias("l")))).alias("__l"))
             .select(*keys, "record", "part", F.transform("__l", lambda x: x["l"]).alias("lines")))

@@ -88,6 +88,6 @@ _local_folder: str | None = None
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder of the cluster."""
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

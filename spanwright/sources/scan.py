@@ -29,14 +29,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Give each core a share of a small table.
 
     A file of few row groups is read by few tasks, which is slow for work on
-    texts.  A table that fills the cores with full splits is left as it is, so
-    nothing of size is ever shuffled here.
+    texts.  A table with a split for each core is left as it is, so what is
+    shuffled here is less than a split a core.  ``df`` is a scan: counting its
+    splits runs no job.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def has_suffix(path: Column, suffixes, skipped=(), pruned=()) -> Column:

@@ -29,6 +29,13 @@ def test_query(spark, con, name):
     assert compare(df, con, SQL[name]) is None
 
 
+@pytest.mark.parametrize("name", ["l3_scope_texts", "l8_directory_logs", "l9_log_entries", "a21_move_plan", "o1_records",
+                                  "o1_strict_records", "l1_owners", "p9_mail_matches"])
+def test_tables_are_not_read_again_and_again(spark, name):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 4 if name[0] in "lp" else plan.count("FileScan") <= 2
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
