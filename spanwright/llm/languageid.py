@@ -20,7 +20,13 @@ SAMPLE_TEXTS = 64
 PIECE_BYTES = 4096
 # Texts are compressed in blocks, so that the dictionary counts all along a long text.
 BLOCK_BYTES = 4096
-LEVEL = 3
+# Below this level zstandard misses most matches in a dictionary.
+LEVEL = 5
+# A short text can be too small to be compressed at all, so that languages tie:
+# then it is put behind a start text of each language, made of pieces that are
+# not in the dictionary, and what it adds counts.
+SHORT_BYTES = 512
+START_PIECES = 8
 # A text is rejected when the second language is within this share of the first:
 # nearly a tie, so that short clean texts stay.
 LEAST_MARGIN = 0.0005
@@ -29,8 +35,9 @@ UNKNOWN = "und"
 
 @dataclass
 class Model:
-    """Dictionaries by language, in the order of the languages' names."""
+    """Dictionaries and start texts by language, in the order of the languages' names."""
     dictionaries: dict[str, bytes]
+    starts: dict[str, bytes]
 
 
 def train(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text",
@@ -58,7 +65,14 @@ def train(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "
     pieces: dict[str, list[bytes]] = {}
     for row in rows.groupBy("lang", "h").agg(F.min("piece").alias("piece")).orderBy("lang", "h").collect():
         pieces.setdefault(row["lang"], []).append(normal(row["piece"])[:piece_bytes])
-    return Model({k: b" ".join(v) for k, v in sorted(pieces.items())})
+    return model_of(pieces, piece_bytes)
+
+
+def model_of(pieces: dict[str, list[bytes]], piece_bytes: int = PIECE_BYTES) -> Model:
+    """The last pieces of a language, if it has enough, are its start text."""
+    cut = {k: len(v) - START_PIECES if len(v) >= 4 * START_PIECES else len(v) for k, v in pieces.items()}
+    return Model({k: b" ".join(v[:cut[k]]) for k, v in sorted(pieces.items())},
+                 {k: b" ".join(v[cut[k]:])[:piece_bytes] for k, v in sorted(pieces.items())})
 
 
 def normal(text: str) -> bytes:
@@ -70,7 +84,7 @@ def normal(text: str) -> bytes:
 
 def classifier(model: Model, block_bytes: int = BLOCK_BYTES, level: int = LEVEL):
     """A maker of functions from texts to ``lang_pred, score, margin``."""
-    dictionaries = model.dictionaries
+    dictionaries, starts = model.dictionaries, list(model.starts.values())
 
     def make():
         import zstandard
@@ -81,18 +95,26 @@ def classifier(model: Model, block_bytes: int = BLOCK_BYTES, level: int = LEVEL)
             packers.append(zstandard.ZstdCompressor(
                 level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
+        # Only if all languages have a start text are sizes comparable.
+        begun = [len(p.compress(s)) for p, s in zip(packers, starts)] if all(starts) else None
+
+        def least(sizes):
+            """The smallest, and by what share the second is longer."""
+            best = min(range(len(names)), key=lambda i: (sizes[i], names[i]))
+            if len(names) == 1:
+                return best, 1.0
+            second = min(s for i, s in enumerate(sizes) if i != best)
+            return best, (second - sizes[best]) / max(second, 1)
+
         def one(text):
             if not text or not names or not any(map(str.isalpha, text)):
                 return UNKNOWN, 0.0, 0.0
             data = normal(text)
             blocks = [data[i:i + block_bytes] for i in range(0, len(data), block_bytes)]
-            sizes = [sum(len(p.compress(x)) for x in blocks) for p in packers]
-            order = sorted(range(len(names)), key=lambda i: (sizes[i], names[i]))
-            best = order[0]
-            if len(order) == 1:
-                return names[best], 1.0, 1.0
-            second = sizes[order[1]]
-            margin = (second - sizes[best]) / second
+            best, margin = least([sum(len(p.compress(x)) for x in blocks) for p in packers])
+            if margin < LEAST_MARGIN and begun and len(data) < SHORT_BYTES:
+                best, margin = least([max(0, len(p.compress(s + b" " + data)) - n)
+                                      for p, s, n in zip(packers, starts, begun)])
             # 0.5 at a tie, near 1 when the others are a tenth longer.
             return names[best], 1 - 0.5 * 2.0 ** (-margin * 64), margin
 
