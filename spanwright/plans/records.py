@@ -338,7 +338,7 @@ def passes(t: Tables):
 
 @query("a18_summaries", """
 SELECT p_partkey, 'gen_' || p_size AS generate_summary, '{}' AS write_summary, 'NULL' AS variable_transform,
-       'w_' || p_size AS extra_write, CASE WHEN p_size % 3 = 0 THEN 'wrong number of fields' END AS problem FROM part""")
+       CASE WHEN p_size % 3 <> 0 THEN 'w_' || p_size END AS extra_write, CASE WHEN p_size % 3 = 0 THEN 'wrong number of fields' END AS problem FROM part""")
 def summaries(t: Tables):
     size = F.col("p_size").cast("string")
     arguments = F.concat(F.lit("  p (c)\n    : d (data, c,\n      gen_"), size, F.lit(
@@ -346,10 +346,10 @@ def summaries(t: Tables):
     # Empty extra fields are left out; a third of the rows has one field too few.
     extra = F.concat(F.lit(" ,gen, w_"), size, F.lit(",, r, wo, ro,\n fix, 0, t"), F.when(F.col("p_size") % 3 == 0, "").otherwise(", v"))
     made = A.constructor_fields(F.col("arguments"), rules.SUMMARY_FIELDS)
-    df = A.initializers(t.part.select("p_partkey", arguments.alias("arguments"), extra.alias("extra"), size.alias("size")),
-                        "extra", rules.SUMMARY_FIELDS, drop_empty=True).select("p_partkey", "size", "problem", made.alias("f"))
-    return df.select("p_partkey", "f.generate_summary", "f.write_summary", "f.variable_transform",
-                     F.concat(F.lit("w_"), "size").alias("extra_write"), "problem")
+    df = A.initializers(t.part.select("p_partkey", arguments.alias("arguments"), extra.alias("extra")),
+                        "extra", rules.SUMMARY_FIELDS, drop_empty=True).select(
+                            "p_partkey", "problem", F.col("write_summary").alias("extra_write"), made.alias("f"))
+    return df.select("p_partkey", "f.generate_summary", "f.write_summary", "f.variable_transform", "extra_write", "problem")
 
 
 @query("a18_declarations", """
