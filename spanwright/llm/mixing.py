@@ -142,18 +142,25 @@ def position(share: Column, turn: Column, shapes: tuple = SHAPES) -> Column:
 
 
 def curriculum(rows: DataFrame, sizes: DataFrame, sources: DataFrame, carry: list[str] = (), shapes: tuple = SHAPES) -> DataFrame:
-    """``doc_id, copy, position`` and ``carry``: whole copies in training order, one row each.
+    """``doc_id, source, copy, words, position`` and ``carry``: copies in training order, one row each.
 
-    Copy ``c`` of a document starts ``c`` passes plus its offset into its
-    source's demand; the inverse of the integrated weight schedule gives the
-    time.  The sort is a range partitioning by time, so each part of the run is
-    a run of partitions.
+    ``words`` is the size of the document, or the ``cut`` words of its last
+    copy if the target ends inside it.  Copy ``c`` of a document starts ``c``
+    passes plus its offset into its source's demand; the inverse of the
+    integrated weight schedule gives the time.  The sort is a range
+    partitioning by time, so each part of the run is a run of partitions.
     """
-    mixed = taken(rows, sizes, sources, carry).where(F.col("copies") > 0)
-    each = mixed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"))
-    share = F.least(F.lit(1.0), (F.col("copy") * F.col("source_size") + F.col("offset")) / F.greatest(
-        F.col("target"), F.lit(1.0)))
-    return (each.select("doc_id", "copy", position(share, F.col("turn"), shapes).alias("position"), *carry)
+    return _in_order(taken(rows, sizes, sources, carry), F.col("target"), carry, shapes)
+
+
+def _in_order(mixed: DataFrame, demand: Column, carry: list[str], shapes: tuple = SHAPES) -> DataFrame:
+    last = F.col("copies") - F.when(F.col("cut") > 0, F.lit(0)).otherwise(F.lit(1))
+    each = mixed.where((F.col("copies") > 0) | (F.col("cut") > 0)).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("copy"))
+    share = F.least(F.lit(1.0), (F.col("copy") * F.col("source_size") + F.col("offset")) / F.greatest(demand, F.lit(1.0)))
+    words_of = F.when(F.col("copy") < F.col("copies"), F.col("size")).otherwise(F.col("cut"))
+    return (each.select("doc_id", "source", "copy", words_of.alias("words"),
+                        position(share, F.col("turn"), shapes).alias("position"), *carry)
             .orderBy("position", "doc_id", "copy"))
 
 
@@ -165,19 +172,41 @@ def trained_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"),
                        words(F.col(f"`{text}`")).alias("size"), whole.alias("row"))
     sizes = Scratch(docs.sparkSession, "mixing").keep(sized(docs, doc_id, text, source), "sizes")
-    ordered = curriculum(rows, sizes, targets(source_table(sizes, turns), share, most), ["row"])
+    sources = targets(source_table(sizes, turns), share, most)
+    ordered = _in_order(taken(rows, sizes, sources, ["row"]).where(F.col("copies") > 0).withColumn(
+        "cut", F.lit(0).cast("bigint")), F.col("target"), ["row"])
     return ordered.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
+def _run(docs: DataFrame, doc_id: str, text: str, source: str, turns: tuple, share: float, most: float
+         ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Numbered sizes, sources with targets, and the training run, written in order."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sizes = scratch.keep(sized(docs, doc_id, text, source).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    sources = targets(source_table(sizes, turns), share, most)
+    return sizes, sources, scratch.keep(curriculum(sizes, sizes, sources, ["row"]), "run")
+
+
+def training_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+                   turns: tuple = TURNS, share: float = SHARE, most: float = MOST_PASSES) -> DataFrame:
+    """``doc_id, source, copy, words, position``: what the run reads, in order of ``position``.
+
+    One row for each copy of a document; the copy in which the target of its
+    source ends has the words up to there."""
+    return _run(docs, doc_id, text, source, turns, share, most)[2].drop("row").orderBy("position", "doc_id", "copy")
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
         turns: tuple = TURNS, share: float = SHARE, most: float = MOST_PASSES) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` per row of ``docs``.
 
     Null and empty texts have size 0 and nothing is taken of them; a null
     source is a source, last in order.  Repeated rows count as often as they
-    occur.  The order of a pass is a hash of the id, so reruns agree.
+    occur.  The order of a pass is a hash of the id, so reruns agree.  What is
+    taken of a row is the sum of its words in the written training run.
     """
-    sizes = Scratch(docs.sparkSession, "mixing").keep(sized(docs, doc_id, text, source), "sizes")
-    return taken(sizes, sizes, targets(source_table(sizes, turns), share, most)).select(
-        "doc_id", "size", "source_size", "target",
-        (F.col("copies") * F.col("size") + F.col("cut")).alias("taken"))
+    sizes, sources, run = _run(docs, doc_id, text, source, turns, share, most)
+    read = run.groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("words"))
+    s = sources.select(F.struct("source").alias("s"), "source_size", "target")
+    return (sizes.join(read, F.col("row") == F.col("r"), "left").join(s, F.struct("source") == F.col("s"))
+            .select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("bigint").alias("taken")))

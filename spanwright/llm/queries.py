@@ -43,6 +43,12 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(spread(_table(spark, folder, "documents")))
 
 
+@_register
+def op3_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows that op3_mixing sums up, with their positions; has no SQL."""
+    return mixing.training_order(spread(_table(spark, folder, "documents")))
+
+
 SQL["op3_mixing"] = r"""
   WITH rows AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

@@ -90,6 +90,24 @@ def test_mixing(docs, wide, empty):
     assert all(n <= 4 for n in copies.values()) and set(copies) <= {(r[0], r[1]) for r in ROWS}
 
 
+def test_the_mix_is_the_sum_of_the_positioned_run(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"w{i} " * (5 + i % 7), f"s{i % 4}") for i in range(120)], "doc_id long, text string, source string")
+    run = mixing.training_order(df).collect()
+    assert [r["position"] for r in run] == sorted(r["position"] for r in run) and all(0 <= r["position"] <= 1 for r in run)
+    words = Counter()
+    for r in run:
+        words[r["doc_id"]] += r["words"]
+    mixed = mixing.mix(df).collect()
+    assert {r["doc_id"]: r["taken"] for r in mixed} == {r["doc_id"]: words[r["doc_id"]] for r in mixed}
+    # Copies in which a target ends have a place too.
+    assert any(0 < r["words"] < 5 + r["doc_id"] % 7 for r in run)
+    assert len({(r["doc_id"], r["copy"]) for r in run}) == len(run)
+    # The mix is made from the run, not beside it.
+    whole = mixing.curriculum
+    monkeypatch.setattr(mixing, "curriculum", lambda *a, **k: whole(*a, **k).where("copy = 0"))
+    assert all(r["taken"] <= r["size"] for r in mixing.mix(df).collect())
+
+
 def test_targets_are_capped_and_shared_again(spark):
     df = spark.createDataFrame([("a", 10, 0, 3.0), ("b", 1000, 1, 1.0), ("c", 100, 2, 2.0), ("d", 0, 0, 3.0), (None, 500, 1, 1.0)],
                                "source string, source_size long, turn int, weight double")
