@@ -47,13 +47,18 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them, in training order."""
+    """Documents as often as the mix of sources takes them, rounded to whole
+    copies, in training order."""
     return mixing.trained_order(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row, in order; null and empty texts have none."""
-    return sentencepiece.encode(docs, os.path.join(TOKENIZERS, "piece_bpe_32k.model"), ["doc_id", "source"])
+    """Token ids of each row, in training order, with its ``copy`` and
+    ``position``; null and empty texts have none.  Files are not read in order,
+    so the order is made here."""
+    column = {c: F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)}
+    rows = mixing.placed(docs).select(column["doc_id"], column["source"], "copy", "position", column["text"])
+    return sentencepiece.encode(rows, os.path.join(TOKENIZERS, "piece_bpe_32k.model"), ["doc_id", "source", "copy", "position"])
 
 
 STAGES = [

@@ -84,12 +84,18 @@ def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
 def source_table(rows: DataFrame, turns: tuple = TURNS) -> DataFrame:
     """``source, source_size, turn, weight``: sources by code point, null last,
-    with the weights in turn."""
+    with the weights in turn.  ``turn``, which picks the shape, counts sources
+    with words only, so that it is the same in the mixed table."""
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(turns)))
+    place = F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(turns)))
     weights = F.array(*[F.lit(float(w)) for w in turns])
-    return (totals.select("*", turn.cast("int").alias("turn"))
-            .select("*", F.element_at(weights, F.col("turn") + 1).alias("weight")))
+    return totals.select("*", _shape_turn().alias("turn"), F.element_at(weights, place.cast("int") + 1).alias("weight"))
+
+
+def _shape_turn(shapes: tuple = SHAPES) -> Column:
+    worded = F.sum(F.when(F.col("source_size") > 0, 1).otherwise(0)).over(
+        Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.pmod(worded - 1, F.lit(len(shapes))).cast("int")
 
 
 def taken(rows: DataFrame, sizes: DataFrame, sources: DataFrame, carry: list[str] = ()) -> DataFrame:
@@ -164,20 +170,70 @@ def _in_order(mixed: DataFrame, demand: Column, carry: list[str], shapes: tuple
             .orderBy("position", "doc_id", "copy"))
 
 
+def _whole(mixed: DataFrame) -> DataFrame:
+    """Whole copies only.  The copy in which a target ends is whole if that
+    brings its source nearer to the target, or else gone; a source with a
+    target has its first document at least."""
+    first = (F.col("size") > 0) & (F.col("target") > 0) & (F.col("copies") == 0) & (F.col("offset") == 0)
+    up = first | ((F.col("cut") > 0) & (F.col("cut") * 2 >= F.col("size")))
+    return mixed.withColumn("copies", F.col("copies") + up.cast("bigint")).withColumn("cut", F.lit(0).cast("bigint"))
+
+
+def _packed(docs: DataFrame, doc_id: str, text: str, source: str, *more: Column) -> DataFrame:
+    """``doc_id, source, size, row``: the sizes with the whole row beside them."""
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"),
+                       words(F.col(f"`{text}`")).alias("size"), *more, whole.alias("row"))
+
+
 def trained_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
                   turns: tuple = TURNS, share: float = SHARE, most: float = MOST_PASSES) -> DataFrame:
-    """The columns of ``docs``: each document as often as the mix takes it
-    whole, in training order.  Names of other columns don't matter."""
-    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"),
-                       words(F.col(f"`{text}`")).alias("size"), whole.alias("row"))
+    """The columns of ``docs``: each document as often as the mix takes it,
+    rounded to whole copies, in training order.  Names of other columns don't
+    matter.  A written table does not keep the order; :func:`placed` finds it again."""
     sizes = Scratch(docs.sparkSession, "mixing").keep(sized(docs, doc_id, text, source), "sizes")
     sources = targets(source_table(sizes, turns), share, most)
-    ordered = _in_order(taken(rows, sizes, sources, ["row"]).where(F.col("copies") > 0).withColumn(
-        "cut", F.lit(0).cast("bigint")), F.col("target"), ["row"])
+    # Time runs by the words that are really taken.
+    given = _whole(taken(sizes, sizes, sources)).groupBy(F.struct("source").alias("g")).agg(
+        F.sum(F.col("copies") * F.col("size")).alias("given"))
+    mixed = _whole(taken(_packed(docs, doc_id, text, source), sizes, sources, ["row"])).where(F.col("copies") > 0)
+    ordered = _in_order(mixed.join(given, F.struct("source") == F.col("g")), F.col("given"), ["row"])
     return ordered.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
+def placed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of a mixed table as ``row`` (columns ``c0, c1, ...``) with
+    ``copy`` and ``position``, in the order of :func:`trained_order`, whatever
+    the order they are read in.
+
+    Equal rows are copies 0, 1, ...; rows that were repeated before the mix
+    count as copies too.  A source gives all its copies 0 by the hash of the
+    id, then its copies 1, and so on; the words before a row are its share.
+    Sums run per (source, copy, leading digits), as in a mix."""
+    texts = F.xxhash64(F.col(f"`{text}`"))
+    full = _packed(docs, doc_id, text, source, texts.alias("same"))
+    narrow = Scratch(docs.sparkSession, "placed").keep(full.drop("row"), "sizes")
+
+    def copied(rows):
+        # All windows are inside a part, so rows move once.
+        equal = Window.partitionBy("part", "order", "doc_id", "size", "same").orderBy("order")
+        return _ordered(rows).repartition("part").select("*", (F.row_number().over(equal) - 1).cast("bigint").alias("copy"))
+
+    before = (Window.partitionBy("p.source").orderBy("c", "p.digits").rowsBetween(Window.unboundedPreceding, -1))
+    sums = (copied(narrow).groupBy(F.col("part").alias("p"), F.col("copy").alias("c")).agg(F.sum("size").alias("part_size"))
+            .select("p", "c", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("base")))
+    totals = narrow.groupBy("source").agg(F.sum("size").alias("source_size")).select(
+        F.struct("source").alias("s"), "source_size", _shape_turn().alias("turn"))
+    inside = (Window.partitionBy("part", "copy").orderBy("order", "doc_id", "size", "same")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    at = copied(full).select("*", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("within"))
+    at = (at.join(sums, (F.col("part") == F.col("p")) & (F.col("copy") == F.col("c")))
+          .join(totals, F.struct("source") == F.col("s")))
+    share = F.least(F.lit(1.0), (F.col("base") + F.col("within")) / F.greatest(F.col("source_size"), F.lit(1)))
+    return (at.select("row", "doc_id", "copy", position(share, F.col("turn")).alias("position"))
+            .orderBy("position", "doc_id", "copy").select("row", "copy", "position"))
+
+
 def _run(docs: DataFrame, doc_id: str, text: str, source: str, turns: tuple, share: float, most: float
          ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Numbered sizes, sources with targets, and the training run, written in order."""

@@ -1,5 +1,6 @@
 """The pipeline's stages, one by one, against plain code, and on odd input."""
 
+import hashlib
 from collections import Counter
 
 import pytest
@@ -7,7 +8,7 @@ from test_brute_force import MAX, plain_fingerprint, plain_removed, roots
 from test_edges import CLASHING, ROWS, SCHEMA
 
 import corpus_pipeline as P
-from spanwright.llm import languageid
+from spanwright.llm import languageid, mixing
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -58,6 +59,44 @@ def test_stages_on_the_smallest_table(spark):
         (r["doc_id"], tuple(sp.encode(r["text"]))) for r in mixed.collect())
 
 
+def test_whole_copies_stay_nearest_to_the_target(spark):
+    """A source with one long document, one that starts with a long one, and many short ones."""
+    first = min(range(10, 20), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    rows = [(1, "w " * 900, "one")] + [(i, "w " * (5000 if i == first else 3), "two") for i in range(10, 20)]
+    rows += [(i, "w " * (1 + i % 9), "zzz") for i in range(100, 3000)]
+    docs = spark.createDataFrame([(i, t.strip(), s) for i, t, s in rows], "doc_id long, text string, source string")
+    goals, sizes = {}, {i: len(t.split()) for i, t, _ in rows}
+    cuts = {}
+    for r in mixing.mix(docs).collect():
+        source = next(s for i, _, s in rows if i == r["doc_id"])
+        goals[source] = r["target"]
+        if r["size"] and r["taken"] % r["size"]:
+            cuts[source] = r["size"]
+    got = Counter()
+    for r in mixing.trained_order(docs).collect():
+        got[r["source"]] += sizes[r["doc_id"]]
+    for source, goal in goals.items():
+        assert got[source] > 0
+        assert abs(got[source] - goal) <= cuts.get(source, 0) / 2 + 1 or got[source] in (900, 5000)
+
+
+def test_a_target_below_the_first_document_still_gives_it(spark):
+    docs = spark.createDataFrame([(1, "w " * 500, "a"), (2, "w " * 10, "b"), (3, "w " * 10, "c")],
+                                 "doc_id long, text string, source string")
+    got = Counter(r["doc_id"] for r in mixing.trained_order(docs, share=0.1).collect())
+    assert got[1] == 1 and set(got) == {1, 2, 3}
+
+
+def test_training_order_survives_files(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    mixed = P.STAGES[3][1](spark, docs, FOLDER)
+    want = [r["doc_id"] for r in mixed.collect()]
+    mixed.repartition(7, "doc_id").write.parquet(str(tmp_path / "mixed"))
+    again = P.STAGES[4][1](spark, spark.read.parquet(str(tmp_path / "mixed")), FOLDER).collect()
+    assert [r["doc_id"] for r in again] == want and len(want) > len(set(want))
+    assert [r["position"] for r in again] == sorted(r["position"] for r in again)
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     docs = docs.select("*", *[languageid.F.lit(c).alias(c) for c in CLASHING])
