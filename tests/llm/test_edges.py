@@ -283,6 +283,22 @@ def test_sentencepiece(docs, wide, empty):
     assert sentencepiece.encode(empty, MODEL, ["doc_id"]).count() == 0
 
 
+def test_every_text_is_compared_and_decoded_by_the_rebuilt_tokenizer(monkeypatch):
+    from tokenizers import decoders
+    data = open(MODEL, "rb").read()
+    texts = [f"text number {i}" for i in range(200)] + ["", None]
+    got = sentencepiece.coder(data)()(texts)
+    assert got["parity"] == [True] * len(texts) and all(got["round_trip"])
+    whole = sentencepiece.rebuild
+
+    def broken(model):
+        tokenizer = whole(model)
+        tokenizer.decoder = decoders.Fuse()
+        return tokenizer
+    monkeypatch.setattr(sentencepiece, "rebuild", broken)
+    assert not any(sentencepiece.coder(data)()(texts[:200])["round_trip"])
+
+
 def message(*fields):
     """A protobuf message of (number, value) fields."""
     def varint(n):
