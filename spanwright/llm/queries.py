@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scan import spread
-from . import chat, hnsw, languageid, mixing, neardup, sentencepiece, simhash, suffixes, tokencount, warc
+from . import chat, hnsw, htmltext, languageid, mixing, neardup, periodic, sentencepiece, simhash, suffixes, tokencount, warc, whitening
 from .store import Scratch, numbered
 
 # Where the vocabularies of public tokenizers are; a parameter of the operators.
@@ -193,3 +193,100 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @_register
 def op10_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "embeddings"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` in which every text whose id has a checksum divisible by
+    ten goes on from a word on with the same words again and again."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    known = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
+    n = F.size("words")
+    first = (F.col("g") % F.greatest(n, F.lit(1))).cast("int")
+    period = (1 + F.floor((n - first) / (3 + F.col("g") % 8))).cast("int")
+    cycle = F.slice("words", first + 1, period)
+    again = F.slice(F.flatten(F.array_repeat(cycle, F.ceil((n - first) / period).cast("int"))), F.lit(1), n - first)
+    return known.select("doc_id", F.when(F.col("words").isNull() | (n <= 0), F.col("text")).otherwise(
+        F.array_join(F.concat(F.slice("words", F.lit(1), first), again), " ")).alias("text"))
+
+
+@_register
+def op11_word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = with_planted_runs(spread(_table(spark, folder, "documents")))
+    found = periodic.word_runs(docs, ["doc_id"]).withColumn("best", periodic.best(F.col("runs")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"))
+
+
+# The checksum is CRC-32 bit by bit; 3988292384 is its reflected polynomial.
+# A stretch of words that equal those q before, with these, has period q.
+SQL["op11_word_runs"] = r"""
+  WITH ids AS (
+    SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words,
+           flatten([[ord(substr(doc_id::VARCHAR, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0] for i in range(1, length(doc_id::VARCHAR) + 1)]) AS steps
+    FROM documents),
+  sums AS (
+    SELECT doc_id, words, len(words) AS n,
+           xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, steps),
+               lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))) AS h
+    FROM ids),
+  planted AS (
+    SELECT doc_id, words, n, h % 10 = 0 AND n > 0 AS again, (h // 10) % greatest(n, 1) AS a, (h // 10) % 8 AS k FROM sums),
+  texts AS (
+    SELECT doc_id, CASE WHEN again THEN [words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + k)) END]
+                                         for i in range(0, n)] ELSE words END AS words
+    FROM planted),
+  word AS (SELECT doc_id, unnest(words) AS w, unnest(range(0, len(words))) AS i FROM texts),
+  same AS (
+    SELECT x.doc_id, x.i, x.i - y.i AS q FROM word x JOIN word y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i < x.i),
+  islands AS (
+    SELECT doc_id, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g, i FROM same),
+  stretches AS (
+    SELECT doc_id, q, min(i) - q AS start, max(i) - min(i) + 1 + q AS length FROM islands GROUP BY doc_id, q, g),
+  runs AS (
+    SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q)
+    GROUP BY doc_id, start, length),
+  best AS (
+    SELECT doc_id, start, length, period FROM runs
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+  listed AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t
+    FROM runs GROUP BY doc_id),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+  rest AS (
+    SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+  SELECT d.doc_id, coalesce(l.n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length,
+         b.period::BIGINT AS period, (1000 * b.length // b.period)::BIGINT AS exponent_milli,
+         sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(r.t, '')) AS collapsed_sha256
+  FROM documents d LEFT JOIN best b USING (doc_id) LEFT JOIN listed l USING (doc_id) LEFT JOIN rest r USING (doc_id)"""
+
+
+@_register
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+@_register
+def op13_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.extract(spread(_table(spark, folder, "pages")), ["page_id", "url"])
+
+
+# The pages of the tables hold their main text in one article element without
+# inner boxes, so a plain cut gives what the densities must find.
+SQL["op13_html_text"] = r"""
+  WITH cut AS (
+    SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS article FROM pages),
+  parts AS (SELECT page_id, url, string_split_regex(article, '</?(p|h1)>') AS parts FROM cut),
+  block AS (SELECT page_id, url, unnest(parts) AS b, unnest(range(1, len(parts) + 1)) AS i FROM parts),
+  plain AS (
+    SELECT page_id, url, i, trim(regexp_replace(replace(regexp_replace(replace(replace(replace(regexp_replace(b, '<[^>]*(>|$)', ' ', 'g'),
+             '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), chr(160), ' '), '\s+', ' ', 'g')) AS b
+    FROM block)
+  SELECT p.page_id, p.url, coalesce(t.text, '') AS text, length(coalesce(t.text, ''))::BIGINT AS n_chars
+  FROM pages p LEFT JOIN (
+    SELECT page_id, url, string_agg(b, chr(10) || chr(10) ORDER BY i) AS text FROM plain WHERE b <> '' GROUP BY page_id, url) t
+  ON p.page_id = t.page_id AND p.url IS NOT DISTINCT FROM t.url"""
