@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import spans as S
 from ..functions import texts as T
-from . import ordered
+from . import ordered, prefixes
 from .quality import checked, problem
-from .sizing import checkpointed, fits_broadcast, lookup_join
+from .sizing import lookup_join
 
 SUBJECT = r"(?s)^\[PATCH ([0-9]+)/([0-9]+)\] (.+)"
 
@@ -149,50 +148,25 @@ def owner_headers(files: DataFrame, keys: list[str], order: str, owner: str,
             .drop("__before"))
 
 
-# Summaries are told apart by this many characters first.
-_HEAD = 16
-
-
 def match_mails(patches: DataFrame, mails: DataFrame, patch: str, summary: str, subject: str,
                 order: str, total: int | None = None) -> DataFrame:
     """First mail, by ``order``, whose subject is ``[PATCH n/total] `` and then
-    text that starts with the summary of the patch.
-
-    ``patch`` names the patch.  Both sides lose their prefix.  The prefix match
-    is an equi-join: a subject is looked up under its heads, cut to the lengths
-    of the summaries that share its first ``_HEAD`` characters (and to the
-    lengths of shorter summaries).  Heads that are no summary are dropped
-    before the shuffle where the summaries can be broadcast, and only the first
-    mail of a head leaves its task.  Patches without a mail have a ``problem``.
+    text that starts with the summary of the patch, as the struct ``mail``.
+
+    Both sides lose their prefix and are sorted together once
+    (:func:`prefixes.first_below`).  Patches without a mail have a ``problem``.
     """
     series = r"[0-9]+" if total is None else str(total)
-    stripped = F.regexp_extract(F.col(subject), rf"(?s)^\[PATCH [0-9]+/{series}\] (.*)", 1)
-    # Both are used several times.
-    candidates = checkpointed(mails.select(
-        F.col(order).alias("__ord"), stripped.alias("__rest")).where(F.col("__rest") != ""))
-    wanted = checkpointed(patches.select(F.col(summary).alias("__head")).where(F.col("__head").isNotNull()).distinct())
-    size, rest = F.length("__head"), F.col("__rest")
-
-    def heads_of(rows: DataFrame) -> DataFrame:
-        fitting = F.filter("__lens", lambda n: n <= F.length(rest))
-        return S.unnest(rows, ["__ord"], F.transform(
-            fitting, lambda n: F.substring(rest, F.lit(1), n)), "__head")
-
-    # Lengths are distinct, so an array is at most as long as the longest subject.
-    short = wanted.where(size < _HEAD).agg(F.sort_array(F.collect_set(size)).alias("__lens"))
-    long = (wanted.where(size >= _HEAD).groupBy(F.substring("__head", 1, _HEAD).alias("__start"))
-            .agg(F.sort_array(F.collect_set(size)).alias("__lens")))
-    started = candidates.withColumn("__start", F.substring("__rest", 1, _HEAD))
-    heads = heads_of(candidates.withColumn("__lens", short.scalar())).unionByName(
-        heads_of(lookup_join(started, long, ["__start"], "inner", ["__ord"])))
-    if fits_broadcast(wanted):
-        heads = heads.join(F.broadcast(wanted), "__head", "left_semi")
-    # Only the place of a mail goes through the lookup; the mails come back by it.
-    first = heads.groupBy("__head").agg(F.min("__ord").alias("__ord"))
-    whole = mails.select(F.col(order).alias("__at"), F.struct(*mails.columns).alias("mail"))
-    keyed = first.join(whole, F.col("__ord") == F.col("__at")).select("__head", "mail")
-    joined = lookup_join(patches, keyed.withColumnRenamed("__head", summary), [summary], "left",
-                         [patch], max_bytes=-1)
+    pattern = rf"(?s)^(\[PATCH [0-9]+/{series}\] )(.*)"
+    text = F.col(subject)
+    others = [c for c in mails.columns if c != subject]
+    series_mails = mails.where(text.rlike(pattern)).select(
+        *others, F.regexp_extract(text, pattern, 1).alias("__start"), F.regexp_extract(text, pattern, 2).alias(summary))
+    found = prefixes.first_below(patches, series_mails.select(
+        F.struct(*others).alias("__mail"), F.col(order).alias("__ord"), "__start", summary), summary, "__ord")
+    whole = [F.concat("found.__start", F.col("found")[summary]).alias(c) if c == subject else F.col("found.__mail")[c].alias(c)
+             for c in mails.columns]
+    joined = found.select(*patches.columns, F.when(F.col("found").isNotNull(), F.struct(*whole)).alias("mail"))
     return checked(joined, (F.col("mail").isNull(), "no mail for this patch"))
 
 
