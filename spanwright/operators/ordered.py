@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import checkpointed
+from .sizing import checkpointed, lookup_join
 
 CHUNK_ROWS = 1 << 20
 
@@ -77,6 +77,39 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, values: dict[str,
     return _carry(df, keys, order, values, chunk_rows, inclusive=True)
 
 
+def carry_once(df: DataFrame, keys: list[str], order: str, upto: dict[str, Column],
+               before: dict[str, Column], chunk_rows: int | None = None) -> DataFrame:
+    """Several carried values in one pass that reads its input once.
+
+    ``upto`` are last non-null values up to and including the row, ``before``
+    those before it; ``order`` must be unique within the key.  All come from
+    one sort of the chunks.  The pass is stored with what it carried inside its
+    chunks; the edges, what stands at the last row of each chunk, are taken
+    from there and added to the rows of later chunks of the key.
+    """
+    values = {**upto, **before}
+    names = list(values)
+    taken = [f"__v{i}" for i in range(len(names))]
+    rows = _chunked(df.select("*", *[values[n].alias(v) for n, v in zip(names, taken)]), keys, order, chunk_rows)
+    inclusive, _ = _windows(order, inclusive=True)
+    exclusive, over_chunks = _windows(order, inclusive=False)
+    carried = [F.last(v, ignorenulls=True).over(inclusive if n in upto else exclusive) for n, v in zip(names, taken)]
+    end = F.lead(F.lit(True)).over(Window.partitionBy(*_IN_CHUNK).orderBy(order)).isNull()
+    stored = checkpointed(rows.select(
+        *df.columns, *_IN_CHUNK, end.alias("__end"), *[c.alias(f"__w{i}") for i, c in enumerate(carried)],
+        *[v for n, v in zip(names, taken) if n in before]))
+    at_end = [F.coalesce(v, f"__w{i}") if n in before else F.col(f"__w{i}") for i, (n, v) in enumerate(zip(names, taken))]
+    edges = stored.where("__end").select(*_IN_CHUNK, *[c.alias(f"__l{i}") for i, c in enumerate(at_end)])
+    held = [F.last(f"__l{i}", ignorenulls=True).over(over_chunks).alias(f"__c{i}") for i in range(len(names))]
+    # Only chunks that something is carried into are looked up.
+    nothing = F.lit(True)
+    for i in range(len(names)):
+        nothing = nothing & F.col(f"__c{i}").isNull()
+    into = checkpointed(edges.select(*_IN_CHUNK, *held).where(~nothing))
+    return lookup_join(stored, into, list(_IN_CHUNK), "left", [order]).select(
+        *[c for c in df.columns if c not in names], *[F.coalesce(f"__w{i}", f"__c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def lag(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
         chunk_rows: int | None = None) -> DataFrame:
     """``out`` is ``struct<v>`` of the previous row, null on the first row."""

@@ -71,32 +71,41 @@ def line_kind(line: Column) -> Column:
     return kind
 
 
-def diff_lines(lines: DataFrame, keys: list[str], order: str, line: str) -> DataFrame:
+def diff_lines(lines: DataFrame, keys: list[str], order: str, line: str, repeats: bool = False,
+               chunk_rows: int | None = None) -> DataFrame:
     """Lines of diffs with ``kind``, ``block`` (the line that opened the file,
     null in the preamble), ``path`` and ``status`` as they stand at the line.
 
     Indented lines of the preamble are ``message``, the others ``preamble``.
-    In a new or deleted file hunk lines count as body.
+    In a new or deleted file hunk lines count as body.  With ``repeats`` the
+    column of that name is true for a hunk whose scope is that of the hunk
+    before it in the file.  All come from one pass over the lines.
     """
-    kind = line_kind(F.col(line))
-    raw = lines.withColumn("__kind", kind)
-    # A new file resets path and status: the struct is set, its field is null.
-    opens = F.col("__kind") == "file"
+    text = F.col(line)
+    raw = lines.withColumn("__kind", line_kind(text))
+    kind = F.col("__kind")
+    # A new file resets path, status and hunk: the struct is set, its field is null.
+    opens = kind == "file"
     path = F.when(opens, F.lit(None)).otherwise(F.expr(f"substring(`{line}`, 7)"))
-    status = F.when(opens, F.lit("changed")).otherwise(F.col("__kind"))
-    known = ordered.carry_forward(raw, keys, order, {
+    status = F.when(opens, F.lit("changed")).otherwise(kind)
+    scope = context_scope(F.regexp_extract(text, HUNK, 5))
+    # Where a hunk line counts, all hunk lines before it in the file do: a file
+    # that has become new or deleted stays so.
+    hunk = F.when(opens, F.lit(None)).when(kind == "hunk", scope)
+    known = ordered.carry_once(raw, keys, order, {
         "block": F.when(opens, F.col(order)),
-        "__path": F.when(F.col("__kind").isin("file", "old_path", "new_path"), F.struct(path.alias("v"))),
-        "__status": F.when(F.col("__kind").isin("file", "new", "deleted"), status)})
+        "__path": F.when(kind.isin("file", "old_path", "new_path"), F.struct(path.alias("v"))),
+        "__status": F.when(kind.isin("file", "new", "deleted"), status)},
+        {"__hunk": F.when(kind.isin("file", "hunk"), F.struct(hunk.alias("v")))} if repeats else {}, chunk_rows)
     inside = F.col("block").isNotNull()
-    return (known
+    done = (known
             .withColumn("path", F.when(inside, F.col("__path.v")))
             .withColumn("status", F.when(inside, F.col("__status")))
-            .withColumn("kind", F.when(~inside, F.when(F.col(line).startswith(" "), "message")
-                                       .otherwise("preamble"))
-                        .when((F.col("__kind") == "hunk") & (F.col("status") != "changed"), "body")
-                        .otherwise(F.col("__kind")))
-            .drop("__kind", "__status", "__path"))
+            .withColumn("kind", F.when(~inside, F.when(text.startswith(" "), "message").otherwise("preamble"))
+                        .when((kind == "hunk") & (F.col("status") != "changed"), "body").otherwise(kind)))
+    if repeats:
+        done = done.withColumn("repeats", (F.col("kind") == "hunk") & F.coalesce(F.col("__hunk.v") == scope, F.lit(False)))
+    return done.drop("__kind", "__status", "__path", "__hunk")
 
 
 HUNK = r"^@@ -([0-9]+),?([0-9]*) \+([0-9]+),?([0-9]*) @@ ?(.*)$"

@@ -9,6 +9,7 @@ from ..functions import texts as T
 from ..operators import patches as P
 from ..operators import quality
 from ..operators.changelog import owners
+from ..operators.sizing import checkpointed, lookup_join
 from ..sources import scan
 
 
@@ -46,16 +47,21 @@ def log_sections(patches: DataFrame) -> DataFrame:
 
 def draft(diffs: DataFrame, dirs: DataFrame, keep_repeats: bool = False) -> DataFrame:
     """Log draft of diffs ``diff_id, text``: rows of files and hunks with
-    ``owner_dir``, ``status_text`` and ``scope``."""
+    ``owner_dir``, ``status_text`` and ``scope``.
+
+    The diffs are read once; files and hunks come from one aggregation over the
+    parsed lines, and owners are looked up for distinct paths."""
     lines = scan.lines(diffs, ["diff_id"], "text")
-    parsed = P.diff_lines(lines, ["diff_id"], "line_no", "line")
-    hunks = P.with_hunk(parsed.where("kind = 'hunk'"), "line")
-    if not keep_repeats:
-        hunks = P.drop_repeats(hunks, ["diff_id", "block"], "line_no", "scope")
-    files = (parsed.where("path IS NOT NULL AND kind IN ('old_path', 'new_path')")
-             .groupBy("diff_id", "block", "path").agg(F.min("line_no").alias("line_no"), F.max("status").alias("status")))
-    rows = files.withColumn("scope", F.lit(None).cast("string")).unionByName(
-        hunks.select("diff_id", "block", "path", "line_no", "status", "scope"))
-    placed = owners(rows, "path", dirs).drop("problem")
-    return placed.withColumn("status_text", F.when(F.col("scope").isNull(), P.status_text(
-        F.col("status"), F.col("path")))).orderBy("diff_id", "line_no")
+    parsed = P.with_hunk(P.diff_lines(lines, ["diff_id"], "line_no", "line", repeats=True), "line")
+    is_hunk = F.col("kind") == "hunk"
+    wanted = is_hunk if keep_repeats else is_hunk & ~F.col("repeats")
+    is_file = F.col("path").isNotNull() & F.col("kind").isin("old_path", "new_path")
+    # A file is all its path lines; a hunk is its own line.
+    rows = checkpointed(parsed.where(is_file | wanted).groupBy(
+        "diff_id", "block", "path", F.when(is_hunk, F.col("line_no")).alias("hunk_line")).agg(
+        F.min("line_no").alias("line_no"), F.max("status").alias("status"),
+        F.max(F.when(is_hunk, F.col("scope"))).alias("scope")).drop("hunk_line"))
+    owned = checkpointed(owners(rows.select("path").distinct(), "path", dirs).drop("problem"))
+    placed = lookup_join(rows, owned, ["path"], "left", ["diff_id", "line_no"])
+    return placed.select("diff_id", "block", "path", "line_no", "status", "scope", "owner_dir", "rel_path", F.when(
+        F.col("scope").isNull(), P.status_text(F.col("status"), F.col("path"))).alias("status_text")).orderBy("diff_id", "line_no")

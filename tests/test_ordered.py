@@ -110,3 +110,20 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     with pytest.raises(ValueError):
         sizing.shared_folder(Session("spark://h:1"))
     assert sizing.checkpointed(spark.range(5)).count() == 5
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+def test_several_values_in_one_pass(events, chunk):
+    df, rows = events
+    upto = {"seen": F.col("v"), "nth": F.when(F.col("v") == "x", F.col("n"))}
+    before = {"last_y": F.when(F.col("v") == "y", F.struct(F.col("n").alias("at"))), "ago": F.col("v")}
+    got = {r.n: r for r in ordered.carry_once(df, ["k"], "n", upto, before, chunk).collect()}
+    assert len(got) == len(rows)
+    for k, items in by_key(rows).items():
+        seen = nth = last_y = ago = None
+        for n, v in items:
+            assert (got[n].last_y and got[n].last_y.at, got[n].ago) == (last_y, ago)
+            seen = ago = v if v is not None else seen
+            nth, last_y = (n if v == "x" else nth), (n if v == "y" else last_y)
+            assert (got[n].seen, got[n].nth, got[n].k, got[n].v) == (seen, nth, k, v)
+    assert ordered.carry_once(df.limit(0), ["k"], "n", upto, before, chunk).count() == 0
