@@ -85,6 +85,12 @@ def shared_folder(spark: SparkSession) -> str:
 _local_folder: str | None = None
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in whatever file system it is; one that isn't there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder of the cluster."""
     context = df.sparkSession.sparkContext

@@ -161,3 +161,33 @@ def run_logs_written(t: Tables) -> DataFrame:
         F.regexp_extract(F.col("_metadata.file_path"), "/source=([^/]*)/", 1).alias("source"),
         F.col("_metadata.file_name").alias("part"), F.col("value").alias("text"))
     return ordered.whole_texts(files, ["source"], "text", "")
+
+
+# Documents of a written file.
+_FILE_DOCS = 16384
+
+
+@query("run_corpus_scan", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') || chr(10) AS line, CASE WHEN lang = 'es' THEN 'gcc/testsuite' ELSE 'gcc' END
+             || '/source=' || coalesce(nullif(source, ''), '__HIVE_DEFAULT_PARTITION__') || '/block=' || (doc_id // {_FILE_DOCS}) AS folder FROM documents),
+     f AS (SELECT folder, sum(strlen(line))::BIGINT AS size, string_agg(line, '' ORDER BY doc_id) AS text FROM d GROUP BY folder)
+SELECT folder, size, CASE WHEN folder NOT LIKE '%/testsuite/%' AND size < 16777216 THEN md5(text) END AS digest,
+       CASE WHEN folder NOT LIKE '%/testsuite/%' AND size < 16777216 THEN length(text)::BIGINT END AS n_chars FROM f""")
+def corpus_scan(t: Tables) -> DataFrame:
+    """A corpus written as a tree of files, listed, and read without its test
+    folders and its largest files, which are not opened.  The tree goes at the end."""
+    root = f"{sizing.shared_folder(t.spark)}/tree-{uuid.uuid4().hex}"
+    block = F.floor(F.col("doc_id") / _FILE_DOCS)
+    docs = t.documents.select("source", block.alias("block"), "doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    for folder, part in (("gcc", ~F.col("lang").eqNullSafe("es")), ("gcc/testsuite", F.col("lang") == "es")):
+        # A group is one file, its documents in order.
+        (docs.where(part).repartition("source", "block").sortWithinPartitions("source", "block", "doc_id")
+         .select("source", "block", "text").write.mode("append").partitionBy("source", "block").text(f"{root}/{folder}"))
+    keep = scan.has_suffix(F.col("path"), [".txt"], pruned=["testsuite"]) & (F.col("size") < 1 << 24)
+    texts = scan.read_corpus(t.spark, root, "*.txt", keep, root).select(
+        "path", F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("n_chars"))
+    files = scan.listing(t.spark, root, "*.txt", root)
+    found = sizing.checkpointed(files.join(texts, "path", "left").select(
+        F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "size", "digest", "n_chars"))
+    sizing.remove_folder(t.spark, root)
+    return found

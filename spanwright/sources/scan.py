@@ -48,22 +48,36 @@ def has_suffix(path: Column, suffixes, skipped=(), pruned=()) -> Column:
     return keep
 
 
+def _below(path: Column, root: str | None) -> Column:
+    """The path below a folder, however the scheme of the two is written."""
+    if not root:
+        return path
+    inside = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
+    return F.regexp_extract(path, f"\\Q{inside}/\\E(.*)$", 1)
+
+
+def listing(spark: SparkSession, folder: str, glob: str | None = None, root: str | None = None) -> DataFrame:
+    """Files below a folder as ``path, size``; no file is opened for it."""
+    options = {"recursiveFileLookup": True} | ({"pathGlobFilter": glob} if glob else {})
+    files = spark.read.format("binaryFile").options(**options).load(folder)
+    return files.select(_below(F.col("_metadata.file_path"), root).alias("path"), F.col("_metadata.file_size").alias("size"))
+
+
 def read_corpus(spark: SparkSession, folder: str, glob: str | None = None,
                 keep: Column | None = None, root: str | None = None) -> DataFrame:
     """Files below a folder as ``path, text``, one row per file.
 
-    ``glob`` and a filter on ``path`` prune files before their text is read.
+    ``glob`` and ``keep``, a filter on the ``path`` and ``size`` of files, are
+    looked at when the folder is listed: only files that pass are opened.
     With ``root``, a folder above the files, paths are relative to it, as rule
     lists with bare file names need.
     """
     options = {"wholetext": True, "recursiveFileLookup": True}
     if glob:
         options["pathGlobFilter"] = glob
-    path = F.col("_metadata.file_path")
-    if root:
-        path = F.regexp_extract(path, f"\\Q{root.rstrip('/')}/\\E(.*)$", 1)
-    df = spark.read.text(folder, **options).select(path.alias("path"), F.col("value").alias("text"))
-    return df if keep is None else df.where(keep)
+    df = spark.read.text(folder, **options).select(
+        _below(F.col("_metadata.file_path"), root).alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
+    return (df if keep is None else df.where(keep)).select("path", "text")
 
 
 def lines(df: DataFrame, keep: list[str], text: str) -> DataFrame:

@@ -5,9 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from spanwright.operators import ordered
+from spanwright.operators import ordered, sizing
 from spanwright.operators import patches as P
 from spanwright.plans import all_queries, patch_kit
+from spanwright.sources import scan
 
 FOLDER = "/root/testdata/sf0.001"
 SCAN = re.compile(r"^[\s:|+*()\d-]*(FileScan|Scan ExistingRDD)", re.M)
@@ -53,3 +54,41 @@ def test_repeated_hunks(spark, chunk):
         assert [r.n for r in rows if r.kind == "hunk"] == [4, 6, 7, 8, 9, 12]
         assert [r.n for r in rows if r.repeats] == [6, 9]
         assert [r.status for r in rows] == [None] + ["changed"] * 12 + ["new"] * 3
+
+
+def files_opened(df):
+    """Files and bytes of the scans of a plan that has run."""
+    found, open_ = [], [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            open_.append(node.executedPlan())
+            continue
+        if node.metrics().contains("numFiles"):
+            found.append((node.metrics().apply("numFiles").value(), node.metrics().apply("filesSize").value()))
+        children = node.children().iterator()
+        while children.hasNext():
+            open_.append(children.next())
+    return found
+
+
+def test_pruned_files_are_not_opened(spark, tmp_path):
+    for name, text in {"a.c": "one\ntwo", "testsuite/b.c": "no", "sub/c.h": "three", "d.txt": "no", "sub/testsuite/e.c": "no",
+                       "big.c": "x" * 5000, "testsuite.c": "four"}.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+    keep = scan.wanted(F.col("path"), "c", skip_tests=True) & (F.col("size") < 5000)
+    df = scan.read_corpus(spark, str(tmp_path), keep=keep, root=str(tmp_path / "in"))
+    assert {(r.path, r.text) for r in df.collect()} == {("a.c", "one\ntwo"), ("sub/c.h", "three"), ("testsuite.c", "four")}
+    assert files_opened(df) == [(3, 16)]
+    assert "file_size" in (plan := df._jdf.queryExecution().executedPlan().toString()) and "DataFilters: [" in plan
+    listed = scan.listing(spark, str(tmp_path), "*.c", str(tmp_path / "in"))
+    assert {tuple(r) for r in listed.collect()} == {("a.c", 7), ("testsuite/b.c", 2), ("sub/testsuite/e.c", 2), ("big.c", 5000), ("testsuite.c", 4)}
+    assert "content" not in listed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_tree_goes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sizing, "shared_folder", lambda _: str(tmp_path / "shared"))
+    found = all_queries()["run_corpus_scan"](spark, FOLDER)
+    assert not list((tmp_path / "shared").glob("*")) and found.count() > 0
+    sizing.remove_folder(spark, str(tmp_path / "nothing"))
