@@ -9,7 +9,6 @@ from ..functions import spans as S
 from ..functions import texts as T
 from ..operators import changelog as L
 from ..operators import match as M
-from ..operators import ordered
 from ..operators import patches as P
 from .registry import Tables, query
 
@@ -49,15 +48,22 @@ def relative_paths(t: Tables):
     return L.owners(_paths(t), "path", _dirs(t)).select("page_id", "owner_dir", "rel_path", "problem")
 
 
-@query("l3_scope_texts", """
-SELECT conv_id, role, min(turn) AS first_ord, string_agg(text, '  ' ORDER BY turn) AS text, bool_and(text LIKE '%.') AS finished
-FROM conversations GROUP BY conv_id, role""")
+# Results of ordered texts come in parts of so many rows of their key; the parts
+# of a key, in order, are its text.
+_PART_TURNS = 8
+_PART_DOCS = 4096
+
+
+@query("l3_scope_texts", f"""
+WITH n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1) // {_PART_TURNS} AS part,
+                  min(turn) OVER (PARTITION BY conv_id, role) AS first_ord,
+                  bool_and(text LIKE '%.') OVER (PARTITION BY conv_id, role) AS finished FROM conversations)
+SELECT conv_id, role, part, first_ord, string_agg(text, '  ' ORDER BY turn) AS text, finished FROM n GROUP BY ALL""")
 def scope_texts(t: Tables):
     broken, _ = L.unfinished(F.col("text"))
-    parts = L.scope_texts(t.conversations, ["conv_id"], "role", "turn", "text")
-    texts = ordered.whole_texts(parts, ["conv_id", "role", "first_ord"], "text", "  ")
+    parts = L.scope_texts(t.conversations, ["conv_id"], "role", "turn", "text", _PART_TURNS)
     checks = t.conversations.groupBy("conv_id", "role").agg((F.count_if(broken) == 0).alias("finished"))
-    return texts.join(checks, ["conv_id", "role"])
+    return parts.join(checks, ["conv_id", "role"])
 
 
 @query("l4_name_sentences", """
@@ -88,30 +94,32 @@ def entry_lines(t: Tables):
     return L.entry_lines(df, [], "source", "scope", "doc_id", "text").select("doc_id", "entry")
 
 
-@query("l8_directory_logs", """
-SELECT source, '2026-01-01  A Writer  <writer@example.org>' || chr(10) || chr(10) || 'Made by a script.' || chr(10)
-       || string_agg('(' || doc_id || '): ' || lang || '.', chr(10) ORDER BY doc_id) || chr(10)
-       || CASE WHEN source LIKE 'src1%' THEN chr(10) || 'Old log of ' || source || '.' ELSE '' END AS text
-FROM documents GROUP BY source""")
+@query("l8_directory_logs", f"""
+WITH n AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // {_PART_DOCS} AS part FROM documents)
+SELECT source, part, CASE WHEN part = 0 THEN '2026-01-01  A Writer  <writer@example.org>' || chr(10) || chr(10)
+         || 'Made by a script.' || chr(10) ELSE '' END
+       || string_agg('(' || doc_id || '): ' || lang || '.', chr(10) ORDER BY doc_id) || chr(10) AS text
+FROM n GROUP BY source, part
+UNION ALL SELECT source, max(part) + 1, chr(10) || 'Old log of ' || source || '.' FROM n WHERE source LIKE 'src1%' GROUP BY source""")
 def directory_logs(t: Tables):
     entries = t.documents.select("source", "doc_id", F.concat(
         F.lit("("), F.col("doc_id").cast("string"), F.lit("): "), F.col("lang"), F.lit(".")).alias("entry"))
     old = (t.documents.where(F.col("source").startswith("src1")).select("source").distinct()
            .withColumn("old_text", F.concat(F.lit("Old log of "), F.col("source"), F.lit("."))))
     header = L.header_line(F.lit("2026-01-01"), F.lit("A Writer"), F.lit("writer@example.org"))
-    parts = L.directory_logs(entries, "source", "doc_id", "entry", header, F.lit("Made by a script."), old)
-    return ordered.whole_texts(parts, ["source"], "text", "")
+    return L.directory_logs(entries, "source", "doc_id", "entry", header, F.lit("Made by a script."), old, _PART_DOCS)
 
 
-@query("l9_log_entries", """
+@query("l9_log_entries", f"""
 WITH e AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS entry_at
-           FROM conversations)
-SELECT conv_id, entry_at, max(CASE WHEN turn = entry_at THEN text END) AS header,
-       coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (turn <> entry_at), '') AS body
-FROM e WHERE entry_at IS NOT NULL GROUP BY ALL""")
+           FROM conversations),
+     n AS (SELECT *, greatest(row_number() OVER (PARTITION BY conv_id, entry_at ORDER BY turn) - 2, 0) // {_PART_TURNS} AS part,
+                  max(CASE WHEN turn = entry_at THEN text END) OVER (PARTITION BY conv_id, entry_at) AS header
+           FROM e WHERE entry_at IS NOT NULL)
+SELECT conv_id, entry_at, part, header, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (turn <> entry_at), '') AS body
+FROM n GROUP BY ALL""")
 def log_entries(t: Tables):
-    parts = L.log_entries(t.conversations, ["conv_id"], "turn", "text", F.col("role") == "user")
-    return ordered.whole_texts(parts, ["conv_id", "entry_at", "header"], "body", "\n")
+    return L.log_entries(t.conversations, ["conv_id"], "turn", "text", F.col("role") == "user", _PART_TURNS)
 
 
 @query("l10_newest", """
@@ -160,19 +168,21 @@ def split_body(t: Tables):
     return t.documents.select("doc_id", before.alias("before"), after.alias("after"))
 
 
-@query("p3_sections", """
+@query("p3_sections", f"""
 WITH c AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS opener
-           FROM conversations)
-SELECT conv_id, CASE WHEN opener IS NULL THEN 'leading' WHEN opener % 4 = 2 THEN 'conflicts' ELSE 'section' END AS kind,
-       CASE WHEN opener IS NULL OR opener % 4 = 2 THEN '' ELSE 'turn' || (opener % 3) END AS section,
-       string_agg(replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS text
-FROM c WHERE role <> 'user' GROUP BY ALL""")
+           FROM conversations),
+     k AS (SELECT conv_id, turn, text, CASE WHEN opener IS NULL THEN 'leading' WHEN opener % 4 = 2 THEN 'conflicts' ELSE 'section' END AS kind,
+                  CASE WHEN opener IS NULL OR opener % 4 = 2 THEN '' ELSE 'turn' || (opener % 3) END AS section
+           FROM c WHERE role <> 'user'),
+     n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, kind, section ORDER BY turn) - 1) // {_PART_TURNS} AS part FROM k)
+SELECT conv_id, kind, section, part, string_agg(replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS text
+FROM n GROUP BY ALL""")
 def sections(t: Tables):
     opener = F.when(F.col("turn") % 4 == 2, "Conflicts:").otherwise(
         F.concat(F.lit("turn"), (F.col("turn") % 3).cast("string"), F.lit("/")))
     lines = t.conversations.select("conv_id", "turn", F.when(F.col("role") == "user", opener).otherwise(
         F.replace("text", F.lit("\n"), F.lit(" "))).alias("line"))
-    return ordered.whole_texts(P.sections(lines, ["conv_id"], "turn", "line"), ["conv_id", "kind", "section"], "text", "\n")
+    return P.sections(lines, ["conv_id"], "turn", "line", _PART_TURNS)
 
 
 _DIFF_SQL = """

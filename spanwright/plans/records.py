@@ -16,16 +16,20 @@ _BLANKS_SQL = """
   FROM events WHERE event_type <> 'signup'"""
 
 
+# A part of a record has so many lines of its file.
+_PART_LINES = 64
+
+
 @query("o1_records", f"""
-SELECT user_id, coalesce(blank, -1) AS record,
-       string_agg(event_type, '|' ORDER BY event_id) AS joined
-FROM ({_BLANKS_SQL}) WHERE event_type <> 'error' GROUP BY ALL""")
+SELECT user_id, coalesce(blank, -1) AS record, n // {_PART_LINES} AS part, string_agg(event_type, '|' ORDER BY event_id) AS joined
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM ({_BLANKS_SQL}) WHERE event_type <> 'error')
+GROUP BY ALL""")
 def records(t: Tables):
     line = (F.when(F.col("event_type") == "error", "  ").when(F.col("event_type") == "signup", "; comment only")
             .otherwise(F.concat(F.col("event_type"), F.when(F.col("event_id") % 2 == 0, ";note  ").otherwise(" "))))
     lines = t.events.select("user_id", "event_id", line.alias("line"))
-    return O.whole_records(O.records(lines, ["user_id"], "event_id", "line"), ["user_id"]).select(
-        "user_id", "record", F.array_join("lines", "|").alias("joined"))
+    return O.records(lines, ["user_id"], "event_id", "line", part_rows=_PART_LINES).select(
+        "user_id", "record", "part", F.array_join("lines", "|").alias("joined"))
 
 
 @query("o1_strict_records", f"""

@@ -147,20 +147,26 @@ def run_conversion(t: Tables) -> DataFrame:
 
 
 @query("run_logs_written", """
-SELECT source, '2026-01-01  A Writer  <writer@example.org>' || chr(10) || chr(10) || 'Made by a script.' || chr(10)
-       || string_agg('(' || doc_id || '): ' || lang || '.', chr(10) ORDER BY doc_id) || chr(10) AS text
-FROM documents GROUP BY source""")
+WITH h AS (SELECT DISTINCT source FROM documents),
+     l AS (SELECT source, NULL AS doc_id, k, line FROM h, (VALUES (1, '2026-01-01  A Writer  <writer@example.org>'), (2, ''),
+             (3, 'Made by a script.')) v(k, line)
+           UNION ALL SELECT source, doc_id, 4, '(' || doc_id || '): ' || lang || '.' FROM documents)
+SELECT source, row_number() OVER (PARTITION BY source ORDER BY k, doc_id) AS line_no, line FROM l""")
 def run_logs_written(t: Tables) -> DataFrame:
-    """Logs written as text and read back, file by file in order."""
+    """Logs written as text and read back line by line, file by file in order."""
     folder = f"{sizing.shared_folder(t.spark)}/logs-{uuid.uuid4().hex}"
     entries = t.documents.select("source", "doc_id", _text("(", F.col("doc_id"), "): ", F.col("lang"), ".").alias("entry"))
     header = L.header_line(F.lit("2026-01-01"), F.lit("A Writer"), F.lit("writer@example.org"))
     parts = L.directory_logs(entries, "source", "doc_id", "entry", header, F.lit("Made by a script."))
     scan.write_logs(parts, "source", folder)
-    files = t.spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), "/source=([^/]*)/", 1).alias("source"),
-        F.col("_metadata.file_name").alias("part"), F.col("value").alias("text"))
-    return ordered.whole_texts(files, ["source"], "text", "")
+    # Within a split of a file the lines come in order, and the number grows.
+    lines = t.spark.read.text(folder, recursiveFileLookup=True).select(
+        F.regexp_extract(F.col("_metadata.file_path"), "/source=([^/]*)/", 1).alias("source"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    found = ordered.dense_order(lines, ["source", "file", "block", "at"])
+    sizing.remove_folder(t.spark, folder)
+    numbered = ordered.running_sum(found, ["source"], "ord", F.lit(1), "line_no")
+    return numbered.select("source", "line_no", "line")
 
 
 # Documents of a written file.

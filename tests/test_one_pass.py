@@ -92,3 +92,23 @@ def test_written_tree_goes(spark, monkeypatch, tmp_path):
     found = all_queries()["run_corpus_scan"](spark, FOLDER)
     assert not list((tmp_path / "shared").glob("*")) and found.count() > 0
     sizing.remove_folder(spark, str(tmp_path / "nothing"))
+
+
+def test_no_query_joins_whole_keys(spark, monkeypatch):
+    from spanwright.operators import records
+
+    def stop(*_, **__):
+        raise AssertionError("a key is joined whole")
+    monkeypatch.setattr(ordered, "whole_texts", stop)
+    monkeypatch.setattr(records, "whole_records", stop)
+    for name in ("l3_scope_texts", "l8_directory_logs", "l9_log_entries", "p3_sections", "o1_records", "run_logs_written"):
+        rows = all_queries()[name](spark, FOLDER)
+        assert "part" in rows.columns or "line_no" in rows.columns
+
+
+def test_parts_of_one_source_are_its_text(spark):
+    from spanwright.operators import changelog as L
+    docs = spark.range(20000).select(F.lit("one").alias("source"), "id", F.concat(F.lit("e"), "id").alias("entry"))
+    parts = L.directory_logs(docs, "source", "id", "entry", F.lit("H"), F.lit("I"), part_rows=64).orderBy("part").collect()
+    assert [r.part for r in parts] == list(range(313)) and max(len(r.text) for r in parts) < 1000
+    assert "".join(r.text for r in parts) == "H\n\nI\n" + "".join(f"e{n}\n" for n in range(20000))
