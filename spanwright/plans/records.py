@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import spans as S
+from ..operators import hierarchy as H
 from ..operators import inventory as A
 from ..operators import records as O
 from ..operators import sizing
@@ -271,19 +272,19 @@ def class_edges(t: Tables):
 @query("a14_ancestors", f"""
 SELECT node, string_agg(ancestor, '/' ORDER BY depth DESC) AS path FROM ({_CLOSURE_SQL}) GROUP BY node""")
 def ancestors(t: Tables):
-    return A.ancestors(A.closure(_edges(t))).select("node", F.array_join("path", "/").alias("path"))
+    return A.ancestors(H.related(_edges(t))).select("node", F.array_join("path", "/").alias("path"))
 
 
 @query("a15_descendants", f"SELECT ancestor AS node, node AS descendant, depth FROM ({_CLOSURE_SQL})")
 def descendants(t: Tables):
-    return A.descendants(A.closure(_edges(t)))
+    return A.descendants(H.related(_edges(t)))
 
 
 @query("a16_castable", f"""
 SELECT c_custkey, ancestor FROM customer JOIN ({_CLOSURE_SQL}) ON node = 'N' || c_nationkey""")
 def castable(t: Tables):
     codes = t.customer.select("c_custkey", F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("struct"))
-    return A.castable(codes, A.closure(_edges(t)), "struct", "c_custkey").select("c_custkey", "ancestor")
+    return H.castable(codes, _edges(t), "struct", "c_custkey").select("c_custkey", "ancestor")
 
 
 @query("a17_names", """
