@@ -8,6 +8,7 @@ every context limit without another look at the texts.
 from __future__ import annotations
 
 import base64
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
@@ -17,6 +18,10 @@ from .store import Scratch, map_texts
 
 # The split pattern that belongs to the byte-level vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# White space as the pattern's \s means it.  The pattern looks ahead, so a long run
+# of it would exhaust the stack of the encoder's regular expressions.
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+LONG_RUN = 1000
 # Lengths are summed in chunks of this many values of the length.
 CHUNK = 512
 
@@ -25,18 +30,34 @@ def rank_encoder(vocabulary: bytes, pattern: str = PATTERN):
     """A maker of functions from texts to token counts, from a rank file.
 
     The file's bytes (a few MB) travel with the task, so executors need not see
-    the driver's folders."""
+    the driver's folders.  A run of ``LONG_RUN`` or more white spaces is taken
+    out of the text before it is split, with what the pattern would make of it:
+    one piece, but for the last white space where a word follows.  With another
+    pattern texts are encoded as they are."""
     def make():
         import tiktoken
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: {"n_tokens": [len(encoding.encode_ordinary(t)) if t else 0 for t in texts]}
+        whole = tiktoken.Encoding("whole", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        runs = re.compile(f"[{SPACE}]{{{LONG_RUN},}}")
+
+        def count(text: str) -> int:
+            if pattern != PATTERN:
+                return len(encoding.encode_ordinary(text))
+            n, at = 0, 0
+            for run in runs.finditer(text):
+                end = run.end() - (run.end() < len(text))
+                n += len(encoding.encode_ordinary(text[at:run.start()])) + len(whole.encode_ordinary(text[run.start():end]))
+                at = end
+            return n + len(encoding.encode_ordinary(text[at:]))
+        return lambda texts: {"n_tokens": [count(t) if t else 0 for t in texts]}
     return make
 
 
 def token_lengths(docs: DataFrame, vocabulary_path: str, keep: list[str] = (), text: str = "text",
                   pattern: str = PATTERN) -> DataFrame:
-    """``keep`` and ``n_tokens`` of each whole text; null and empty texts have 0."""
+    """``keep`` and ``n_tokens`` of each whole text; null and empty texts have 0.
+    Runs of white space may be of any length."""
     make = rank_encoder(Path(vocabulary_path).read_bytes(), pattern)
     return map_texts(docs, list(keep), text, "n_tokens long", make)
 
