@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 from ..functions import texts as T
 from .match import TOKEN, filtered, identifier
-from .quality import checked
+from .quality import checked, problem
 from .sizing import SAMPLE_FRACTION, checkpointed, fits_broadcast, lookup_join
 
+NO_IDENTIFIER = "the old name is not an identifier"
 # A longer rule list is not spelled out in the pattern; each identifier is looked up.
 MAX_LITERAL_RULES = 200
 # Passes of templates are nested in blocks of this many, so that settled texts skip the rest.
@@ -29,10 +30,14 @@ def rename_identifiers(text: Column, names: dict[str, str], swallow_blank: bool
     """Whole identifiers old -> new, all rules at once, for a rule list that
     fits into the expression; :func:`rename_by_table` takes a table.
 
-    After a new name that ends in `` *`` one following blank is swallowed.
+    After a new name that ends in `` *`` one following blank is swallowed.  An
+    old name that is not an identifier is an error, however many rules there
+    are; the number of rules decides about speed only.
     """
     if not names:
         return text
+    if odd := [n for n in names if not re.fullmatch(TOKEN, n)]:
+        raise ValueError(f"{NO_IDENTIFIER}: {', '.join(map(repr, odd[:9]))}")
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     pattern = (identifier(names) if len(names) <= MAX_LITERAL_RULES else f"({TOKEN})") + "( ?)"
 
@@ -86,9 +91,18 @@ def with_rules(df: DataFrame, key: str, text: str, rules: DataFrame,
     return df.join(hits, key, "left"), lambda name: F.try_element_at("__rules", name)
 
 
+def unfit_rules(rules: DataFrame) -> DataFrame:
+    """The rules ``old, new`` of a table that rename nothing, with their ``problem``."""
+    old = F.col("old")
+    found = problem((old.isNull() | F.col("new").isNull(), "a rule needs an old and a new name"),
+                    (~old.rlike(f"^{TOKEN}\\z"), NO_IDENTIFIER))
+    return rules.withColumn("problem", found).where("problem is not null")
+
+
 def rename_by_table(df: DataFrame, key: str, text: str, rules: DataFrame, out: str = "renamed",
                     inline_bytes: int = INLINE_BYTES) -> DataFrame:
-    """Whole identifiers renamed by a table ``rules(old, new)`` of any size."""
+    """Whole identifiers renamed by a table ``rules(old, new)`` of any size.
+    Rules that :func:`unfit_rules` lists don't apply."""
     ready, find = with_rules(df, key, text, rules, inline_bytes)
     return ready.withColumn(out, S.replaced(F.col(text), TOKEN, lambda m: F.coalesce(
         find(m["matched"]), m["matched"]))).drop("__rules")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanwright import rules
@@ -146,3 +147,21 @@ def test_rule_lists():
     assert len(rules.statement_class_renames()) == 30 * 3 + 1
     assert len(rules.CFG_MACROS) == 13 and len(rules.CFG_FIELD_RULES) == 8
     assert len(rules.MULTI_INSTANCE_PASSES) == 33 and len(rules.PASS_FIELDS) == 14
+
+
+@pytest.mark.parametrize("n", [1, 199, 200, 201, 400])
+def test_names_that_are_no_identifiers_are_an_error_at_every_size(spark, n):
+    names = {f"n{i}": f"m{i}" for i in range(n - 1)} | {"last": "new"}
+    out = frame(spark, ["a.last last n0. n7last"]).select(R.rename_identifiers(F.col("text"), names).alias("o")).first().o
+    assert out == f"a.new new {'m0' if n > 1 else 'n0'}. n7last"
+    for odd in ("a.b", "", "a b", "é"):
+        with pytest.raises(ValueError, match="not an identifier"):
+            R.rename_identifiers(F.col("text"), names | {odd: "c"})
+
+
+def test_rules_of_a_table_that_rename_nothing(spark):
+    rules = spark.createDataFrame([("a.b", "c"), ("x", "y"), (None, "z"), ("q", None), ("a\n", "b")], "old string, new string")
+    assert {(r.old, r.problem) for r in R.unfit_rules(rules).collect()} == {
+        ("a.b", R.NO_IDENTIFIER), ("a\n", R.NO_IDENTIFIER), (None, "a rule needs an old and a new name"), ("q", "a rule needs an old and a new name")}
+    for size in (0, 8 << 20):
+        assert R.rename_by_table(frame(spark, ["use a.b x"]), "id", "text", rules, inline_bytes=size).first().renamed == "use a.b y"
