@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -10,6 +12,8 @@ from ..functions import texts as T
 from ..operators import changelog as L
 from ..operators import match as M
 from ..operators import patches as P
+from ..operators import sizing
+from ..sources.logstore import LogStore, section_parts
 from .registry import Tables, query
 
 _PATHS_SQL = r"SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages"
@@ -134,15 +138,21 @@ def newest(t: Tables):
 
 
 @query("l11_with_old_log", r"""
-SELECT doc_id, '2026-01-01  A Writer  <writer@example.org>' || chr(10) || chr(10) || chr(9) || source || chr(10) || chr(10)
-       || regexp_replace(text, '\s+$', '') || chr(10) || chr(10)
-       || CASE WHEN quality IS NULL THEN '""" + rules.DEFAULT_LOG + """' ELSE 'quality ' || quality END AS log
-FROM documents LEFT JOIN labels USING (doc_id)""")
+WITH old AS (SELECT doc_id, 'quality ' || quality AS text FROM labels WHERE quality IS NOT NULL)
+SELECT doc_id, 1::BIGINT AS generation, 0::BIGINT AS part, '2026-01-01  A Writer  <writer@example.org>' || chr(10) || chr(10) || chr(9)
+       || source || chr(10) || chr(10) || regexp_replace(text, '\s+$', '') || chr(10) || chr(10) AS text FROM documents
+UNION ALL SELECT doc_id, 0, 0, text FROM old
+UNION ALL SELECT DISTINCT doc_id, 1, 1, '""" + rules.DEFAULT_LOG + """' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM old)""")
 def with_old_log(t: Tables):
-    logs = t.labels.select("doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("old"))
+    """Logs that patches add to: the new parts are written before the old ones,
+    which stay as they are; read back, the store gives the whole logs."""
+    store = LogStore(t.spark, f"{sizing.shared_folder(t.spark)}/store-{uuid.uuid4().hex}", "doc_id")
+    store.append(t.labels.where("quality IS NOT NULL").select("doc_id", F.lit(0).alias("part"), F.concat(
+        F.lit("quality "), F.col("quality").cast("string")).alias("text")))
     header = L.header_line(F.lit("2026-01-01"), F.lit("A Writer"), F.lit("writer@example.org"))
-    return L.with_old_log(t.documents.select("doc_id", "source", "text"), "doc_id", logs, "old", header,
-                          F.col("source"), F.col("text"), rules.DEFAULT_LOG).select("doc_id", "log")
+    store.append(section_parts(t.documents.select("doc_id", "source", "text"), "doc_id", header, F.col("source"), F.col("text")),
+                 rules.DEFAULT_LOG)
+    return store.read()
 
 
 @query("p1_subjects", r"""
