@@ -131,21 +131,43 @@ def run_scope_fixes(t: Tables) -> DataFrame:
         "doc_id", "path", "scope", "problem")
 
 
-@query("run_conversion", """
-WITH k AS (SELECT DISTINCT p_partkey % 200 AS k, p_size % 4 AS s FROM part),
-     a AS (SELECT k, min(s) AS s FROM k GROUP BY k)
-SELECT 'gimple_asm_' AS prefix, count(*) FILTER (s < 2)::BIGINT AS done, count(*) FILTER (s >= 2)::BIGINT AS todo,
-       (count(*) FILTER (s < 2) * 100 // count(*))::BIGINT AS percentage FROM a""")
+# Accessors stand before some prefix of the catalogue, one of them with its
+# special name, before the fallback, or before none.
+_PREFIXES = ["gimple_asm_", "gimple_cond_", "gimple_omp_", "gimple_wce_"]
+
+
+@query("run_conversion", f"""
+WITH a AS (SELECT {_PREFIXES}[p_partkey % 5 + 1] AS prefix, p_size % 4 < 2 AS done FROM part WHERE p_partkey % 5 < 4)
+SELECT prefix, count(*) FILTER (done)::BIGINT AS done, count(*) FILTER (NOT done)::BIGINT AS todo,
+       (count(*) FILTER (done) * 100 // count(*))::BIGINT AS percentage FROM a GROUP BY prefix""")
 def run_conversion(t: Tables) -> DataFrame:
-    """Progress of accessor declarations, by prefix; the first line of a symbol counts."""
-    n, size = F.col("p_partkey") % 200, F.col("p_size") % 4
-    kind = F.when(size < 2, "const gimple_asm *s").otherwise("const_gimple g")
-    lines = t.part.select((size * (1 << 20) + n).alias("line_no"), _text("gimple_asm_x", n, " (", kind, ")").alias("line"))
-    codes = t.spark.createDataFrame([("gimple_asm",), ("gimple_cond",)], "printable_name string")
+    """Progress of accessor declarations, one a part, by prefix; the first line
+    of a symbol counts."""
+    n, done = F.col("p_partkey"), F.col("p_size") % 4 < 2
+    name = _text(F.get(F.array(*map(F.lit, [*_PREFIXES, "gimple_none_"])), (n % 5).cast("int")), "x", n)
+    kinds = F.array(F.when(done, "const gimple_asm *s").otherwise("const_gimple g"), F.when(done, "const_gimple g").otherwise("gimple_asm *s"))
+    each = t.part.select(n, name.alias("name"), F.posexplode(kinds).alias("nth", "kind"))
+    lines = each.select((n * 2 + F.col("nth")).alias("line_no"), _text(F.col("name"), " (", F.col("kind"), ")").alias("line"))
+    codes = t.spark.createDataFrame([("gimple_asm",), ("gimple_cond",), ("gimple_with_cleanup_expr",)], "printable_name string")
     stats, _ = conversion.progress(conversion.accessors(lines), codes)
     return stats
 
 
+@query("run_report", """
+SELECT unnest(['builders_todo', 'accessors_todo', 'builders_done', 'accessors_done', 'accessors_exempt']) AS title,
+       unnest([count(*) FILTER (doc_id % 6 = 0), count(*) FILTER (doc_id % 6 = 2), count(*) FILTER (doc_id % 6 = 1),
+               count(*) FILTER (doc_id % 6 = 3), least(1, count(*) FILTER (doc_id % 6 = 4))])::BIGINT AS n
+FROM (SELECT DISTINCT doc_id FROM documents)""")
+def run_report(t: Tables) -> DataFrame:
+    """The five counters of the conversion report, over one declaration a document."""
+    n = F.col("doc_id")
+    lines = [_text("gimple gimple_build_x", n, " (void);"), _text("gimple_cond gimple_build_y", n, " (tree, tree)"),
+             _text("gimple_cond_lhs", n, " (const_gimple gs)"), _text("gimple_asm_string", n, " (gimple_asm *s);"),
+             F.lit("gimple_bb (const_gimple g)"), _text("no declaration ", n)]
+    headers = t.documents.select(n.alias("line_no"), F.get(F.array(*lines), F.pmod(n, F.lit(6)).cast("int")).alias("line"))
+    return conversion.counters(conversion.accessors(headers))
+
+
 @query("run_logs_written", """
 WITH h AS (SELECT DISTINCT source FROM documents),
      l AS (SELECT source, NULL AS doc_id, k, line FROM h, (VALUES (1, '2026-01-01  A Writer  <writer@example.org>'), (2, ''),
