@@ -8,8 +8,11 @@ All texts are checked against the sentencepiece library.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
+from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain, groupby
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -24,6 +27,8 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 # One text in so many is encoded by both libraries: all.
 CHECK_EVERY = 1
 THREADS = 2
+# A worker remembers the ids of words up to this many characters in all.
+WORD_CHARS = 4_000_000
 
 
 @dataclass
@@ -98,12 +103,47 @@ def parse(data: bytes) -> Model:
     return model
 
 
+def tied_runs(model: Model) -> tuple[str, frozenset[int]]:
+    """The character and the lengths of the pieces of a BPE model that share one
+    score, such as runs of blanks; no lengths if all scores differ.
+
+    Of equal scores the leftmost pair is merged first, which no order of pairs
+    expresses.  So these pieces are left out of the merges and made last, from
+    the characters that stay alone.  That is the same if they are runs of one
+    character, of the least score, and no other piece holds two in a row."""
+    normal = [(text, score) for text, score, kind in model.pieces if kind == NORMAL and len(text) > 1]
+    count = Counter(score for _, score in normal)
+    tied = {text for text, score in normal if count[score] > 1}
+    if model.kind != BPE or not tied:
+        return "", frozenset()
+    run = next(iter(tied))[0]
+    others = [(text, score) for text, score in normal if text not in tied]
+    if (any(set(text) != {run} for text in tied) or any(run * 2 in text for text, _ in others)
+            or any(score <= least for least in {s for t, s in normal if t in tied} for _, score in others)):
+        raise ValueError("pieces of one score are only supported as runs of one character of the least score")
+    return run, frozenset(map(len, tied))
+
+
+def split_run(n: int, lengths: frozenset[int]) -> list[int]:
+    """The lengths of the pieces of a run of ``n``: always the leftmost pair
+    that makes a piece is merged.  What is left of the next character has no
+    such pair, so only the last piece can grow."""
+    done: list[int] = []
+    for _ in range(n):
+        done.append(1)
+        while len(done) > 1 and done[-2] + done[-1] in lengths:
+            last = done.pop()
+            done[-1] += last
+    return done
+
+
 def merges(model: Model) -> list[tuple[str, str]]:
-    """Pairs of pieces that make a piece, best score first."""
+    """Pairs of pieces that make a piece, best score first, but those of :func:`tied_runs`."""
+    run, lengths = tied_runs(model)
     rank = {text: i for i, (text, _, kind) in enumerate(model.pieces) if kind == NORMAL}
     found = []
     for text, score, kind in model.pieces:
-        if kind == NORMAL:
+        if kind == NORMAL and not (len(text) in lengths and set(text) == {run}):
             for cut in range(1, len(text)):
                 a, b = text[:cut], text[cut:]
                 if a in rank and b in rank:
@@ -113,8 +153,8 @@ def merges(model: Model) -> list[tuple[str, str]]:
 
 
 def rebuild(model: Model):
-    """A tokenizers pipeline with the ids of the model."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    """A tokenizers pipeline with the ids of the model, but those of :func:`tied_runs`."""
+    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
     texts = [text for text, _, _ in model.pieces]
     if model.kind == UNIGRAM:
         # Special pieces can't be read from a text: as blanks become marks, none has these names.
@@ -134,17 +174,53 @@ def rebuild(model: Model):
     if model.escape:
         steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    if not any(MARK in text.lstrip(MARK) for text in texts):
-        # No piece has a mark after another character, so none spans a cut before
-        # a run of marks: cutting there changes no result and lets words be cached.
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+$"), "isolated")
-    tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+    tokenizer.decoder = decoders.Sequence([decoders.Metaspace(MARK, prepend_scheme="never"), decoders.ByteFallback(), decoders.Fuse()])
     return tokenizer
 
 
+def encoder(model: Model, tokenizer, most_chars: int = WORD_CHARS):
+    """A function from texts to the model's id lists.
+
+    Texts are normalised and cut before each run of marks, unless a piece has a
+    mark after another character: no piece spans such a cut, so the ids of a
+    text are those of its words, and a word that was met before is not encoded
+    again.  Words of ``most_chars`` characters in all are remembered."""
+    from tokenizers import Tokenizer, normalizers
+    words_only = Tokenizer.from_str(tokenizer.to_str())
+    words_only.normalizer = normalizers.Sequence([])
+    cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if not any(MARK in t.lstrip(MARK) for t, _, _ in model.pieces) else "(?s:.+)")
+    run, lengths = tied_runs(model)
+    ids_of = {text: i for i, (text, _, kind) in enumerate(model.pieces) if kind == NORMAL}
+    single = ids_of.get(run)
+    known: dict[str, list[int]] = {}
+    held = 0
+
+    def with_runs(ids):
+        out = []
+        for i, some in groupby(ids):
+            n = sum(1 for _ in some)
+            out += [ids_of[run * k] for k in split_run(n, lengths)] if i == single and n > 1 else [i] * n
+        return out
+
+    def encode_texts(texts):
+        nonlocal held
+        split = [cut.findall(tokenizer.normalizer.normalize_str(t)) if t else [] for t in texts]
+        new = set(chain.from_iterable(split)) - known.keys()
+        held += sum(map(len, new))
+        if held > most_chars:
+            known.clear()
+            new = set(chain.from_iterable(split))
+            held = sum(map(len, new))
+        names = list(new)
+        for word, got in zip(names, words_only.encode_batch_fast(names, add_special_tokens=False)):
+            known[word] = with_runs(got.ids) if single is not None and run * 2 in word else got.ids
+        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
+    return encode_texts
+
+
 def coder(model_bytes: bytes, check_every: int = CHECK_EVERY, threads: int = THREADS, with_ids: bool = True):
     """A maker of functions from texts to ``token_ids, n_tokens, ids_sha256,
-    round_trip, parity``."""
+    n_bytes_fallback, round_trip, parity``."""
     def make():
         import os
         # Read once, when the library starts its threads.
@@ -154,30 +230,36 @@ def coder(model_bytes: bytes, check_every: int = CHECK_EVERY, threads: int = THR
         import numpy as np
         model = parse(model_bytes)
         tokenizer = rebuild(model)
+        encode_texts = encoder(model, tokenizer)
         other = sentencepiece.SentencePieceProcessor(model_proto=model_bytes)
-        byte = {i for i, (_, _, k) in enumerate(model.pieces) if k == BYTE}
+        byte = np.array([k == BYTE for _, _, k in model.pieces])
+        lead = 1 if model.dummy_prefix else 0
 
         def checked(text):
             return check_every == 1 or int.from_bytes(hashlib.blake2b(text.encode(), digest_size=4).digest()) % check_every == 0
 
+        def normalised(text):
+            if model.squeeze or model.charsmap:
+                return other.normalize(text).replace(MARK, " ")[lead:]
+            return text.replace(MARK, " ")
+
         def work(texts):
             plain = [t or "" for t in texts]
-            ids = [e.ids for e in tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
+            ids = encode_texts(plain)
             parity = [None] * len(plain)
             # The unigram pipeline would read the name of a byte piece as that byte.
-            some = [i for i, t in enumerate(plain) if checked(t) or (model.kind == UNIGRAM and "<0x" in t)]
+            named = {i for i, t in enumerate(plain) if model.kind == UNIGRAM and "<0x" in t}
+            some = [i for i, t in enumerate(plain) if i in named or checked(t)]
             for i, theirs in zip(some, other.encode([plain[i] for i in some], num_threads=threads)):
                 parity[i] = theirs == ids[i]
-                ids[i] = theirs
+                if i in named:
+                    ids[i] = theirs
             back = tokenizer.decode_batch(ids, skip_special_tokens=False)
-            lead = 1 if model.dummy_prefix else 0
-            # Models that squeeze or map characters give back the normalised text.
-            same = [b[lead:] == (t if not (model.squeeze or model.charsmap) else other.normalize(t).replace(MARK, " ").strip(" "))
-                    for b, t in zip(back, plain)]
+            same = [b[lead:] == normalised(t) for b, t in zip(back, plain)]
             packed = [np.asarray(i, np.int32) for i in ids]
             out = {"n_tokens": [len(i) for i in ids],
                    "ids_sha256": [hashlib.sha256(p.astype("<i4").tobytes()).hexdigest() for p in packed],
-                   "n_bytes_fallback": [sum(map(byte.__contains__, i)) for i in ids] if byte else [0] * len(ids),
+                   "n_bytes_fallback": [int(byte[p].sum()) for p in packed],
                    "round_trip": same, "parity": parity}
             return out | ({"token_ids": packed} if with_ids else {})
         return work
@@ -189,13 +271,13 @@ def encode(docs: DataFrame, model_path: str, keep: list[str], text: str = "text"
     """``keep`` and, of each whole text, ``token_ids`` (if asked for),
     ``n_tokens``, ``ids_sha256`` (of the ids as little-endian 32-bit numbers),
     ``n_bytes_fallback``, ``round_trip`` (the rebuilt tokenizer decodes the ids
-    to the text, as normalised by the model) and ``parity``.
+    to the text, as normalised by the model: marks are blanks) and ``parity``.
 
-    Every text is encoded by the sentencepiece library too: ``parity`` says
-    whether both agree, and the library's ids are kept.  With a larger
-    ``check_every`` only one text in so many, chosen by a hash of the text, is,
-    and ``parity`` is null for the others.  With a unigram model,
-    texts that hold the name of a byte piece are encoded by it too.  Null and empty texts have no tokens.
+    The ids are those of the rebuilt tokenizer.  Every text is encoded by the
+    sentencepiece library too, and ``parity`` says whether both agree.  With a
+    larger ``check_every`` only one text in so many, chosen by a hash of the
+    text, is, and ``parity`` is null for the others.  Only with a unigram model,
+    texts that hold the name of a byte piece get the library's ids.  Null and empty texts have no tokens.
     Control strings of the model in a text are plain text.  Rows are
     independent; a batch is encoded by ``threads`` threads.
     """

@@ -1,13 +1,14 @@
-"""Token counts of texts with very long runs."""
+"""Token counts and pieces of texts with very long runs."""
 
 import random
 from pathlib import Path
 
 import pytest
 
-from spanwright.llm import tokencount
+from spanwright.llm import sentencepiece, tokencount
 
 VOCABULARY = Path("/opt/tokenizers/byte_bpe_50k.tiktoken")
+PIECES = Path("/opt/tokenizers/piece_bpe_32k.model")
 
 
 def counter(pattern=tokencount.PATTERN):
@@ -44,3 +45,62 @@ def test_long_white_space_in_spark(spark):
     df = spark.createDataFrame([(1, "x" + " " * 1_500_000 + "y"), (2, "\n" * 1_500_000), (3, "x y")], "doc_id long, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in tokencount.token_lengths(df, str(VOCABULARY), ["doc_id"]).collect()}
     assert got[3] == 2 and got[1] > 2 and got[2] > 2
+
+
+def pieces_of(texts):
+    """Ids of the rebuilt tokenizer, by its own method, and what it says of them."""
+    data = PIECES.read_bytes()
+    model = sentencepiece.parse(data)
+    return sentencepiece.encoder(model, sentencepiece.rebuild(model))(texts), sentencepiece.coder(data)()(texts)
+
+
+def test_runs_of_blanks_and_marks_have_the_library_s_pieces():
+    import sentencepiece as library
+    sp = library.SentencePieceProcessor(model_file=str(PIECES))
+    texts = [f"{before}{unit * n}{after}" for n in range(1, 301) for unit in (" ", "▁")
+             for before, after in (("a", "b"), ("", ""), ("", "b"), ("a", ""))]
+    texts += [" " * 1_000_000, "a" + " " * 1_000_000 + "b", "a ▁b▁▁c  d", "=" * 300, "ha" * 300]
+    ids, got = pieces_of(texts)
+    assert ids == sp.encode(texts)
+    assert all(got["parity"]) and all(got["round_trip"])
+    assert [list(map(int, x)) for x in got["token_ids"]] == ids
+
+
+def test_random_texts_have_the_library_s_pieces():
+    import sentencepiece as library
+    sp = library.SentencePieceProcessor(model_file=str(PIECES))
+    rng = random.Random(8)
+    parts = ["ha", "a", "b", "=", "-", " ", "  ", "x", "ab", "\n", "\t", "▁", "an", "na", "🙂", "the", "The", "é"]
+    texts = ["".join(rng.choice(parts) * rng.choice([1, 1, 2, 3, 7, 20]) for _ in range(rng.randint(0, 12))) for _ in range(20000)]
+    ids, got = pieces_of(texts)
+    assert ids == sp.encode(texts) and all(got["parity"]) and all(got["round_trip"])
+
+
+def test_words_that_were_forgotten_are_encoded_again():
+    data = PIECES.read_bytes()
+    model = sentencepiece.parse(data)
+    tokenizer = sentencepiece.rebuild(model)
+    texts = [f"word{i % 7} other{i} word{i % 3}" for i in range(300)]
+    whole = sentencepiece.encoder(model, tokenizer)
+    few = sentencepiece.encoder(model, tokenizer, 40)
+    assert [few([t])[0] for t in texts] == whole(texts)
+
+
+def test_a_run_takes_the_leftmost_pair_first():
+    rng = random.Random(9)
+    for _ in range(300):
+        lengths = frozenset({2, *rng.sample(range(3, 20), rng.randint(0, 8))})
+        n = rng.randint(0, 60)
+        plain = [1] * n
+        while True:
+            at = next((i for i in range(len(plain) - 1) if plain[i] + plain[i + 1] in lengths), None)
+            if at is None:
+                break
+            plain[at:at + 2] = [plain[at] + plain[at + 1]]
+        assert sentencepiece.split_run(n, lengths) == plain
+
+
+def test_other_tied_pieces_are_an_error():
+    model = sentencepiece.Model(pieces=[("<unk>", 0.0, 2), ("a", -1.0, 1), ("b", -1.0, 1), ("ab", -3.0, 1), ("ba", -3.0, 1)], kind=sentencepiece.BPE)
+    with pytest.raises(ValueError):
+        sentencepiece.rebuild(model)
