@@ -2,42 +2,50 @@
 
 A language is a raw-content zstandard dictionary: a bounded sample of its
 labelled texts.  A text is compressed once per language and belongs to the one
-that makes it smallest.
+that makes it smallest.  It is rejected if the second language comes nearer
+than it does for labelled texts of that language and length.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import map_texts
 
-# Bounds of the model: at most SAMPLE_TEXTS texts a language, PIECE_BYTES of each.
-SAMPLE_TEXTS = 64
+# Bounds of the model: PIECE_BYTES of at most SAMPLE_TEXTS texts a language, of
+# which the first DICTIONARY_TEXTS make the dictionary; margins are fitted on all.
+SAMPLE_TEXTS = 256
+DICTIONARY_TEXTS = 64
 PIECE_BYTES = 4096
 # Texts are compressed in blocks, so that the dictionary counts all along a long text.
 BLOCK_BYTES = 4096
 # Below this level zstandard misses most matches in a dictionary.
 LEVEL = 5
 # A short text can be too small to be compressed at all, so that languages tie:
-# then it is put behind a start text of each language, made of pieces that are
-# not in the dictionary, and what it adds counts.
+# then it is put behind a start text of each language, the last START_SHARE of
+# its sample, which is not in the dictionary, and what it adds counts.
 SHORT_BYTES = 512
-START_PIECES = 8
-# A text is rejected when the second language is within this share of the first:
-# nearly a tie, so that short clean texts stay.
-LEAST_MARGIN = 0.0005
+START_SHARE = 1 / 8
+TIE = 0.0005
+# A language's texts of each of these lengths are classified by a model that has
+# not seen them; the margin that all but this share of them reach is the least one.
+LENGTHS = (32, 64, 128, 256, 512, 1024, 2048, 4096)
+FOLDS = 4
+LOST_SHARE = 0.005
 UNKNOWN = "und"
 
 
 @dataclass
 class Model:
-    """Dictionaries and start texts by language, in the order of the languages' names."""
+    """Dictionaries and start texts by language, in the order of the languages'
+    names, and least margins by language and length."""
     dictionaries: dict[str, bytes]
     starts: dict[str, bytes]
+    least: dict[tuple[str, int], float] = field(default_factory=dict)
 
 
 def train(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text",
@@ -65,14 +73,49 @@ def train(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "
     pieces: dict[str, list[bytes]] = {}
     for row in rows.groupBy("lang", "h").agg(F.min("piece").alias("piece")).orderBy("lang", "h").collect():
         pieces.setdefault(row["lang"], []).append(normal(row["piece"])[:piece_bytes])
-    return model_of(pieces, piece_bytes)
-
-
-def model_of(pieces: dict[str, list[bytes]], piece_bytes: int = PIECE_BYTES) -> Model:
-    """The last pieces of a language, if it has enough, are its start text."""
-    cut = {k: len(v) - START_PIECES if len(v) >= 4 * START_PIECES else len(v) for k, v in pieces.items()}
-    return Model({k: b" ".join(v[:cut[k]]) for k, v in sorted(pieces.items())},
-                 {k: b" ".join(v[cut[k]:])[:piece_bytes] for k, v in sorted(pieces.items())})
+    model = model_of(pieces, piece_bytes)
+    model.least = least_margins(docs.sparkSession, pieces, piece_bytes) if pieces else {}
+    return model
+
+
+def model_of(pieces: dict[str, list[bytes]], piece_bytes: int = PIECE_BYTES, without: int | None = None) -> Model:
+    """Of each language's first texts (but those of the fold ``without``) the
+    last bytes are its start text.  No language's part depends on another's."""
+    model = Model({}, {})
+    for name, texts in sorted(pieces.items()):
+        content = b" ".join(t for i, t in enumerate(texts[:DICTIONARY_TEXTS]) if i % FOLDS != without)
+        cut = len(content) - int(len(content) * START_SHARE)
+        model.dictionaries[name], model.starts[name] = content[:cut], content[cut:][:piece_bytes]
+    return model
+
+
+def least_margins(spark, pieces: dict[str, list[bytes]], piece_bytes: int = PIECE_BYTES,
+                  lost: float = LOST_SHARE) -> dict[tuple[str, int], float]:
+    """By language and length the margin that all but the share ``lost`` of its
+    sampled texts, cut to that length, reach.  Each text is classified by
+    dictionaries without its fold; texts taken for another language don't count."""
+    rows = [(name, i % FOLDS, text) for name, texts in pieces.items() for i, text in enumerate(texts)]
+    sample = spark.createDataFrame(rows, "lang string, fold int, piece binary").repartition(
+        spark.sparkContext.defaultParallelism, "fold", "piece")
+
+    def run(batches):
+        import pyarrow as pa
+        works = {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                fold, text = row["fold"], row["piece"]
+                if fold not in works:
+                    works[fold] = classifier(model_of(pieces, piece_bytes, fold))()
+                sizes = [n for n in LENGTHS if n <= len(text)]
+                got = works[fold]([text[:n].decode(errors="ignore") for n in sizes])
+                out += [(row["lang"], n, m) for n, p, m in zip(sizes, got["lang_pred"], got["margin"]) if p == row["lang"]]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in
+                                              enumerate((pa.string(), pa.int32(), pa.float64()))], names=["lang", "n", "margin"])
+
+    found = sample.mapInArrow(run, "lang string, n int, margin double").groupBy("lang", "n").agg(
+        F.percentile("margin", F.lit(lost)).alias("least"))
+    return {(r["lang"], r["n"]): r["least"] for r in found.collect()}
 
 
 def normal(text: str) -> bytes:
@@ -83,8 +126,8 @@ def normal(text: str) -> bytes:
 
 
 def classifier(model: Model, block_bytes: int = BLOCK_BYTES, level: int = LEVEL):
-    """A maker of functions from texts to ``lang_pred, score, margin``."""
-    dictionaries, starts = model.dictionaries, list(model.starts.values())
+    """A maker of functions from texts to ``lang_pred, score, margin, rejected``."""
+    dictionaries, starts, wanted = model.dictionaries, list(model.starts.values()), model.least
 
     def make():
         import zstandard
@@ -95,32 +138,34 @@ def classifier(model: Model, block_bytes: int = BLOCK_BYTES, level: int = LEVEL)
             packers.append(zstandard.ZstdCompressor(
                 level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
-        # Only if all languages have a start text are sizes comparable.
-        begun = [len(p.compress(s)) for p, s in zip(packers, starts)] if all(starts) else None
+        begun = [len(p.compress(s)) for p, s in zip(packers, starts)]
 
         def least(sizes):
-            """The smallest, and by what share the second is longer."""
-            best = min(range(len(names)), key=lambda i: (sizes[i], names[i]))
-            if len(names) == 1:
-                return best, 1.0
-            second = min(s for i, s in enumerate(sizes) if i != best)
-            return best, (second - sizes[best]) / max(second, 1)
+            """The language of the smallest size, and by what share the second is longer."""
+            best = min(sizes, key=lambda i: (sizes[i], names[i]))
+            second = min((n for i, n in sizes.items() if i != best), default=None)
+            return best, 1.0 if second is None else (second - sizes[best]) / max(second, 1)
 
         def one(text):
             if not text or not names or not any(map(str.isalpha, text)):
-                return UNKNOWN, 0.0, 0.0
+                return UNKNOWN, 0.0, 0.0, True
             data = normal(text)
             blocks = [data[i:i + block_bytes] for i in range(0, len(data), block_bytes)]
-            best, margin = least([sum(len(p.compress(x)) for x in blocks) for p in packers])
-            if margin < LEAST_MARGIN and begun and len(data) < SHORT_BYTES:
-                best, margin = least([max(0, len(p.compress(s + b" " + data)) - n)
-                                      for p, s, n in zip(packers, starts, begun)])
-            # 0.5 at a tie, near 1 when the others are a tenth longer.
-            return names[best], 1 - 0.5 * 2.0 ** (-margin * 64), margin
+            sizes = {i: sum(len(p.compress(x)) for x in blocks) for i, p in enumerate(packers)}
+            best, margin = least(sizes)
+            if margin < TIE and len(data) < SHORT_BYTES:
+                # Only among those that tie, so that no third language comes in.
+                best, margin = least({i: max(0, len(packers[i].compress(starts[i] + b" " + data)) - begun[i])
+                                      for i, n in sizes.items() if n <= sizes[best] * (1 + TIE)})
+            # Margins fall and rise with the length, so the lesser of both neighbours counts.
+            below = max((n for n in LENGTHS if n <= len(data)), default=0)
+            above = min((n for n in LENGTHS if n > len(data)), default=below)
+            least_margin = max(TIE, min(wanted.get((names[best], n), 0.0) for n in (below, above)))
+            return names[best], 1 - 0.5 * 2.0 ** (-margin * 64), margin, margin < least_margin
 
         def work(texts):
             got = [one(t) for t in texts]
-            return {"lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "margin": [g[2] for g in got]}
+            return {name: [g[i] for g in got] for i, name in enumerate(("lang_pred", "score", "margin", "rejected"))}
         return work
     return make
 
@@ -129,14 +174,15 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     """``keep``, ``lang_pred``, ``score`` (0 to 1), ``margin`` and ``rejected``.
 
     The letters of the whole text are compressed with every dictionary.  ``margin`` is the share
-    by which the second language is longer; below ``LEAST_MARGIN`` the row is
-    ``rejected`` (it keeps its nearest language).  A text that is null, empty
+    by which the second language is longer.  Below what :func:`least_margins`
+    found for the language and the length of the text, and at a tie, the row is
+    ``rejected`` (it keeps its nearest language): texts of two languages, or of
+    one that was not learned.  A text that is null, empty
     or without a letter, or a model without languages, gives ``und``, score 0,
     rejected.  Ties go to the smaller name.  Rows are independent: repeated
     rows get equal answers, an empty table gives none.
     """
-    got = map_texts(docs, keep, text, "lang_pred string, score double, margin double", classifier(model))
-    return got.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("margin") < LEAST_MARGIN))
+    return map_texts(docs, keep, text, "lang_pred string, score double, margin double, rejected boolean", classifier(model))
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

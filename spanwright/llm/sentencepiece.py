@@ -28,7 +28,7 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 CHECK_EVERY = 1
 THREADS = 2
 # A worker remembers the ids of words up to this many characters in all.
-WORD_CHARS = 4_000_000
+WORD_CHARS = 1_000_000
 
 
 @dataclass
