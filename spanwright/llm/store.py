@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.sizing import shared_folder
+from ..operators.sizing import remove_folder, shared_folder
 
 # Texts are worked on in slices of about this many bytes.
 SLICE_BYTES = 1 << 20
@@ -20,12 +22,32 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 TEXT_ROWS = 1000
 
 
+_made: ContextVar[list | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def released(spark: SparkSession):
+    """Tables that operators keep inside are removed at the end, when the
+    caller has written what was made of them."""
+    folders: list[str] = []
+    token = _made.set(folders)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for folder in folders:
+            remove_folder(spark, folder)
+
+
 class Scratch:
     """Tables of one run in the shared folder of the cluster."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        folders = _made.get()
+        if folders is not None:
+            folders.append(self.folder)
 
     def keep(self, df: DataFrame, name: str, texts: bool = False) -> DataFrame:
         """The table written and read again: every use sees the same rows, and
@@ -42,9 +64,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self, df: DataFrame, name: str) -> None:
-        """Give back the space of a kept table that is no longer read."""
-        (self.spark.createDataFrame([], df.schema).write.mode("overwrite")
-         .parquet(f"{self.folder}/{name}"))
+        """Remove a kept table that is no longer read."""
+        remove_folder(self.spark, f"{self.folder}/{name}")
 
 
 def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
