@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from spanwright.llm import languageid, mixing, sentencepiece, simhash, suffixes
 from spanwright.llm.queries import TOKENIZERS
-from spanwright.llm.store import Scratch
+from spanwright.llm.store import Scratch, released
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +76,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        # Once a stage is written, neither its input nor its operators' tables are read again.
+        with released(spark):
+            docs = scratch.keep(stage(spark, docs, sf_dir), name, texts=True)
+        if before:
+            scratch.free(docs, before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
