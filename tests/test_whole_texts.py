@@ -31,6 +31,7 @@ def folder(spark, tmp_path_factory):
 KEYS = {
     "p3_sections": (["conv_id", "kind", "section"], "text"),
     "l8_directory_logs": (["source"], "text"),
+    "l9_log_entries": (["conv_id", "entry_at"], "body"),
 }
 
 
