@@ -32,6 +32,7 @@ KEYS = {
     "p3_sections": (["conv_id", "kind", "section"], "text"),
     "l8_directory_logs": (["source"], "text"),
     "l9_log_entries": (["conv_id", "entry_at"], "body"),
+    "o1_records": (["user_id", "record"], "joined"),
 }
 
 
