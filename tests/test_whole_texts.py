@@ -33,6 +33,7 @@ KEYS = {
     "l8_directory_logs": (["source"], "text"),
     "l9_log_entries": (["conv_id", "entry_at"], "body"),
     "o1_records": (["user_id", "record"], "joined"),
+    "l3_scope_texts": (["conv_id", "role"], "text"),
 }
 
 
