@@ -27,8 +27,10 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 # One text in so many is encoded by both libraries: all.
 CHECK_EVERY = 1
 THREADS = 2
-# A worker remembers the ids of words up to this many characters in all.
-WORD_CHARS = 1_000_000
+# A worker remembers the ids of words up to about this many characters in all,
+# and encodes so many words at once.
+WORD_CHARS = 2_000_000
+WORDS_AT_ONCE = 500
 
 
 @dataclass
@@ -178,21 +180,34 @@ def rebuild(model: Model):
     return tokenizer
 
 
-def encoder(model: Model, tokenizer, most_chars: int = WORD_CHARS):
-    """A function from texts to the model's id lists.
+def packed_encoder(model: Model, tokenizer, most_chars: int = WORD_CHARS):
+    """A function from texts to the model's ids, as little-endian 32-bit numbers.
+
+    Texts are cut before each run of marks, unless a piece has a mark after
+    another character: no piece spans such a cut, so the ids of a text are
+    those of its words, and a word that was met lately is not encoded again.
+    Words of ``most_chars`` characters in all are remembered.
 
-    Texts are normalised and cut before each run of marks, unless a piece has a
-    mark after another character: no piece spans such a cut, so the ids of a
-    text are those of its words, and a word that was met before is not encoded
-    again.  Words of ``most_chars`` characters in all are remembered."""
+    Without a character map or squeezed blanks the texts are cut at the blanks
+    that become marks, and the normaliser runs on the words; else it runs on
+    the texts before.  Words with one mark are encoded some hundreds at a time:
+    each has one piece that begins with a mark, its first."""
+    import numpy as np
     from tokenizers import Tokenizer, normalizers
-    words_only = Tokenizer.from_str(tokenizer.to_str())
-    words_only.normalizer = normalizers.Sequence([])
-    cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if not any(MARK in t.lstrip(MARK) for t, _, _ in model.pieces) else "(?s:.+)")
+    cuts = not any(MARK in t.lstrip(MARK) for t, _, _ in model.pieces)
+    by_word = cuts and model.escape and not model.charsmap and not model.squeeze
+    marks = f" {MARK}" if by_word else MARK
+    words_only = Tokenizer(tokenizer.model)
+    words_only.normalizer = normalizers.Sequence([normalizers.Replace(" ", MARK)] if by_word else [])
+    cut = re.compile(f"[{marks}]*[^{marks}]+|[{marks}]+" if cuts else "(?s:.+)")
+    more_marks = {*marks, ""}
     run, lengths = tied_runs(model)
     ids_of = {text: i for i, (text, _, kind) in enumerate(model.pieces) if kind == NORMAL}
     single = ids_of.get(run)
-    known: dict[str, list[int]] = {}
+    leads = np.array([t.startswith(MARK) for t, _, _ in model.pieces])
+    before = (" " if model.dummy_prefix else "") if by_word else None
+    known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
     held = 0
 
     def with_runs(ids):
@@ -202,22 +217,50 @@ def encoder(model: Model, tokenizer, most_chars: int = WORD_CHARS):
             out += [ids_of[run * k] for k in split_run(n, lengths)] if i == single and n > 1 else [i] * n
         return out
 
+    def has_run(word):
+        return single is not None and run * 2 in (word.replace(" ", MARK) if by_word else word)
+
+    def learn(words):
+        easy = [w for w in words if cuts and w[0] in marks and w[1:2] not in more_marks]
+        if single is not None and run != MARK:
+            easy = [w for w in easy if not has_run(w)]
+        hard = list(words.difference(easy))
+        lists = [easy[i:i + WORDS_AT_ONCE] for i in range(0, len(easy), WORDS_AT_ONCE)]
+        for some, got in zip(lists, words_only.encode_batch_fast(lists, is_pretokenized=True, add_special_tokens=False)):
+            ids = np.array(got.ids, "<i4")
+            at = np.flatnonzero(leads[ids])
+            if len(at) != len(some):
+                hard += some
+                continue
+            data, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            known.update(zip(some, [data[a:b] for a, b in zip(ends, ends[1:])]))
+        for word, got in zip(hard, words_only.encode_batch_fast(hard, add_special_tokens=False)):
+            known[word] = np.array(with_runs(got.ids) if has_run(word) else got.ids, "<i4").tobytes()
+
     def encode_texts(texts):
-        nonlocal held
-        split = [cut.findall(tokenizer.normalizer.normalize_str(t)) if t else [] for t in texts]
-        new = set(chain.from_iterable(split)) - known.keys()
+        nonlocal held, known, older
+        split = [cut.findall(tokenizer.normalizer.normalize_str(t) if before is None else before + t) if t else [] for t in texts]
+        words = set(chain.from_iterable(split))
+        if held > most_chars // 2:
+            # The words before the last ones are forgotten.
+            older, known, held = known, {}, 0
+        new = words.difference(known)
+        fresh = new.difference(older)
         held += sum(map(len, new))
-        if held > most_chars:
-            known.clear()
-            new = set(chain.from_iterable(split))
-            held = sum(map(len, new))
-        names = list(new)
-        for word, got in zip(names, words_only.encode_batch_fast(names, add_special_tokens=False)):
-            known[word] = with_runs(got.ids) if single is not None and run * 2 in word else got.ids
-        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
+        for word in new - fresh:
+            known[word] = older[word]
+        learn(fresh)
+        return [b"".join(map(known.__getitem__, found)) for found in split]
     return encode_texts
 
 
+def encoder(model: Model, tokenizer, most_chars: int = WORD_CHARS):
+    """A function from texts to the model's id lists, by :func:`packed_encoder`."""
+    import numpy as np
+    packed = packed_encoder(model, tokenizer, most_chars)
+    return lambda texts: [np.frombuffer(p, "<i4").tolist() for p in packed(texts)]
+
+
 def coder(model_bytes: bytes, check_every: int = CHECK_EVERY, threads: int = THREADS, with_ids: bool = True):
     """A maker of functions from texts to ``token_ids, n_tokens, ids_sha256,
     n_bytes_fallback, round_trip, parity``."""
@@ -230,7 +273,7 @@ def coder(model_bytes: bytes, check_every: int = CHECK_EVERY, threads: int = THR
         import numpy as np
         model = parse(model_bytes)
         tokenizer = rebuild(model)
-        encode_texts = encoder(model, tokenizer)
+        encode_texts = packed_encoder(model, tokenizer)
         other = sentencepiece.SentencePieceProcessor(model_proto=model_bytes)
         byte = np.array([k == BYTE for _, _, k in model.pieces])
         lead = 1 if model.dummy_prefix else 0
@@ -245,23 +288,24 @@ def coder(model_bytes: bytes, check_every: int = CHECK_EVERY, threads: int = THR
 
         def work(texts):
             plain = [t or "" for t in texts]
-            ids = encode_texts(plain)
+            packed = encode_texts(plain)
             parity = [None] * len(plain)
             # The unigram pipeline would read the name of a byte piece as that byte.
             named = {i for i, t in enumerate(plain) if model.kind == UNIGRAM and "<0x" in t}
             some = [i for i, t in enumerate(plain) if i in named or checked(t)]
             for i, theirs in zip(some, other.encode([plain[i] for i in some], num_threads=threads)):
-                parity[i] = theirs == ids[i]
+                theirs = np.array(theirs, "<i4").tobytes()
+                parity[i] = theirs == packed[i]
                 if i in named:
-                    ids[i] = theirs
-            back = tokenizer.decode_batch(ids, skip_special_tokens=False)
+                    packed[i] = theirs
+            ids = [np.frombuffer(p, "<i4") for p in packed]
+            back = tokenizer.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
             same = [b[lead:] == normalised(t) for b, t in zip(back, plain)]
-            packed = [np.asarray(i, np.int32) for i in ids]
             out = {"n_tokens": [len(i) for i in ids],
-                   "ids_sha256": [hashlib.sha256(p.astype("<i4").tobytes()).hexdigest() for p in packed],
-                   "n_bytes_fallback": [int(byte[p].sum()) for p in packed],
+                   "ids_sha256": [hashlib.sha256(p).hexdigest() for p in packed],
+                   "n_bytes_fallback": [int(np.count_nonzero(byte[i])) for i in ids],
                    "round_trip": same, "parity": parity}
-            return out | ({"token_ids": packed} if with_ids else {})
+            return out | ({"token_ids": ids} if with_ids else {})
         return work
     return make
 

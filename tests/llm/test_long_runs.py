@@ -104,3 +104,18 @@ def test_other_tied_pieces_are_an_error():
     model = sentencepiece.Model(pieces=[("<unk>", 0.0, 2), ("a", -1.0, 1), ("b", -1.0, 1), ("ab", -3.0, 1), ("ba", -3.0, 1)], kind=sentencepiece.BPE)
     with pytest.raises(ValueError):
         sentencepiece.rebuild(model)
+
+
+@pytest.mark.parametrize("most_chars", [30, sentencepiece.WORD_CHARS])
+def test_words_encoded_together_have_their_own_ids(most_chars):
+    import numpy as np
+    import sentencepiece as library
+    data = PIECES.read_bytes()
+    model = sentencepiece.parse(data)
+    sp = library.SentencePieceProcessor(model_proto=data)
+    packed = sentencepiece.packed_encoder(model, sentencepiece.rebuild(model), most_chars)
+    texts = ["", " ", "a", " a", "a ", "a  b", "▁a", "a▁▁ b", "\n", "日本 語 🙂x", "x\ty z", "</s> <unk> <0x41>", "word " * 700, "1 22 333"]
+    rng = random.Random(10)
+    texts += [" ".join(str(rng.randrange(10 ** rng.randint(1, 9))) for _ in range(40)) for _ in range(60)]
+    for some in (texts, texts[::-1], texts[3:9]):
+        assert [np.frombuffer(p, "<i4").tolist() for p in packed(some)] == sp.encode(some)
