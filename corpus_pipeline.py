@@ -4,7 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``.  All but the last
 return the columns of their input, whatever these are.  Rows with null or empty
 texts, repeated rows and empty tables go through every stage; what becomes of
-them is said there.
+them is said there.  Whoever writes a stage's DataFrame, its texts go to Python
+workers in batches of few rows (``in_small_batches``).
 """
 
 from __future__ import annotations
@@ -16,19 +17,19 @@ from pyspark.sql import functions as F
 
 from spanwright.llm import languageid, mixing, sentencepiece, simhash, suffixes
 from spanwright.llm.queries import TOKENIZERS
-from spanwright.llm.store import Scratch, released
+from spanwright.llm.store import Scratch, in_small_batches, released
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain.  Null and empty texts, texts without
     a letter and near ties go; without a labelled row all go."""
-    return languageid.accepted(docs, languageid.train(docs, F.lit(True)))
+    return in_small_batches(languageid.accepted(docs, languageid.train(docs, F.lit(True))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash neighbours: the smallest id.
     Empty texts are one group; rows without an id stay."""
-    return simhash.one_per_group(docs)
+    return in_small_batches(simhash.one_per_group(docs))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     got = got.withColumnRenamed("kept", name["text"])
     if "n_chars" in name:
         got = got.withColumn(name["n_chars"], F.length(name["text"]).cast(dict(docs.dtypes)["n_chars"]))
-    return got.select(*plain.columns).toDF(*docs.columns)
+    return in_small_batches(got.select(*plain.columns).toDF(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     so the order is made here."""
     column = {c: F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)}
     rows = mixing.placed(docs).select(column["doc_id"], column["source"], "copy", "position", column["text"])
-    return sentencepiece.encode(rows, os.path.join(TOKENIZERS, "piece_bpe_32k.model"), ["doc_id", "source", "copy", "position"])
+    return in_small_batches(sentencepiece.encode(rows, os.path.join(TOKENIZERS, "piece_bpe_32k.model"), ["doc_id", "source", "copy", "position"]))
 
 
 STAGES = [

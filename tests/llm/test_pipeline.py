@@ -117,3 +117,31 @@ def test_run(spark):
     found = P.run(spark, FOLDER)
     assert {"doc_id", "token_ids", "n_tokens"} <= set(found.columns)
     assert found.count() > 100
+
+
+def test_texts_go_to_workers_in_small_batches_whoever_writes_a_stage(spark):
+    from spanwright.llm import store
+    usual, most = spark.conf.get(store.BATCH), store.TEXT_ROWS
+    docs = spark.createDataFrame([(i, "src1", "en", f"some text {i} of words") for i in range(5000)],
+                                 "doc_id long, source string, lang string, text string").coalesce(1)
+    try:
+        spark.conf.set(store.BATCH, "10000")
+        stage = P.language_id(spark, docs, FOLDER)
+        assert int(spark.conf.get(store.BATCH)) == most
+        sizes = stage.select("text").mapInArrow(lambda it: (b if b.num_rows <= most else 1 / 0 for b in it), "text string")
+        assert sizes.count() == stage.count()
+        spark.conf.set(store.BATCH, "10")
+        store.in_small_batches(docs)
+        assert spark.conf.get(store.BATCH) == "10"
+    finally:
+        spark.conf.set(store.BATCH, usual)
+
+
+def test_a_kept_text_is_sent_once(spark):
+    from spanwright.llm import store
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string")
+    for keep in (["doc_id", "text"], ["text"], ["doc_id"]):
+        got = store.map_texts(docs, keep, "text", "n long", lambda: lambda texts: {"n": [len(t or "") for t in texts]})
+        assert got.columns == [*keep, "n"] and sorted(r["n"] for r in got.collect()) == [0, 0, 3]
+        project = got._jdf.queryExecution().analyzed().toString().split("MapInArrow")[1].splitlines()[1]
+        assert "Project" in project and project.count(" AS ") == len({*keep, "text"}), project
