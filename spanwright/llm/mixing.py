@@ -191,11 +191,14 @@ def trained_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """The columns of ``docs``: each document as often as the mix takes it,
     rounded to whole copies, in training order.  Names of other columns don't
     matter.  A written table does not keep the order; :func:`placed` finds it again."""
-    sizes = Scratch(docs.sparkSession, "mixing").keep(sized(docs, doc_id, text, source), "sizes")
-    sources = targets(source_table(sizes, turns), share, most)
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sizes = scratch.keep(sized(docs, doc_id, text, source), "sizes")
+    # Tables of one row per source are written, so that their size is known and
+    # the texts don't move to meet them.
+    sources = scratch.keep(targets(source_table(sizes, turns), share, most), "sources")
     # Time runs by the words that are really taken.
-    given = _whole(taken(sizes, sizes, sources)).groupBy(F.struct("source").alias("g")).agg(
-        F.sum(F.col("copies") * F.col("size")).alias("given"))
+    given = scratch.keep(_whole(taken(sizes, sizes, sources)).groupBy(F.struct("source").alias("g")).agg(
+        F.sum(F.col("copies") * F.col("size")).alias("given")), "given")
     mixed = _whole(taken(_packed(docs, doc_id, text, source), sizes, sources, ["row"])).where(F.col("copies") > 0)
     ordered = _in_order(mixed.join(given, F.struct("source") == F.col("g")), F.col("given"), ["row"])
     return ordered.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
@@ -209,27 +212,30 @@ def placed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     Equal rows are copies 0, 1, ...; rows that were repeated before the mix
     count as copies too.  A source gives all its copies 0 by the hash of the
     id, then its copies 1, and so on; the words before a row are its share.
-    Sums run per (source, copy, leading digits), as in a mix."""
+    Sums run per (source, copy, leading digits), as in a mix.  The words before
+    each of these groups are a row at its head, so that texts move twice only:
+    to their part, and to their place."""
     texts = F.xxhash64(F.col(f"`{text}`"))
     full = _packed(docs, doc_id, text, source, texts.alias("same"))
-    narrow = Scratch(docs.sparkSession, "placed").keep(full.drop("row"), "sizes")
-
-    def copied(rows):
-        # All windows are inside a part, so rows move once.
-        equal = Window.partitionBy("part", "order", "doc_id", "size", "same").orderBy("order")
-        return _ordered(rows).repartition("part").select("*", (F.row_number().over(equal) - 1).cast("bigint").alias("copy"))
-
-    before = (Window.partitionBy("p.source").orderBy("c", "p.digits").rowsBetween(Window.unboundedPreceding, -1))
-    sums = (copied(narrow).groupBy(F.col("part").alias("p"), F.col("copy").alias("c")).agg(F.sum("size").alias("part_size"))
-            .select("p", "c", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("base")))
-    totals = narrow.groupBy("source").agg(F.sum("size").alias("source_size")).select(
-        F.struct("source").alias("s"), "source_size", _shape_turn().alias("turn"))
-    inside = (Window.partitionBy("part", "copy").orderBy("order", "doc_id", "size", "same")
+    scratch = Scratch(docs.sparkSession, "placed")
+    narrow = scratch.keep(full.drop("row"), "sizes")
+    # All windows are inside a part, so rows move once.
+    equal = Window.partitionBy("part", "order", "doc_id", "size", "same").orderBy("order")
+    copy = (F.row_number().over(equal) - 1).cast("bigint")
+    before = (Window.partitionBy("part.source").orderBy("copy", "part.digits").rowsBetween(Window.unboundedPreceding, -1))
+    heads = (_ordered(narrow).repartition("part").withColumn("copy", copy)
+             .groupBy("part", "copy").agg(F.sum("size").alias("part_size"))
+             .select("part", "copy", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("size")))
+    totals = scratch.keep(narrow.groupBy("source").agg(F.sum("size").alias("source_size")).select(
+        F.struct("source").alias("s"), "source_size", _shape_turn().alias("turn")), "totals")
+    # Only heads have no order, so they come first.
+    inside = (Window.partitionBy("part", "copy").orderBy(F.col("order").asc_nulls_first(), "doc_id", "size", "same")
               .rowsBetween(Window.unboundedPreceding, -1))
-    at = copied(full).select("*", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("within"))
-    at = (at.join(sums, (F.col("part") == F.col("p")) & (F.col("copy") == F.col("c")))
+    at = (_ordered(full).unionByName(heads, allowMissingColumns=True).repartition("part")
+          .withColumn("copy", F.coalesce("copy", copy))
+          .withColumn("words_before", F.sum("size").over(inside)).where(F.col("order").isNotNull())
           .join(totals, F.struct("source") == F.col("s")))
-    share = F.least(F.lit(1.0), (F.col("base") + F.col("within")) / F.greatest(F.col("source_size"), F.lit(1)))
+    share = F.least(F.lit(1.0), F.col("words_before") / F.greatest(F.col("source_size"), F.lit(1)))
     return (at.select("row", "doc_id", "copy", position(share, F.col("turn")).alias("position"))
             .orderBy("position", "doc_id", "copy").select("row", "copy", "position"))
 

@@ -145,3 +145,51 @@ def test_a_kept_text_is_sent_once(spark):
         assert got.columns == [*keep, "n"] and sorted(r["n"] for r in got.collect()) == [0, 0, 3]
         project = got._jdf.queryExecution().analyzed().toString().split("MapInArrow")[1].splitlines()[1]
         assert "Project" in project and project.count(" AS ") == len({*keep, "text"}), project
+
+
+def test_texts_move_twice_to_be_mixed_and_twice_to_be_placed(spark):
+    """Joins with what is counted of a source or a part move no text, even if
+    the planner may broadcast little."""
+    rows = [(i, f"text {i} " + "w " * (i % 50), f"src{i % 3}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+        for stage in (mixing.trained_order, mixing.placed):
+            plan = stage(docs)._jdf.queryExecution().explainString(
+                spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            moved = [b for b in plan.split("\n\n") if ") Exchange\n" in f"{b}\n" and "row#" in b.split("Input")[1].splitlines()[0]]
+            assert len(moved) == 2, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
+def test_repeated_rows_and_null_sources_are_placed_as_by_a_plain_walk(spark):
+    rows = [(i % 40 if i % 7 else None, "w " * (i % 11), f"src{i % 4}" if i % 4 else None) for i in range(400)]
+    docs = spark.createDataFrame(rows + rows[:150], "doc_id long, text string, source string")
+    sizes, groups, seen = Counter(), {}, Counter()
+    for r in rows + rows[:150]:
+        copy, seen[r] = seen[r], seen[r] + 1
+        sizes[r[2]] += len(r[1].split())
+        order = hashlib.md5(b"" if r[0] is None else str(r[0]).encode()).hexdigest()
+        groups.setdefault(r[2], []).append((copy, order[:3], order, len(r[1].split()), r))
+    turns = {s: i % 3 for i, s in enumerate(sorted([s for s in sizes if s and sizes[s]]) + [None])}
+    want = Counter()
+    for source, found in groups.items():
+        before = 0
+        for copy, _, _, size, r in sorted(found, key=lambda x: x[:4]):
+            want[(r, copy, round(min(1.0, before / max(1, sizes[source])), 9), turns[source])] += 1
+            before += size
+    got = Counter()
+    shares = {}
+    for r in mixing.placed(docs).collect():
+        got[((r.row.c0, r.row.c1, r.row.c2), r.copy, round(r.position, 9))] += 1
+    for (row, copy, share, turn), n in want.items():
+        shares[(share, turn)] = None
+    table = spark.createDataFrame(list(shares), "share double, turn int")
+    for r in table.select("*", mixing.position(mixing.F.col("share"), mixing.F.col("turn")).alias("p")).collect():
+        shares[(r["share"], r["turn"])] = r["p"]
+    plain = Counter()
+    for (row, copy, share, turn), n in want.items():
+        plain[(row, copy, round(shares[(share, turn)], 6))] += n
+    assert Counter({(a, b, round(c, 6)): n for (a, b, c), n in got.items()}) == plain
