@@ -10,9 +10,9 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
-from itertools import chain, groupby
+from itertools import chain, count, groupby, islice
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -28,9 +28,10 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 CHECK_EVERY = 1
 THREADS = 2
 # A worker remembers the ids of words up to about this many characters in all,
-# and encodes so many words at once.
+# encodes so many words at once, and joins the ids of so many.
 WORD_CHARS = 2_000_000
 WORDS_AT_ONCE = 500
+WORDS_JOINED = 1 << 18
 
 
 @dataclass
@@ -186,28 +187,29 @@ def packed_encoder(model: Model, tokenizer, most_chars: int = WORD_CHARS):
     Texts are cut before each run of marks, unless a piece has a mark after
     another character: no piece spans such a cut, so the ids of a text are
     those of its words, and a word that was met lately is not encoded again.
-    Words of ``most_chars`` characters in all are remembered.
+    Words of ``most_chars`` characters and of the last texts are remembered;
+    beyond that those met most often since then stay, up to half of it.
 
     Without a character map or squeezed blanks the texts are cut at the blanks
-    that become marks, and the normaliser runs on the words; else it runs on
-    the texts before.  Words with one mark are encoded some hundreds at a time:
-    each has one piece that begins with a mark, its first."""
+    that become marks; else the normaliser runs on the texts before.  Words
+    with one mark are encoded some hundreds at a time, by a BPE model as one
+    string: each has one piece that begins with a mark, its first."""
     import numpy as np
-    from tokenizers import Tokenizer, normalizers
+    from tokenizers import Tokenizer
     cuts = not any(MARK in t.lstrip(MARK) for t, _, _ in model.pieces)
     by_word = cuts and model.escape and not model.charsmap and not model.squeeze
     marks = f" {MARK}" if by_word else MARK
     words_only = Tokenizer(tokenizer.model)
-    words_only.normalizer = normalizers.Sequence([normalizers.Replace(" ", MARK)] if by_word else [])
     cut = re.compile(f"[{marks}]*[^{marks}]+|[{marks}]+" if cuts else "(?s:.+)")
-    more_marks = {*marks, ""}
     run, lengths = tied_runs(model)
     ids_of = {text: i for i, (text, _, kind) in enumerate(model.pieces) if kind == NORMAL}
     single = ids_of.get(run)
     leads = np.array([t.startswith(MARK) for t, _, _ in model.pieces])
     before = (" " if model.dummy_prefix else "") if by_word else None
-    known: dict[str, bytes] = {}
-    older: dict[str, bytes] = {}
+    # A new word gets the next number by being looked up.  Its ids are ``size``
+    # of ``pool`` from ``start`` on.
+    number: defaultdict[str, int] = defaultdict(count().__next__)
+    start, size, met, pool = (np.zeros(0, kind) for kind in ("i8", "i8", "i8", "<i4"))
     held = 0
 
     def with_runs(ids):
@@ -217,40 +219,72 @@ def packed_encoder(model: Model, tokenizer, most_chars: int = WORD_CHARS):
             out += [ids_of[run * k] for k in split_run(n, lengths)] if i == single and n > 1 else [i] * n
         return out
 
+    def marked(word):
+        return word.replace(" ", MARK) if by_word else word
+
     def has_run(word):
-        return single is not None and run * 2 in (word.replace(" ", MARK) if by_word else word)
+        return single is not None and run * 2 in marked(word)
 
     def learn(words):
-        easy = [w for w in words if cuts and w[0] in marks and w[1:2] not in more_marks]
+        nonlocal start, size, met, pool
+        easy = [i for i, w in enumerate(words) if cuts and 0 < len(w.lstrip(marks)) == len(w) - 1]
         if single is not None and run != MARK:
-            easy = [w for w in easy if not has_run(w)]
-        hard = list(words.difference(easy))
-        lists = [easy[i:i + WORDS_AT_ONCE] for i in range(0, len(easy), WORDS_AT_ONCE)]
-        for some, got in zip(lists, words_only.encode_batch_fast(lists, is_pretokenized=True, add_special_tokens=False)):
+            easy = [i for i in easy if not has_run(words[i])]
+        hard = sorted(set(range(len(words))).difference(easy))
+        parts = [easy[i:i + WORDS_AT_ONCE] for i in range(0, len(easy), WORDS_AT_ONCE)]
+        lists, one = [[words[i] for i in some] for some in parts], model.kind == BPE
+        lists = [marked("".join(some)) if one else [marked(w) for w in some] for some in lists]
+        starts, sizes, found, n = np.zeros(len(words), "i8"), np.zeros(len(words), "i8"), [pool], len(pool)
+        for some, got in zip(parts, words_only.encode_batch_fast(lists, is_pretokenized=not one, add_special_tokens=False)):
             ids = np.array(got.ids, "<i4")
             at = np.flatnonzero(leads[ids])
             if len(at) != len(some):
                 hard += some
                 continue
-            data, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-            known.update(zip(some, [data[a:b] for a, b in zip(ends, ends[1:])]))
-        for word, got in zip(hard, words_only.encode_batch_fast(hard, add_special_tokens=False)):
-            known[word] = np.array(with_runs(got.ids) if has_run(word) else got.ids, "<i4").tobytes()
+            starts[some], sizes[some] = n + at, np.diff(at, append=len(ids))
+            found.append(ids)
+            n += len(ids)
+        for i, got in zip(hard, words_only.encode_batch_fast([marked(words[i]) for i in hard], add_special_tokens=False)):
+            ids = np.array(with_runs(got.ids) if has_run(words[i]) else got.ids, "<i4")
+            starts[i], sizes[i] = n, len(ids)
+            found.append(ids)
+            n += len(ids)
+        start, size, pool = np.concatenate([start, starts]), np.concatenate([size, sizes]), np.concatenate(found)
+        met = np.concatenate([met, np.zeros(len(words), "i8")])
+
+    def ids_at(numbers):
+        """The ids of words, one after the other."""
+        found = [np.zeros(0, "<i4")]
+        for some in (numbers[i:i + WORDS_JOINED] for i in range(0, len(numbers), WORDS_JOINED)):
+            ends = np.cumsum(size[some])
+            found.append(pool[np.repeat(start[some] + size[some] - ends, size[some]) + np.arange(ends[-1])])
+        return np.concatenate(found)
+
+    def forget():
+        nonlocal number, start, size, met, pool, held
+        words = list(number)
+        chars = np.fromiter(map(len, words), "i8", len(words))
+        often = np.argsort(-met, kind="stable")
+        often = np.sort(often[(np.cumsum(chars[often]) <= most_chars // 2) & (met[often] > 1)])
+        pool, size = ids_at(often), size[often]
+        start, met, held = np.cumsum(size) - size, np.zeros(len(often), "i8"), int(chars[often].sum())
+        number = defaultdict(count(len(often)).__next__, zip([words[i] for i in often.tolist()], range(len(often))))
 
     def encode_texts(texts):
-        nonlocal held, known, older
+        nonlocal held, met
+        if held > most_chars:
+            forget()
         split = [cut.findall(tokenizer.normalizer.normalize_str(t) if before is None else before + t) if t else [] for t in texts]
-        words = set(chain.from_iterable(split))
-        if held > most_chars // 2:
-            # The words before the last ones are forgotten.
-            older, known, held = known, {}, 0
-        new = words.difference(known)
-        fresh = new.difference(older)
-        held += sum(map(len, new))
-        for word in new - fresh:
-            known[word] = older[word]
-        learn(fresh)
-        return [b"".join(map(known.__getitem__, found)) for found in split]
+        n_words, known = np.fromiter(map(len, split), "i8", len(split)), len(number)
+        numbers = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), "i8", int(n_words.sum()))
+        if len(number) > known:
+            new = list(islice(reversed(number), len(number) - known))[::-1]
+            held += sum(map(len, new))
+            learn(new)
+        met += np.bincount(numbers, minlength=len(met))
+        data = ids_at(numbers).tobytes()
+        ends = [0, *(4 * np.concatenate([[0], np.cumsum(size[numbers])])[np.cumsum(n_words)]).tolist()]
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
     return encode_texts
 
 
@@ -293,13 +327,14 @@ def coder(model_bytes: bytes, check_every: int = CHECK_EVERY, threads: int = THR
             # The unigram pipeline would read the name of a byte piece as that byte.
             named = {i for i, t in enumerate(plain) if model.kind == UNIGRAM and "<0x" in t}
             some = [i for i, t in enumerate(plain) if i in named or checked(t)]
+            ids = [np.frombuffer(p, "<i4") for p in packed]
+            lists = [i.tolist() for i in ids]
             for i, theirs in zip(some, other.encode([plain[i] for i in some], num_threads=threads)):
-                theirs = np.array(theirs, "<i4").tobytes()
-                parity[i] = theirs == packed[i]
+                parity[i] = theirs == lists[i]
                 if i in named:
-                    packed[i] = theirs
-            ids = [np.frombuffer(p, "<i4") for p in packed]
-            back = tokenizer.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+                    lists[i], ids[i] = theirs, np.array(theirs, "<i4")
+                    packed[i] = ids[i].tobytes()
+            back = [tokenizer.decode(i, skip_special_tokens=False) for i in lists]
             same = [b[lead:] == normalised(t) for b, t in zip(back, plain)]
             out = {"n_tokens": [len(i) for i in ids],
                    "ids_sha256": [hashlib.sha256(p).hexdigest() for p in packed],

@@ -119,3 +119,29 @@ def test_words_encoded_together_have_their_own_ids(most_chars):
     texts += [" ".join(str(rng.randrange(10 ** rng.randint(1, 9))) for _ in range(40)) for _ in range(60)]
     for some in (texts, texts[::-1], texts[3:9]):
         assert [np.frombuffer(p, "<i4").tolist() for p in packed(some)] == sp.encode(some)
+
+
+def test_new_words_are_joined_and_those_met_often_stay(monkeypatch):
+    import numpy as np
+    import sentencepiece as library
+    import tokenizers
+    data, given, whole = PIECES.read_bytes(), [], tokenizers.Tokenizer
+
+    class Counting:
+        def __init__(self, model):
+            self.own = whole(model)
+
+        def encode_batch_fast(self, some, **how):
+            given.extend(x for one in some for x in ([one] if isinstance(one, str) else one))
+            return self.own.encode_batch_fast(some, **how)
+    model = sentencepiece.parse(data)
+    tokenizer = sentencepiece.rebuild(model)
+    sp = library.SentencePieceProcessor(model_proto=data)
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    packed = sentencepiece.packed_encoder(model, tokenizer, 4000)
+    common = " ".join(f"common{i}" for i in range(100))
+    for i in range(40):
+        texts = [" ".join(f"rare{i}x{j}" for j in range(100)), ""] + [common, f"{common}  {common}"] * (i % 4 == 0)
+        assert [np.frombuffer(p, "<i4").tolist() for p in packed(texts)] == sp.encode(texts)
+    assert len(given) < 200
+    assert sum(x.count("common") for x in given) < 250
